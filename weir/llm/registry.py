@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from weir.llm.near_dup import op4_near_dup
 from weir.llm.sentencepiece_bpe import op1_sentencepiece
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op4_near_dup": op4_near_dup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+}
