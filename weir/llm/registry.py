@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from weir.llm.decontaminate import OP8_SQL, op8_decontaminate
+from weir.llm.language_id import op10_language_id
 from weir.llm.near_dup import op4_near_dup
 from weir.llm.sentencepiece_bpe import op1_sentencepiece
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op4_near_dup": op4_near_dup,
+    "op8_decontaminate": op8_decontaminate,
+    "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {
+ORACLE_SQL = {
+    "op8_decontaminate": OP8_SQL,
 }
