@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from weir.llm.brown_lm import op2_brown_lm
 from weir.llm.decontaminate import OP8_SQL, op8_decontaminate
 from weir.llm.language_id import op10_language_id
 from weir.llm.near_dup import op4_near_dup
@@ -9,6 +10,7 @@ from weir.llm.sentencepiece_bpe import op1_sentencepiece
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_brown_lm": op2_brown_lm,
     "op4_near_dup": op4_near_dup,
     "op8_decontaminate": op8_decontaminate,
     "op10_language_id": op10_language_id,
