@@ -7,11 +7,13 @@ from weir.llm.decontaminate import OP8_SQL, op8_decontaminate
 from weir.llm.language_id import op10_language_id
 from weir.llm.near_dup import op4_near_dup
 from weir.llm.sentencepiece_bpe import op1_sentencepiece
+from weir.llm.substring_dup import op7_substring_dup
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_brown_lm": op2_brown_lm,
     "op4_near_dup": op4_near_dup,
+    "op7_substring_dup": op7_substring_dup,
     "op8_decontaminate": op8_decontaminate,
     "op10_language_id": op10_language_id,
 }
