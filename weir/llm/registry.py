@@ -5,19 +5,28 @@ from __future__ import annotations
 from weir.llm.brown_lm import op2_brown_lm
 from weir.llm.decontaminate import OP8_SQL, op8_decontaminate
 from weir.llm.language_id import op10_language_id
+from weir.llm.licenses import OP9_SQL, op9_licenses
 from weir.llm.near_dup import op4_near_dup
+from weir.llm.nn_descent import op6_nn_descent
+from weir.llm.secrets import op3_secrets
 from weir.llm.sentencepiece_bpe import op1_sentencepiece
 from weir.llm.substring_dup import op7_substring_dup
+from weir.llm.token_counts import op5_token_counts
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_brown_lm": op2_brown_lm,
+    "op3_secrets": op3_secrets,
     "op4_near_dup": op4_near_dup,
+    "op5_token_counts": op5_token_counts,
+    "op6_nn_descent": op6_nn_descent,
     "op7_substring_dup": op7_substring_dup,
     "op8_decontaminate": op8_decontaminate,
+    "op9_licenses": op9_licenses,
     "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL = {
     "op8_decontaminate": OP8_SQL,
+    "op9_licenses": OP9_SQL,
 }

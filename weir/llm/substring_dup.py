@@ -26,12 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm.tables import Saved
+from weir.llm.tables import Saved, small
 from weir.llm.text_hash import slices, window_hashes, words_of
 
 WINDOW = 35
 RANGE_BYTES = 12_000_000
-BROADCAST_BYTES = 48_000_000
 
 
 def _pack_gaps(at: np.ndarray) -> bytes:
@@ -175,13 +174,6 @@ def text_key(id_col: str, text_col: str):
     return F.xxhash64(F.col(id_col).cast("string"), F.lit("|"), F.col(text_col).cast("string"))
 
 
-def small(df: DataFrame) -> DataFrame:
-    """The table as a broadcast side if its rows are few bytes all in all; as it is, if not."""
-    sizes = [F.coalesce(F.octet_length(c), F.lit(0)) if t == "binary" else F.coalesce(F.size(c), F.lit(0)) * 4 if t.startswith("array") else F.lit(8) for c, t in df.dtypes]
-    n = df.agg(F.sum(sum(sizes, F.lit(40)))).first()[0] or 0
-    return F.broadcast(df) if n <= BROADCAST_BYTES else df
-
-
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
     """One row per row of docs: id, n_words, n_removed, kept_sha256 and, if texts, kept_text (the kept words joined by spaces)."""
     found = Saved(repeats(docs, window, id_col, text_col), "repeats")

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes up to which a side is broadcast.
+BROADCAST_BYTES = 48_000_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; only where it is unset, as in tests, a folder of this machine."""
@@ -42,6 +46,19 @@ class Saved:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """The table as a broadcast side if its rows are few bytes all in all; as it is, if not."""
+    sizes = [F.coalesce(F.octet_length(c), F.lit(0)) if t == "binary" else F.coalesce(F.size(c), F.lit(0)) * 4 if t.startswith("array") else F.lit(8) for c, t in df.dtypes]
+    n = df.agg(F.sum(sum(sizes, F.lit(40)))).first()[0] or 0
+    return F.broadcast(df) if n <= BROADCAST_BYTES else df
+
+
+def free(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of DataFrames that are no longer referenced."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> Saved:
     """Connected components of edges(a, b): rows (id, comp), comp the smallest id of the component, for every id that has an edge.
 
