@@ -120,9 +120,11 @@ def _top(edges: DataFrame) -> DataFrame:
 def build(nodes: DataFrame, dimension: int, rounds: int = ROUNDS) -> tuple[Saved, Saved]:
     """Of nodes(node, v): the table (node, half, codes) and the neighbour graph (a, b, sim), each node's closest found."""
     table = Saved(nodes.select("node", "v").mapInArrow(_normalised(dimension), "node long, half binary, " + ", ".join(f"c{k} long" for k in range(CODES))), "nodes")
+    # so few ranges that each holds several chunks
+    count = table.df.count()
+    n = max(1, min(count // (4 * CHUNK), max(4 * table.spark.sparkContext.defaultParallelism, count // (64 * CHUNK))))
     parts = None
     for k in range(CODES):
-        n = max(1, table.df.sparkSession.sparkContext.defaultParallelism)
         ordered = table.df.select("node", "half", f"c{k}").repartitionByRange(n, f"c{k}", "node").sortWithinPartitions(f"c{k}", "node")
         links = ordered.select("node", "half").mapInArrow(_close, "a long, b long, sim float")
         parts = links if parts is None else parts.union(links)
