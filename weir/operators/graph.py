@@ -132,7 +132,7 @@ def connected(nodes: DataFrame, links: DataFrame, most_rounds: int = 100) -> Dat
     for _ in range(most_rounds):
         near = both.join(labels.withColumnsRenamed({"a": "b", "label": "l"}), "b").groupBy("a").agg(F.min("l").alias("l"))
         least = labels.join(near, "a", "left").select("a", F.least("label", "l").alias("label"))
-        jump = least.withColumnsRenamed({"a": "label", "label": "up"})
+        jump = least.select(F.col("a").alias("label"), F.col("label").alias("up"))
         labels = _checkpoint(least.join(jump, "label", "left").select("a", F.least("label", "up").alias("label")))
         now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         if now == before:
