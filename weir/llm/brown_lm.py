@@ -1,16 +1,17 @@
 """Scoring texts with a Brown class-based n-gram model (operator 2).
 
 Tokens are white-space words with A-Z lower-cased, then one end per text.  P(w | v) = P(class w | class v)
-* P(w | class w).  Words with a relative frequency of at least ``MIN_SHARE`` (so at most 1 / MIN_SHARE of
-them, whatever the size of the corpus) get their class by exchange clustering; every other word belongs,
+* P(w | class w).  Words met twice and with a relative frequency of at least ``MIN_SHARE`` (so at most
+1 / MIN_SHARE of them, whatever the size of the corpus) get their class by exchange clustering; every other word belongs,
 by its shape, to one of 16 further classes, and the end is a class of its own.
 
 Exchange clustering runs in rounds: class bigram counts are summed over all bigrams, then each clustered
 word in turn moves, within its task, to the class that raises the likelihood of the class bigrams most,
 all other words staying; a round moves every other word, and a round that lowers the likelihood is undone.
 
-Transitions are smoothed by Witten-Bell interpolation with the classes' frequencies.  Rare and unseen
-words are smoothed by adding one, with one slot for unseen words in each class of shapes.
+Transitions are smoothed by Witten-Bell interpolation with the classes' frequencies.  A class of shapes
+has one slot for unseen words, whose probability follows from how many of its words were met once; its
+known words share the rest by their counts and one.  Words met once are never clustered.
 
 All counts are exact and cover all training texts.  Words too rare to broadcast meet their counts in a
 shuffle by word; there a text's own words, its contributions and its counts share one exchange.
@@ -78,15 +79,15 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Vocabulary:
-    """Exact counts: n of each clustered word; of each shape its tokens and words; of all, tokens, words and words met once."""
+    """Exact counts: n of each clustered word; of each shape its rare tokens, words and words met once; of all, tokens and words."""
 
     words: list[bytes]
     counts: np.ndarray
     shape_tokens: np.ndarray
     shape_words: np.ndarray
+    shape_once: np.ndarray
     total: int
     distinct: int
-    once: int
 
     def ids(self) -> dict[bytes, int]:
         return {w: i for i, w in enumerate(self.words)}
@@ -102,20 +103,20 @@ def _shape_of(words: Column) -> Column:
 def vocabulary(training: DataFrame, min_share: float = MIN_SHARE) -> Vocabulary:
     """Word counts of training(text)."""
     counts = Saved(training.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    sums = counts.df.agg(F.sum("n"), F.count(F.lit(1)), F.count_if(F.col("n") == 1)).first()
+    sums = counts.df.agg(F.sum("n"), F.count(F.lit(1))).first()
     total = int(sums[0] or 0)
-    least = max(1, int(np.ceil(min_share * total)))
+    least = max(2, int(np.ceil(min_share * total)))
     often = (F.col("n") >= least) | (F.col("word") == F.lit(END))
     top = counts.df.where(often).collect()  # at most 1 / min_share words and the end
     top.sort(key=lambda r: (bytes(r["word"]) != END, -r["n"], bytes(r["word"])))
-    rare = counts.df.where(~often).withColumn("s", _shape_of(F.col("word"))).groupBy("s").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
-    shape_tokens, shape_words = np.zeros(SHAPES, np.int64), np.zeros(SHAPES, np.int64)
+    rare = counts.df.where(~often).withColumn("s", _shape_of(F.col("word"))).groupBy("s").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("n") == 1).alias("once")).collect()
+    shape_tokens, shape_words, shape_once = np.zeros((3, SHAPES), np.int64)
     for r in rare:
-        shape_tokens[r["s"]], shape_words[r["s"]] = r["n"], r["v"]
+        shape_tokens[r["s"]], shape_words[r["s"]], shape_once[r["s"]] = r["n"], r["v"], r["once"]
     counts.drop()
     words = [bytes(r["word"]) for r in top] or [END]
     n = np.array([r["n"] for r in top] or [0], np.int64)
-    return Vocabulary(words, n, shape_tokens, shape_words, total, int(sums[1]), int(sums[2]))
+    return Vocabulary(words, n, shape_tokens, shape_words, shape_once, total, int(sums[1]))
 
 
 def _bigrams(sent):
@@ -266,10 +267,6 @@ def train(training: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS, min
     laid_table.drop()
     tokens_of = table.sum(axis=0).astype(float)
     base = (tokens_of + (np.arange(k) > classes)) / (tokens_of.sum() + SHAPES)  # each shape has a slot for unseen words
-    base = np.where(base > 0, base, 0.0)
-    unseen = max(vocab.once, 1) / max(vocab.total, 1)
-    base[1 + classes :] = np.maximum(base[1 + classes :], min(unseen, 0.5) / SHAPES / 100)
-    base /= base.sum()
     after, kinds = table.sum(axis=1, keepdims=True).astype(float), (table > 0).sum(axis=1, keepdims=True) + 1.0
     following = (table + kinds * base) / (after + kinds)
     with np.errstate(divide="ignore"):
@@ -336,7 +333,9 @@ def _first_pass(sent):
 
 
 def score(docs: DataFrame, model: Model, is_held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
+    """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
+
+    docs holds the texts that the model was trained on, where is_held_out is false, and any others: counts of rare words are taken along."""
     from pyspark.sql import Window
 
     spark = docs.sparkSession
@@ -349,14 +348,17 @@ def score(docs: DataFrame, model: Model, is_held_out: Column, id_col: str = "doc
     # the count of a rare word in the training texts: all its rows lie in one task anyway
     n = F.coalesce(F.sum(F.when(in_training, times)).over(Window.partitionBy("word")), F.lit(0))
     counted = parts.select("word", "id", "mark", "own", n.alias("n"), times.alias("times"))
-    smooth = [float(x) for x in vocab.shape_tokens + vocab.shape_words + 1]
-    by_shape = F.element_at(F.array(*[F.lit(x) for x in smooth]), F.shiftright("mark", TIMES_BITS).bitwiseAND(F.lit(SHAPES - 1)).cast("int") + 1)
+    # of a shape's words, those never met have as much as those met once suggest; the others share the rest by their counts and one
+    unseen = (vocab.shape_once + 1) / (vocab.shape_tokens + vocab.shape_once + 2)
+    known = (1 - unseen) / np.maximum(vocab.shape_tokens + vocab.shape_words, 1)
+    of_shape = lambda values: F.element_at(F.array(*[F.lit(float(x)) for x in values]), F.shiftright("mark", TIMES_BITS).bitwiseAND(F.lit(SHAPES - 1)).cast("int") + 1)
+    share = F.when(F.col("n") > 0, (F.col("n") + 1) * of_shape(known)).otherwise(of_shape(unseen))
     rare = F.col("own").isNull()
     shares = counted.select(
         "id", F.col("mark").bitwiseAND(F.lit(-1 << 31)).alias("text_key"), F.coalesce("own.n_tokens", F.lit(0)).alias("n_tokens"),
         F.when(rare, F.when(F.col("n") > 0, F.col("times")).otherwise(0)).otherwise(F.col("own.n_known")).alias("n_known"),
         F.when(rare, F.col("times") * F.log10((F.col("n") + 1) / F.lit(float(vocab.total + vocab.distinct + 1)))).otherwise(F.col("own.base")).alias("base"),
-        F.when(rare, F.col("times") * F.log10((F.col("n") + 1) / by_shape)).otherwise(F.col("own.score")).alias("score"),
+        F.when(rare, F.col("times") * F.log10(share)).otherwise(F.col("own.score")).alias("score"),
         F.when(rare, 0).otherwise(1).alias("copies"),
     )
     sums = shares.groupBy("id", "text_key").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score", "copies")])

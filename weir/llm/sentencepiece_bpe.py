@@ -22,6 +22,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -281,7 +282,7 @@ def decode(rows: DataFrame, model_file: str, ids_col: str = "ids", out_col: str
     """rows with the text of their ids (null: the empty text)."""
 
     @F.pandas_udf("string")
-    def text_of(batches: Iterator) -> Iterator:
+    def text_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = MergeModel(model_file)
         for ids in batches:
             yield ids.map(lambda x: "" if x is None else model.decode_ids(x.tolist()))
