@@ -93,22 +93,18 @@ def scan(docs: DataFrame, notices: DataFrame, id_col: str = "doc_id", text_col:
             chosen.add(word)
             # without this word, every shingle that holds it is missing
             lost = len({tuple(r["w"][k : k + SHINGLE]) for k in range(len(r["w"]) - SHINGLE + 1) if chosen.intersection(r["w"][k : k + SHINGLE])})
-    lower = F.translate(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    hit = F.lit(False)
-    for word in sorted(chosen):
-        hit = hit | F.contains(lower, F.lit(word))
-    key = F.xxhash64("id", "text")
-    rows = docs.where(hit).select("id", key.alias("key"), words(F.col("text")).alias("w")).select("id", "key", _shingles(F.col("w")).alias("s"))
+    if not chosen:
+        return docs.select(F.col("id").alias(id_col), F.lit("").alias("license_id"), F.lit(0.0).alias("containment")).limit(0)
+    held = docs.select("id", F.xxhash64("id", "text").alias("key"), words(F.col("text")).alias("w")).where(F.arrays_overlap("w", F.array(*[F.lit(x) for x in sorted(chosen)])))
+    rows = held.select("id", "key", _shingles(F.col("w")).alias("s"))
     doc_shingles = 2 * TEMPLATE_WORDS - SHINGLE + 1
-    probes = _bands(_windows(rows, doc_shingles, TEMPLATE_WORDS)).select("id", "key", "s", "band", "value")
-    found = probes.join(F.broadcast(banded), ["band", "value"])
-    verified = found.join(F.broadcast(own.select("license_id", "t")), "license_id").select("id", "key", "license_id", (F.size(F.array_intersect("t", "s")) / F.size("t")).alias("containment"))
-    best = verified.where(F.col("containment") >= containment).groupBy("id", "key", "license_id").agg(F.max("containment").alias("containment"))
-    # repeated rows: as many results as rows
-    copies = docs.where(hit).groupBy("id", key.alias("key")).agg(F.count(F.lit(1)).alias("copies"))
-    again = best.alias("b").join(copies.where("copies > 1").alias("c"), F.col("b.id").eqNullSafe(F.col("c.id")) & (F.col("b.key") == F.col("c.key")), "left")
-    each = again.select(F.col("b.id").alias(id_col), "license_id", "containment", F.explode(F.array_repeat(F.lit(0), F.coalesce("copies", F.lit(1)).cast("int"))).alias("n"))
-    return each.drop("n")
+    probes = _bands(_windows(rows, doc_shingles, TEMPLATE_WORDS).select("id", "key", "part")).select("id", "key", "band", "value")
+    found = probes.join(F.broadcast(banded), ["band", "value"]).select("key", F.col("id").alias("__id"), "license_id").distinct()
+    # back to the rows themselves, so that repeated rows are reported each
+    both = found.join(rows, (rows["key"] == found["key"]) & rows["id"].eqNullSafe(found["__id"])).select("id", "license_id", "s")
+    share = F.size(F.array_intersect("t", "s")) / F.size("t")
+    verified = both.join(F.broadcast(own.select("license_id", "t")), "license_id").select(F.col("id").alias(id_col), "license_id", share.alias("containment"))
+    return verified.where(F.col("containment") >= containment)
 
 
 def op9_licenses(spark, sf_dir: str) -> DataFrame:
