@@ -182,7 +182,8 @@ def search(table: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = B
             break
         reached = now.df.join(graph.select(F.col("a").alias("node"), "b"), "node").select("q", F.col("b").alias("node")).distinct()
         fresh = seen_of(reached.join(seen.df.select("q", "node"), ["q", "node"], "left_anti"))
-        marked = seen.df.join(now.df.withColumn("v", F.lit(True)), ["q", "node"], "left").select("q", "node", "sim", (F.col("visited") | F.coalesce("v", F.lit(False))).alias("visited"))
+        both = seen.df.union(now.df.select("q", "node", F.lit(None).cast("float").alias("sim"), F.lit(True).alias("visited")))
+        marked = both.groupBy("q", "node").agg(F.max("sim").alias("sim"), F.max("visited").alias("visited"))
         new = Saved(marked.union(fresh), "seen")
         seen.drop()
         now.drop()
