@@ -178,7 +178,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     """One row per row of docs: id, n_words, n_removed, kept_sha256 and, if texts, kept_text (the kept words joined by spaces)."""
     found = Saved(repeats(docs, window, id_col, text_col), "repeats")
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), text_key(id_col, text_col).alias("key"))
-    rows = keyed.join(small(found.df), "key", "left").select("id", "text", "starts")
+    # always shuffled: what is found grows with the input
+    rows = keyed.join(found.df, "key", "left").select("id", "text", "starts")
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
