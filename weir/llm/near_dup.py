@@ -8,11 +8,12 @@ but one value of some chunk, so every chunk is indexed four times, each time wit
 pairs under the distance of 24 meet in a bucket.  At the threshold of 0.75 a pair fails to meet with a
 probability of 1e-7.
 
-A bucket never yields all its pairs.  Its members are first compared with its smallest member; once
-the links so found have been contracted to components, only members of different components in one
-bucket are still compared: all of them in small buckets, against one more member a round in large
-ones, until every bucket is settled.  So no candidate link between two components is left out, and a
-group of n near copies costs n comparisons.  Each link is confirmed on the two full shingle sets.
+A bucket's members are first compared with its smallest member; once the links so found have been
+contracted to components, only members of different components in one bucket are still compared.  In
+small buckets these are all such pairs.  Large buckets hold classes that are much alike, yet not enough;
+those that have members in common make up a crowd, which is compared block against block: no pair is
+emitted, only links are.  So no candidate link between two components is left out, and a group of n near
+copies costs n comparisons.  Each link is confirmed on the two full shingle sets.
 
 Defined results: an empty or null text has no shingles and is linked with nothing; rows with equal ids
 are one node that has the links of each of its texts; a row without id has its set size, no component,
@@ -35,6 +36,7 @@ from weir.llm.text_hash import mix, slices, window_hashes, words_of
 WORDS = 5
 CHUNKS, WIDTH = 12, 4
 SMALL_BUCKET = 40
+BLOCK, TILE = 256, 64
 BROADCAST_IDS = 1_000_000
 _RNG = np.random.default_rng(7)
 _MULTIPLY = _RNG.integers(0, 1 << 63, CHUNKS * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -99,6 +101,55 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(bucket_keys(signed).ravel()), pa.array(ids)], names=["key", "id"])
 
 
+def _between(threshold: float):
+    """Of one pair of blocks of a crowd, the links between different components; the two blocks' sets meet as 0/1 matrices."""
+    share = round(threshold * 10_000)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, comps, block = (table.column(c).to_numpy() for c in ("id", "comp", "block"))
+        texts = table.column("text")
+        sets = [s for chunk in texts.chunks for s in shingle_sets(chunk)]
+        first, second = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        rows, columns = np.flatnonzero(block == first), np.flatnonzero(block == second)
+        out: list[tuple[int, int]] = []
+        for at in range(0, len(rows), TILE):
+            a = rows[at : at + TILE]
+            words = np.unique(np.concatenate([sets[k] for k in a]))
+            x = np.zeros((len(a), len(words)), np.float32)
+            for r, k in enumerate(a):
+                x[r, np.searchsorted(words, sets[k])] = 1
+            sizes = x.sum(axis=1)
+            for by in range(0, len(columns), TILE):
+                b = columns[by : by + TILE]
+                y = np.zeros((len(b), len(words)), np.float32)
+                for r, k in enumerate(b):
+                    w = np.minimum(np.searchsorted(words, sets[k]), len(words) - 1)
+                    y[r, w[words[w] == sets[k]]] = 1
+                both = (x @ y.T).astype(np.int64)
+                union = sizes.astype(np.int64)[:, None] + np.array([len(sets[k]) for k in b])[None, :] - both
+                for r, c in np.argwhere((both > 0) & (10_000 * both >= share * union) & (comps[a][:, None] != comps[b][None, :])):
+                    out.append((int(ids[a[r]]), int(ids[b[c]])))
+        return pa.table({"a": pa.array([r[0] for r in out], pa.int64()), "b": pa.array([r[1] for r in out], pa.int64())})
+
+    return run
+
+
+def _crowds(large: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between members of different components among those that large(key, id, comp) buckets hold.
+
+    Buckets with common members make up a crowd, whose members are cut into blocks; each pair of blocks is one group of rows."""
+    hub = large.groupBy("key").agg(F.min("id").alias("b"))
+    together = components(large.join(hub, "key").select(F.col("id").alias("a"), "b"))
+    member = large.select("id", "comp").distinct().join(together.df.select("id", F.col("comp").alias("crowd")), "id")
+    # blocks by hash: no task sees a whole crowd
+    sizes = member.groupBy("crowd").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = member.join(sizes, "crowd").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = sent.select("crowd", "id", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return pairs.join(texts, "id").select("crowd", "i", "j", "id", "comp", "block", "text").groupBy("crowd", "i", "j").applyInArrow(_between(threshold), "a long, b long")
+
+
 def _linked(threshold: float):
     share = round(threshold * 10_000)
 
@@ -150,40 +201,29 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, id_col: str = "doc
     same = same.join(same.groupBy("id").agg(F.min("rep").alias("least")), "id").select(F.col("rep").alias("a"), F.col("least").alias("b")).where("a <> b")
     links = Saved(confirm(best.select(F.col("id").alias("a"), F.col("pivot").alias("b"))).union(same), "links")
     comps = components(links.df)
-    tried = Saved(best.select(F.col("id").alias("a"), F.col("pivot").alias("b")), "tried")
-
-    pivoted = Saved(members.df.where("id = pivot").select("key", "id"), "pivoted")
-
-    def apart(pairs: DataFrame, of: DataFrame) -> DataFrame:
-        """pairs(a, b) whose ends lie in different components."""
-        c = of.withColumnsRenamed({"id": "x", "comp": "c"})
-        out = pairs.join(c.withColumnsRenamed({"x": "a", "c": "ca"}), "a", "left").join(c.withColumnsRenamed({"x": "b", "c": "cb"}), "b", "left")
-        return out.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-    more = apart(star.df.select(F.col("id").alias("a"), F.col("pivot").alias("b")), comps.df)
-    fresh = None
-    while True:
-        backwards = tried.df.select(F.col("b").alias("a"), F.col("a").alias("b"))
-        todo = Saved(more.distinct().join(tried.df, ["a", "b"], "left_anti").join(backwards, ["a", "b"], "left_anti"), "todo")
-        if not todo.df.isEmpty():
-            new = Saved(confirm(todo.df), "links")
-            tried = Saved(tried.df.union(todo.df), "tried")
-            if not new.df.isEmpty():
-                links = Saved(links.df.union(new.df), "links")
-                comps = components(links.df)
-        elif fresh is not None and fresh.df.isEmpty():
-            break
-        found = members.df.join(comps.df, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-        torn = found.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("n")).where("c0 <> c1")
-        left = found.join(torn.select("key", "n"), "key")
-        small = left.where(F.col("n") <= SMALL_BUCKET).select("key", "id", "comp")
+    def torn(of: DataFrame) -> DataFrame:
+        """Rows of of(key, id, …) with comp and the bucket's size n, of the buckets with members of different components."""
+        found = of.join(comps.df, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        mixed = found.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("n")).where("c0 <> c1")
+        return found.join(mixed.select("key", "n"), "key")
+
+    left = Saved(torn(members.df), "torn")
+    if not left.df.isEmpty():
+        # in every pair a is greater than b, as in the first round's
+        small = left.df.where(F.col("n") <= SMALL_BUCKET).select("key", "id", "comp")
         pairs = small.join(small.withColumnsRenamed({"id": "b", "comp": "cb"}), "key").where("id > b and comp <> cb").select(F.col("id").alias("a"), "b")
-        # the next pivot of a large bucket: its smallest member that has not been its pivot yet
-        large = left.where(F.col("n") > SMALL_BUCKET).select("key", "id", "comp")
-        fresh = Saved(large.join(pivoted.df, ["key", "id"], "left_anti").groupBy("key").agg(F.min(F.struct("id", "comp")).alias("p")).select("key", F.col("p.id").alias("id"), F.col("p.comp").alias("pc")), "pivots")
-        pivoted = Saved(pivoted.df.union(fresh.df.select("key", "id")), "pivoted")
-        hub = large.join(fresh.df.withColumnRenamed("id", "p"), "key").where("id <> p and comp <> pc").select(F.col("id").alias("a"), F.col("p").alias("b"))
-        more = pairs.union(hub)
+        hubs = left.df.where(F.col("n") > SMALL_BUCKET).join(comps.df.withColumnsRenamed({"id": "pivot", "comp": "cp"}), "pivot", "left").where(F.col("comp") != F.coalesce("cp", "pivot")).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+        more = pairs.union(hubs).distinct().join(best.select(F.col("id").alias("a"), F.col("pivot").alias("b")), ["a", "b"], "left_anti")
+        new = Saved(confirm(more), "links")
+        if not new.df.isEmpty():
+            links = Saved(links.df.union(new.df), "links")
+            comps = components(links.df)
+        large = Saved(torn(left.df.where(F.col("n") > SMALL_BUCKET).select("key", "id")).select("key", "id", "comp"), "large")
+        if not large.df.isEmpty():
+            found = Saved(_crowds(large.df, needed.df, threshold), "links")
+            if not found.df.isEmpty():
+                links = Saved(links.df.union(found.df), "links")
+                comps = components(links.df)
     comp_of = classes.df.join(comps.df, "id", "left").select("name", F.coalesce("comp", "id").alias("comp"))
     # equal ids are one node: their classes share their components
     first = told.df.where("id is not null").join(comp_of, "name", "left").groupBy("id").agg(F.min(F.coalesce("comp", "id")).alias("component_id"))

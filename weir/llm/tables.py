@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes up to which a side is broadcast.
 BROADCAST_BYTES = 48_000_000
+#: Edges up to which components are found in one partition.
+SMALL_EDGES = 300_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -66,9 +68,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> Saved:
     upwards, then downwards, so that the depth of each tree shrinks geometrically; the edge table never grows.
     """
     now = Saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    # a small table is contracted in one partition, which needs no exchange
+    few = now.df.count() <= SMALL_EDGES
     mark = None
     for _ in range(most_rounds):
-        both = now.df.union(now.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        edges = now.df.coalesce(1) if few else now.df
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = both.coalesce(1) if few else both
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
