@@ -96,3 +96,38 @@ def test_leases(spark, tmp_path):
     rows = [("u", 1, "lease", at(0)), ("u", 2, "lease", at(5)), ("u", 2, "complete", at(6)), ("u", 1, "lease", at(20)), ("u", 2, "lease", at(60)), ("u", 2, "complete", at(61))]
     got = ev.run_to_end(ev.leases(stream_of(spark, tmp_path, rows, "url string, worker_id long, action string, ts timestamp")), "append", "leases").collect()
     assert [(r.worker_id, r.outcome) for r in got] == [(1, "leased"), (2, "refused"), (2, "rejected"), (1, "leased"), (1, "expired"), (2, "leased"), (2, "completed")]
+
+
+def plain_components(edges):
+    """Union-find: each end's component, named by its smallest node."""
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return {x: root(x) for x in up}
+
+
+def test_components(spark):
+    from weir.operators import graph
+
+    edges = [(1, 9), (9, 4), (30, 31), (31, 30), (7, 7), (50, 49)] + [(k, k + 1) for k in range(100, 106)] + [(106, 60), (60, 71)]
+    links = spark.createDataFrame(edges, "from_page long, to_page long")
+    nodes = spark.createDataFrame([(x,) for e in edges for x in e] + [(99,)], "id long").distinct()
+    got = {r.id: r.component for r in graph.connected(nodes, links).collect()}
+    assert got == plain_components([*edges, (99, 99)])
+
+
+def test_components_query_takes_every_link(spark):
+    from weir.plans.queries import QUERIES
+    from weir.sources.fixtures import view
+
+    sf = "/root/testdata/sf0.001"
+    edges = [(r.from_page, r.to_page) for r in view(spark, sf, "v_link").select("from_page", "to_page").collect()]
+    rows = QUERIES["connected_components"](spark, sf).collect()
+    assert len(rows) == len({r.id for r in rows}) and {r.id: r.component for r in rows} == plain_components(edges)
