@@ -42,6 +42,22 @@ def test_licenses(spark):
     assert licenses.scan(docs, licenses.templates(spark).limit(0)).count() == 0
 
 
+def test_short_licenses_are_found_wherever_they_stand(spark):
+    import random
+
+    rng = random.Random(5)
+    filler = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for k in range(900):
+        name = ("reserved", "MIT-line", "CC-BY-4.0")[k % 3]
+        rows.append((k, name, " ".join(filler(rng.randrange(60)) + [licenses.TEMPLATES[name]] + filler(rng.randrange(60)))))
+    # the two halves of a notice far apart; five of its six shingles are left
+    rows.append((900, "Apache-2.0", " ".join(["licensed under the apache license version", *filler(40), "apache license version 2 0"])))
+    docs = spark.createDataFrame(rows, "doc_id long, name string, text string")
+    got = sorted((r.doc_id, r.license_id) for r in licenses.scan(docs, licenses.templates(spark)).collect())
+    assert got == sorted((i, name) for i, name, _ in rows)
+
+
 @pytest.mark.parametrize("piece", [200_000, 20])
 def test_token_counts(spark, piece):
     import tiktoken

@@ -1,17 +1,15 @@
 """License scans with native operations (operator 9).
 
-License notices are retrieved by MinHash and verified exactly.  A template's words are cut into windows of
-``TEMPLATE_WORDS``; a document's into windows of twice as many, each overlapping half of the next, so that
-every passage of TEMPLATE_WORDS words lies whole in a window.  A window's sketch holds ``BANDS`` MinHash
-values of its three-word shingles, each a band of its own: a document window that holds a template window
-shares a shingle share of 6 / 14 or more with it, so that they miss each other in all bands with a
-probability of (8 / 14) ** 24 = 1.5e-6.  A retrieved template counts if the document holds at least
-``CONTAINMENT`` of its shingles.
+License notices are retrieved by bottom-k MinHash sketches and verified exactly.  A template's sketch holds
+those of its three-word shingles with the smallest hashes: one more than a document may lack and still reach
+``CONTAINMENT``.  A document is probed with all its shingles, so that one that reaches the containment shares
+a shingle with the sketch for certain, whatever the template's length and wherever the shingles stand.  A
+retrieved template counts if the document holds at least ``CONTAINMENT`` of its shingles.
 
 Texts that can't reach that containment are passed over first, without loss: a text that holds none of a
 chosen fifth of a template's words (the longest ones) lacks more than a fifth of its shingles.
 
-The templates are a parameter; they are broadcast after their windows have been counted.
+The templates are a parameter; they are broadcast after they have been counted.
 
 Defined results: null and empty texts and texts of fewer than three words match nothing, as do templates of
 fewer than three words; repeated rows are reported each; null ids are reported; with no templates there are
@@ -26,10 +24,8 @@ from pyspark.sql import functions as F
 from weir.llm.decontaminate import words
 
 SHINGLE = 3
-TEMPLATE_WORDS = 8
-BANDS = 24
 CONTAINMENT = 0.8
-MOST_WINDOWS = 200_000
+MOST_TEMPLATES = 200_000
 
 # Notices as their licenses word them.
 TEMPLATES = {
@@ -63,23 +59,13 @@ def _shingles(w):
     return F.when(n >= 1, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, SHINGLE)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _windows(rows: DataFrame, shingles: int, step: int) -> DataFrame:
-    """rows with a row for each window of their shingles (column part)."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size("s"), F.lit(1)), F.lit(step))
-    return rows.where(F.size("s") > 0).withColumn("at", F.explode(starts)).withColumn("part", F.slice("s", F.col("at"), shingles))
-
-
-def _bands(rows: DataFrame) -> DataFrame:
-    """A row for each band of each window: (band, value)."""
-    return rows.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))).withColumn("value", F.array_min(F.transform("part", lambda h: F.xxhash64(h, F.col("band")))))
-
-
 def scan(docs: DataFrame, notices: DataFrame, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
     """Rows (id_col, license_id, containment) of the notices that documents hold."""
-    own = notices.select(F.col("license_id").cast("string").alias("license_id"), words(F.col("text")).alias("w")).select("license_id", "w", F.array_distinct(_shingles(F.col("w"))).alias("t"), _shingles(F.col("w")).alias("s")).where(F.size("t") > 0).cache()
-    banded = _bands(_windows(own, TEMPLATE_WORDS - SHINGLE + 1, TEMPLATE_WORDS - SHINGLE + 1)).select("band", "value", "license_id").distinct()
-    known = own.select("license_id", "w", "t").limit(MOST_WINDOWS + 1).collect()
-    if len(known) > MOST_WINDOWS:
+    own = notices.select(F.col("license_id").cast("string").alias("license_id"), words(F.col("text")).alias("w")).select("license_id", "w", F.array_distinct(_shingles(F.col("w"))).alias("t")).where(F.size("t") > 0).cache()
+    lacking = F.floor((1 - containment) * F.size("t") + 1e-9).cast("int")
+    sketch = own.select("license_id", F.explode(F.slice(F.array_sort("t"), F.lit(1), lacking + 1)).alias("value"))
+    known = own.select("license_id", "w", "t").limit(MOST_TEMPLATES + 1).collect()
+    if len(known) > MOST_TEMPLATES:
         raise ValueError("too many templates to broadcast")
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # the lossless first look: of each template so many words that a text without all of them is out
@@ -97,9 +83,8 @@ def scan(docs: DataFrame, notices: DataFrame, id_col: str = "doc_id", text_col:
         return docs.select(F.col("id").alias(id_col), F.lit("").alias("license_id"), F.lit(0.0).alias("containment")).limit(0)
     held = docs.select("id", F.xxhash64("id", "text").alias("key"), words(F.col("text")).alias("w")).where(F.arrays_overlap("w", F.array(*[F.lit(x) for x in sorted(chosen)])))
     rows = held.select("id", "key", _shingles(F.col("w")).alias("s"))
-    doc_shingles = 2 * TEMPLATE_WORDS - SHINGLE + 1
-    probes = _bands(_windows(rows, doc_shingles, TEMPLATE_WORDS).select("id", "key", "part")).select("id", "key", "band", "value")
-    found = probes.join(F.broadcast(banded), ["band", "value"]).select("key", F.col("id").alias("__id"), "license_id").distinct()
+    probes = rows.select("id", "key", F.explode(F.array_distinct("s")).alias("value"))
+    found = probes.join(F.broadcast(sketch), "value").select("key", F.col("id").alias("__id"), "license_id").distinct()
     # back to the rows themselves, so that repeated rows are reported each
     both = found.join(rows, (rows["key"] == found["key"]) & rows["id"].eqNullSafe(found["__id"])).select("id", "license_id", "s")
     share = F.size(F.array_intersect("t", "s")) / F.size("t")
