@@ -70,6 +70,15 @@ def test_class_model(spark):
     assert brown_lm.score(rows.limit(0), model, out).count() == 0
 
 
+def test_every_word_met_twice_is_clustered(spark):
+    # 600,000 tokens: a share of 5e-6 would ask for three
+    common = [("a b c d e " * 2000,)] * 60
+    docs = spark.createDataFrame([*common, ("twice one",), ("twice two two",)], "text string")
+    vocab = brown_lm.vocabulary(docs)
+    assert dict(zip(vocab.words, vocab.counts.tolist(), strict=True)) == {brown_lm.END: 62, b"twice": 2, b"two": 2, **{w: 120_000 for w in (b"a", b"b", b"c", b"d", b"e")}}
+    assert (vocab.total, vocab.distinct, vocab.shape_tokens.sum(), vocab.shape_once.sum()) == (600_067, 9, 1, 1)
+
+
 def plain_hits(text, items, window=13):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     w, hit, found = words(text), set(), set()

@@ -1,9 +1,9 @@
 """Scoring texts with a Brown class-based n-gram model (operator 2).
 
 Tokens are white-space words with A-Z lower-cased, then one end per text.  P(w | v) = P(class w | class v)
-* P(w | class w).  Words met twice and with a relative frequency of at least ``MIN_SHARE`` (so at most
-1 / MIN_SHARE of them, whatever the size of the corpus) get their class by exchange clustering; every other word belongs,
-by its shape, to one of 16 further classes, and the end is a class of its own.
+* P(w | class w).  Words met at least ``LEAST`` times, however large the corpus, get their class by exchange clustering; every
+word met less often belongs, by its shape, to one of 16 further classes, and the end is a class of its own.
+The clustered words and their counts are collected and broadcast, so memory grows with the vocabulary.
 
 Exchange clustering runs in rounds: class bigram counts are summed over all bigrams, then each clustered
 word in turn moves, within its task, to the class that raises the likelihood of the class bigrams most,
@@ -13,7 +13,7 @@ Transitions are smoothed by Witten-Bell interpolation with the classes' frequenc
 has one slot for unseen words, whose probability follows from how many of its words were met once; its
 known words share the rest by their counts and one.  Words met once are never clustered.
 
-All counts are exact and cover all training texts.  Words too rare to broadcast meet their counts in a
+All counts are exact and cover all training texts.  Words that are not clustered meet their counts in a
 shuffle by word; there a text's own words, its contributions and its counts share one exchange.
 
 Defined results: a null or empty text is its end alone; a null id is not held out; repeated rows count
@@ -29,12 +29,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm.tables import Saved
+from weir.llm.tables import Saved, free
 
-MIN_SHARE = 5e-6
+LEAST = 2
 CLASSES = 64
 ROUNDS = 5
 SHAPES = 16
@@ -100,22 +101,22 @@ def _shape_of(words: Column) -> Column:
     return F.pandas_udf(lambda s: s.map(lambda w: shape(bytes(w))), "int")(words)
 
 
-def vocabulary(training: DataFrame, min_share: float = MIN_SHARE) -> Vocabulary:
+def vocabulary(training: DataFrame, least: int = LEAST) -> Vocabulary:
     """Word counts of training(text)."""
     counts = Saved(training.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     sums = counts.df.agg(F.sum("n"), F.count(F.lit(1))).first()
     total = int(sums[0] or 0)
-    least = max(2, int(np.ceil(min_share * total)))
     often = (F.col("n") >= least) | (F.col("word") == F.lit(END))
-    top = counts.df.where(often).collect()  # at most 1 / min_share words and the end
-    top.sort(key=lambda r: (bytes(r["word"]) != END, -r["n"], bytes(r["word"])))
+    # Arrow holds the words in a fraction of the memory of rows
+    top = counts.df.where(often).select("word", "n").toArrow()
+    words, n = [bytes(w) for w in top["word"].to_pylist()], top["n"].to_numpy()
+    order = sorted(range(len(words)), key=lambda i: (words[i] != END, -n[i], words[i]))
+    words, n = [words[i] for i in order] or [END], n[order].astype(np.int64) if order else np.zeros(1, np.int64)
     rare = counts.df.where(~often).withColumn("s", _shape_of(F.col("word"))).groupBy("s").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("n") == 1).alias("once")).collect()
     shape_tokens, shape_words, shape_once = np.zeros((3, SHAPES), np.int64)
     for r in rare:
         shape_tokens[r["s"]], shape_words[r["s"]], shape_once[r["s"]] = r["n"], r["v"], r["once"]
     counts.drop()
-    words = [bytes(r["word"]) for r in top] or [END]
-    n = np.array([r["n"] for r in top] or [0], np.int64)
     return Vocabulary(words, n, shape_tokens, shape_words, shape_once, total, int(sums[1]))
 
 
@@ -182,12 +183,13 @@ def _lists(column: pa.Array, k: int) -> np.ndarray:
 def _class_table(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, k = sent.value
-        table = np.zeros((k, k), np.int64)
+        table = np.zeros(k * k, np.int64)
         for batch in batches:
-            for i, w in enumerate(batch.column(0).to_pylist()):
-                table[classes[w]] += np.bincount(classes[_lists(batch.column(1), i)], _lists(batch.column(2), i), k).astype(np.int64)
-        at = np.flatnonzero(table.ravel())
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table.ravel()[at])], names=["cell", "n"])
+            own, others, n = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+            times = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            table += np.bincount(np.repeat(classes[own], times) * k + classes[others], n, k * k).astype(np.int64)
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], names=["cell", "n"])
 
     return run
 
@@ -225,20 +227,23 @@ class Model:
     log_word: np.ndarray  # log10 P(word | class) of each clustered word
 
 
-def train(training: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS, min_share: float = MIN_SHARE) -> Model:
+def train(training: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS, least: int = LEAST) -> Model:
     """A model of training(text)."""
     spark = training.sparkSession
-    vocab = vocabulary(training, min_share)
+    vocab = vocabulary(training, least)
     size = len(vocab.words) + SHAPES
     sent = spark.sparkContext.broadcast(vocab)
     grams = training.mapInArrow(_bigrams(sent), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     pair = grams.select((F.col("key") / size).cast("long").alias("a"), (F.col("key") % size).alias("b"), "n")
     sides = pair.select(F.explode(F.array(F.struct(F.col("a").alias("w"), F.col("b").alias("o"), F.lit(True).alias("after"), "n"), F.struct(F.col("b").alias("w"), F.col("a").alias("o"), F.lit(False).alias("after"), "n"))).alias("s")).select("s.*")
-    # a row per word with its neighbours: at most two entries for each clustered word or shape, so at most 2 / min_share
+    # a row per word with its neighbours: at most two entries for each clustered word or shape
     lists = sides.groupBy("w").agg(*[F.collect_list(F.when(side, F.struct("o", "n"))).alias(c) for side, c in ((F.col("after"), "a"), (~F.col("after"), "b"))])
-    laid_table = Saved(lists.select("w", "a.o", "a.n", F.col("b.o").alias("bo"), F.col("b.n").alias("bn")), "bigrams")
-    per_task = max(2 * spark.sparkContext.defaultParallelism, len(vocab.words) // 2000)
-    laid = laid_table.df.repartition(per_task)
+    # dealt evenly once; the rounds read the files
+    n_files = max(2 * spark.sparkContext.defaultParallelism, len(vocab.words) // 20_000)
+    laid_table = Saved(lists.select("w", "a.o", "a.n", F.col("b.o").alias("bo"), F.col("b.n").alias("bn")).repartition(n_files), "bigrams")
+    laid = laid_table.df
+    del grams, pair, sides, lists
+    free(spark)
     # classes: 0 the end; then the free ones; then the shapes
     k = 1 + classes + SHAPES
     now = np.r_[0, 1 + np.arange(len(vocab.words) - 1) % classes, np.arange(SHAPES) + 1 + classes].astype(np.int64)
@@ -258,8 +263,8 @@ def train(training: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS, min
     for turn in range(rounds):
         b = spark.sparkContext.broadcast((back[now], table[np.ix_(shift, shift)].astype(float), classes, turn % 2, len(vocab.words)))
         tried = now.copy()
-        for r in laid.mapInArrow(_moves(b), "word long, class long").collect():  # at most one row a clustered word
-            tried[r["word"]] = shift[r["class"]]
+        moves = laid.mapInArrow(_moves(b), "word long, class long").toArrow()  # at most one row a clustered word
+        tried[moves["word"].to_numpy()] = shift[moves["class"].to_numpy()]
         b.unpersist()
         new = table_of(tried)
         if likelihood(new) > likelihood(table):
