@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm.tables import Saved, small
+from weir.llm.tables import BROADCAST_BYTES, Saved, small
 from weir.llm.text_hash import slices, window_hashes, words_of
 
 WINDOW = 35
@@ -163,7 +163,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
     packed = keyed.mapInArrow(_pack(block, ranges), PACKED)
     probed = packed.groupBy("bucket").applyInArrow(_probe, "slice long, keys binary, at binary")
     anchored = Saved(probed.groupBy("slice").applyInArrow(_extend(block, window), "key long, spans binary").dropDuplicates(["key"]), "anchors")
-    near = keyed.join(small(anchored.df), "key")
+    near = keyed.join(small(anchored.df, BROADCAST_BYTES), "key")
     windows = Saved(near.select("key", "text", "spans").mapInArrow(_windows(window), "hash long, key long, at int"), "windows")
     again = windows.df.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
     return windows.df.join(again, "hash", "left_semi").groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("starts"))

@@ -48,11 +48,11 @@ class Saved:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame) -> DataFrame:
-    """The table as a broadcast side if its rows are few bytes all in all; as it is, if not."""
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """The table as a broadcast side if its rows are at most so many bytes all in all; as it is, if not."""
     sizes = [F.coalesce(F.octet_length(c), F.lit(0)) if t == "binary" else F.coalesce(F.size(c), F.lit(0)) * 4 if t.startswith("array") else F.lit(8) for c, t in df.dtypes]
     n = df.agg(F.sum(sum(sizes, F.lit(40)))).first()[0] or 0
-    return F.broadcast(df) if n <= BROADCAST_BYTES else df
+    return F.broadcast(df) if n <= most else df
 
 
 def free(spark: SparkSession) -> None:
