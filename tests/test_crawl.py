@@ -98,6 +98,14 @@ def test_leases(spark, tmp_path):
     assert [(r.worker_id, r.outcome) for r in got] == [(1, "leased"), (2, "refused"), (2, "rejected"), (1, "leased"), (1, "expired"), (2, "leased"), (2, "completed")]
 
 
+def test_a_lease_that_nothing_ends_expires(spark, tmp_path):
+    at = lambda s: NOW + dt.timedelta(seconds=s)
+    rows = [("u", 1, "lease", at(0)), ("v", 2, "lease", at(700))]
+    got = ev.run_to_end(ev.leases(stream_of(spark, tmp_path, rows, "url string, worker_id long, action string, ts timestamp")), "append", "expiry").collect()
+    assert [(r.url, r.worker_id, r.outcome, r.at) for r in got if r.url == "u"] == [("u", 1, "leased", at(0)), ("u", 1, "expired", at(30))]
+    assert [(r.worker_id, r.outcome) for r in got if r.url == "v"] == [(2, "leased")]
+
+
 def plain_components(edges):
     """Union-find: each end's component, named by its smallest node."""
     up = {}

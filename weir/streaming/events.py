@@ -79,11 +79,13 @@ LEASE_OUT = "url string, worker_id long, outcome string, at timestamp"
 LEASE_STATE = "worker_id long, since double"
 
 
-def leases(requests: DataFrame, ttl_seconds: int = 30) -> DataFrame:
+def leases(requests: DataFrame, ttl_seconds: int = 30, late: str = "10 minutes") -> DataFrame:
     """Leases over a stream of requests (url, worker_id, action, ts), action lease or complete.
 
     A lease goes to the first worker and may be renewed by it; others are refused while it lives.  A completion
-    counts only for the holder of a living lease.  A lease that no row ends expires by itself."""
+    counts only for the holder of a living lease.  A lease that no row ends expires once the requests' own time,
+    less ``late``, has passed its end, so that the outcome does not depend on the clock and a run over given
+    input ends; requests later than that are left out."""
 
     def step(key: tuple, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         url, out = key[0], []
@@ -111,16 +113,18 @@ def leases(requests: DataFrame, ttl_seconds: int = 30) -> DataFrame:
                     state.remove()
             else:
                 state.update((int(holder), float(since)))
-                state.setTimeoutDuration(ttl_seconds * 1000)
+                state.setTimeoutTimestamp(max(int((since + ttl_seconds) * 1000), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(out, columns=["url", "worker_id", "outcome", "at"])
 
-    return requests.groupBy("url").applyInPandasWithState(step, LEASE_OUT, LEASE_STATE, "append", "ProcessingTimeTimeout")
+    return requests.withWatermark("ts", late).groupBy("url").applyInPandasWithState(step, LEASE_OUT, LEASE_STATE, "append", "EventTimeTimeout")
 
 
-def run_to_end(stream: DataFrame, mode: str, name: str) -> DataFrame:
+def run_to_end(stream: DataFrame, mode: str, name: str, seconds: int = 600) -> DataFrame:
     """Drives a stream over all its input into a table in memory; for tests and small reports."""
     query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
+    try:
+        if not query.awaitTermination(seconds):
+            raise TimeoutError(f"{name} has not ended after {seconds} s")
+    finally:
+        query.stop()
     return stream.sparkSession.table(name)
-
-
