@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weir.llm.tables import Saved
+
 BLOCK = 4096
 
 
@@ -64,6 +66,8 @@ def histogram(lengths: DataFrame) -> DataFrame:
 
 def with_suffix_sums(counts: DataFrame) -> DataFrame:
     """For each length: n_docs and n_tokens of it; docs_longer and tokens_longer of all greater lengths; docs_total and tokens_total; tokens_cut, all tokens when texts are cut at this length."""
+    # written once: the sums read the histogram twice, the texts are encoded once
+    counts = Saved(counts.select("length", "n_docs"), "lengths").df
     rows = counts.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("n_tokens"), F.floor(F.col("length") / BLOCK).alias("block"))
     blocks = rows.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("n_tokens").alias("t"))
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
