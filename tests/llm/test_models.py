@@ -49,12 +49,16 @@ def test_encode_and_decode_frames(spark):
     assert sentencepiece_bpe.encode(docs.limit(0), MODEL).count() == 0
 
 
-def test_class_model(spark):
+EXTRA = [(None, "the unheardof word"), (None, "the"), (10**6, None), (10**6 + 1, "the the"), (10**6 + 1, "the the"), (10**6 + 2, ""), (10**6 + 3, "long " * 60_000 + "tale")]
+
+
+@pytest.mark.parametrize("core_share", [5e-6, 2e-3])
+def test_class_model(spark, core_share):
+    """Counts, class bigrams and scores against plain versions, with every repeated word in the core and with most outside it."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    extra = spark.createDataFrame([(None, "the unheardof word"), (10**6, None), (10**6 + 1, "the the"), (10**6 + 1, "the the")], "doc_id long, text string")
-    rows = docs.select("doc_id", "text").union(extra)
+    rows = docs.select("doc_id", "text").union(spark.createDataFrame(EXTRA, "doc_id long, text string")).withColumn("n_tokens", brown_lm.F.lit("x")).withColumn("word", brown_lm.F.lit(1))
     out = brown_lm.held_out(brown_lm.F.col("doc_id"))
-    model = brown_lm.train(rows.where(~out).select("text"), classes=8, rounds=2)
+    model = brown_lm.train(rows.where(~out).select("text"), classes=8, core_share=core_share)
     got = brown_lm.score(rows, model, out).collect()
     texts = [(r.doc_id, brown_lm.tokens(r.text)) for r in rows.collect()]
     is_out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
@@ -63,20 +67,58 @@ def test_class_model(spark):
     want = sorted((str(i), is_out(i), len(ws), sum(counts[w] > 0 for w in ws), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws), 6)) for i, ws in texts)
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
     assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
+    # every word met twice has a class of its own choice; the others that of their shape
+    core = {w: int(model.classes[k]) for w, k in model.vocab.ids().items()}
+    rest = {bytes(r.word): (r.n, r["class"]) for r in model.rest.collect()}
+    assert {w: m for w, (m, _) in rest.items()} == {w: m for w, m in counts.items() if w not in core}
+    assert all((1 <= c <= 8) if m > 1 else c is None for m, c in rest.values()) and len(rest) > 100
+    of_shape = lambda w: 9 + brown_lm.shape(w)
+    seen_as = lambda w: core.get(w, of_shape(w))
+    class_of = lambda w: core[w] if w in core else rest[w][1] or of_shape(w) if w in rest else of_shape(w)
+    table = Counter((seen_as(a), class_of(b)) for i, ws in texts if not is_out(i) for a, b in zip([brown_lm.END, *ws], ws, strict=False))
+    assert {(a, b): int(model.table[a, b]) for a, b in zip(*model.table.nonzero(), strict=True)} == table
     # the classes' transitions and each class's words are distributions
     assert (10**model.log_next).sum(axis=1) == pytest.approx(1)
-    nothing = brown_lm.train(rows.limit(0).select("text"), classes=4, rounds=1)
+    tokens_of, once, twice = model.table.sum(axis=0), Counter(), Counter()
+    for w, m in counts.items():
+        (once if m == 1 else twice if m == 2 else Counter())[of_shape(w) if w != brown_lm.END else 0] += 1
+    share = lambda c: (once[c] + 1) / (once[c] + 2 * twice[c] + 2)
+    emit = lambda w: counts[w] / tokens_of[class_of(w)] if counts[w] > 1 else (1 - share(of_shape(w))) / once[of_shape(w)] if counts[w] else share(of_shape(w))
+    want = sorted((str(i), round(sum(model.log_next[seen_as(a), class_of(b)] + math.log10(emit(b)) for a, b in zip([brown_lm.END, *ws], ws, strict=False)), 4)) for i, ws in texts)
+    assert sorted((str(r.doc_id), round(r.score, 4)) for r in got) == want
+
+
+def test_class_model_without_texts(spark):
+    rows = spark.createDataFrame(EXTRA, "doc_id long, text string")
+    nothing = brown_lm.train(rows.limit(0).select("text"), classes=4)
     assert {r.n_known for r in brown_lm.score(rows, nothing, brown_lm.F.lit(True)).collect()} == {0}
-    assert brown_lm.score(rows.limit(0), model, out).count() == 0
-
-
-def test_every_word_met_twice_is_clustered(spark):
-    # 600,000 tokens: a share of 5e-6 would ask for three
-    common = [("a b c d e " * 2000,)] * 60
-    docs = spark.createDataFrame([*common, ("twice one",), ("twice two two",)], "text string")
-    vocab = brown_lm.vocabulary(docs)
-    assert dict(zip(vocab.words, vocab.counts.tolist(), strict=True)) == {brown_lm.END: 62, b"twice": 2, b"two": 2, **{w: 120_000 for w in (b"a", b"b", b"c", b"d", b"e")}}
-    assert (vocab.total, vocab.distinct, vocab.shape_tokens.sum(), vocab.shape_once.sum()) == (600_067, 9, 1, 1)
+    assert brown_lm.score(rows.limit(0), nothing, brown_lm.F.lit(True)).count() == 0
+
+
+def test_exchange_of_the_rest_takes_the_best_move(spark):
+    """Each word's move against the likelihood of the whole table, tried for every class."""
+    np = brown_lm.np
+    rng = np.random.default_rng(1)
+    k, free_ = 6, 3
+    table = rng.integers(0, 60, (k, k)).astype(float)
+    words = [(b"w%d" % i, np.unique(rng.integers(0, k, 3)), int(rng.integers(1, 6))) for i in range(40)]
+    rows = [(w, g.tolist(), rng.integers(1, 12, len(g)).tolist(), c) for w, g, c in words]
+    for _, g, m, c in rows:
+        np.add.at(table, (g, c), m)
+    batch = brown_lm.pa.table({"word": [r[0] for r in rows], "n": [sum(r[2]) for r in rows], "g": brown_lm.pa.array([r[1] for r in rows], brown_lm.pa.list_(brown_lm.pa.int32())), "m": [r[2] for r in rows], "class": brown_lm.pa.array([r[3] for r in rows], brown_lm.pa.int32())}).to_batches()[0]
+
+    class Sent:
+        value = (table, free_, None)
+
+    got = next(brown_lm._exchange(Sent)(iter([batch]))).column(4).to_pylist()
+    for (_, g, m, c), to in zip(rows, got, strict=True):
+        tried = {}
+        for d in ([] if c > free_ else [c]) + list(range(1, free_ + 1)):
+            t = table.copy()
+            np.add.at(t, (g, c), [-x for x in m])
+            np.add.at(t, (g, d), m)
+            tried[d] = brown_lm.likelihood(t)
+        assert tried[to] >= max(tried.values()) - 1e-6
 
 
 def plain_hits(text, items, window=13):

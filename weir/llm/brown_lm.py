@@ -1,20 +1,24 @@
 """Scoring texts with a Brown class-based n-gram model (operator 2).
 
-Tokens are white-space words with A-Z lower-cased, then one end per text.  P(w | v) = P(class w | class v)
-* P(w | class w).  Words met at least ``LEAST`` times, however large the corpus, get their class by exchange clustering; every
-word met less often belongs, by its shape, to one of 16 further classes, and the end is a class of its own.
-The clustered words and their counts are collected and broadcast, so memory grows with the vocabulary.
-
-Exchange clustering runs in rounds: class bigram counts are summed over all bigrams, then each clustered
-word in turn moves, within its task, to the class that raises the likelihood of the class bigrams most,
-all other words staying; a round moves every other word, and a round that lowers the likelihood is undone.
-
-Transitions are smoothed by Witten-Bell interpolation with the classes' frequencies.  A class of shapes
-has one slot for unseen words, whose probability follows from how many of its words were met once; its
-known words share the rest by their counts and one.  Words met once are never clustered.
-
-All counts are exact and cover all training texts.  Words that are not clustered meet their counts in a
-shuffle by word; there a text's own words, its contributions and its counts share one exchange.
+Tokens are white-space words with A-Z lower-cased, then one end per text.  P(w | v) = P(class w | class of v as
+history) * P(w | class w).  Every word met at least ``LEAST`` times, however large the corpus, gets its class by
+exchange clustering; words met once belong, by their shape, to one of 16 further classes, and the end is a class
+of its own.
+
+Clustering runs in two parts.  The core, the words that make up at least ``CORE_SHARE`` of all tokens each (so at
+most 200,000 words, whatever the corpus), is broadcast and clustered over its bigrams: in a round, every other
+word moves to the class that raises the likelihood of the class bigrams most, all other words staying; a round
+that lowers the likelihood is undone, and rounds go on until they gain next to nothing.  The rest stays a table
+by word, with how often each class precedes the word: the same exchange runs over that table, in rounds too, and
+nothing of it is collected but sums by class.  As history, a word of the core is seen as its class, any other
+word as its shape; so what stands before a word is known where the text is read.
+
+Transitions are smoothed by Witten-Bell interpolation with the classes' frequencies.  A class of shapes has one
+slot for unseen words, whose share follows from how many words were met once and twice; its known words share
+the remainder evenly.  The probabilities of all words, unseen ones as one word for each shape, sum to one.
+
+All counts are exact and cover all training texts.  Where words of the rest are scored, they meet their counts
+and classes in a join by word, which adaptive execution splits where one word has very many rows.
 
 Defined results: a null or empty text is its end alone; a null id is not held out; repeated rows count
 and are returned each; with no training text every word is unseen (N = 0, V = 0); other columns are ignored.
@@ -22,7 +26,6 @@ and are returned each; with no training text every word is unseen (N = 0, V = 0)
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,12 +39,14 @@ from pyspark.sql import functions as F
 from weir.llm.tables import Saved, free
 
 LEAST = 2
+CORE_SHARE = 5e-6
 CLASSES = 64
-ROUNDS = 5
+#: A round that raises the log likelihood by a smaller share than this is taken as settled; so many rounds at most.
+SETTLED = 1e-3
+MOST_ROUNDS = 24
 SHAPES = 16
 END = b"\n"
 FLUSH = 400_000
-TIMES_BITS = 27
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -80,13 +85,12 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Vocabulary:
-    """Exact counts: n of each clustered word; of each shape its rare tokens, words and words met once; of all, tokens and words."""
+    """Exact counts: n of each word of the core; of each shape the words met once and twice; of all, tokens and distinct words."""
 
     words: list[bytes]
     counts: np.ndarray
-    shape_tokens: np.ndarray
-    shape_words: np.ndarray
     shape_once: np.ndarray
+    shape_twice: np.ndarray
     total: int
     distinct: int
 
@@ -101,23 +105,32 @@ def _shape_of(words: Column) -> Column:
     return F.pandas_udf(lambda s: s.map(lambda w: shape(bytes(w))), "int")(words)
 
 
-def vocabulary(training: DataFrame, least: int = LEAST) -> Vocabulary:
+def vocabulary(training: DataFrame, least: int = LEAST, core_share: float = CORE_SHARE) -> Vocabulary:
     """Word counts of training(text)."""
     counts = Saved(training.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     sums = counts.df.agg(F.sum("n"), F.count(F.lit(1))).first()
     total = int(sums[0] or 0)
-    often = (F.col("n") >= least) | (F.col("word") == F.lit(END))
-    # Arrow holds the words in a fraction of the memory of rows
+    often = (F.col("n") >= max(least, core_share * total)) | (F.col("word") == F.lit(END))
+    # Arrow holds the words in a fraction of the memory of rows; there are at most 1 / core_share of them
     top = counts.df.where(often).select("word", "n").toArrow()
     words, n = [bytes(w) for w in top["word"].to_pylist()], top["n"].to_numpy()
     order = sorted(range(len(words)), key=lambda i: (words[i] != END, -n[i], words[i]))
     words, n = [words[i] for i in order] or [END], n[order].astype(np.int64) if order else np.zeros(1, np.int64)
-    rare = counts.df.where(~often).withColumn("s", _shape_of(F.col("word"))).groupBy("s").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("n") == 1).alias("once")).collect()
-    shape_tokens, shape_words, shape_once = np.zeros((3, SHAPES), np.int64)
-    for r in rare:
-        shape_tokens[r["s"]], shape_words[r["s"]], shape_once[r["s"]] = r["n"], r["v"], r["once"]
+    few = counts.df.where((F.col("n") <= 2) & (F.col("word") != F.lit(END))).groupBy(_shape_of(F.col("word")).alias("s"), "n").agg(F.count(F.lit(1)).alias("v")).collect()
+    once, twice = np.zeros((2, SHAPES), np.int64)
+    for r in few:
+        (once if r["n"] == 1 else twice)[r["s"]] = r["v"]
     counts.drop()
-    return Vocabulary(words, n, shape_tokens, shape_words, shape_once, total, int(sums[1]))
+    return Vocabulary(words, n, once, twice, total, int(sums[1]))
+
+
+def _numbered(words: list[bytes], get, vocab: Vocabulary) -> tuple[np.ndarray, list[int]]:
+    """Each token's number, of its word in the core or else of its shape, and the places of the latter."""
+    row = np.array([get(w, -1) for w in words], np.int64)
+    rest = np.flatnonzero(row < 0).tolist()
+    if rest:
+        row[rest] = [vocab.shape_id(words[k]) for k in rest]
+    return row, rest
 
 
 def _bigrams(sent):
@@ -133,9 +146,7 @@ def _bigrams(sent):
 
         for batch in batches:
             for text in batch.column(0):
-                words = tokens(text.as_py())
-                row = [get(w, -1) for w in words]
-                row = np.array([i if i >= 0 else vocab.shape_id(w) for i, w in zip(row, words, strict=True)] if -1 in row else row, np.int64)
+                row, _ = _numbered(tokens(text.as_py()), get, vocab)
                 held.append(np.r_[0, row[:-1]] * size + row)  # a text begins after an end, which is word 0
                 waiting += len(row)
                 if waiting > 4_000_000:
@@ -219,24 +230,157 @@ def _moves(sent):
     return run
 
 
+def _preceded(sent):
+    """Rows (word, g, n): how often class g, as history, stands before each word outside the core."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab, classes = sent.value
+        get = vocab.ids().get
+        held: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            words, g = zip(*held.keys(), strict=True) if held else ((), ())
+            got = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(g, pa.int32()), pa.array(list(held.values()), pa.int64())], names=["word", "g", "n"])
+            held.clear()
+            return got
+
+        for batch in batches:
+            for text in batch.column(0):
+                words = tokens(text.as_py())
+                row, rest = _numbered(words, get, vocab)
+                if rest:
+                    before = classes[np.r_[0, row[:-1]][rest]]
+                    held.update(zip([words[k] for k in rest], before.tolist(), strict=True))
+                    if len(held) > FLUSH:
+                        yield out()
+        yield out()
+
+    return run
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row (word, n, g, m) of the rows (word, g, n) of each word, which come sorted by word; a word that goes over into the next batch is carried on."""
+
+    def out(table: pa.Table) -> pa.RecordBatch:
+        words, g, n = table.column(0).combine_chunks(), table.column(1).to_numpy(), table.column(2).to_numpy()
+        new = np.r_[True, pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)] if len(words) > 1 else np.ones(len(words), bool)
+        begins = np.flatnonzero(new)
+        cells, at = np.unique((np.cumsum(new) - 1) * (1 << 16) + g, return_inverse=True)
+        m = np.bincount(at, n, len(cells)).astype(np.int64)
+        offsets = pa.array(np.searchsorted(cells, np.arange(len(begins) + 1) * (1 << 16)), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in ((cells % (1 << 16)).astype(np.int32), m)]
+        return pa.RecordBatch.from_arrays([words.take(pa.array(begins)), pa.array(np.add.reduceat(n, begins)), *lists], names=["word", "n", "g", "m"])
+
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = pa.Table.from_batches([batch])
+        now = now if held is None else pa.concat_tables([held, now]).combine_chunks()
+        words = now.column(0).combine_chunks()
+        other = np.flatnonzero(pc.not_equal(words, words[-1]).to_numpy(zero_copy_only=False))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut:
+            yield out(now.slice(0, cut))
+        held = now.slice(cut)
+    if held is not None:
+        yield out(held)
+
+
+def _exchange(sent):
+    """Of rows (word, n, g, m, class) those whose turn it is move to the class, of the free ones, that raises the likelihood most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, free, turn = sent.value
+        column = table.sum(axis=0)
+        into = _plogp(table[:, 1 : 1 + free])
+        # what one to eight more cost in each cell; greater counts are worked out
+        more = np.stack([_plogp(table[:, 1 : 1 + free] + k) - into for k in range(9)])
+        for batch in batches:
+            own = batch.column(4).to_numpy().copy()
+            n = batch.column(1).to_numpy().astype(float)
+            sizes = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)
+            g, m = (batch.column(k).flatten().to_numpy() for k in (2, 3))
+            begins = np.r_[0, np.cumsum(sizes)]
+            for lo in range(0, len(own), 4096):
+                hi = min(lo + 4096, len(own))
+                span = slice(begins[lo], begins[hi])
+                gg, mm, c = g[span], m[span].astype(float), own[lo:hi]
+                cost = more[np.minimum(m[span], 8), gg]
+                large = np.flatnonzero(m[span] > 8)
+                cost[large] = _plogp(table[gg[large], 1 : 1 + free] + mm[large, None]) - into[gg[large]]
+                at = begins[lo:hi] - begins[lo]
+                total = column[1 : 1 + free]
+                gain = np.add.reduceat(cost, at, axis=0) - _plogp(total + n[lo:hi, None]) + _plogp(total)
+                here = table[gg, np.repeat(c, sizes[lo:hi])]
+                stay = np.add.reduceat(_plogp(here) - _plogp(here - mm), at) - _plogp(column[c]) + _plogp(column[c] - n[lo:hi])
+                # a word's own class counts without the word
+                inside = np.flatnonzero((c >= 1) & (c <= free))
+                gain[inside, c[inside] - 1] = stay[inside]
+                best = gain.argmax(axis=1) + 1
+                moves = (gain[np.arange(hi - lo), best - 1] > stay + 1e-9) | (c > free)
+                if turn is not None:
+                    moves &= (np.arange(lo, hi) + turn) % 2 == 0
+                own[lo:hi] = np.where(moves, best, c)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(own, pa.int32())], names=["word", "n", "g", "m", "class"])
+
+    return run
+
+
+def _rest_cells(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(k * k, np.int64)
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column(0)).to_numpy(zero_copy_only=False)
+            cells = batch.column(0).flatten().to_numpy().astype(np.int64) * k + np.repeat(batch.column(2).to_numpy(), sizes)
+            table += np.bincount(cells, batch.column(1).flatten().to_numpy(), k * k).astype(np.int64)
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], names=["cell", "n"])
+
+    return run
+
+
 @dataclass
 class Model:
     vocab: Vocabulary
-    classes: np.ndarray  # of each clustered word and each shape
+    classes: np.ndarray  # of each word of the core and of each shape
+    table: np.ndarray  # how often each class follows each class as history
     log_next: np.ndarray  # log10 P(class | class before)
-    log_word: np.ndarray  # log10 P(word | class) of each clustered word
+    log_word: np.ndarray  # log10 P(word | class) of each word of the core
+    rest: DataFrame  # word, n, class of the training words outside the core
 
 
-def train(training: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS, least: int = LEAST) -> Model:
-    """A model of training(text)."""
-    spark = training.sparkSession
-    vocab = vocabulary(training, least)
+def _summed(cells: DataFrame, k: int) -> np.ndarray:
+    out = np.zeros(k * k, np.int64)
+    for r in cells.groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most k * k
+        out[r["cell"]] = r["n"]
+    return out.reshape(k, k)
+
+
+class _Settling:
+    """Ends rounds once one round of each half of the words has gained next to nothing."""
+
+    def __init__(self, share: float):
+        self.share, self.quiet = share, 0
+
+    def better(self, old: np.ndarray, new: np.ndarray) -> bool:
+        before, after = likelihood(old), likelihood(new)
+        self.quiet = 0 if after - before > self.share * abs(before) else self.quiet + 1
+        return after > before
+
+    @property
+    def done(self) -> bool:
+        return self.quiet >= 2
+
+
+def _core_classes(spark, training: DataFrame, vocab: Vocabulary, classes: int, most_rounds: int, settled: float) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each word of the core and each shape, and the class bigrams with every other word in its shape's class."""
     size = len(vocab.words) + SHAPES
     sent = spark.sparkContext.broadcast(vocab)
     grams = training.mapInArrow(_bigrams(sent), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     pair = grams.select((F.col("key") / size).cast("long").alias("a"), (F.col("key") % size).alias("b"), "n")
     sides = pair.select(F.explode(F.array(F.struct(F.col("a").alias("w"), F.col("b").alias("o"), F.lit(True).alias("after"), "n"), F.struct(F.col("b").alias("w"), F.col("a").alias("o"), F.lit(False).alias("after"), "n"))).alias("s")).select("s.*")
-    # a row per word with its neighbours: at most two entries for each clustered word or shape
+    # a row per word with its neighbours: at most two entries for each word of the core or shape
     lists = sides.groupBy("w").agg(*[F.collect_list(F.when(side, F.struct("o", "n"))).alias(c) for side, c in ((F.col("after"), "a"), (~F.col("after"), "b"))])
     # dealt evenly once; the rounds read the files
     n_files = max(2 * spark.sparkContext.defaultParallelism, len(vocab.words) // 20_000)
@@ -250,128 +394,163 @@ def train(training: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS, lea
 
     def table_of(c: np.ndarray) -> np.ndarray:
         b = spark.sparkContext.broadcast((c, k))
-        out = np.zeros(k * k, np.int64)
-        for r in laid.mapInArrow(_class_table(b), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most k * k
-            out[r["cell"]] = r["n"]
+        out = _summed(laid.mapInArrow(_class_table(b), "cell long, n long"), k)
         b.unpersist()
-        return out.reshape(k, k)
+        return out
 
     table = table_of(now)
     # word 0 and the shapes stay; the end's class is no target: classes are shifted by one within a round
     shift = np.r_[np.arange(1, k), 0]
     back = np.argsort(shift)
-    for turn in range(rounds):
+    settling = _Settling(settled)
+    for turn in range(most_rounds):
         b = spark.sparkContext.broadcast((back[now], table[np.ix_(shift, shift)].astype(float), classes, turn % 2, len(vocab.words)))
         tried = now.copy()
-        moves = laid.mapInArrow(_moves(b), "word long, class long").toArrow()  # at most one row a clustered word
+        moves = laid.mapInArrow(_moves(b), "word long, class long").toArrow()  # at most one row a word of the core
         tried[moves["word"].to_numpy()] = shift[moves["class"].to_numpy()]
         b.unpersist()
         new = table_of(tried)
-        if likelihood(new) > likelihood(table):
+        if settling.better(table, new):
             now, table = tried, new
+        if settling.done:
+            break
     laid_table.drop()
+    return now, table
+
+
+def _rest_classes(spark, training: DataFrame, vocab: Vocabulary, least: int, now: np.ndarray, table: np.ndarray, classes: int, most_rounds: int, settled: float) -> tuple[DataFrame, np.ndarray]:
+    """The table (word, n, class) of all training words outside the core, and the class bigrams with them in their classes."""
+    k = len(table)
+    sent = spark.sparkContext.broadcast((vocab, now))
+    rows = training.mapInArrow(_preceded(sent), "word binary, g int, n long")
+    met = Saved(rows.repartition("word").sortWithinPartitions("word").mapInArrow(_gathered, "word binary, n long, g array<int>, m array<bigint>"), "preceded")
+    free(spark)
+    often, schema = F.col("n") >= least, "word binary, n long, g array<int>, m array<bigint>, class int"
+    first = met.df.where(often).withColumn("class", _shape_of(F.col("word")) + F.lit(1 + classes))
+    # the counts of those that move, as long as they are in their shapes' classes
+    cells = lambda df: _summed(df.select("g", "m", "class").mapInArrow(_rest_cells(k), "cell long, n long"), k)
+    others = table - cells(first)
+    laid, settling = None, _Settling(settled)
+    for turn in range(most_rounds):
+        b = spark.sparkContext.broadcast((table.astype(float), classes, turn % 2 if laid else None))
+        tried = Saved((laid.df if laid else first).mapInArrow(_exchange(b), schema), "rest")
+        new = others + cells(tried.df)
+        b.unpersist()
+        # the first round takes all words out of their shapes' classes
+        if settling.better(table, new) or laid is None:
+            if laid:
+                laid.drop()
+            laid, table = tried, new
+        else:
+            tried.drop()
+        if settling.done:
+            break
+    if laid is None:
+        laid = Saved(first, "rest")
+    once = met.df.where(~often).select("word", "n", F.lit(None).cast("int").alias("class"))
+    return laid.df.select("word", "n", "class").union(once), table
+
+
+def train(training: DataFrame, classes: int = CLASSES, rounds: int = MOST_ROUNDS, least: int = LEAST, core_share: float = CORE_SHARE, settled: float = SETTLED) -> Model:
+    """A model of training(text)."""
+    spark = training.sparkSession
+    vocab = vocabulary(training, least, core_share)
+    k = 1 + classes + SHAPES
+    now, table = _core_classes(spark, training, vocab, classes, rounds, settled)
+    rest, table = _rest_classes(spark, training, vocab, least, now, table, classes, rounds, settled)
     tokens_of = table.sum(axis=0).astype(float)
     base = (tokens_of + (np.arange(k) > classes)) / (tokens_of.sum() + SHAPES)  # each shape has a slot for unseen words
     after, kinds = table.sum(axis=1, keepdims=True).astype(float), (table > 0).sum(axis=1, keepdims=True) + 1.0
     following = (table + kinds * base) / (after + kinds)
     with np.errstate(divide="ignore"):
-        log_word = np.log10(vocab.counts / np.bincount(now[: len(vocab.words)], vocab.counts, k)[now[: len(vocab.words)]]) if vocab.total else np.zeros(1)
-        return Model(vocab, now, np.log10(following), log_word)
+        log_word = np.log10(vocab.counts / tokens_of[now[: len(vocab.words)]]) if vocab.total else np.zeros(1)
+        return Model(vocab, now, table, np.log10(following), log_word, rest)
 
 
-OWN = "struct<n_tokens: bigint, n_known: bigint, base: double, score: double>"
+OWN = "struct<id: {}, held_out: boolean, n_tokens: bigint, n_known: bigint, base: double, score: double>"
 
 
 def _first_pass(sent):
-    """For each text a row with what its clustered words give (own), and a row for each rare word; both keyed by ``word`` for one exchange.
+    """For each text a row with what its words of the core give (own), and a row for each other word after each class; all keyed by ``word`` for one exchange.
 
-    mark: crc32 of the text, 1 bit whether it is held out, 4 bits the word's shape, 27 bits how often it stands in the text (0 in a text's own row)."""
-    own_type = pa.struct([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+    mark: how often the word stands in the text after that class, above 24 bits; 8 bits the word's shape; 16 bits the class before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = sent.value
         vocab = model.vocab
         get, n_words = vocab.ids().get, len(vocab.words)
         log_base = np.log10((vocab.counts + 1) / (vocab.total + vocab.distinct + 1))
-        rare_words: list[bytes] = []
-        rare_times: list[int] = []
-        per_text: list[int] = []
+        rest_words: list[bytes] = []
+        rest_marks: list[int] = []
+        rest_keys: list[int] = []
         texts: list[tuple] = []
 
-        def out() -> Iterator[pa.RecordBatch]:
-            ids, marks, own = (list(x) for x in zip(*texts, strict=True))
-            marks = np.array(marks, np.int64)
-            # the key of a text's own row holds a byte that no word has
-            keys = [END + b"%d" % k + b"%d" % (i or 0) for k, i in enumerate(ids)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64()), pa.array(marks), pa.array(own, own_type)], names=["word", "id", "mark", "own"])
-            if rare_words:
-                at = np.repeat(np.arange(len(ids)), per_text)
-                yield pa.RecordBatch.from_arrays([pa.array(rare_words, pa.binary()), pa.array(ids, pa.int64()).take(pa.array(at)), pa.array(marks[at] | np.array(rare_times, np.int64)), pa.nulls(len(at), own_type)], names=["word", "id", "mark", "own"])
-            for x in (rare_words, rare_times, per_text, texts):
+        def out(kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+            own_type = pa.struct([("id", kind), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+            if texts:
+                keys, own = (list(x) for x in zip(*texts, strict=True))
+                # the key of a text's own row holds a byte that no word has
+                names = pa.array([END + k.to_bytes(8, "big") for k in keys], pa.binary())
+                yield pa.RecordBatch.from_arrays([names, pa.array(keys, pa.int64()), pa.nulls(len(keys), pa.int64()), pa.array(own, own_type)], names=["word", "key", "mark", "own"])
+            if rest_words:
+                yield pa.RecordBatch.from_arrays([pa.array(rest_words, pa.binary()), pa.array(rest_keys, pa.int64()), pa.array(rest_marks, pa.int64()), pa.nulls(len(rest_words), own_type)], names=["word", "key", "mark", "own"])
+            for x in (rest_words, rest_marks, rest_keys, texts):
                 x.clear()
 
         for batch in batches:
-            for i, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                text = text.as_py() or ""
-                words = tokens(text)
-                row = np.array([get(w, -1) for w in words], np.int64)
-                rare = np.flatnonzero(row < 0).tolist()
-                known = row[row >= 0]
-                per_text.append(0)
-                if rare:
-                    seldom = [words[k] for k in rare]
-                    row[rare] = [n_words + shape(w) for w in seldom]
-                    times = Counter(seldom)
-                    rare_words.extend(times.keys())
-                    rare_times.extend([shape(w) << TIMES_BITS | t for w, t in times.items()])
-                    per_text[-1] = len(times)
+            kind = batch.column(1).type
+            for key, i, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                words = tokens(text.as_py())
+                row, rest = _numbered(words, get, vocab)
                 c = model.classes[row]
-                own = {"n_tokens": len(words), "n_known": len(known) if vocab.total else 0, "base": float(log_base[known].sum()), "score": float(model.log_next[np.r_[0, c[:-1]], c].sum() + model.log_word[known].sum())}
-                mark = (zlib.crc32(text.encode()) - (1 << 31)) << 32 | h << 31
-                texts.append((i, mark, own))
-                if len(rare_words) > 200_000 or len(texts) > 50_000:
-                    yield from out()
-        if texts:
-            yield from out()
+                before = np.r_[0, c[:-1]]
+                known = row < n_words
+                if rest:
+                    times = Counter(zip([words[k] for k in rest], ((row[rest] - n_words << 16) | before[rest]).tolist(), strict=True))
+                    rest_words.extend([w for w, _ in times])
+                    rest_marks.extend([n << 24 | m for (_, m), n in times.items()])
+                    rest_keys.extend([key] * len(times))
+                score = float(model.log_next[before[known], c[known]].sum() + model.log_word[row[known]].sum())
+                texts.append((key, {"id": i, "held_out": h, "n_tokens": len(words), "n_known": int(known.sum()) if vocab.total else 0, "base": float(log_base[row[known]].sum()), "score": score}))
+                if len(rest_words) > 200_000 or len(texts) > 50_000:
+                    yield from out(kind)
+            # ids keep their type, so a batch's rows go out with it
+            yield from out(kind)
 
     return run
 
 
 def score(docs: DataFrame, model: Model, is_held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
-
-    docs holds the texts that the model was trained on, where is_held_out is false, and any others: counts of rare words are taken along."""
-    from pyspark.sql import Window
-
+    """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10); docs are any texts, held out or trained on."""
     spark = docs.sparkSession
-    vocab = model.vocab
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), is_held_out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    sent = spark.sparkContext.broadcast(model)
-    parts = rows.mapInArrow(_first_pass(sent), f"word binary, id long, mark long, own {OWN}")
-    times = F.col("mark").bitwiseAND(F.lit((1 << TIMES_BITS) - 1))
-    in_training = F.col("mark").bitwiseAND(F.lit(1 << 31)) == 0
-    # the count of a rare word in the training texts: all its rows lie in one task anyway
-    n = F.coalesce(F.sum(F.when(in_training, times)).over(Window.partitionBy("word")), F.lit(0))
-    counted = parts.select("word", "id", "mark", "own", n.alias("n"), times.alias("times"))
-    # of a shape's words, those never met have as much as those met once suggest; the others share the rest by their counts and one
-    unseen = (vocab.shape_once + 1) / (vocab.shape_tokens + vocab.shape_once + 2)
-    known = (1 - unseen) / np.maximum(vocab.shape_tokens + vocab.shape_words, 1)
-    of_shape = lambda values: F.element_at(F.array(*[F.lit(float(x)) for x in values]), F.shiftright("mark", TIMES_BITS).bitwiseAND(F.lit(SHAPES - 1)).cast("int") + 1)
-    share = F.when(F.col("n") > 0, (F.col("n") + 1) * of_shape(known)).otherwise(of_shape(unseen))
-    rare = F.col("own").isNull()
-    shares = counted.select(
-        "id", F.col("mark").bitwiseAND(F.lit(-1 << 31)).alias("text_key"), F.coalesce("own.n_tokens", F.lit(0)).alias("n_tokens"),
-        F.when(rare, F.when(F.col("n") > 0, F.col("times")).otherwise(0)).otherwise(F.col("own.n_known")).alias("n_known"),
-        F.when(rare, F.col("times") * F.log10((F.col("n") + 1) / F.lit(float(vocab.total + vocab.distinct + 1)))).otherwise(F.col("own.base")).alias("base"),
-        F.when(rare, F.col("times") * F.log10(share)).otherwise(F.col("own.score")).alias("score"),
-        F.when(rare, 0).otherwise(1).alias("copies"),
+    vocab, k = model.vocab, len(model.table)
+    kind = dict(docs.dtypes)[id_col]
+    # the key is that of the row's place in its partition: one text, one key, whatever its id
+    rows = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), is_held_out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    rest, light = model.rest, Model(vocab, model.classes, model.table, model.log_next, model.log_word, None)  # type: ignore[arg-type]
+    parts = rows.mapInArrow(_first_pass(spark.sparkContext.broadcast(light)), f"word binary, key long, mark long, own {OWN.format(kind)}")
+    met = parts.join(rest, "word", "left")
+    times, before = F.shiftright("mark", 24), F.col("mark").bitwiseAND(F.lit(0xFFFF)).cast("int")
+    word_shape = F.shiftright("mark", 16).bitwiseAND(F.lit(0xFF)).cast("int")
+    # numbers by class as one folded array
+    numbers = lambda values: F.split(F.lit(",".join(repr(float(x)) for x in values)), ",").cast("array<double>")
+    class_ = F.coalesce("class", word_shape + F.lit(k - SHAPES))
+    log_next = F.element_at(numbers(model.log_next.ravel()), before * k + class_ + 1)
+    # of a shape's words, those never met have as much as those met once and twice suggest; the words met once share the remainder
+    unseen = (vocab.shape_once + 1) / (vocab.shape_once + 2 * vocab.shape_twice + 2)
+    each = np.log10((1 - unseen) / np.maximum(vocab.shape_once, 1))
+    with np.errstate(divide="ignore"):
+        tokens_of = np.log10(np.maximum(model.table.sum(axis=0), 1))
+    log_word = F.when(F.col("n").isNull(), F.element_at(numbers(np.log10(unseen)), word_shape + 1)).when(F.col("class").isNull(), F.element_at(numbers(each), word_shape + 1)).otherwise(F.log10("n") - F.element_at(numbers(tokens_of), F.col("class") + 1))
+    shares = met.select(
+        "key", F.col("own.id").alias("id"), F.col("own.held_out").cast("int").alias("held_out"), F.col("own.n_tokens").alias("n_tokens"),
+        F.coalesce(F.col("own.n_known"), F.when(F.col("n").isNotNull(), times).otherwise(0)).alias("n_known"),
+        F.coalesce(F.col("own.base"), times * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(vocab.total + vocab.distinct + 1)))).alias("base"),
+        F.coalesce(F.col("own.score"), times * (log_next + log_word)).alias("score"),
     )
-    sums = shares.groupBy("id", "text_key").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score", "copies")])
-    sums = sums.withColumn("held_out", F.col("text_key").bitwiseAND(F.lit(1 << 31)) != 0)
-    each = sums.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
-    return each.select(
-        F.col("id").alias(id_col), "held_out", (F.col("n_tokens") / F.col("copies")).cast("long").alias("n_tokens"), (F.col("n_known") / F.col("copies")).cast("long").alias("n_known"),
-        F.lit(vocab.total).cast("long").alias("train_tokens"), (F.col("base") / F.col("copies")).alias("base_score"), (F.col("score") / F.col("copies")).alias("score"),
+    sums = shares.groupBy("key").agg(F.max("id").alias("id"), F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
+    return sums.select(
+        F.col("id").alias(id_col), (F.col("held_out") == 1).alias("held_out"), "n_tokens", "n_known", F.lit(vocab.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score",
     )
 
 
