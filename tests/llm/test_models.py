@@ -108,7 +108,7 @@ def test_exchange_of_the_rest_takes_the_best_move(spark):
     batch = brown_lm.pa.table({"word": [r[0] for r in rows], "n": [sum(r[2]) for r in rows], "g": brown_lm.pa.array([r[1] for r in rows], brown_lm.pa.list_(brown_lm.pa.int32())), "m": [r[2] for r in rows], "class": brown_lm.pa.array([r[3] for r in rows], brown_lm.pa.int32())}).to_batches()[0]
 
     class Sent:
-        value = (table, free_, None)
+        value = (table, free_, None, 2)
 
     got = next(brown_lm._exchange(Sent)(iter([batch]))).column(4).to_pylist()
     for (_, g, m, c), to in zip(rows, got, strict=True):

@@ -6,9 +6,9 @@ exchange clustering; words met once belong, by their shape, to one of 16 further
 of its own.
 
 Clustering runs in two parts.  The core, the words that make up at least ``CORE_SHARE`` of all tokens each (so at
-most 200,000 words, whatever the corpus), is broadcast and clustered over its bigrams: in a round, every other
-word moves to the class that raises the likelihood of the class bigrams most, all other words staying; a round
-that lowers the likelihood is undone, and rounds go on until they gain next to nothing.  The rest stays a table
+most 200,000 words, whatever the corpus), is broadcast and clustered over its bigrams: in a round, half of the
+words move to the class that raises the likelihood of the class bigrams most, all others staying; a round that
+lowers the likelihood is undone and smaller shares move, and rounds go on until they gain next to nothing.  The rest stays a table
 by word, with how often each class precedes the word: the same exchange runs over that table, in rounds too, and
 nothing of it is collected but sums by class.  As history, a word of the core is seen as its class, any other
 word as its shape; so what stands before a word is known where the text is read.
@@ -41,9 +41,10 @@ from weir.llm.tables import Saved, free
 LEAST = 2
 CORE_SHARE = 5e-6
 CLASSES = 64
-#: A round that raises the log likelihood by a smaller share than this is taken as settled; so many rounds at most.
-SETTLED = 1e-3
-MOST_ROUNDS = 24
+#: Words are taken as settled when a sweep over them raises the log likelihood by a smaller share than this; so many rounds at most.
+SETTLED = 2e-3
+MOST_ROUNDS = 40
+MOST_PARTS = 32
 SHAPES = 16
 END = b"\n"
 FLUSH = 400_000
@@ -207,12 +208,12 @@ def _class_table(sent):
 
 def _moves(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, table, free, turn, n_words = sent.value
+        classes, table, free, turn, parts, n_words = sent.value
         k = len(table)
         words, moved = [], []
         for batch in batches:
             for i, w in enumerate(batch.column(0).to_pylist()):
-                if w == 0 or w >= n_words or w % 2 != turn:
+                if w == 0 or w >= n_words or (w * 40503 >> 6) % parts != turn:
                     continue
                 sides, itself = [], 0.0
                 for at in (1, 3):
@@ -291,7 +292,7 @@ def _exchange(sent):
     """Of rows (word, n, g, m, class) those whose turn it is move to the class, of the free ones, that raises the likelihood most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, free, turn = sent.value
+        table, free, turn, parts = sent.value
         column = table.sum(axis=0)
         into = _plogp(table[:, 1 : 1 + free])
         # what one to eight more cost in each cell; greater counts are worked out
@@ -320,7 +321,7 @@ def _exchange(sent):
                 best = gain.argmax(axis=1) + 1
                 moves = (gain[np.arange(hi - lo), best - 1] > stay + 1e-9) | (c > free)
                 if turn is not None:
-                    moves &= (np.arange(lo, hi) + turn) % 2 == 0
+                    moves &= np.arange(lo, hi) % parts == turn
                 own[lo:hi] = np.where(moves, best, c)
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(own, pa.int32())], names=["word", "n", "g", "m", "class"])
 
@@ -358,19 +359,25 @@ def _summed(cells: DataFrame, k: int) -> np.ndarray:
 
 
 class _Settling:
-    """Ends rounds once one round of each half of the words has gained next to nothing."""
+    """Decides on rounds that each move one of ``parts`` shares of the words: a round that lowers the likelihood is undone and followed by
+    rounds of half the share; they end once a whole sweep has gained next to nothing, or such small shares still do harm."""
 
     def __init__(self, share: float):
-        self.share, self.quiet = share, 0
+        self.share, self.parts = share, 2
+        self.gains: list[float] = []
 
     def better(self, old: np.ndarray, new: np.ndarray) -> bool:
         before, after = likelihood(old), likelihood(new)
-        self.quiet = 0 if after - before > self.share * abs(before) else self.quiet + 1
-        return after > before
+        if after <= before:
+            # where nothing moves, nothing is left to do for this share of the words
+            self.parts, self.gains = (self.parts, [*self.gains, 0.0]) if after == before else (2 * self.parts, [])
+            return False
+        self.gains.append((after - before) / abs(before))
+        return True
 
     @property
     def done(self) -> bool:
-        return self.quiet >= 2
+        return self.parts > MOST_PARTS or (len(self.gains) >= self.parts and sum(self.gains[-self.parts :]) < self.share)
 
 
 def _core_classes(spark, training: DataFrame, vocab: Vocabulary, classes: int, most_rounds: int, settled: float) -> tuple[np.ndarray, np.ndarray]:
@@ -404,7 +411,7 @@ def _core_classes(spark, training: DataFrame, vocab: Vocabulary, classes: int, m
     back = np.argsort(shift)
     settling = _Settling(settled)
     for turn in range(most_rounds):
-        b = spark.sparkContext.broadcast((back[now], table[np.ix_(shift, shift)].astype(float), classes, turn % 2, len(vocab.words)))
+        b = spark.sparkContext.broadcast((back[now], table[np.ix_(shift, shift)].astype(float), classes, turn % settling.parts, settling.parts, len(vocab.words)))
         tried = now.copy()
         moves = laid.mapInArrow(_moves(b), "word long, class long").toArrow()  # at most one row a word of the core
         tried[moves["word"].to_numpy()] = shift[moves["class"].to_numpy()]
@@ -432,7 +439,7 @@ def _rest_classes(spark, training: DataFrame, vocab: Vocabulary, least: int, now
     others = table - cells(first)
     laid, settling = None, _Settling(settled)
     for turn in range(most_rounds):
-        b = spark.sparkContext.broadcast((table.astype(float), classes, turn % 2 if laid else None))
+        b = spark.sparkContext.broadcast((table.astype(float), classes, turn % settling.parts if laid else None, settling.parts))
         tried = Saved((laid.df if laid else first).mapInArrow(_exchange(b), schema), "rest")
         new = others + cells(tried.df)
         b.unpersist()
