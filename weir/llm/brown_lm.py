@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weir.llm.tables import Saved, free
+from weir.llm.text_hash import LOWER, slices, words_of
 
 LEAST = 2
 CORE_SHARE = 5e-6
@@ -125,19 +126,59 @@ def vocabulary(training: DataFrame, least: int = LEAST, core_share: float = CORE
     return Vocabulary(words, n, once, twice, total, int(sums[1]))
 
 
-def _numbered(words: list[bytes], get, vocab: Vocabulary) -> tuple[np.ndarray, list[int]]:
-    """Each token's number, of its word in the core or else of its shape, and the places of the latter."""
-    row = np.array([get(w, -1) for w in words], np.int64)
-    rest = np.flatnonzero(row < 0).tolist()
-    if rest:
-        row[rest] = [vocab.shape_id(words[k]) for k in rest]
-    return row, rest
+class _Reader:
+    """Reads texts a slice at a time, all words at once; a word is known by its 64-bit hash."""
+
+    def __init__(self, vocab: Vocabulary):
+        self.size = len(vocab.words)
+        buf = np.frombuffer(b" ".join(vocab.words[1:]), np.uint8)
+        _, _, hashes = words_of(buf, np.array([0, len(buf)]), lower=True)
+        self.ids = np.argsort(hashes)
+        self.hashes = hashes[self.ids]
+
+    def read(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple]]:
+        """Of each slice: its first and last row; of all its tokens, an end after each text, the numbers, rows and numbers of the tokens before; which lie outside
+        the core; and where those words lie."""
+        for lo, hi, buf, offsets in slices(texts):
+            buf = LOWER[buf]
+            starts, ends, hashes = words_of(buf, offsets, lower=False)
+            cut = np.searchsorted(starts, offsets)
+            text = np.repeat(np.arange(hi - lo), np.diff(cut))
+            if len(self.hashes):
+                at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+                known = self.hashes[at] == hashes
+                number = np.where(known, self.ids[at] + 1, 0)
+            else:
+                known, number = np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
+            rest = np.flatnonzero(~known)
+            number[rest] = self.size + _shapes(buf, starts[rest], ends[rest])
+            row = np.zeros(len(number) + hi - lo, np.int64)
+            row[np.arange(len(number)) + text] = number  # what is left are the ends, which are word 0
+            before = np.r_[0, row[:-1]]  # a text begins after an end
+            yield lo, hi, row, np.repeat(np.arange(hi - lo), np.diff(cut) + 1), before, rest + text[rest], (buf, starts[rest], ends[rest])
+
+
+def _shapes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """shape() of many words at once."""
+    some = lambda marks: (lambda sums: sums[ends] > sums[starts])(np.r_[0, np.cumsum(marks)])
+    last = buf[ends - 1] if len(ends) else np.zeros(0, np.uint8)
+    odd = ~((last >= 97) & (last < 123) | (last >= 128))
+    return 8 * some(buf >= 128) + 4 * some((buf >= 48) & (buf < 58)) + 2 * odd + (ends - starts > 8)
+
+
+def _words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The words as an Arrow array."""
+    sizes = ends - starts
+    offsets = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=offsets[1:])
+    data = buf[np.repeat(starts - offsets[:-1], sizes) + np.arange(offsets[-1])]
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def _bigrams(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab: Vocabulary = sent.value
-        get, size = vocab.ids().get, len(vocab.words) + SHAPES
+        reader = _Reader(sent.value)
+        size = reader.size + SHAPES
         held, waiting = [], 0
 
         def out() -> pa.RecordBatch:
@@ -146,9 +187,8 @@ def _bigrams(sent):
             return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["key", "n"])
 
         for batch in batches:
-            for text in batch.column(0):
-                row, _ = _numbered(tokens(text.as_py()), get, vocab)
-                held.append(np.r_[0, row[:-1]] * size + row)  # a text begins after an end, which is word 0
+            for _, _, row, _, before, _, _ in reader.read(batch.column(0)):
+                held.append(before * size + row)
                 waiting += len(row)
                 if waiting > 4_000_000:
                     yield out()
@@ -158,6 +198,32 @@ def _bigrams(sent):
     return run
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (w, o, n, bo, bn) with their lists as bytes, which are read again in a fraction of the time."""
+    for batch in batches:
+        columns = [batch.column(0)]
+        for k, kind in ((1, np.int32), (2, np.int64), (3, np.int32), (4, np.int64)):
+            sizes = pc.fill_null(pc.list_value_length(batch.column(k)), 0).to_numpy(zero_copy_only=False)
+            values = batch.column(k).flatten().to_numpy().astype(kind)
+            columns.append(_binary(values, sizes))
+        yield pa.RecordBatch.from_arrays(columns, names=["w", "o", "n", "bo", "bn"])
+
+
+def _binary(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Runs of the values, of the given sizes, as bytes."""
+    offsets = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes * values.itemsize, out=offsets[1:])
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _values(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """All values of an array of bytes, one after another, and where each row's begin."""
+    _, offs, data = column.buffers()
+    offsets = np.frombuffer(offs, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    values = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    return np.frombuffer(values.tobytes(), kind), (offsets - offsets[0]) // np.dtype(kind).itemsize
+
+
 def _plogp(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
@@ -187,19 +253,16 @@ def best_class(own: int, after: np.ndarray, before: np.ndarray, self_n: float, t
     return top if gain[top] > gain[own] + 1e-9 else own
 
 
-def _lists(column: pa.Array, k: int) -> np.ndarray:
-    v = column[k].values
-    return v.to_numpy(zero_copy_only=False) if v is not None else np.zeros(0, np.int64)
-
-
 def _class_table(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, k = sent.value
         table = np.zeros(k * k, np.int64)
         for batch in batches:
-            own, others, n = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
-            times = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
-            table += np.bincount(np.repeat(classes[own], times) * k + classes[others], n, k * k).astype(np.int64)
+            if not batch.num_rows:
+                continue
+            (others, begins), (n, _) = _values(batch.column(1), np.int32), _values(batch.column(2), np.int64)
+            own = np.repeat(classes[batch.column(0).to_numpy()], np.diff(begins))
+            table += np.bincount(own * k + classes[others], n, k * k).astype(np.int64)
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], names=["cell", "n"])
 
@@ -212,12 +275,15 @@ def _moves(sent):
         k = len(table)
         words, moved = [], []
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = [(*_values(batch.column(at), np.int32), _values(batch.column(at + 1), np.int64)[0]) for at in (1, 3)]
             for i, w in enumerate(batch.column(0).to_pylist()):
                 if w == 0 or w >= n_words or (w * 40503 >> 6) % parts != turn:
                     continue
                 sides, itself = [], 0.0
-                for at in (1, 3):
-                    other, n = _lists(batch.column(at), i), _lists(batch.column(at + 1), i).astype(float)
+                for others, begins, times in lists:
+                    other, n = others[begins[i] : begins[i + 1]], times[begins[i] : begins[i + 1]].astype(float)
                     own = other == w
                     itself = float(n[own].sum())
                     n[own] = 0
@@ -232,45 +298,31 @@ def _moves(sent):
 
 
 def _preceded(sent):
-    """Rows (word, g, n): how often class g, as history, stands before each word outside the core."""
+    """A row (word, g) for each token outside the core: the class, as history, that stands before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, classes = sent.value
-        get = vocab.ids().get
-        held: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            words, g = zip(*held.keys(), strict=True) if held else ((), ())
-            got = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(g, pa.int32()), pa.array(list(held.values()), pa.int64())], names=["word", "g", "n"])
-            held.clear()
-            return got
-
+        reader = _Reader(vocab)
         for batch in batches:
-            for text in batch.column(0):
-                words = tokens(text.as_py())
-                row, rest = _numbered(words, get, vocab)
-                if rest:
-                    before = classes[np.r_[0, row[:-1]][rest]]
-                    held.update(zip([words[k] for k in rest], before.tolist(), strict=True))
-                    if len(held) > FLUSH:
-                        yield out()
-        yield out()
+            for _, _, _, _, before, rest, where in reader.read(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([_words(*where), pa.array(classes[before[rest]].astype(np.int32))], names=["word", "g"])
 
     return run
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row (word, n, g, m) of the rows (word, g, n) of each word, which come sorted by word; a word that goes over into the next batch is carried on."""
+    """One row (word, n, g, m) of the rows (word, g) of each word, which come sorted by word; a word that goes over into the next batch is carried on.
+
+    g and m, as bytes: the classes that stand before it, and how often."""
 
     def out(table: pa.Table) -> pa.RecordBatch:
-        words, g, n = table.column(0).combine_chunks(), table.column(1).to_numpy(), table.column(2).to_numpy()
+        words, g = table.column(0).combine_chunks(), table.column(1).to_numpy()
         new = np.r_[True, pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)] if len(words) > 1 else np.ones(len(words), bool)
         begins = np.flatnonzero(new)
-        cells, at = np.unique((np.cumsum(new) - 1) * (1 << 16) + g, return_inverse=True)
-        m = np.bincount(at, n, len(cells)).astype(np.int64)
-        offsets = pa.array(np.searchsorted(cells, np.arange(len(begins) + 1) * (1 << 16)), pa.int32())
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in ((cells % (1 << 16)).astype(np.int32), m)]
-        return pa.RecordBatch.from_arrays([words.take(pa.array(begins)), pa.array(np.add.reduceat(n, begins)), *lists], names=["word", "n", "g", "m"])
+        cells, m = np.unique((np.cumsum(new) - 1) * (1 << 16) + g, return_counts=True)
+        sizes = np.diff(np.searchsorted(cells, np.arange(len(begins) + 1) * (1 << 16)))
+        n = np.diff(np.r_[begins, len(words)]).astype(np.int64)
+        return pa.RecordBatch.from_arrays([words.take(pa.array(begins)), pa.array(n), _binary((cells % (1 << 16)).astype(np.uint16), sizes), _binary(m.astype(np.int64), sizes)], names=["word", "n", "g", "m"])
 
     held: pa.Table | None = None
     for batch in batches:
@@ -298,11 +350,12 @@ def _exchange(sent):
         # what one to eight more cost in each cell; greater counts are worked out
         more = np.stack([_plogp(table[:, 1 : 1 + free] + k) - into for k in range(9)])
         for batch in batches:
+            if not batch.num_rows:
+                continue
             own = batch.column(4).to_numpy().copy()
             n = batch.column(1).to_numpy().astype(float)
-            sizes = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)
-            g, m = (batch.column(k).flatten().to_numpy() for k in (2, 3))
-            begins = np.r_[0, np.cumsum(sizes)]
+            (g, begins), (m, _) = _values(batch.column(2), np.uint16), _values(batch.column(3), np.int64)
+            sizes = np.diff(begins)
             for lo in range(0, len(own), 4096):
                 hi = min(lo + 4096, len(own))
                 span = slice(begins[lo], begins[hi])
@@ -332,9 +385,11 @@ def _rest_cells(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(k * k, np.int64)
         for batch in batches:
-            sizes = pc.list_value_length(batch.column(0)).to_numpy(zero_copy_only=False)
-            cells = batch.column(0).flatten().to_numpy().astype(np.int64) * k + np.repeat(batch.column(2).to_numpy(), sizes)
-            table += np.bincount(cells, batch.column(1).flatten().to_numpy(), k * k).astype(np.int64)
+            if not batch.num_rows:
+                continue
+            (g, begins), (m, _) = _values(batch.column(0), np.uint16), _values(batch.column(1), np.int64)
+            cells = g.astype(np.int64) * k + np.repeat(batch.column(2).to_numpy(), np.diff(begins))
+            table += np.bincount(cells, m, k * k).astype(np.int64)
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], names=["cell", "n"])
 
@@ -391,7 +446,8 @@ def _core_classes(spark, training: DataFrame, vocab: Vocabulary, classes: int, m
     lists = sides.groupBy("w").agg(*[F.collect_list(F.when(side, F.struct("o", "n"))).alias(c) for side, c in ((F.col("after"), "a"), (~F.col("after"), "b"))])
     # dealt evenly once; the rounds read the files
     n_files = max(2 * spark.sparkContext.defaultParallelism, len(vocab.words) // 20_000)
-    laid_table = Saved(lists.select("w", "a.o", "a.n", F.col("b.o").alias("bo"), F.col("b.n").alias("bn")).repartition(n_files), "bigrams")
+    lists = lists.select("w", "a.o", "a.n", F.col("b.o").alias("bo"), F.col("b.n").alias("bn")).mapInArrow(_packed, "w long, o binary, n binary, bo binary, bn binary")
+    laid_table = Saved(lists.repartition(n_files), "bigrams")
     laid = laid_table.df
     del grams, pair, sides, lists
     free(spark)
@@ -429,10 +485,10 @@ def _rest_classes(spark, training: DataFrame, vocab: Vocabulary, least: int, now
     """The table (word, n, class) of all training words outside the core, and the class bigrams with them in their classes."""
     k = len(table)
     sent = spark.sparkContext.broadcast((vocab, now))
-    rows = training.mapInArrow(_preceded(sent), "word binary, g int, n long")
-    met = Saved(rows.repartition("word").sortWithinPartitions("word").mapInArrow(_gathered, "word binary, n long, g array<int>, m array<bigint>"), "preceded")
+    rows = training.mapInArrow(_preceded(sent), "word binary, g int")
+    met = Saved(rows.repartition("word").sortWithinPartitions("word").mapInArrow(_gathered, "word binary, n long, g binary, m binary"), "preceded")
     free(spark)
-    often, schema = F.col("n") >= least, "word binary, n long, g array<int>, m array<bigint>, class int"
+    often, schema = F.col("n") >= least, "word binary, n long, g binary, m binary, class int"
     first = met.df.where(often).withColumn("class", _shape_of(F.col("word")) + F.lit(1 + classes))
     # the counts of those that move, as long as they are in their shapes' classes
     cells = lambda df: _summed(df.select("g", "m", "class").mapInArrow(_rest_cells(k), "cell long, n long"), k)
@@ -478,51 +534,31 @@ OWN = "struct<id: {}, held_out: boolean, n_tokens: bigint, n_known: bigint, base
 
 
 def _first_pass(sent):
-    """For each text a row with what its words of the core give (own), and a row for each other word after each class; all keyed by ``word`` for one exchange.
+    """For each text a row with what its words of the core give (own), and a row for each of its other tokens; all keyed by ``word`` for one exchange.
 
-    mark: how often the word stands in the text after that class, above 24 bits; 8 bits the word's shape; 16 bits the class before."""
+    mark: the word's shape, above 16 bits of the class before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = sent.value
         vocab = model.vocab
-        get, n_words = vocab.ids().get, len(vocab.words)
+        reader = _Reader(vocab)
         log_base = np.log10((vocab.counts + 1) / (vocab.total + vocab.distinct + 1))
-        rest_words: list[bytes] = []
-        rest_marks: list[int] = []
-        rest_keys: list[int] = []
-        texts: list[tuple] = []
-
-        def out(kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-            own_type = pa.struct([("id", kind), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
-            if texts:
-                keys, own = (list(x) for x in zip(*texts, strict=True))
-                # the key of a text's own row holds a byte that no word has
-                names = pa.array([END + k.to_bytes(8, "big") for k in keys], pa.binary())
-                yield pa.RecordBatch.from_arrays([names, pa.array(keys, pa.int64()), pa.nulls(len(keys), pa.int64()), pa.array(own, own_type)], names=["word", "key", "mark", "own"])
-            if rest_words:
-                yield pa.RecordBatch.from_arrays([pa.array(rest_words, pa.binary()), pa.array(rest_keys, pa.int64()), pa.array(rest_marks, pa.int64()), pa.nulls(len(rest_words), own_type)], names=["word", "key", "mark", "own"])
-            for x in (rest_words, rest_marks, rest_keys, texts):
-                x.clear()
-
         for batch in batches:
-            kind = batch.column(1).type
-            for key, i, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                words = tokens(text.as_py())
-                row, rest = _numbered(words, get, vocab)
-                c = model.classes[row]
-                before = np.r_[0, c[:-1]]
-                known = row < n_words
-                if rest:
-                    times = Counter(zip([words[k] for k in rest], ((row[rest] - n_words << 16) | before[rest]).tolist(), strict=True))
-                    rest_words.extend([w for w, _ in times])
-                    rest_marks.extend([n << 24 | m for (_, m), n in times.items()])
-                    rest_keys.extend([key] * len(times))
-                score = float(model.log_next[before[known], c[known]].sum() + model.log_word[row[known]].sum())
-                texts.append((key, {"id": i, "held_out": h, "n_tokens": len(words), "n_known": int(known.sum()) if vocab.total else 0, "base": float(log_base[row[known]].sum()), "score": score}))
-                if len(rest_words) > 200_000 or len(texts) > 50_000:
-                    yield from out(kind)
-            # ids keep their type, so a batch's rows go out with it
-            yield from out(kind)
+            own_type = pa.struct([("id", batch.column(1).type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+            for lo, hi, row, text, before, rest, where in reader.read(batch.column(3)):
+                keys, ids, held = (batch.column(k).slice(lo, hi - lo) for k in range(3))
+                c, g = model.classes[row], model.classes[before]
+                known = np.flatnonzero(row < reader.size)
+                of_text = lambda weights: np.bincount(text[known], weights, hi - lo)  # noqa: E731, B023
+                score = of_text(model.log_next[g[known], c[known]] + model.log_word[row[known]])
+                n_known = of_text(None) if vocab.total else np.zeros(hi - lo)
+                sums = [pa.array(np.bincount(text, minlength=hi - lo)), pa.array(n_known.astype(np.int64)), pa.array(of_text(log_base[row[known]])), pa.array(score)]
+                # the key of a text's own row holds a byte that no word has
+                names = pa.array([END + k.to_bytes(8, "big") for k in keys.to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([names, keys, pa.nulls(hi - lo, pa.int32()), pa.StructArray.from_arrays([ids, held, *sums], fields=list(own_type))], names=["word", "key", "mark", "own"])
+                if len(rest):
+                    mark = (row[rest] - reader.size << 16) | g[rest]
+                    yield pa.RecordBatch.from_arrays([_words(*where), keys.take(pa.array(text[rest])), pa.array(mark.astype(np.int32)), pa.nulls(len(rest), own_type)], names=["word", "key", "mark", "own"])
 
     return run
 
@@ -535,10 +571,9 @@ def score(docs: DataFrame, model: Model, is_held_out: Column, id_col: str = "doc
     # the key is that of the row's place in its partition: one text, one key, whatever its id
     rows = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), is_held_out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
     rest, light = model.rest, Model(vocab, model.classes, model.table, model.log_next, model.log_word, None)  # type: ignore[arg-type]
-    parts = rows.mapInArrow(_first_pass(spark.sparkContext.broadcast(light)), f"word binary, key long, mark long, own {OWN.format(kind)}")
+    parts = rows.mapInArrow(_first_pass(spark.sparkContext.broadcast(light)), f"word binary, key long, mark int, own {OWN.format(kind)}")
     met = parts.join(rest, "word", "left")
-    times, before = F.shiftright("mark", 24), F.col("mark").bitwiseAND(F.lit(0xFFFF)).cast("int")
-    word_shape = F.shiftright("mark", 16).bitwiseAND(F.lit(0xFF)).cast("int")
+    before, word_shape = F.col("mark").bitwiseAND(F.lit(0xFFFF)), F.shiftright("mark", 16)
     # numbers by class as one folded array
     numbers = lambda values: F.split(F.lit(",".join(repr(float(x)) for x in values)), ",").cast("array<double>")
     class_ = F.coalesce("class", word_shape + F.lit(k - SHAPES))
@@ -551,9 +586,9 @@ def score(docs: DataFrame, model: Model, is_held_out: Column, id_col: str = "doc
     log_word = F.when(F.col("n").isNull(), F.element_at(numbers(np.log10(unseen)), word_shape + 1)).when(F.col("class").isNull(), F.element_at(numbers(each), word_shape + 1)).otherwise(F.log10("n") - F.element_at(numbers(tokens_of), F.col("class") + 1))
     shares = met.select(
         "key", F.col("own.id").alias("id"), F.col("own.held_out").cast("int").alias("held_out"), F.col("own.n_tokens").alias("n_tokens"),
-        F.coalesce(F.col("own.n_known"), F.when(F.col("n").isNotNull(), times).otherwise(0)).alias("n_known"),
-        F.coalesce(F.col("own.base"), times * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(vocab.total + vocab.distinct + 1)))).alias("base"),
-        F.coalesce(F.col("own.score"), times * (log_next + log_word)).alias("score"),
+        F.coalesce(F.col("own.n_known"), F.when(F.col("n").isNotNull(), 1).otherwise(0)).alias("n_known"),
+        F.coalesce(F.col("own.base"), F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(vocab.total + vocab.distinct + 1)))).alias("base"),
+        F.coalesce(F.col("own.score"), log_next + log_word).alias("score"),
     )
     sums = shares.groupBy("key").agg(F.max("id").alias("id"), F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
     return sums.select(

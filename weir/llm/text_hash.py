@@ -18,8 +18,8 @@ _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _STEP = int(_RNG.integers(1 << 62, 1 << 63)) | 5
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -81,7 +81,7 @@ def _short(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def words_of(buf: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and hash of each word of the texts that lie one after another in buf, bounded by offsets."""
     if lower:
-        buf = _LOWER[buf]
+        buf = LOWER[buf]
     if len(buf) <= SLICE or len(offsets) > 2:
         return _short(buf, offsets)
     parts, at, space = [], 0, np.flatnonzero(_SPACE[buf])
