@@ -58,6 +58,34 @@ def test_short_licenses_are_found_wherever_they_stand(spark):
     assert got == sorted((i, name) for i, name, _ in rows)
 
 
+def test_licenses_equal_brute_force(spark):
+    """Every built-in notice, whole or with words changed, left out or put in, in texts of all lengths, very long ones too."""
+    import random
+
+    rng = random.Random(8)
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+    sets = lambda w: {tuple(w[k : k + 3]) for k in range(len(w) - 2)}
+    filler = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for text in list(licenses.TEMPLATES.values()) * 40:
+        w = split(text)
+        for _ in range(rng.randrange(4) if len(w) > 8 else 0):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randrange(2)] = filler(rng.randrange(2))
+        rows.append((len(rows), " ".join(filler(rng.choice([0, 3, 50, 300])) + w + filler(rng.choice([0, 3, 50])))))
+    rows.append((len(rows), " ".join(filler(200_000) + split(licenses.TEMPLATES["MIT-text"]) + ["x"] * 100_000)))
+    templates = {k: sets(split(t)) for k, t in licenses.TEMPLATES.items()}
+    want = sorted((i, k, round(len(t & s) / len(t), 9)) for i, text in rows for s in [sets(split(text))] for k, t in templates.items() if len(t & s) >= 0.8 * len(t))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.license_id, round(r.containment, 9)) for r in licenses.scan(docs, licenses.templates(spark)).collect())
+    assert got == want and len(want) > 700
+
+
+def test_licenses_without_the_first_look(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "MOST_WORDS", 0)
+    test_licenses(spark)
+
+
 @pytest.mark.parametrize("piece", [200_000, 20])
 def test_token_counts(spark, piece):
     import tiktoken

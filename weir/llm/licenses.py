@@ -1,15 +1,21 @@
 """License scans with native operations (operator 9).
 
-License notices are retrieved by bottom-k MinHash sketches and verified exactly.  A template's sketch holds
-those of its three-word shingles with the smallest hashes: one more than a document may lack and still reach
-``CONTAINMENT``.  A document is probed with all its shingles, so that one that reaches the containment shares
-a shingle with the sketch for certain, whatever the template's length and wherever the shingles stand.  A
-retrieved template counts if the document holds at least ``CONTAINMENT`` of its shingles.
+A document is cut into overlapping windows of three-word shingles, and MinHash bands over the windows retrieve
+templates; a retrieved template counts if the document holds at least ``CONTAINMENT`` of its shingles, which is
+checked exactly.
 
-Texts that can't reach that containment are passed over first, without loss: a text that holds none of a
-chosen fifth of a template's words (the longest ones) lacks more than a fifth of its shingles.
+Windows and bands follow the templates' lengths.  Templates are put into size classes a quarter apart; for a class
+that spans ``run`` shingles, windows start every ``step``, about half of that, and hold run + step - 1, so that
+every run of so many shingles lies in one of them as a whole.  A band is one MinHash value, and a class has so many
+bands that a window with half of the shingles that a template needs misses all of them with a probability of at
+most ``MISS`` = 1e-6.  A template of one shingle has windows of one shingle, which can't miss.  So a notice is found
+whatever its length, if at least half of what it needs stands together; one in smaller pieces may be missed.
 
-The templates are a parameter; they are broadcast after they have been counted.
+Most of a text is passed over first, without loss: a text that holds none of a chosen fifth of a template's words
+(the longest ones) lacks more than a fifth of its shingles, and a window without a shingle of a template has no
+band in common with it.
+
+The templates are a parameter; they are broadcast after they have been counted, ``MOST_TEMPLATES`` at most.
 
 Defined results: null and empty texts and texts of fewer than three words match nothing, as do templates of
 fewer than three words; repeated rows are reported each; null ids are reported; with no templates there are
@@ -18,14 +24,20 @@ no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weir.llm.decontaminate import words
+from weir.llm.tables import Saved
 
 SHINGLE = 3
 CONTAINMENT = 0.8
+MISS = 1e-6
 MOST_TEMPLATES = 200_000
+#: Chosen words up to which texts are passed over by them; with more, every text is probed.
+MOST_WORDS = 2_000
 
 # Notices as their licenses word them.
 TEMPLATES = {
@@ -46,6 +58,38 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "Unlicense": "This is free and unencumbered software released into the public domain",
     "reserved": "All rights reserved",
+    "MIT-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
+whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission
+notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT
+WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A
+PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR
+OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE
+OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "BSD-2-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions
+and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions
+and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED
+BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR
+CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT
+LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED
+AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY
+OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "ISC-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE
+AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO
+EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION
+WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "Zlib-text": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable
+for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including
+commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this
+software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an
+acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked
+as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source
+distribution.""",
 }
 
 
@@ -59,36 +103,80 @@ def _shingles(w):
     return F.when(n >= 1, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, SHINGLE)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def scan(docs: DataFrame, notices: DataFrame, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
-    """Rows (id_col, license_id, containment) of the notices that documents hold."""
-    own = notices.select(F.col("license_id").cast("string").alias("license_id"), words(F.col("text")).alias("w")).select("license_id", "w", F.array_distinct(_shingles(F.col("w"))).alias("t")).where(F.size("t") > 0).cache()
-    lacking = F.floor((1 - containment) * F.size("t") + 1e-9).cast("int")
-    sketch = own.select("license_id", F.explode(F.slice(F.array_sort("t"), F.lit(1), lacking + 1)).alias("value"))
-    known = own.select("license_id", "w", "t").limit(MOST_TEMPLATES + 1).collect()
-    if len(known) > MOST_TEMPLATES:
-        raise ValueError("too many templates to broadcast")
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    # the lossless first look: of each template so many words that a text without all of them is out
-    chosen = set()
+def size_class(n: int) -> int:
+    """The run of shingles that a template of n shingles is looked for in: up to a quarter more, for words put in between, rounded up to a step of the ladder."""
+    run = 1
+    while run < n + n // 4:
+        run = max(run + 1, run * 5 // 4)
+    return run
+
+
+def bands_of(run: int, smallest: int, containment: float) -> tuple[int, int, int]:
+    """Step and length of a class's windows, and its bands, of which a template of at least ``smallest`` shingles is missed by all with a probability of MISS at most."""
+    step = max(1, run // 2)
+    length = run + step - 1
+    held = max(1, math.ceil(math.ceil(containment * smallest) / 2))
+    likeness = held / (length + smallest - held)
+    return step, length, 1 if likeness >= 1 else math.ceil(math.log(MISS) / math.log1p(-likeness))
+
+
+def _values(shingles: Column, bands: Column) -> Column:
+    """The MinHash value of each band."""
+    return F.transform(F.sequence(F.lit(1), bands), lambda k: F.array_min(F.transform(shingles, lambda x: F.xxhash64(x, k))))
+
+
+def _chosen_words(known: list, containment: float) -> set[str]:
+    """Of each template so many words that a text without all of them lacks too many of its shingles."""
+    chosen: set[str] = set()
     for r in known:
-        distinct = sorted(set(r["w"]), key=lambda x: (-len(x), x))
-        lost, most = 0, int((1 - containment) * len(r["t"]) + 1e-9)
-        for word in distinct:
+        lost, most = 0, len(r["t"]) - math.ceil(containment * len(r["t"]) - 1e-9)
+        for word in sorted(set(r["w"]), key=lambda x: (-len(x), x)):
             if lost > most:
                 break
             chosen.add(word)
             # without this word, every shingle that holds it is missing
             lost = len({tuple(r["w"][k : k + SHINGLE]) for k in range(len(r["w"]) - SHINGLE + 1) if chosen.intersection(r["w"][k : k + SHINGLE])})
-    if not chosen:
+    return chosen
+
+
+def scan(docs: DataFrame, notices: DataFrame, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
+    """Rows (id_col, license_id, containment) of the notices that documents hold."""
+    spark = docs.sparkSession
+    own = notices.select(F.col("license_id").cast("string").alias("license_id"), words(F.col("text")).alias("w")).select("license_id", "w", F.array_distinct(_shingles(F.col("w"))).alias("t")).where(F.size("t") > 0)
+    known = own.limit(MOST_TEMPLATES + 1).collect()
+    if len(known) > MOST_TEMPLATES:
+        raise ValueError("too many templates to broadcast")
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    if not known:
         return docs.select(F.col("id").alias(id_col), F.lit("").alias("license_id"), F.lit(0.0).alias("containment")).limit(0)
-    held = docs.select("id", F.xxhash64("id", "text").alias("key"), words(F.col("text")).alias("w")).where(F.arrays_overlap("w", F.array(*[F.lit(x) for x in sorted(chosen)])))
-    rows = held.select("id", "key", _shingles(F.col("w")).alias("s"))
-    probes = rows.select("id", "key", F.explode(F.array_distinct("s")).alias("value"))
-    found = probes.join(F.broadcast(sketch), "value").select("key", F.col("id").alias("__id"), "license_id").distinct()
-    # back to the rows themselves, so that repeated rows are reported each
-    both = found.join(rows, (rows["key"] == found["key"]) & rows["id"].eqNullSafe(found["__id"])).select("id", "license_id", "s")
+    by_run: dict[int, int] = {}
+    run_of = {}
+    for r in known:
+        run = run_of[len(r["w"])] = size_class(len(r["w"]) - SHINGLE + 1)
+        by_run[run] = min(by_run.get(run, len(r["t"])), len(r["t"]))
+    settings = spark.createDataFrame([(run, *bands_of(run, n, containment)) for run, n in sorted(by_run.items())], "run int, step int, length int, bands int")
+    runs = spark.createDataFrame(sorted(run_of.items()), "n_words int, run int")
+    classed = own.join(F.broadcast(runs), F.size("w") == F.col("n_words")).join(F.broadcast(settings), "run").select("license_id", "t", "run", "step", "length", "bands")
+
+    chosen = _chosen_words(known, containment)
+    cut = docs.select("id", words(F.col("text")).alias("w"))
+    if len(chosen) <= MOST_WORDS:
+        cut = cut.where(F.arrays_overlap("w", F.array(*[F.lit(x) for x in sorted(chosen)])))
+    # each text is split once; a row's place in its partition names it
+    rows = Saved(cut.select(F.monotonically_increasing_id().alias("key"), "id", _shingles(F.col("w")).alias("s")).where(F.size("s") > 0), "shingles").df
+
+    probe = classed.select(F.explode("t").alias("x"), "run", "step", "length").distinct()
+    hits = rows.select("key", F.posexplode("s").alias("at", "x")).join(F.broadcast(probe), "x")
+    # the windows over a shingle that a template has
+    first = F.greatest(F.lit(0), F.ceil((F.col("at") - F.col("length") + 1) / F.col("step"))).cast("int")
+    windows = hits.select("key", "run", F.explode(F.sequence(first, F.floor(F.col("at") / F.col("step")).cast("int"))).alias("window")).distinct()
+    held = windows.join(F.broadcast(settings), "run").join(rows.select("key", "s"), "key").select("key", "run", "bands", F.slice("s", F.col("window") * F.col("step") + 1, F.col("length")).alias("x"))
+    banded = held.select("key", "run", F.posexplode(_values(F.col("x"), F.col("bands"))).alias("band", "value"))
+    theirs = classed.select("license_id", "run", F.posexplode(_values(F.col("t"), F.col("bands"))).alias("band", "value"))
+    found = banded.join(F.broadcast(theirs), ["run", "band", "value"]).select("key", "license_id").distinct()
+
     share = F.size(F.array_intersect("t", "s")) / F.size("t")
-    verified = both.join(F.broadcast(own.select("license_id", "t")), "license_id").select(F.col("id").alias(id_col), "license_id", share.alias("containment"))
+    verified = found.join(rows, "key").join(F.broadcast(own.select("license_id", "t")), "license_id").select(F.col("id").alias(id_col), "license_id", share.alias("containment"))
     return verified.where(F.col("containment") >= containment)
 
 
