@@ -2,10 +2,11 @@
 
 Words are runs of a-z, 0-9 and non-ASCII characters after A-Z has been lower-cased.  Every run of 13
 words of a benchmark item is a window; an item of fewer words, but not none, is one window.  The
-windows' 64-bit hashes are broadcast as a hash set, if their number is proven small, and otherwise
-shuffled; each document's word windows are hashed once for each window length that occurs, probed, and
-hits are verified on the words themselves.  Each document also probes one marker entry, so that a
-single pass gives a row for clean documents too.
+windows' 64-bit hashes are broadcast as a hash set, if their number is proven small; each document's word
+windows are hashed once for each window length that occurs, probed, and hits are verified on the words
+themselves.  Each document also probes one marker entry, so that a single pass gives a row for clean
+documents too.  A larger benchmark is shuffled by hash: then hashes and places alone are sent to it, hits go
+back to their documents to be verified, and clean documents come in by a left join.
 
 Defined results: a null or empty text has no words and is clean; an item without words has no window;
 repeated rows get the same result each; a null id is an id like any other; null item ids are left out
@@ -17,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weir.llm.tables import Saved
+
 WINDOW = 13
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Windows (a few tens of megabytes) up to which the benchmark is broadcast.
@@ -41,25 +44,51 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str =
     return rows.groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items")).select(F.xxhash64("window").alias("hash"), F.size("window").alias("size"), "window", "items")
 
 
+def _places(sizes: list[int], *more: Column) -> Column:
+    """Rows (at, n) of every window of each length; at counts from 1."""
+    parts = list(more)
+    pair = lambda size: lambda i: F.struct(i.alias("at"), F.lit(size).alias("n"))
+    for size in sizes:
+        ends = F.size("w") - size + 1
+        parts.append(F.when(ends >= 1, F.transform(F.sequence(F.lit(1), F.greatest(ends, F.lit(1))), pair(size))).otherwise(F.array().cast("array<struct<at:int,n:int>>")))
+    return F.explode(F.concat(*parts))
+
+
+def _same(window: str = "window") -> Column:
+    return F.slice("w", F.col("at"), F.col("n")) == F.col(window)
+
+
+def _broadcast_hits(w: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
+    """Rows (id, text_key, at, n, n_words, items) of all hits and, with n = 0, of every text."""
+    marker = windows.sparkSession.range(1).select(F.lit(0).cast("long").alias("hash"), F.lit(0).alias("size"), F.lit(None).cast("array<string>").alias("window"), F.lit(None).cast("array<string>").alias("items"))
+    probe = F.broadcast(windows.unionByName(marker))
+    starts = w.select("id", "text_key", "w", _places(sizes, F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("n")))).alias("p"))
+    probed = starts.select("id", "text_key", "w", F.col("p.at").alias("at"), F.col("p.n").alias("n"), F.when(F.col("p.n") == 0, F.lit(0).cast("long")).otherwise(_window_hash(F.col("w"), F.col("p.at"), F.col("p.n"))).alias("hash"))
+    found = probed.join(probe, (probed["hash"] == probe["hash"]) & (probed["n"] == probe["size"]) & ((probed["n"] == 0) | _same()))
+    return found.select("id", "text_key", "at", "n", F.size("w").alias("n_words"), "items")
+
+
+def _shuffled_hits(w: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
+    """The same where the windows are too many to broadcast: only hashes and places meet them."""
+    key = F.xxhash64("id", "text_key").alias("key")
+    starts = w.select(key, "w", _places(sizes).alias("p")) if sizes else w.select(key, "w", F.lit(None).cast("struct<at:int,n:int>").alias("p")).limit(0)
+    probes = starts.select("key", F.col("p.at").alias("at"), F.col("p.n").alias("n"), _window_hash(F.col("w"), F.col("p.at"), F.col("p.n")).alias("hash"))
+    met = probes.join(windows.select("hash", F.col("size").alias("n"), "window", "items"), ["hash", "n"]).select("key", "at", "n", "window", "items").distinct()
+    # texts whose keys are equal by chance are verified each
+    found = w.select(key, "id", "text_key", "w").join(met, "key").where(_same()).select("id", "text_key", "at", "n", F.size("w").alias("n_words"), "items")
+    every = w.select("id", "text_key", F.lit(0).alias("at"), F.lit(0).alias("n"), F.size("w").alias("n_words"), F.lit(None).cast("array<string>").alias("items"))
+    return found.union(every)
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per distinct (id, text): id, text_key, n_words, n_hit, spans (array of hit start and end, 0-based, merged), items, copies (equal rows)."""
-    windows = benchmark_windows(benchmark, window).cache()
+    windows = Saved(benchmark_windows(benchmark, window), "windows").df
     n = windows.count()
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most ``window`` numbers
-    marker = windows.sparkSession.range(1).select(F.lit(0).cast("long").alias("hash"), F.lit(0).alias("size"), F.lit(None).cast("array<string>").alias("window"), F.lit(None).cast("array<string>").alias("items"))
-    probe = windows.unionByName(marker)
-    probe = F.broadcast(probe) if n <= BROADCAST_WINDOWS else probe.hint("shuffle_hash")
     key = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("\0")), 256)
     w = docs.select(F.col(id_col).alias("id"), key.alias("text_key"), words(F.col(text_col).cast("string")).alias("w"))
-    parts = [F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("n")))]
-    pair = lambda size: lambda i: F.struct(i.alias("at"), F.lit(size).alias("n"))
-    for size in sizes:
-        ends = F.size("w") - size + 1
-        parts.append(F.when(ends >= 1, F.transform(F.sequence(F.lit(1), F.greatest(ends, F.lit(1))), pair(size))).otherwise(F.array().cast("array<struct<at:int,n:int>>")))
-    starts = w.select("id", "text_key", "w", F.explode(F.concat(*parts)).alias("p"))
-    probed = starts.select("id", "text_key", "w", F.col("p.at").alias("at"), F.col("p.n").alias("n"), F.when(F.col("p.n") == 0, F.lit(0).cast("long")).otherwise(_window_hash(F.col("w"), F.col("p.at"), F.col("p.n"))).alias("hash"))
-    found = probed.join(probe, (probed["hash"] == probe["hash"]) & (probed["n"] == probe["size"]) & ((probed["n"] == 0) | (F.slice("w", F.col("at"), F.col("n")) == F.col("window"))))
-    per_doc = found.select("id", "text_key", "at", "n", F.size("w").alias("n_words"), "items").groupBy("id", "text_key").agg(
+    found = _broadcast_hits(w, windows, sizes) if n <= BROADCAST_WINDOWS else _shuffled_hits(w, windows, sizes)
+    per_doc = found.groupBy("id", "text_key").agg(
         F.max("n_words").alias("n_words"),
         F.array_sort(F.collect_set(F.when(F.col("n") > 0, F.struct((F.col("at") - 1).alias("s"), (F.col("at") - 1 + F.col("n")).alias("e"))))).alias("raw"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
