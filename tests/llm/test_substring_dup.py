@@ -2,6 +2,8 @@ import hashlib
 import re
 from collections import Counter
 
+import pytest
+
 from weir.llm import substring_dup
 
 
@@ -29,8 +31,10 @@ def test_matches_brute_force(spark, monkeypatch):
     assert result(substring_dup.remove_repeats(docs, texts=False)) == brute([(r.doc_id, r.text) for r in docs.collect()], 35)
 
 
-def test_small_windows_nulls_and_repeated_rows(spark, monkeypatch):
-    monkeypatch.setattr(substring_dup, "BROADCAST_BYTES", 0)
+@pytest.mark.parametrize(("most", "hot"), [(0, 2_000), (0, 2), (48_000_000, 2)])
+def test_small_windows_nulls_and_repeated_rows(spark, monkeypatch, most, hot):
+    monkeypatch.setattr(substring_dup, "BROADCAST_BYTES", most)
+    monkeypatch.setattr(substring_dup, "HOT", hot)
     a = " ".join(f"w{k}" for k in range(40))
     rows = [(1, None), (2, ""), (3, a), (3, a), (4, "x y " + " ".join(f"w{k}" for k in range(5, 17)) + " z"), (5, "p q r s t u v " * 5), (None, "a b c"), (6, "W5 w6\tw7 w8 w9 w10 w11\nw12")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

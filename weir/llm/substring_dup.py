@@ -4,12 +4,15 @@ Words are white-space words, unchanged.  A window of 35 words that also starts e
 document that has it, one of the blocks of 18 words that lie end to end from the document's start.  So
 blocks are indexed, every rolling run of 18 words probes them, and a hash that is a block and occurs at
 two places anchors all its places.  Anchors extend to the windows around them; a window counted at two
-places is repeated, and consecutive repeated windows make up the maximal exact repeats.
+places is repeated, and consecutive repeated windows make up the maximal exact repeats.  Anchors only say where
+to look; what is removed is decided by a window's 64-bit hash together with a second one of 31 bits, taken from
+its words apart, so that among 1e12 windows two different ones agree in both with a probability of 1e-4.
 
 Rolling hashes travel packed: texts are taken in slices of a few megabytes, and each slice sends every
 hash range one row of 4-byte hashes with their positions as gaps, five to six bytes a window, whatever the
 number of machines.  The number of ranges grows with the input, so that each fits in one task.  A passage
-that a third of all documents share costs one entry in each place it stands: nothing is paired.
+that a third of all documents share costs one entry in each place it stands: nothing is paired, and windows
+that stand in more than ``HOT`` places are looked up apart, where they lie, if they are few enough to broadcast.
 
 Defined results: a null or empty text has no words; a text of fewer than 35 words loses none; repeated rows
 are places of their own, so they remove each other; null ids are ids like any other; empty tables give empty
@@ -27,10 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weir.llm.tables import BROADCAST_BYTES, Saved, small
-from weir.llm.text_hash import slices, window_hashes, words_of
+from weir.llm.text_hash import mix, slices, window_hashes, words_of
 
 WINDOW = 35
 RANGE_BYTES = 12_000_000
+HOT = 2_000
+_SECOND = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _pack_gaps(at: np.ndarray) -> bytes:
@@ -139,15 +144,17 @@ def _windows(window: int):
                 starts, _, words = words_of(buf, offsets, lower=False)
                 cut = np.searchsorted(starts, offsets)
                 hashes = window_hashes(words, window)
-                took, took_key, took_at = [], [], []
+                checks = (window_hashes(mix(words + _SECOND), window) >> np.uint64(33)).astype(np.int32)
+                took, took_check, took_key, took_at = [], [], [], []
                 for k in range(lo, hi):
                     base = cut[k - lo]
                     for a, b in np.frombuffer(spans[k], np.int32).reshape(-1, 2).astype(np.int64):
                         took.append(hashes[base + a : base + b])
+                        took_check.append(checks[base + a : base + b])
                         took_key.append(np.full(b - a, keys[k], np.int64))
                         took_at.append(np.arange(a, b, dtype=np.int32))
                 if took:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(took).view(np.int64)), pa.array(np.concatenate(took_key)), pa.array(np.concatenate(took_at))], names=["hash", "key", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(took).view(np.int64)), pa.array(np.concatenate(took_check)), pa.array(np.concatenate(took_key)), pa.array(np.concatenate(took_at))], names=["hash", "check", "key", "at"])
 
     return run
 
@@ -164,9 +171,14 @@ def repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
     probed = packed.groupBy("bucket").applyInArrow(_probe, "slice long, keys binary, at binary")
     anchored = Saved(probed.groupBy("slice").applyInArrow(_extend(block, window), "key long, spans binary").dropDuplicates(["key"]), "anchors")
     near = keyed.join(small(anchored.df, BROADCAST_BYTES), "key")
-    windows = Saved(near.select("key", "text", "spans").mapInArrow(_windows(window), "hash long, key long, at int"), "windows")
-    again = windows.df.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    return windows.df.join(again, "hash", "left_semi").groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("starts"))
+    windows = Saved(near.select("key", "text", "spans").mapInArrow(_windows(window), "hash long, check int, key long, at int"), "windows").df
+    name = ["hash", "check"]
+    again = Saved(windows.groupBy(*name).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "again").df
+    # a window that stands in very many places is no task's own: it is looked up where its places lie
+    hot = small(again.where(F.col("n") > HOT).select(*name), BROADCAST_BYTES)
+    cold = windows.join(hot, name, "left_anti").join(again.where(F.col("n") <= HOT).select(*name), name, "left_semi")
+    found = windows.join(hot, name, "left_semi").union(cold)
+    return found.groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("starts"))
 
 
 def text_key(id_col: str, text_col: str):
