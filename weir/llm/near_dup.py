@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm.tables import Saved, components
+from weir.llm.tables import Saved, components, small
 from weir.llm.text_hash import mix, slices, window_hashes, words_of
 
 WORDS = 5
@@ -178,9 +178,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, id_col: str = "doc
     named = told.df.where("id is not null and name is not null")
     classes = Saved(named.groupBy("name").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.first("sig").alias("sig")), "classes")
     keys = classes.df.select("id", "sig").mapInArrow(_keys, "key long, id long")
-    shared = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("last <> pivot").select("key", "pivot")
-    # members of buckets that more than one class has
-    members = Saved(keys.join(shared, "key").select("key", "id", "pivot").distinct(), "members")
+    shared = Saved(keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("last <> pivot").select("key", "pivot"), "shared")
+    # members of buckets that more than one class has; where those are few, keys are looked up where they lie, so that a large bucket is no task's own
+    members = Saved(keys.join(small(shared.df), "key").select("key", "id", "pivot").distinct(), "members")
 
     involved = members.df.select("id").distinct()
     n = involved.count()
@@ -210,8 +210,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, id_col: str = "doc
     left = Saved(torn(members.df), "torn")
     if not left.df.isEmpty():
         # in every pair a is greater than b, as in the first round's
-        small = left.df.where(F.col("n") <= SMALL_BUCKET).select("key", "id", "comp")
-        pairs = small.join(small.withColumnsRenamed({"id": "b", "comp": "cb"}), "key").where("id > b and comp <> cb").select(F.col("id").alias("a"), "b")
+        lesser = left.df.where(F.col("n") <= SMALL_BUCKET).select("key", "id", "comp")
+        pairs = lesser.join(lesser.withColumnsRenamed({"id": "b", "comp": "cb"}), "key").where("id > b and comp <> cb").select(F.col("id").alias("a"), "b")
         hubs = left.df.where(F.col("n") > SMALL_BUCKET).join(comps.df.withColumnsRenamed({"id": "pivot", "comp": "cp"}), "pivot", "left").where(F.col("comp") != F.coalesce("cp", "pivot")).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
         more = pairs.union(hubs).distinct().join(best.select(F.col("id").alias("a"), F.col("pivot").alias("b")), ["a", "b"], "left_anti")
         new = Saved(confirm(more), "links")
