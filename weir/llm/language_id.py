@@ -155,7 +155,7 @@ class Model:
         at = 0
         while at < len(words):
             end, size = at, 0
-            while end < len(words) and (end == at or size + len(words[end]) < 1_000_000):
+            while end < len(words) and (end == at or size + len(words[end]) < 8_000_000 // max(8, len(self.langs))):
                 size += len(words[end]) + 1
                 end += 1
             data = np.frombuffer(b" " + b" ".join(words[at:end]) + b" ", np.uint8)
