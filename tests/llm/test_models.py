@@ -58,7 +58,7 @@ def test_class_model(spark, core_share):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = docs.select("doc_id", "text").union(spark.createDataFrame(EXTRA, "doc_id long, text string")).withColumn("n_tokens", brown_lm.F.lit("x")).withColumn("word", brown_lm.F.lit(1))
     out = brown_lm.held_out(brown_lm.F.col("doc_id"))
-    model = brown_lm.train(rows.where(~out).select("text"), classes=8, core_share=core_share)
+    model = brown_lm.train(rows, out, classes=8, core_share=core_share)
     got = brown_lm.score(rows, model, out).collect()
     texts = [(r.doc_id, brown_lm.tokens(r.text)) for r in rows.collect()]
     is_out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
@@ -91,9 +91,10 @@ def test_class_model(spark, core_share):
 
 def test_class_model_without_texts(spark):
     rows = spark.createDataFrame(EXTRA, "doc_id long, text string")
-    nothing = brown_lm.train(rows.limit(0).select("text"), classes=4)
-    assert {r.n_known for r in brown_lm.score(rows, nothing, brown_lm.F.lit(True)).collect()} == {0}
-    assert brown_lm.score(rows.limit(0), nothing, brown_lm.F.lit(True)).count() == 0
+    every = brown_lm.F.lit(True)
+    got = brown_lm.score(rows, brown_lm.train(rows, every, classes=4), every).collect()
+    assert [(r.n_known, r.train_tokens, r.base_score) for r in got] == [(0, 0, 0.0)] * len(EXTRA) and sorted(r.n_tokens for r in got) == [1, 1, 2, 3, 3, 4, 60_002]
+    assert brown_lm.score(rows.limit(0), brown_lm.train(rows.limit(0)), every).count() == 0
 
 
 def test_exchange_of_the_rest_takes_the_best_move(spark):
@@ -103,22 +104,20 @@ def test_exchange_of_the_rest_takes_the_best_move(spark):
     k, free_ = 6, 3
     table = rng.integers(0, 60, (k, k)).astype(float)
     words = [(b"w%d" % i, np.unique(rng.integers(0, k, 3)), int(rng.integers(1, 6))) for i in range(40)]
-    rows = [(w, g.tolist(), rng.integers(1, 12, len(g)).tolist(), c) for w, g, c in words]
+    rows = [(w, g, rng.integers(1, 12, len(g)), c) for w, g, c in words]
     for _, g, m, c in rows:
         np.add.at(table, (g, c), m)
+    exchange = brown_lm._Exchange(free_, [(table, 0, 1)])
+    into, more = exchange.costs[0]
     sizes = np.array([len(r[1]) for r in rows])
-    lists = [brown_lm._binary(np.concatenate([r[x] for r in rows]).astype(kind), sizes) for x, kind in ((1, np.uint16), (2, np.int64))]
-    batch = brown_lm.pa.table({"word": [r[0] for r in rows], "n": [sum(r[2]) for r in rows], "g": lists[0], "m": lists[1], "class": brown_lm.pa.array([r[3] for r in rows], brown_lm.pa.int32())}).to_batches()[0]
-
-    class Sent:
-        value = (table, free_, None, 2)
-
-    got = next(brown_lm._exchange(Sent)(iter([batch]))).column(4).to_pylist()
+    own = np.array([r[3] for r in rows])
+    n = np.array([r[2].sum() for r in rows], float)
+    got = exchange._round(table, into, more, own, n, np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows]), np.r_[0, np.cumsum(sizes)], np.ones(len(rows), bool))
     for (_, g, m, c), to in zip(rows, got, strict=True):
         tried = {}
         for d in ([] if c > free_ else [c]) + list(range(1, free_ + 1)):
             t = table.copy()
-            np.add.at(t, (g, c), [-x for x in m])
+            np.add.at(t, (g, c), -m)
             np.add.at(t, (g, d), m)
             tried[d] = brown_lm.likelihood(t)
         assert tried[to] >= max(tried.values()) - 1e-6

@@ -9,16 +9,17 @@ Clustering runs in two parts.  The core, the words that make up at least ``CORE_
 most 200,000 words, whatever the corpus), is broadcast and clustered over its bigrams: in a round, half of the
 words move to the class that raises the likelihood of the class bigrams most, all others staying; a round that
 lowers the likelihood is undone and smaller shares move, and rounds go on until they gain next to nothing.  The rest stays a table
-by word, with how often each class precedes the word: the same exchange runs over that table, in rounds too, and
-nothing of it is collected but sums by class.  As history, a word of the core is seen as its class, any other
+by word, with the word's places and how often each class precedes it: the same exchange runs over that table, in
+rounds too, and nothing of it is collected but sums by class.  As history, a word of the core is seen as its class, any other
 word as its shape; so what stands before a word is known where the text is read.
 
 Transitions are smoothed by Witten-Bell interpolation with the classes' frequencies.  A class of shapes has one
 slot for unseen words, whose share follows from how many words were met once and twice; its known words share
 the remainder evenly.  The probabilities of all words, unseen ones as one word for each shape, sum to one.
 
-All counts are exact and cover all training texts.  Where words of the rest are scored, they meet their counts
-and classes in a join by word, which adaptive execution splits where one word has very many rows.
+All counts are exact and cover all training texts.  A word outside the core is scored in all its places where it
+is gathered, and the texts' sums come together by text.  One row holds the places of one such word, of which there
+are at most ``CORE_SHARE`` of all tokens and at most ``MOST_PLACES``.
 
 Defined results: a null or empty text is its end alone; a null id is not held out; repeated rows count
 and are returned each; with no training text every word is unseen (N = 0, V = 0); other columns are ignored.
@@ -28,19 +29,22 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from weir.llm.tables import Saved, free
 from weir.llm.text_hash import LOWER, slices, words_of
 
 LEAST = 2
 CORE_SHARE = 5e-6
+#: A word met more often than this belongs to the core too, so that the places of any other word fit one row.
+MOST_PLACES = 10_000_000
 CLASSES = 64
 #: Words are taken as settled when a sweep over them raises the log likelihood by a smaller share than this; so many rounds at most.
 SETTLED = 2e-3
@@ -112,8 +116,8 @@ def vocabulary(training: DataFrame, least: int = LEAST, core_share: float = CORE
     counts = Saved(training.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     sums = counts.df.agg(F.sum("n"), F.count(F.lit(1))).first()
     total = int(sums[0] or 0)
-    often = (F.col("n") >= max(least, core_share * total)) | (F.col("word") == F.lit(END))
-    # Arrow holds the words in a fraction of the memory of rows; there are at most 1 / core_share of them
+    often = (F.col("n") >= min(MOST_PLACES, max(least, core_share * total))) | (F.col("word") == F.lit(END))
+    # Arrow holds the words in a fraction of the memory of rows; there are at most 1 / core_share of them, or total / MOST_PLACES
     top = counts.df.where(often).select("word", "n").toArrow()
     words, n = [bytes(w) for w in top["word"].to_pylist()], top["n"].to_numpy()
     order = sorted(range(len(words)), key=lambda i: (words[i] != END, -n[i], words[i]))
@@ -136,9 +140,9 @@ class _Reader:
         self.ids = np.argsort(hashes)
         self.hashes = hashes[self.ids]
 
-    def read(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple]]:
+    def read(self, texts: pa.Array) -> Iterator[tuple]:
         """Of each slice: its first and last row; of all its tokens, an end after each text, the numbers, rows and numbers of the tokens before; which lie outside
-        the core; and where those words lie."""
+        the core; where those words lie, and their hashes."""
         for lo, hi, buf, offsets in slices(texts):
             buf = LOWER[buf]
             starts, ends, hashes = words_of(buf, offsets, lower=False)
@@ -155,7 +159,7 @@ class _Reader:
             row = np.zeros(len(number) + hi - lo, np.int64)
             row[np.arange(len(number)) + text] = number  # what is left are the ends, which are word 0
             before = np.r_[0, row[:-1]]  # a text begins after an end
-            yield lo, hi, row, np.repeat(np.arange(hi - lo), np.diff(cut) + 1), before, rest + text[rest], (buf, starts[rest], ends[rest])
+            yield lo, hi, row, np.repeat(np.arange(hi - lo), np.diff(cut) + 1), before, rest + text[rest], (buf, starts[rest], ends[rest]), hashes[rest]
 
 
 def _shapes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -187,7 +191,7 @@ def _bigrams(sent):
             return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["key", "n"])
 
         for batch in batches:
-            for _, _, row, _, before, _, _ in reader.read(batch.column(0)):
+            for _, _, row, _, before, *_ in reader.read(batch.column(0)):
                 held.append(before * size + row)
                 waiting += len(row)
                 if waiting > 4_000_000:
@@ -297,32 +301,43 @@ def _moves(sent):
     return run
 
 
-def _preceded(sent):
-    """A row (word, g) for each token outside the core: the class, as history, that stands before it."""
+def _placed(sent):
+    """A row (word, key, mark) for each token outside the core: its text, and in the mark's bits the class before (16), the word's shape (4), bits of its hash (8) and whether the text is held out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, classes = sent.value
         reader = _Reader(vocab)
         for batch in batches:
-            for _, _, _, _, before, rest, where in reader.read(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([_words(*where), pa.array(classes[before[rest]].astype(np.int32))], names=["word", "g"])
+            for lo, hi, row, text, before, rest, where, hashes in reader.read(batch.column(2)):
+                held = batch.column(1).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(np.int64)
+                at = text[rest]
+                mark = classes[before[rest]] | (row[rest] - reader.size) << 16 | (hashes & np.uint64(0xFF)).astype(np.int64) << 20 | held[at] << 28
+                yield pa.RecordBatch.from_arrays([_words(*where), batch.column(0).slice(lo, hi - lo).take(pa.array(at)), pa.array(mark.astype(np.int32))], names=["word", "key", "mark"])
 
     return run
 
 
+PLACED = "word binary, n long, shape int, turn int, g binary, m binary, keys binary, before binary"
+
+
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row (word, n, g, m) of the rows (word, g) of each word, which come sorted by word; a word that goes over into the next batch is carried on.
+    """One row of the rows (word, key, mark) of each word, which come sorted by word; a word that goes over into the next batch is carried on.
 
-    g and m, as bytes: the classes that stand before it, and how often."""
+    n: how often training texts have it; g and m, as bytes: the classes that stand before it there, and how often; keys and before: all its
+    places, by text and class before."""
 
     def out(table: pa.Table) -> pa.RecordBatch:
-        words, g = table.column(0).combine_chunks(), table.column(1).to_numpy()
+        words, mark = table.column(0).combine_chunks(), table.column(2).to_numpy().astype(np.int64)
         new = np.r_[True, pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)] if len(words) > 1 else np.ones(len(words), bool)
         begins = np.flatnonzero(new)
-        cells, m = np.unique((np.cumsum(new) - 1) * (1 << 16) + g, return_counts=True)
-        sizes = np.diff(np.searchsorted(cells, np.arange(len(begins) + 1) * (1 << 16)))
-        n = np.diff(np.r_[begins, len(words)]).astype(np.int64)
-        return pa.RecordBatch.from_arrays([words.take(pa.array(begins)), pa.array(n), _binary((cells % (1 << 16)).astype(np.uint16), sizes), _binary(m.astype(np.int64), sizes)], names=["word", "n", "g", "m"])
+        word = np.cumsum(new) - 1
+        g, learnt = mark & 0xFFFF, mark >> 28 == 0
+        cells, m = np.unique(word[learnt] << 16 | g[learnt], return_counts=True)
+        sizes = np.diff(np.searchsorted(cells, np.arange(len(begins) + 1) << 16))
+        places = np.diff(np.r_[begins, len(words)])
+        columns = [words.take(pa.array(begins)), pa.array(np.bincount(word[learnt], minlength=len(begins))), pa.array((mark[begins] >> 16 & 0xF).astype(np.int32)), pa.array((mark[begins] >> 20 & 0xFF).astype(np.int32))]
+        columns += [_binary((cells & 0xFFFF).astype(np.uint16), sizes), _binary(m.astype(np.int64), sizes), _binary(table.column(1).to_numpy(), places), _binary(g.astype(np.uint16), places)]
+        return pa.RecordBatch.from_arrays(columns, names=["word", "n", "shape", "turn", "g", "m", "keys", "before"])
 
     held: pa.Table | None = None
     for batch in batches:
@@ -340,56 +355,71 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(held)
 
 
-def _exchange(sent):
-    """Of rows (word, n, g, m, class) those whose turn it is move to the class, of the free ones, that raises the likelihood most."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, free, turn, parts = sent.value
+class _Exchange:
+    """Moves words outside the core, round after round, each to the class, of the free ones, that raises the likelihood most.
+
+    A round is the class bigrams before it, whose turn it is, of how many; all words move in the first.  What a word does follows from its own
+    counts alone, so the rounds so far are played again wherever its class is wanted, and no class has to be kept by word."""
+
+    def __init__(self, free: int, rounds: list[tuple[np.ndarray, int, int]]):
+        self.free, self.rounds, self.costs = free, rounds, []
+        for table, _, _ in rounds:
+            into = _plogp(table[:, 1 : 1 + free])
+            # what one to eight more cost in each cell; greater counts are worked out
+            self.costs.append((into, np.stack([_plogp(table[:, 1 : 1 + free] + k) - into for k in range(9)])))
+
+    def classes(self, n: np.ndarray, shapes: np.ndarray, turns: np.ndarray, g: np.ndarray, m: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        own = shapes + 1 + self.free
+        for lo in range(0, len(own), 4096):
+            hi = min(lo + 4096, len(own))
+            span = slice(begins[lo], begins[hi])
+            for (table, turn, parts), (into, more) in zip(self.rounds, self.costs, strict=True):
+                own[lo:hi] = self._round(table, into, more, own[lo:hi], n[lo:hi].astype(float), g[span], m[span], begins[lo : hi + 1] - begins[lo], turns[lo:hi] % parts == turn)
+        return own
+
+    def _round(self, table, into, more, c, n, g, m, begins, may):
+        free, at, sizes = self.free, begins[:-1], np.diff(begins)
+        cost = more[np.minimum(m, 8), g]
+        large = np.flatnonzero(m > 8)
+        cost[large] = _plogp(table[g[large], 1 : 1 + free] + m[large, None]) - into[g[large]]
         column = table.sum(axis=0)
-        into = _plogp(table[:, 1 : 1 + free])
-        # what one to eight more cost in each cell; greater counts are worked out
-        more = np.stack([_plogp(table[:, 1 : 1 + free] + k) - into for k in range(9)])
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = batch.column(4).to_numpy().copy()
-            n = batch.column(1).to_numpy().astype(float)
-            (g, begins), (m, _) = _values(batch.column(2), np.uint16), _values(batch.column(3), np.int64)
-            sizes = np.diff(begins)
-            for lo in range(0, len(own), 4096):
-                hi = min(lo + 4096, len(own))
-                span = slice(begins[lo], begins[hi])
-                gg, mm, c = g[span], m[span].astype(float), own[lo:hi]
-                cost = more[np.minimum(m[span], 8), gg]
-                large = np.flatnonzero(m[span] > 8)
-                cost[large] = _plogp(table[gg[large], 1 : 1 + free] + mm[large, None]) - into[gg[large]]
-                at = begins[lo:hi] - begins[lo]
-                total = column[1 : 1 + free]
-                gain = np.add.reduceat(cost, at, axis=0) - _plogp(total + n[lo:hi, None]) + _plogp(total)
-                here = table[gg, np.repeat(c, sizes[lo:hi])]
-                stay = np.add.reduceat(_plogp(here) - _plogp(here - mm), at) - _plogp(column[c]) + _plogp(column[c] - n[lo:hi])
-                # a word's own class counts without the word
-                inside = np.flatnonzero((c >= 1) & (c <= free))
-                gain[inside, c[inside] - 1] = stay[inside]
-                best = gain.argmax(axis=1) + 1
-                moves = (gain[np.arange(hi - lo), best - 1] > stay + 1e-9) | (c > free)
-                if turn is not None:
-                    moves &= np.arange(lo, hi) % parts == turn
-                own[lo:hi] = np.where(moves, best, c)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(own, pa.int32())], names=["word", "n", "g", "m", "class"])
+        total = column[1 : 1 + free]
+        gain = np.add.reduceat(cost, at, axis=0) - _plogp(total + n[:, None]) + _plogp(total)
+        here = table[g, np.repeat(c, sizes)]
+        stay = np.add.reduceat(_plogp(here) - _plogp(here - m), at) - _plogp(column[c]) + _plogp(column[c] - n)
+        # a word's own class counts without the word
+        inside = np.flatnonzero((c >= 1) & (c <= free))
+        gain[inside, c[inside] - 1] = stay[inside]
+        best = gain.argmax(axis=1) + 1
+        moves = may & (gain[np.arange(len(c)), best - 1] > stay + 1e-9) | (c > free)
+        return np.where(moves, best, c)
+
+
+def _replayed(batch: pa.RecordBatch, at: dict[str, int], exchange: _Exchange, least: int) -> tuple[np.ndarray, ...]:
+    """Of a batch of gathered words the classes, after the rounds, of those met often enough, -1 of the others, with their counts and classes before."""
+    n, shapes, turns = (batch.column(at[c]).to_numpy() for c in ("n", "shape", "turn"))
+    (g, begins), (m, _) = _values(batch.column(at["g"]), np.uint16), _values(batch.column(at["m"]), np.int64)
+    often = np.flatnonzero(n >= least)
+    sizes = np.diff(begins)[often]
+    new = np.r_[0, np.cumsum(sizes)]
+    pick = np.repeat(begins[often] - new[:-1], sizes) + np.arange(new[-1])
+    g, m = g[pick].astype(np.int64), m[pick]
+    own = np.full(len(n), -1, np.int64)
+    own[often] = exchange.classes(n[often], shapes[often].astype(np.int64), turns[often], g, m, new)
+    return own, g, m, np.repeat(own[often], sizes)
+
+
+def _rest_cells(sent, k: int):
+    """How often each class follows each class as history, over the words that move."""
 
-    return run
-
-
-def _rest_cells(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free, rounds, least = sent.value
+        exchange = _Exchange(free, rounds)
         table = np.zeros(k * k, np.int64)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            (g, begins), (m, _) = _values(batch.column(0), np.uint16), _values(batch.column(1), np.int64)
-            cells = g.astype(np.int64) * k + np.repeat(batch.column(2).to_numpy(), np.diff(begins))
-            table += np.bincount(cells, m, k * k).astype(np.int64)
+            if batch.num_rows:
+                _, g, m, c = _replayed(batch, {c: i for i, c in enumerate(("n", "shape", "turn", "g", "m"))}, exchange, least)
+                table += np.bincount(g * k + c, m, k * k).astype(np.int64)
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], names=["cell", "n"])
 
@@ -403,7 +433,33 @@ class Model:
     table: np.ndarray  # how often each class follows each class as history
     log_next: np.ndarray  # log10 P(class | class before)
     log_word: np.ndarray  # log10 P(word | class) of each word of the core
-    rest: DataFrame  # word, n, class of the training words outside the core
+    log_class: np.ndarray  # log10 of each class's tokens
+    log_once: np.ndarray  # of each shape, log10 P(word | class) of a word met once
+    log_unseen: np.ndarray  # of each shape, the same of all unseen words together
+    free: int
+    least: int
+    rounds: list  # of the exchange outside the core
+    places: Saved | None = None  # the words outside the core, gathered
+
+    def sent(self) -> Model:
+        """What tasks need of it."""
+        return replace(self, places=None)
+
+    @property
+    def rest(self) -> DataFrame:
+        """The training words outside the core: word, n, class (null of a word met once)."""
+        names = ("word", "n", "shape", "turn", "g", "m")
+        sent = self.places.spark.sparkContext.broadcast(self.sent())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = sent.value
+            exchange = _Exchange(model.free, model.rounds)
+            for batch in batches:
+                if batch.num_rows:
+                    own = _replayed(batch, {c: i for i, c in enumerate(names)}, exchange, model.least)[0]
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own.astype(np.int32), mask=own < 0)], names=["word", "n", "class"])
+
+        return self.places.df.where("n > 0").select(*names).mapInArrow(run, "word binary, n long, class int")
 
 
 def _summed(cells: DataFrame, k: int) -> np.ndarray:
@@ -445,7 +501,7 @@ def _core_classes(spark, training: DataFrame, vocab: Vocabulary, classes: int, m
     # a row per word with its neighbours: at most two entries for each word of the core or shape
     lists = sides.groupBy("w").agg(*[F.collect_list(F.when(side, F.struct("o", "n"))).alias(c) for side, c in ((F.col("after"), "a"), (~F.col("after"), "b"))])
     # dealt evenly once; the rounds read the files
-    n_files = max(2 * spark.sparkContext.defaultParallelism, len(vocab.words) // 20_000)
+    n_files = max(2 * spark.sparkContext.defaultParallelism, vocab.total // 2_000_000)
     lists = lists.select("w", "a.o", "a.n", F.col("b.o").alias("bo"), F.col("b.n").alias("bn")).mapInArrow(_packed, "w long, o binary, n binary, bo binary, bn binary")
     laid_table = Saved(lists.repartition(n_files), "bigrams")
     laid = laid_table.df
@@ -481,62 +537,55 @@ def _core_classes(spark, training: DataFrame, vocab: Vocabulary, classes: int, m
     return now, table
 
 
-def _rest_classes(spark, training: DataFrame, vocab: Vocabulary, least: int, now: np.ndarray, table: np.ndarray, classes: int, most_rounds: int, settled: float) -> tuple[DataFrame, np.ndarray]:
-    """The table (word, n, class) of all training words outside the core, and the class bigrams with them in their classes."""
-    k = len(table)
-    sent = spark.sparkContext.broadcast((vocab, now))
-    rows = training.mapInArrow(_preceded(sent), "word binary, g int")
-    met = Saved(rows.repartition("word").sortWithinPartitions("word").mapInArrow(_gathered, "word binary, n long, g binary, m binary"), "preceded")
-    free(spark)
-    often, schema = F.col("n") >= least, "word binary, n long, g binary, m binary, class int"
-    first = met.df.where(often).withColumn("class", _shape_of(F.col("word")) + F.lit(1 + classes))
-    # the counts of those that move, as long as they are in their shapes' classes
-    cells = lambda df: _summed(df.select("g", "m", "class").mapInArrow(_rest_cells(k), "cell long, n long"), k)
-    others = table - cells(first)
-    laid, settling = None, _Settling(settled)
-    for turn in range(most_rounds):
-        b = spark.sparkContext.broadcast((table.astype(float), classes, turn % settling.parts if laid else None, settling.parts))
-        tried = Saved((laid.df if laid else first).mapInArrow(_exchange(b), schema), "rest")
-        new = others + cells(tried.df)
-        b.unpersist()
-        # the first round takes all words out of their shapes' classes
-        if settling.better(table, new) or laid is None:
-            if laid:
-                laid.drop()
-            laid, table = tried, new
-        else:
-            tried.drop()
-        if settling.done:
-            break
-    if laid is None:
-        laid = Saved(first, "rest")
-    once = met.df.where(~often).select("word", "n", F.lit(None).cast("int").alias("class"))
-    return laid.df.select("word", "n", "class").union(once), table
+def _keyed(docs: DataFrame, is_held_out: Column, id_col: str, text_col: str) -> DataFrame:
+    """Rows (key, id, held_out, text): the key is that of the row's place in its partition, so it is one text's own whatever the ids."""
+    return docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), is_held_out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
 
 
-def train(training: DataFrame, classes: int = CLASSES, rounds: int = MOST_ROUNDS, least: int = LEAST, core_share: float = CORE_SHARE, settled: float = SETTLED) -> Model:
-    """A model of training(text)."""
-    spark = training.sparkSession
+def train(docs: DataFrame, is_held_out: Column | None = None, classes: int = CLASSES, rounds: int = MOST_ROUNDS, least: int = LEAST, core_share: float = CORE_SHARE, settled: float = SETTLED, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """A model of the texts of docs that are not held out; it also keeps where all texts have words outside the core."""
+    spark = docs.sparkSession
+    keyed = _keyed(docs, F.lit(False) if is_held_out is None else is_held_out, id_col, text_col)
+    training = keyed.where(~F.col("held_out")).select("text")
     vocab = vocabulary(training, least, core_share)
     k = 1 + classes + SHAPES
     now, table = _core_classes(spark, training, vocab, classes, rounds, settled)
-    rest, table = _rest_classes(spark, training, vocab, least, now, table, classes, rounds, settled)
+    sent = spark.sparkContext.broadcast((vocab, now))
+    rows = keyed.select("key", "held_out", "text").mapInArrow(_placed(sent), "word binary, key long, mark int")
+    places = Saved(rows.repartition("word").sortWithinPartitions("word").mapInArrow(_gathered, PLACED), "places")
+    free(spark)
+
+    def cells(played: list) -> np.ndarray:
+        b = spark.sparkContext.broadcast((classes, played, least))
+        return _summed(places.df.where(F.col("n") >= least).select("n", "shape", "turn", "g", "m").mapInArrow(_rest_cells(b, k), "cell long, n long"), k)
+
+    # until the first round, the words are in their shapes' classes, as the core has seen them
+    others, played, settling = table - cells([]), [], _Settling(settled)
+    for turn in range(rounds):
+        tried = [*played, (table.astype(float), turn % settling.parts if played else 0, settling.parts if played else 1)]
+        new = others + cells(tried)
+        # the first round takes all words out of their shapes' classes
+        if settling.better(table, new) or not played:
+            played, table = tried, new
+        if settling.done:
+            break
     tokens_of = table.sum(axis=0).astype(float)
     base = (tokens_of + (np.arange(k) > classes)) / (tokens_of.sum() + SHAPES)  # each shape has a slot for unseen words
     after, kinds = table.sum(axis=1, keepdims=True).astype(float), (table > 0).sum(axis=1, keepdims=True) + 1.0
     following = (table + kinds * base) / (after + kinds)
+    # of a shape's words, those never met have as much as those met once and twice suggest; the words met once share the remainder
+    unseen = (vocab.shape_once + 1) / (vocab.shape_once + 2 * vocab.shape_twice + 2)
+    each = (1 - unseen) / np.maximum(vocab.shape_once, 1)
     with np.errstate(divide="ignore"):
         log_word = np.log10(vocab.counts / tokens_of[now[: len(vocab.words)]]) if vocab.total else np.zeros(1)
-        return Model(vocab, now, table, np.log10(following), log_word, rest)
-
+        return Model(vocab, now, table, np.log10(following), log_word, np.log10(np.maximum(tokens_of, 1)), np.log10(each), np.log10(unseen), classes, least, played, places)
 
-OWN = "struct<id: {}, held_out: boolean, n_tokens: bigint, n_known: bigint, base: double, score: double>"
 
+SUMS = "key long, id {}, held_out boolean, n_tokens long, n_known long, base double, score double"
 
-def _first_pass(sent):
-    """For each text a row with what its words of the core give (own), and a row for each of its other tokens; all keyed by ``word`` for one exchange.
 
-    mark: the word's shape, above 16 bits of the class before."""
+def _core_scores(sent, kind: pa.DataType):
+    """A row for each text: what its words of the core give."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = sent.value
@@ -544,61 +593,60 @@ def _first_pass(sent):
         reader = _Reader(vocab)
         log_base = np.log10((vocab.counts + 1) / (vocab.total + vocab.distinct + 1))
         for batch in batches:
-            own_type = pa.struct([("id", batch.column(1).type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
-            for lo, hi, row, text, before, rest, where in reader.read(batch.column(3)):
-                keys, ids, held = (batch.column(k).slice(lo, hi - lo) for k in range(3))
-                c, g = model.classes[row], model.classes[before]
+            for lo, hi, row, text, before, *_ in reader.read(batch.column(3)):
                 known = np.flatnonzero(row < reader.size)
-                of_text = lambda weights: np.bincount(text[known], weights, hi - lo)  # noqa: E731, B023
-                score = of_text(model.log_next[g[known], c[known]] + model.log_word[row[known]])
-                n_known = of_text(None) if vocab.total else np.zeros(hi - lo)
-                sums = [pa.array(np.bincount(text, minlength=hi - lo)), pa.array(n_known.astype(np.int64)), pa.array(of_text(log_base[row[known]])), pa.array(score)]
-                # the key of a text's own row holds a byte that no word has
-                names = pa.array([END + k.to_bytes(8, "big") for k in keys.to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([names, keys, pa.nulls(hi - lo, pa.int32()), pa.StructArray.from_arrays([ids, held, *sums], fields=list(own_type))], names=["word", "key", "mark", "own"])
-                if len(rest):
-                    mark = (row[rest] - reader.size << 16) | g[rest]
-                    yield pa.RecordBatch.from_arrays([_words(*where), keys.take(pa.array(text[rest])), pa.array(mark.astype(np.int32)), pa.nulls(len(rest), own_type)], names=["word", "key", "mark", "own"])
+                c, g, at = model.classes[row[known]], model.classes[before[known]], text[known]
+                n_known = np.bincount(at, minlength=hi - lo) if vocab.total else np.zeros(hi - lo, np.int64)
+                base, score = (np.bincount(at, w, hi - lo) for w in (log_base[row[known]], model.log_next[g, c] + model.log_word[row[known]]))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in range(3)), pa.array(np.bincount(text, minlength=hi - lo)), pa.array(n_known), pa.array(base), pa.array(score)], names=["key", "id", "held_out", "n_tokens", "n_known", "base", "score"])
+
+    return run
+
+
+def _rest_scores(sent, kind: pa.DataType):
+    """Rows for texts, a batch of words at a time: what their words outside the core give."""
+    names = ("n", "shape", "turn", "g", "m", "keys", "before")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = sent.value
+        vocab = model.vocab
+        exchange = _Exchange(model.free, model.rounds)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = _replayed(batch, {c: i for i, c in enumerate(names)}, exchange, model.least)[0]
+            n, shapes = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
+            log_word = np.where(own >= 0, np.log10(np.maximum(n, 1)) - model.log_class[own], np.where(n > 0, model.log_once[shapes], model.log_unseen[shapes]))
+            own = np.where(own >= 0, own, shapes + 1 + model.free)
+            (keys, begins), (g, _) = _values(batch.column(5), np.int64), _values(batch.column(6), np.uint16)
+            word = np.repeat(np.arange(len(n)), np.diff(begins))
+            log_base = np.log10((n + 1) / (vocab.total + vocab.distinct + 1))
+            texts, at = np.unique(keys, return_inverse=True)
+            sums = [np.bincount(at, w, len(texts)) for w in ((n > 0)[word], log_base[word], model.log_next[g, own[word]] + log_word[word])]
+            nothing = pa.nulls(len(texts), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(texts), pa.nulls(len(texts), kind), nothing, pa.nulls(len(texts), pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=["key", "id", "held_out", "n_tokens", "n_known", "base", "score"])
 
     return run
 
 
 def score(docs: DataFrame, model: Model, is_held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10); docs are any texts, held out or trained on."""
+    """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
+
+    docs are those that the model was made with, held out and trained on, read the same way: its words outside the core are scored where they are gathered."""
     spark = docs.sparkSession
-    vocab, k = model.vocab, len(model.table)
     kind = dict(docs.dtypes)[id_col]
-    # the key is that of the row's place in its partition: one text, one key, whatever its id
-    rows = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), is_held_out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    rest, light = model.rest, Model(vocab, model.classes, model.table, model.log_next, model.log_word, None)  # type: ignore[arg-type]
-    parts = rows.mapInArrow(_first_pass(spark.sparkContext.broadcast(light)), f"word binary, key long, mark int, own {OWN.format(kind)}")
-    met = parts.join(rest, "word", "left")
-    before, word_shape = F.col("mark").bitwiseAND(F.lit(0xFFFF)), F.shiftright("mark", 16)
-    # numbers by class as one folded array
-    numbers = lambda values: F.split(F.lit(",".join(repr(float(x)) for x in values)), ",").cast("array<double>")
-    class_ = F.coalesce("class", word_shape + F.lit(k - SHAPES))
-    log_next = F.element_at(numbers(model.log_next.ravel()), before * k + class_ + 1)
-    # of a shape's words, those never met have as much as those met once and twice suggest; the words met once share the remainder
-    unseen = (vocab.shape_once + 1) / (vocab.shape_once + 2 * vocab.shape_twice + 2)
-    each = np.log10((1 - unseen) / np.maximum(vocab.shape_once, 1))
-    with np.errstate(divide="ignore"):
-        tokens_of = np.log10(np.maximum(model.table.sum(axis=0), 1))
-    log_word = F.when(F.col("n").isNull(), F.element_at(numbers(np.log10(unseen)), word_shape + 1)).when(F.col("class").isNull(), F.element_at(numbers(each), word_shape + 1)).otherwise(F.log10("n") - F.element_at(numbers(tokens_of), F.col("class") + 1))
-    shares = met.select(
-        "key", F.col("own.id").alias("id"), F.col("own.held_out").cast("int").alias("held_out"), F.col("own.n_tokens").alias("n_tokens"),
-        F.coalesce(F.col("own.n_known"), F.when(F.col("n").isNotNull(), 1).otherwise(0)).alias("n_known"),
-        F.coalesce(F.col("own.base"), F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(vocab.total + vocab.distinct + 1)))).alias("base"),
-        F.coalesce(F.col("own.score"), log_next + log_word).alias("score"),
-    )
-    sums = shares.groupBy("key").agg(F.max("id").alias("id"), F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
-    return sums.select(
-        F.col("id").alias(id_col), (F.col("held_out") == 1).alias("held_out"), "n_tokens", "n_known", F.lit(vocab.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score",
-    )
+    keyed = _keyed(docs, is_held_out, id_col, text_col)
+    arrow = to_arrow_schema(keyed.select("id").schema).field(0).type
+    sent = spark.sparkContext.broadcast(model.sent())
+    own = keyed.mapInArrow(_core_scores(sent, arrow), SUMS.format(kind))
+    rest = model.places.df.select("n", "shape", "turn", "g", "m", "keys", "before").mapInArrow(_rest_scores(sent, arrow), SUMS.format(kind))
+    # max needs a plain type to be summed in place, which ids have but for texts
+    sums = own.union(rest).groupBy("key").agg(F.max("id").alias("id"), F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
+    return sums.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(model.vocab.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
 def op2_brown_lm(spark, sf_dir: str) -> DataFrame:
     """All texts of documents, scored by a model of those that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    training = docs.where(~held_out(F.col("doc_id"))).select(F.col("text").cast("string").alias("text"))
-    model = train(training)
-    return score(docs, model, held_out(F.col("doc_id")))
+    out = held_out(F.col("doc_id"))
+    return score(docs, train(docs, out), out)
