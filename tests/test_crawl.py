@@ -132,7 +132,7 @@ def test_components(spark):
 
 
 def test_components_query_takes_every_link(spark):
-    from weir.plans.queries import QUERIES
+    from weir.plans.crawl_queries import QUERIES
     from weir.sources.fixtures import view
 
     sf = "/root/testdata/sf0.001"

@@ -175,6 +175,13 @@ def sniffed_type(data: Column, fallback: Column) -> Column:
     return F.when(h.startswith("89504E470D0A1A0A"), "image/png").when(h.startswith("FFD8FF"), "image/jpeg").when(h.startswith("47494638"), "image/gif").when(h.startswith("52494646") & (F.substring(h, 17, 8) == "57454250"), "image/webp").when(h.startswith("25504446"), "application/pdf").otherwise(fallback)
 
 
+def normal_ip(host_: Column) -> Column:
+    """A site's key by its host: an IPv4 address written as IPv6 as IPv4, anything else in lower case; names are not resolved."""
+    plain = F.lower(F.regexp_replace(F.trim(host_), r"^\[|\]$", ""))
+    mapped = F.regexp_extract(plain, r"^(?:0*:)*:?ffff:(\d{1,3}(?:\.\d{1,3}){3})$", 1)
+    return F.coalesce(F.nullif(mapped, F.lit("")), plain)
+
+
 def crawlable(href: Column) -> Column:
     """Not blank, no fragment, script, mail or telephone link."""
     return F.coalesce((F.trim(href) != "") & ~F.trim(href).rlike("(?i)^(#|javascript:|mailto:|tel:)"), F.lit(False))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weir.functions import hashing, telemetry
+from weir.operators.numbering import numbered
 
 ORIGIN_2001 = 978307200
 
@@ -76,7 +77,7 @@ def illegal_transitions(events: DataFrame, key: str, state: str) -> DataFrame:
 
 def ordered_events(events: DataFrame, types: list[str]) -> DataFrame:
     """Events of the types with their place in order of time."""
-    return events.where(F.col("type").isin(types)).withColumn("ord", F.row_number().over(Window.orderBy("ts", "id")))
+    return numbered(events.where(F.col("type").isin(types)), "ord", ["ts", "id"])
 
 
 def recent_events(events: DataFrame, limit: int = 80) -> DataFrame:
@@ -112,6 +113,27 @@ def recover_stale(commands: DataFrame, now: Column, seconds: int = 45) -> DataFr
     return commands.select(*[own.get(c, F.col(c)).alias(c) for c in commands.columns])
 
 
+def dispatch(commands: DataFrame, now: Column, limit: int = 100) -> DataFrame:
+    """Commands after the oldest queued ones have been sent out."""
+    sent = oldest(commands, ["queued"], limit).select("id", F.lit(True).alias("__sent"))
+    has = F.coalesce("__sent", F.lit(False))
+    own = {"status": F.when(has, "dispatched").otherwise(F.col("status")), "dispatched_at": F.when(has, now).otherwise(F.col("dispatched_at"))}
+    return commands.join(F.broadcast(sent), "id", "left").select(*[own.get(c, F.col(c)).alias(c) for c in commands.columns])
+
+
+def answered(commands: DataFrame, answers: DataFrame, now: Column) -> DataFrame:
+    """Commands after workers' answers (id, kind: ack or result, ok, error), of which a result counts more than an acknowledgement.
+
+    An acknowledged command gets its time; a result completes or fails it; its error is that of the answer, none if it has none."""
+    last = answers.groupBy("id").agg(F.max(F.struct((F.col("kind") == "result").alias("done"), F.col("ok").alias("ok"), F.col("error").alias("error"))).alias("__a"))
+    both = commands.join(last, "id", "left")
+    has = F.col("__a").isNotNull()
+    done = F.col("__a.done")
+    status = F.when(done & F.col("__a.ok"), "completed").when(done, "failed").otherwise("acknowledged")
+    own = {"status": F.when(has, status).otherwise(F.col("status")), "error_message": F.when(has, F.col("__a.error")).otherwise(F.col("error_message")), "acknowledged_at": F.when(has & ~done, now).otherwise(F.col("acknowledged_at")), "completed_at": F.when(has & done, now).otherwise(F.col("completed_at"))}
+    return both.select(*[own.get(c, F.col(c)).alias(c) for c in commands.columns])
+
+
 def with_daemon(commands: DataFrame, daemons: DataFrame) -> DataFrame:
     """Commands with their daemon's own name, ``local-default`` where its metadata has none."""
     named = daemons.select(F.col("id").alias("daemon_id"), F.coalesce(F.get_json_object("metadata", "$.daemonId"), F.lit("local-default")).alias("daemon"))
@@ -134,6 +156,14 @@ def status_counts(workers: DataFrame, statuses: list[str] | None = None) -> Data
     return F.broadcast(every).join(counts, "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def filtered_workers(workers: DataFrame, status: str = "ALL", term: str | None = None) -> DataFrame:
+    """Workers (name, status, current_url) of a status, whatever its case, whose name or URL has the term; by name."""
+    rows = workers if status == "ALL" else workers.where(F.lower("status") == status.lower())
+    t = (term or "").strip().lower()
+    rows = rows.where(F.contains(F.lower("name"), F.lit(t)) | F.coalesce(F.contains(F.lower("current_url"), F.lit(t)), F.lit(False))) if t else rows
+    return rows.orderBy("name")
+
+
 def daemon_statistics(workers: DataFrame) -> DataFrame:
     return workers.agg(F.count(F.lit(1)).alias("workers"), F.count_if(F.lower("status") == "active").alias("active"), F.sum("pages_processed").alias("pages_processed"), F.sum("error_count").alias("errors"))
 
@@ -162,9 +192,9 @@ def latest_state(events: DataFrame) -> DataFrame:
 
 
 def latest_snapshot(snapshots: DataFrame, key: str) -> DataFrame:
-    """The newest row of each key."""
+    """The newest row of each key; of rows as new the greatest one, column by column."""
     cols = [c for c in snapshots.columns if c != key]
-    return snapshots.groupBy(key).agg(F.max_by(F.struct(*cols), "ts").alias("s")).select(key, "s.*")
+    return snapshots.groupBy(key).agg(F.max(F.struct("ts", *[c for c in cols if c != "ts"])).alias("s")).select(key, *[F.col(f"s.{c}").alias(c) for c in cols])
 
 
 def ungrouped(workers: DataFrame, groups: DataFrame) -> DataFrame:
@@ -206,7 +236,8 @@ def assign_seeds(seeds: DataFrame, workers: DataFrame, mode: str = "rendezvous",
     """Each seed's worker: the best score, on a tie the smallest id.
 
     By weight every seed has the same best worker, and round robin names one slot, so neither compares seeds with
-    workers; only rendezvous hashing scores every seed against every worker, whose table is small and sent along."""
+    workers; only rendezvous hashing scores every seed against every worker, of whom there are 10,000 at most, and
+    does so within a batch of seeds."""
     if mode == "weighted":
         best = workers.agg(F.max_by("worker_id", F.struct(pages_weight * F.col("pages_processed") - errors_weight * F.col("error_count"), -F.col("worker_id"))).alias("worker_id"))
         return seeds.select("url").crossJoin(F.broadcast(best))
@@ -215,12 +246,11 @@ def assign_seeds(seeds: DataFrame, workers: DataFrame, mode: str = "rendezvous",
         n = listed.agg(F.count(F.lit(1)).alias("n"))
         rows = seeds.select("url").crossJoin(F.broadcast(n)).withColumn("slot", hashing.stable_slot(F.col("url"), F.col("n")))
         return rows.join(F.broadcast(listed), "slot").select("url", "worker_id")
-    ids = [r["worker_id"] for r in listed.limit(10_001).collect()]
+    ids = [r["worker_id"] for r in workers.select("worker_id").distinct().limit(10_001).collect()]
     if len(ids) > 10_000:
         raise ValueError("too many workers to score every seed against")
-    each = seeds.select("url").distinct().withColumn("worker_id", F.explode(F.array(*[F.lit(i) for i in ids]) if ids else F.array().cast("array<bigint>")))
-    scored = each.withColumn("s", hashing.rendezvous_score(F.col("url"), F.col("worker_id")))
-    return scored.groupBy("url").agg(F.max_by("worker_id", F.struct("s", -F.col("worker_id"))).alias("worker_id"))
+    each = seeds.select("url").distinct()
+    return each.withColumn("worker_id", hashing.best_worker(F.col("url"), ids)) if ids else each.withColumn("worker_id", F.lit(None).cast("long")).limit(0)
 
 
 def arbitration(assigned: DataFrame, claims: DataFrame) -> DataFrame:

@@ -12,10 +12,15 @@ from pyspark.sql import functions as F
 
 from weir.functions import telemetry
 from weir.functions.url import site_key
+from weir.operators.numbering import numbered
 
 TTL_SECONDS, TOMBSTONE_SECONDS, WINDOW = 30, 600, 64
 
 
+def _seconds_between(a: Column, b: Column) -> Column:
+    return (F.unix_micros(b.cast("timestamp")) - F.unix_micros(a.cast("timestamp"))) / 1e6
+
+
 def status(frontier: DataFrame) -> DataFrame:
     """One row of counts: known, queued, locked, processing, completed, duplicate, failed, cached, leases, tombstones."""
     n = lambda *states: F.count_if(F.col("state").isin(*states))
@@ -76,8 +81,7 @@ def enqueue(frontier: DataFrame, batch: DataFrame, keep_terminal: bool = False)
     terminal = F.col("state").isin("COMPLETED", "FAILED")
     again = (came & ~known) | (came & known & (terminal if not keep_terminal else ~F.col("state").isin("COMPLETED", "FAILED", "DUPLICATE")))
     revived = came & terminal & (not keep_terminal)
-    biggest = both.select(F.coalesce(F.max("id"), F.lit(0)).alias("__last"))
-    fresh = Window.partitionBy(F.col("id").isNull()).orderBy("url")
+    last = frontier.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long"))
     own = {
         "priority": F.greatest("priority", "n_priority"), "depth": F.least("depth", "n_depth"), "source_url": F.coalesce("source_url", "n_source_url"), "discovered_at": F.least("discovered_at", "n_discovered_at"),
         "state": F.when(F.coalesce(again, F.lit(False)), "QUEUED").otherwise(F.col("state")),
@@ -85,28 +89,38 @@ def enqueue(frontier: DataFrame, batch: DataFrame, keep_terminal: bool = False)
     cleared = [c for c in ("dequeued_at", "finished_at", "locked_at", "locked_by_worker_id") if c in frontier.columns]
     own |= {c: F.when(~F.coalesce(revived, F.lit(False)), F.col(c)) for c in cleared}
     old = both.where("id is not null").select(*[own.get(c, F.col(c)).alias(c) for c in frontier.columns])
-    # ids of new rows follow the greatest one, in the order of their URLs
-    added = both.where("id is null").crossJoin(F.broadcast(biggest)).withColumn("id", (F.col("__last") + F.row_number().over(fresh)).cast(dict(frontier.dtypes)["id"]))
+    # ids of new rows, and of those alone, follow the greatest one, in the order of their URLs
+    added = numbered(both.where("id is null").drop("id"), "id", ["url"], last).withColumn("id", F.col("id").cast(dict(frontier.dtypes)["id"]))
     return old.unionByName(added.select(*[own.get(c, F.col(c)).alias(c) for c in frontier.columns]))
 
 
+def _order() -> list[Column]:
+    return [F.desc("priority"), F.col("discovered_at"), F.col("id")]
+
+
 def heads(frontier: DataFrame, ready: DataFrame | None, now: Column, window: int | None = None) -> DataFrame:
-    """The best queued URL of each site whose cooldown has passed, ranked (column rank).  ready: (site_key, ready_at); window: how many of the best queued URLs are looked at (None: all)."""
+    """The best queued URL of each site whose cooldown has passed.  ready: (site_key, ready_at); window: how many of the best queued URLs are looked at (None: all)."""
     queued = frontier.where("state = 'QUEUED'").withColumn("site_key", site_key(F.col("url")))
     if window:
         queued = queued.orderBy(F.desc("priority"), "discovered_at", "id").limit(window)
-    order = [F.desc("priority"), F.col("discovered_at"), F.col("id")]
     best = queued.groupBy("site_key").agg(F.min_by(F.struct("id", "url", "priority", "discovered_at"), F.struct(-F.col("priority"), "discovered_at", "id")).alias("h")).select("site_key", "h.*")
     if ready is not None:
         best = best.join(ready.where(F.col("ready_at") > now).select("site_key").distinct(), "site_key", "left_anti")
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return best
+
+
+def ranked_heads(frontier: DataFrame, ready: DataFrame | None, now: Column, window: int | None = None) -> DataFrame:
+    """heads() with their rank among all sites."""
+    return numbered(heads(frontier, ready, now, window), "rank", _order())
 
 
 def dequeue(frontier: DataFrame, worker_ids: list[int], limit: int, now: Column, ready: DataFrame | None = None, window: int | None = None) -> DataFrame:
     """Claims (worker_id, id, url, site_key, priority): the k-th ready site for the k-th distinct positive worker, 1 to 100 of them."""
     workers = list(dict.fromkeys(w for w in worker_ids if w > 0))[: min(max(limit, 1), 100)]
     asked = frontier.sparkSession.createDataFrame([(k + 1, w) for k, w in enumerate(workers)], "rank int, worker_id int")
-    return heads(frontier, ready, now, window).limit(max(1, len(workers))).join(F.broadcast(asked), "rank").select("worker_id", "id", "url", "site_key", "priority")
+    # only as many heads as there are workers are ranked
+    best = heads(frontier, ready, now, window).orderBy(*_order()).limit(max(1, len(workers)))
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(*_order()))).join(F.broadcast(asked), "rank").select("worker_id", "id", "url", "site_key", "priority")
 
 
 def claim(frontier: DataFrame, claims: DataFrame, now: Column) -> DataFrame:
@@ -120,7 +134,11 @@ def claim(frontier: DataFrame, claims: DataFrame, now: Column) -> DataFrame:
 
 def complete(frontier: DataFrame, results: DataFrame, now: Column) -> DataFrame:
     """The snapshot after results (token, url, worker_id, status): a lease ends only if its id, URL and worker are right."""
-    asked = results.select(F.col("token").alias("id"), F.col("url").alias("__url"), F.col("worker_id").alias("__worker"), telemetry.terminal_state(F.col("status")).alias("__state")).dropDuplicates(["id"])
+    asked = results.select(F.col("token").alias("id"), F.col("url").alias("__url"), F.col("worker_id").alias("__worker"), telemetry.terminal_state(F.col("status")).alias("__state"))
+    # of several results for a lease the one that is right counts, then the first state by name
+    held = frontier.select("id", F.col("url").alias("__u"), F.col("locked_by_worker_id").alias("__w"))
+    right = (F.col("__url") == F.col("__u")) & (F.col("__worker") == F.col("__w"))
+    asked = asked.join(held, "id").where(right).groupBy("id").agg(F.min(F.struct("__state", "__url", "__worker")).alias("r")).select("id", "r.*")
     both = frontier.join(asked, "id", "left")
     ok = F.coalesce((F.col("url") == F.col("__url")) & (F.col("locked_by_worker_id") == F.col("__worker")) & F.col("state").isin("LOCKED", "PROCESSING"), F.lit(False))
     again = F.col("__state") == "QUEUED"
@@ -151,14 +169,14 @@ def cooldowns(registry: DataFrame, observed: DataFrame, now: Column) -> DataFram
 def cooldown_snapshot(registry: DataFrame, hosts: DataFrame, now: Column, take: int = 128) -> DataFrame:
     """Active cooldowns with seconds left and up to six hosts of hosts(site_key, host); most left first, 1 to 128."""
     names = hosts.groupBy("site_key").agg(F.slice(F.array_sort(F.collect_set(F.lower("host"))), 1, 6).alias("hosts"))
-    left = (F.unix_micros("ready_at") - F.unix_micros(now)) / 1e6
+    left = _seconds_between(now, F.col("ready_at"))
     return registry.withColumn("remaining", left).where("remaining > 0").join(names, "site_key", "left").orderBy(F.desc("remaining"), "site_key").limit(min(max(take, 1), 128))
 
 
 def violations(requests: DataFrame, minimum_seconds: float) -> DataFrame:
     """Requests (ip, ts) that came too soon after the one before."""
     before = F.lag("ts").over(Window.partitionBy("ip").orderBy("ts"))
-    return requests.withColumn("gap", (F.unix_micros("ts") - F.unix_micros(before)) / 1e6).where(F.col("gap") < minimum_seconds)
+    return requests.withColumn("gap", _seconds_between(before, F.col("ts"))).where(F.col("gap") < minimum_seconds)
 
 
 def allowed_hosts(rows: DataFrame, hosts: list[str], host_col: str = "host") -> DataFrame:
@@ -171,4 +189,12 @@ def allowed_hosts(rows: DataFrame, hosts: list[str], host_col: str = "host") ->
 def seed_priorities(seeds: DataFrame) -> DataFrame:
     """Seeds (url, ord), each once, with priority 100 less its place, 10 at least."""
     first = seeds.groupBy("url").agg(F.min("ord").alias("ord"))
-    return first.withColumn("priority", F.greatest(F.lit(10), F.lit(100) - (F.row_number().over(Window.orderBy("ord")) - 1)))
+    # from the 91st place on, all have the least priority
+    best = first.orderBy("ord", "url").limit(100).withColumn("priority", F.greatest(F.lit(10), F.lit(101) - F.row_number().over(Window.orderBy("ord", "url"))))
+    return first.join(F.broadcast(best.select("url", "priority")), "url", "left").select("url", "ord", F.coalesce("priority", F.lit(10)).alias("priority"))
+
+
+def active_timeouts(registry: DataFrame, now: Column, take: int = 12) -> DataFrame:
+    """The longest cooldowns left of registry(site_key, ready_at), keys without case breaking ties."""
+    left = _seconds_between(now, F.col("ready_at"))
+    return registry.withColumn("remaining", left).where("remaining > 0").orderBy(F.desc("remaining"), F.lower("site_key"), "site_key").limit(take)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weir.functions import scoring
-from weir.functions.url import registrable_domain
+from weir.functions.url import host, registrable_domain
+from weir.operators.numbering import checkpointed, numbered
 
 
 def incoming_counts(links: DataFrame) -> DataFrame:
@@ -94,33 +95,18 @@ def changes(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 def replay_frames(events: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The frame at which each page of events(page, ts, id) first shows, and each link: as soon as both its pages have."""
     first = events.groupBy("page").agg(F.min(F.struct("ts", "id")).alias("at"))
-    frames = first.withColumn("frame", F.row_number().over(Window.orderBy("at"))).select("page", "frame")
+    frames = numbered(first, "frame", ["at", "page"]).select("page", "frame")
     f = links.join(frames.withColumnsRenamed({"page": "from_page", "frame": "x"}), "from_page").join(frames.withColumnsRenamed({"page": "to_page", "frame": "y"}), "to_page")
     return frames, f.select("from_page", "to_page", F.greatest("x", "y").alias("frame"))
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder that spark.checkpoint.dir names; where it is unset, as in tests, in a folder of this machine."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="weir-")
-        sc.setCheckpointDir(named)
-    return df.checkpoint()
-
-
 def neighbourhood(links: DataFrame, page: int, depth: int = 2) -> DataFrame:
     """Pages at most ``depth`` links from a page, either way, with their distance."""
     both = links.select(F.col("from_page").alias("a"), F.col("to_page").alias("b")).union(links.select(F.col("to_page").alias("a"), F.col("from_page").alias("b"))).distinct()
     seen = links.sparkSession.createDataFrame([(page, 0)], "page long, distance int")
     for d in range(1, depth + 1):
         step = both.join(seen.where(F.col("distance") == d - 1), both["a"] == seen["page"]).select(F.col("b").alias("page"), F.lit(d).alias("distance"))
-        seen = seen.union(step).groupBy("page").agg(F.min("distance").alias("distance"))
+        seen = checkpointed(seen.union(step).groupBy("page").agg(F.min("distance").alias("distance")))
     return seen
 
 
@@ -133,7 +119,7 @@ def connected(nodes: DataFrame, links: DataFrame, most_rounds: int = 100) -> Dat
         near = both.join(labels.withColumnsRenamed({"a": "b", "label": "l"}), "b").groupBy("a").agg(F.min("l").alias("l"))
         least = labels.join(near, "a", "left").select("a", F.least("label", "l").alias("label"))
         jump = least.select(F.col("a").alias("label"), F.col("label").alias("up"))
-        labels = _checkpoint(least.join(jump, "label", "left").select("a", F.least("label", "up").alias("label")))
+        labels = checkpointed(least.join(jump, "label", "left").select("a", F.least("label", "up").alias("label")))
         now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         if now == before:
             return labels.select(F.col("a").alias("id"), F.col("label").alias("component"))
@@ -146,9 +132,62 @@ def seed_nodes(nodes: DataFrame, keywords: list[str], total: int) -> DataFrame:
     hit = F.lit(False)
     for k in keywords:
         hit = hit | F.contains(F.lower(F.concat_ws(" ", "url", "domain")), F.lit(k.lower()))
-    marked = nodes.withColumn("hit", hit)
-    enough = marked.agg((F.count_if("hit") >= 3).alias("enough"))
-    named = F.row_number().over(Window.partitionBy("hit").orderBy(F.desc("size"), "id"))
-    every = F.row_number().over(Window.orderBy(F.desc("size"), "id"))
+    largest = [F.desc("size"), F.col("id")]
+    named = nodes.where(hit).orderBy(*largest).limit(8)
+    few = named.agg((F.count(F.lit(1)) < 3).alias("few"))
     most = min(8, max(3, total // 40 + 2))
-    return marked.withColumn("r", named).withColumn("q", every).crossJoin(F.broadcast(enough)).where((F.col("enough") & F.col("hit") & (F.col("r") <= 8)) | (~F.col("enough") & (F.col("q") <= most))).select(*nodes.columns)
+    every = nodes.orderBy(*largest).limit(most).crossJoin(F.broadcast(few)).where("few").drop("few")
+    return named.crossJoin(F.broadcast(few)).where("not few").drop("few").unionByName(every)
+
+
+def replay_seeds(nodes: DataFrame, take: int = 12) -> DataFrame:
+    """The nodes a replay begins with: the largest, then by id."""
+    return nodes.orderBy(F.desc("size"), "id").limit(take)
+
+
+def frontier_candidates(nodes: DataFrame, take: int) -> DataFrame:
+    """Nodes (id, score, size, queued) shown as next to be crawled: queued ones, or all if none is; the best by score and a twentieth of their size."""
+    any_queued = nodes.agg(F.coalesce(F.max("queued"), F.lit(False)).alias("__any"))
+    pool = nodes.crossJoin(F.broadcast(any_queued)).where(F.col("queued") | ~F.col("__any")).drop("__any")
+    return pool.orderBy(F.desc(F.coalesce("score", F.lit(0.0)) + F.coalesce("size", F.lit(0)) * 0.05), "id").limit(max(0, take))
+
+
+def visible_subset(nodes: DataFrame, edges: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The nodes (id, size, in_view) shown, the largest in view and then the largest of the rest, and the edges among them."""
+    shown = nodes.orderBy(F.desc("in_view"), F.desc("size"), "id").limit(limit)
+    ids = F.broadcast(shown.select("id"))
+    kept = edges.join(ids.withColumnRenamed("id", "from_page"), "from_page", "left_semi").join(ids.withColumnRenamed("id", "to_page"), "to_page", "left_semi")
+    return shown, kept
+
+
+def focused_node(nodes: DataFrame, term: str) -> DataFrame:
+    """The first node (by id) whose URL or domain has the term, whatever the case; none for an empty term."""
+    t = (term or "").lower()
+    hit = F.contains(F.lower(F.coalesce("url", F.lit(""))), F.lit(t)) | F.contains(F.lower(F.coalesce("domain", F.lit(""))), F.lit(t))
+    return nodes.where(hit if t else F.lit(False)).orderBy("id").limit(1)
+
+
+def scaled_nodes(nodes: DataFrame) -> DataFrame:
+    """Site nodes (n_pages, average) with a radius of 12 to 44 by the square root of their pages, and their place between the least and the greatest score, 0 to 1."""
+    ext = nodes.agg(F.least(F.lit(1), F.coalesce(F.min("n_pages"), F.lit(1))).alias("__p0"), F.greatest(F.lit(1), F.coalesce(F.max("n_pages"), F.lit(1))).alias("__p1"), F.least(F.lit(0.0), F.coalesce(F.min("average"), F.lit(0.0))).alias("__s0"), F.greatest(F.lit(1.0), F.coalesce(F.max("average"), F.lit(1.0))).alias("__s1"))
+    share = (F.sqrt("n_pages") - F.sqrt("__p0")) / (F.sqrt("__p1") - F.sqrt("__p0"))
+    radius = F.when(F.col("__p0") == F.col("__p1"), 28.0).otherwise(12 + 32 * share)
+    return nodes.crossJoin(F.broadcast(ext)).select(*nodes.columns, F.round(radius, 6).alias("radius"), F.round((F.col("average") - F.col("__s0")) / (F.col("__s1") - F.col("__s0")), 6).alias("shade"))
+
+
+def scaled_edges(edges: DataFrame) -> DataFrame:
+    """Edges (weight) with a width of 1.2 to 5.4 by the square root of their weight."""
+    most = edges.agg(F.greatest(F.lit(1), F.coalesce(F.max("weight"), F.lit(1))).alias("__m"))
+    width = F.when(F.col("__m") == 1, 3.3).otherwise(1.2 + 4.2 * (F.sqrt("weight") - 1) / (F.sqrt("__m") - 1))
+    return edges.crossJoin(F.broadcast(most)).select(*edges.columns, F.round(width, 6).alias("width"))
+
+
+def group_key(url: Column, domain: Column, level: str) -> Column:
+    """``domain:`` and the registrable domain, or ``subdomain:`` and the host, of a node's URL or else its domain; ``unknown`` for neither."""
+    name = F.coalesce(F.nullif(host(F.coalesce(url, F.lit(""))), F.lit("")), F.lower(F.coalesce(domain, F.lit(""))))
+    return F.concat(F.lit("domain:"), registrable_domain(name)) if level == "domain" else F.concat(F.lit("subdomain:"), F.coalesce(F.nullif(name, F.lit("")), F.lit("unknown")))
+
+
+def url_index(nodes: DataFrame, variants: Column) -> DataFrame:
+    """Keys (key, id) under which nodes (id, url) are found: of several nodes with a key the first by id."""
+    return nodes.select("id", F.explode(variants).alias("key")).groupBy("key").agg(F.min("id").alias("id"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weir.functions.url import host, without_fragment
+from weir.functions.url import host, image_record_name, image_type, without_fragment
+from weir.operators.numbering import numbered
 
 
 def canonical_pages(pages: DataFrame) -> DataFrame:
@@ -28,12 +29,21 @@ def classify(candidates: DataFrame, known: DataFrame) -> DataFrame:
     return rows.select("id", "url", kind.alias("kind"), F.coalesce("__u", "__h").alias("page_id"), F.when(F.col("__u").isNull(), F.col("content_hash")).alias("content_hash"))
 
 
+def _last(rows: DataFrame) -> DataFrame:
+    """The greatest id, 0 of none."""
+    return rows.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long"))
+
+
+def site_cache(sites: DataFrame) -> DataFrame:
+    """Sites by name without case and blanks around it, the smallest id of each."""
+    return sites.where(F.trim("domain") != "").groupBy(F.lower(F.trim("domain")).alias("domain")).agg(F.min("id").alias("id"))
+
+
 def sites_of(urls: DataFrame, sites: DataFrame) -> DataFrame:
     """All sites (id, domain) after urls (url): new hosts get ids after the greatest, in the order of their names."""
     new = urls.select(host(F.col("url")).alias("domain")).where("domain <> ''").distinct().join(sites.select(F.lower(F.trim("domain")).alias("domain")), "domain", "left_anti")
-    last = sites.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__last"))
-    numbered = new.crossJoin(F.broadcast(last)).select((F.col("__last") + F.row_number().over(Window.orderBy("domain"))).cast(dict(sites.dtypes)["id"]).alias("id"), "domain")
-    return sites.select("id", "domain").unionByName(numbered)
+    named = numbered(new, "id", ["domain"], _last(sites)).select(F.col("id").cast(dict(sites.dtypes)["id"]).alias("id"), "domain")
+    return sites.select("id", "domain").unionByName(named)
 
 
 def upsert_pages(pages: DataFrame, batch: DataFrame) -> DataFrame:
@@ -41,14 +51,14 @@ def upsert_pages(pages: DataFrame, batch: DataFrame) -> DataFrame:
 
     Statuses: inserted, updated, promoted (from a frontier entry), and for content that a smaller HTML page has,
     duplicate_content, updated_duplicate, promoted_duplicate; a duplicate's HTML is dropped and it points at that page.
-    Of rows with one URL in a batch the latest counts."""
-    came = batch.withColumn("url", without_fragment(F.col("url"))).where("url is not null").groupBy("url").agg(F.max_by(F.struct("page_type_code", "html_content", "accessed_time"), "accessed_time").alias("n"))
+    Of rows with one URL in a batch the latest counts, of those as late the greatest content.  Only the new URLs are numbered, in their order."""
+    content = F.struct("page_type_code", "html_content", "accessed_time")
+    came = batch.withColumn("url", without_fragment(F.col("url"))).where("url is not null").groupBy("url").agg(F.max_by(content, F.struct("accessed_time", "html_content", "page_type_code")).alias("n"))
     came = came.withColumn("__hash", F.sha2("n.html_content", 256))
-    both = pages.join(came, "url", "full_outer")
-    last = pages.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__last"))
-    fresh = F.row_number().over(Window.partitionBy(F.col("id").isNull()).orderBy("url"))
-    both = both.crossJoin(F.broadcast(last)).withColumn("__new", F.col("id").isNull()).withColumn("__old_type", F.col("page_type_code"))
-    both = both.withColumn("id", F.when(F.col("__new"), F.col("__last") + fresh).otherwise(F.col("id")).cast(dict(pages.dtypes)["id"])).withColumn("__now_hash", F.coalesce("__hash", "content_hash"))
+    new = numbered(came.select("url").join(pages.select("url"), "url", "left_anti"), "__id", ["url"], _last(pages))
+    both = pages.join(came, "url", "full_outer").join(new, "url", "left")
+    both = both.withColumn("__new", F.col("id").isNull()).withColumn("__old_type", F.col("page_type_code"))
+    both = both.withColumn("id", F.coalesce("id", "__id").cast(dict(pages.dtypes)["id"])).withColumn("__now_hash", F.coalesce("__hash", "content_hash"))
     html = (F.coalesce("n.page_type_code", "page_type_code") == "HTML") & F.col("duplicate_of_page_id").isNull()
     first = both.where(html & F.col("__now_hash").isNotNull()).groupBy(F.col("__now_hash").alias("__k")).agg(F.min("id").alias("__first"))
     out = both.join(first, (F.col("__hash") == F.col("__k")) & (F.col("__first") < F.col("id")), "left")
@@ -75,8 +85,8 @@ def discovered(found: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def upsert_page_data(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Stored (page_id, data_type_code, data) after new rows: added where absent, overwritten only by data."""
-    n = new.select("page_id", "data_type_code", F.col("data_type_code").alias("__t"), F.col("data").alias("__d")).dropDuplicates(["page_id", "data_type_code"])
+    """Stored (page_id, data_type_code, data) after new rows: added where absent, overwritten only by data; of several new rows the greatest data counts."""
+    n = new.groupBy("page_id", "data_type_code").agg(F.max("data").alias("__d"))
     both = stored.join(n, ["page_id", "data_type_code"], "full_outer")
     return both.select("page_id", "data_type_code", F.coalesce("__d", "data").alias("data"))
 
@@ -87,10 +97,54 @@ def merge_candidates(rows: DataFrame) -> DataFrame:
 
 
 def upsert_setting(settings: DataFrame, new: DataFrame) -> DataFrame:
-    """Settings (key, value, updated_at, updated_by), the latest row of each key."""
-    return settings.unionByName(new).groupBy("key").agg(F.max_by(F.struct("value", "updated_at", "updated_by"), "updated_at").alias("v")).select("key", "v.*")
+    """Settings (key, value, updated_at, updated_by), the latest row of each key; of those as late a new one, then the greatest value."""
+    both = settings.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
+    return both.groupBy("key").agg(F.max_by(F.struct("value", "updated_at", "updated_by"), F.struct("updated_at", "__new", "value", "updated_by")).alias("v")).select("key", "v.*")
+
+
+def json_setting(settings: DataFrame, key: str, schema: str, default: str) -> DataFrame:
+    """One row: the setting's value as a struct of the schema; the default, JSON too, where it is missing, blank or no JSON object."""
+    own = settings.where(F.col("key") == key).agg(F.max("value").alias("value"))
+    fits = F.col("value").rlike(r"^\s*\{") & F.try_parse_json("value").isNotNull()
+    return own.select(F.from_json(F.when(fits, F.col("value")).otherwise(F.lit(default)), schema).alias("setting"))
 
 
 def add_seeds(seeds: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """Seeds and those new ones whose key is not there yet."""
-    return seeds.unionByName(new.dropDuplicates(key).join(seeds.select(*key), key, "left_anti"))
+    rest = [c for c in new.columns if c not in key]
+    first = new.groupBy(*key).agg(F.min(F.struct(*rest)).alias("__r")).select(*key, "__r.*") if rest else new.select(*key).distinct()
+    return seeds.unionByName(first.join(seeds.select(*key), key, "left_anti"))
+
+
+def discovered_images(pages: DataFrame, links: DataFrame, images: DataFrame, found: DataFrame, now: Column) -> dict[str, DataFrame]:
+    """Pages (id, url, page_type_code), links and images (page_id, filename, content_type, accessed_time) after images found(page_id, url).
+
+    Their pages are BINARY: new ones come in, frontier entries are promoted; each page that shows one links to it, and has one image row per file name."""
+    rows = found.select("page_id", without_fragment(F.col("url")).alias("url")).where("url is not null").distinct()
+    came = rows.select("url").distinct()
+    new = numbered(came.join(pages.select("url"), "url", "left_anti"), "id", ["url"], _last(pages)).select(F.col("id").cast(dict(pages.dtypes)["id"]).alias("id"), "url", F.lit("BINARY").alias("page_type_code"))
+    shown = pages.join(came.withColumn("__came", F.lit(True)), "url", "left")
+    promoted = F.when(F.col("__came") & (F.col("page_type_code") == "FRONTIER"), "BINARY").otherwise(F.col("page_type_code"))
+    every = shown.select("id", "url", promoted.alias("page_type_code")).unionByName(new)
+    edges = rows.join(every.select("url", F.col("id").alias("to_page")), "url").select(F.col("page_id").alias("from_page"), "to_page").where("from_page <> to_page")
+    kind = image_type(F.col("url"))
+    mime = F.when(kind == "JPG", "image/jpeg").when(kind == "SVG", "image/svg+xml").when(kind == "ICO", "image/x-icon").when(kind.isNotNull(), F.concat(F.lit("image/"), F.lower(kind)))
+    media = rows.groupBy("page_id", image_record_name(F.col("url")).alias("filename")).agg(F.min(mime).alias("content_type")).withColumn("accessed_time", now)
+    fresh = media.join(images.select("page_id", "filename").distinct(), ["page_id", "filename"], "left_anti")
+    return {"pages": every, "links": links.select("from_page", "to_page").union(edges).distinct(), "images": images.select("page_id", "filename", "content_type", "accessed_time").unionByName(fresh.select("page_id", "filename", "content_type", "accessed_time"))}
+
+
+def ingest_candidates(found: DataFrame, now: Column) -> DataFrame:
+    """Queue candidates of what ingested pages found(source_url, url, ord): priority 0, depth 1, the page as source."""
+    return found.select("url", F.lit(0).alias("priority"), F.lit(1).alias("depth"), "source_url", now.alias("discovered_at"), "ord")
+
+
+def update_site_policy(sites: DataFrame, results: DataFrame) -> DataFrame:
+    """Sites (id, robots_content, sitemap_content) after results(id, robots_content, robots_sitemaps), one a site, with new_sitemaps.
+
+    Blank robots texts and empty lists change nothing; the list's distinct URLs, in order, are kept a line each, and are new only if that text changes."""
+    came = results.select("id", F.col("robots_content").alias("__r"), F.array_distinct(F.filter(F.transform("robots_sitemaps", lambda u: without_fragment(u)), lambda u: u.isNotNull())).alias("__s"))
+    text = F.when(F.size("__s") > 0, F.array_join("__s", "\n"))
+    changed = text.isNotNull() & ~text.eqNullSafe(F.col("sitemap_content"))
+    robots = F.when(F.trim(F.coalesce("__r", F.lit(""))) != "", F.col("__r"))
+    return sites.join(came, "id", "left").select("id", F.coalesce(robots, "robots_content").alias("robots_content"), F.coalesce(text, "sitemap_content").alias("sitemap_content"), F.when(F.coalesce(changed, F.lit(False)), F.col("__s")).otherwise(F.array().cast("array<string>")).alias("new_sitemaps"))

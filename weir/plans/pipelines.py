@@ -12,6 +12,7 @@ from weir.functions import url as U
 from weir.functions.html import page_assets
 from weir.operators import ingest
 from weir.operators.frontier import enqueue, merge_batch
+from weir.operators.numbering import numbered
 
 LINKS_PER_PAGE = 30
 
@@ -39,12 +40,11 @@ def reparse(pages: DataFrame, links: DataFrame, frontier: DataFrame, now: Column
     found = candidates(pages)
     best = found.groupBy("url").agg(F.when(F.max(F.col("page_type_code") == "BINARY"), "BINARY").otherwise("FRONTIER").alias("t"), F.min_by("data_type_code", F.when(F.col("data_type_code").isNotNull(), F.struct("page_id", "ord"))).alias("d"))
     both = pages.join(best, "url", "full_outer")
-    from pyspark.sql import Window
-
-    last = pages.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__last"))
-    new_id = F.col("__last") + F.row_number().over(Window.partitionBy(F.col("id").isNull()).orderBy("url"))
+    last = pages.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long"))
+    # the new URLs alone are numbered
+    new = numbered(best.select("url").join(pages.select("url"), "url", "left_anti"), "__id", ["url"], last)
     promoted = (F.col("page_type_code") == "FRONTIER") & (F.col("t") == "BINARY")
-    every = both.crossJoin(F.broadcast(last)).select(F.when(F.col("id").isNull(), new_id).otherwise(F.col("id")).cast(dict(pages.dtypes)["id"]).alias("id"), "url", F.when(F.coalesce(promoted, F.lit(False)), "BINARY").otherwise(F.coalesce("page_type_code", "t")).alias("page_type_code"), *[F.col(c) for c in pages.columns if c not in ("id", "url", "page_type_code")])
+    every = both.join(new, "url", "left").select(F.coalesce("id", "__id").cast(dict(pages.dtypes)["id"]).alias("id"), "url", F.when(F.coalesce(promoted, F.lit(False)), "BINARY").otherwise(F.coalesce("page_type_code", "t")).alias("page_type_code"), *[F.col(c) for c in pages.columns if c not in ("id", "url", "page_type_code")])
     ids = every.select("url", F.col("id").alias("to_page"))
     edges = links.select("from_page", "to_page").union(found.join(ids, "url").select(F.col("page_id").alias("from_page"), "to_page")).distinct()
     queued = found.where("page_type_code = 'FRONTIER'").select("url", F.lit(0).alias("priority"), F.lit(1).alias("depth"), "source_url", now.alias("discovered_at"), "ord")

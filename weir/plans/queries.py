@@ -250,7 +250,7 @@ _HEADS = "h AS (SELECT *, row_number() OVER (ORDER BY priority DESC, discovered_
 
 @query(f"WITH {_HEADS} SELECT site_key, id, priority, CAST(rank AS INT) AS rank FROM h")
 def frontier_claim_per_site(spark, d):
-    return frontier.heads(view(spark, d, "v_frontier"), None, now()).select("site_key", "id", "priority", "rank")
+    return frontier.ranked_heads(view(spark, d, "v_frontier"), None, now()).select("site_key", "id", "priority", F.col("rank").cast("int").alias("rank"))
 
 
 @query(f"WITH {_HEADS} SELECT w AS worker_id, id, url FROM h JOIN (VALUES (1, 9101), (2, 9102), (3, 7)) v(k, w) ON rank = k")
@@ -462,15 +462,15 @@ def seed_assignment_weighted(spark, d):
 
 
 def _groups(spark, d) -> DataFrame:
-    return base(spark, d, "events").where("user_id % 10 < 5").groupBy((F.col("user_id") % 10).alias("ord")).agg(F.array_sort(F.collect_set("user_id")).alias("worker_ids")).select("ord", F.concat(F.lit("g"), F.col("ord").cast("string")).alias("name"), "worker_ids", (F.col("ord") != 3).alias("enabled"), (F.col("ord") * 10).cast("int").alias("per_minute"))
+    return base(spark, d, "events").groupBy((F.col("user_id") % 10).alias("ord")).agg(F.array_sort(F.collect_set("user_id")).alias("worker_ids")).select("ord", F.concat(F.lit("g"), F.col("ord").cast("string")).alias("name"), "worker_ids", (~F.col("ord").isin(3, 7)).alias("enabled"), (F.col("ord") * 10).cast("int").alias("per_minute"))
 
 
-@query("SELECT DISTINCT user_id AS worker_id, 60.0 / (user_id % 10 * 10) AS delay FROM events WHERE user_id % 10 IN (1, 2, 4)")
+@query("SELECT DISTINCT user_id AS worker_id, 60.0 / (user_id % 10 * 10) AS delay FROM events WHERE user_id % 10 NOT IN (0, 3, 7)")
 def group_rate_limit(spark, d):
     return activity.group_delay(_groups(spark, d))
 
 
-@query("SELECT count(DISTINCT user_id) AS n FROM events WHERE user_id % 10 < 5")
+@query("SELECT count(DISTINCT user_id) AS n FROM events")
 def assigned_workers(spark, d):
     return activity.assigned_workers(_groups(spark, d))
 
@@ -515,20 +515,14 @@ def connected_components(spark, d):
     return graph.connected(nodes, links)
 
 
-@query()
-def page_neighbourhood(spark, d):
-    links = view(spark, d, "v_link")
-    return graph.neighbourhood(links, links.agg(F.min("from_page")).first()[0], 2)
-
-
-@query()
-def sitemap_bfs(spark, d):
+def sitemap_documents(spark, d) -> tuple[DataFrame, str]:
+    """A sitemap (url, xml) of each domain and one of all of them, and the first domain."""
     loc = lambda u: F.concat(F.lit("<url><loc>"), u, F.lit("</loc></url>"))
     pages = view(spark, d, "v_page").groupBy("domain").agg(F.concat(F.lit("<urlset>"), F.array_join(F.sort_array(F.collect_list(loc(F.regexp_replace("url", "&", "&amp;")))), ""), F.lit("</urlset>")).alias("xml"))
     own = pages.select(F.concat(F.lit("https://"), F.col("domain"), F.lit("/sitemap.xml")).alias("url"), "xml")
     top = own.agg(F.concat(F.lit("<sitemapindex>"), F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("<sitemap><loc>"), F.col("url"), F.lit("</loc></sitemap>")))), ""), F.lit("</sitemapindex>")).alias("xml")).select(F.lit("root").alias("url"), "xml")
     host = pages.agg(F.min("domain")).first()[0]
-    return pipelines.sitemap_urls(own.union(top), ["root"], host, most_documents=100)
+    return own.union(top), host
 
 
 @query()
@@ -541,11 +535,3 @@ def document_link_export(spark, d):
     pages = view(spark, d, "v_page")
     more = pages.withColumn("html_content", F.concat("html_content", F.lit('<a href="/files/a.pdf">a</a><a href="/dl?file=b.docx">b</a>')))
     return pipelines.document_links(more, view(spark, d, "v_frontier"))
-
-
-@query()
-def live_throughput(spark, d):
-    rows = base(spark, d, "events").select("ts", F.to_json(F.struct(F.when(F.col("event_type") == "view", F.lit("page-reported")).alias("type"), F.when(F.col("event_type") == "click", F.lit("2")).alias("page_processed"))).alias("payload"))
-    return activity.live_throughput(rows, 3600)
-
-

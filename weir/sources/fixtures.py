@@ -74,6 +74,40 @@ SELECT o_orderkey AS id,
        o_orderdate AS created_at,
        CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL '1' DAY END AS completed_at
 FROM orders
+""",
+    # workers of daemons, one per nation
+    "v_worker": r"""
+SELECT user_id AS worker_id, concat('Worker-', CAST(user_id AS VARCHAR(20))) AS name, user_id % 25 AS daemon_id,
+       CASE user_id % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'IDLE' WHEN 2 THEN 'Paused' ELSE 'stopped' END AS status,
+       CASE WHEN user_id % 3 <> 0 THEN concat('https://h', CAST(user_id % 20 AS VARCHAR(20)), '.example.org/p/', CAST(max(event_id) AS VARCHAR(20))) END AS current_url,
+       count(*) AS pages_processed, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS error_count
+FROM events GROUP BY user_id
+""",
+    "v_daemon": r"""
+SELECT n_nationkey AS id, concat('Node ', CAST(n_nationkey AS VARCHAR(20))) AS name,
+       CASE WHEN n_nationkey % 3 = 0 THEN concat('{"daemonId":"d', CAST(n_nationkey AS VARCHAR(20)), '"}') ELSE '{}' END AS metadata,
+       CASE WHEN n_nationkey % 4 = 1 THEN 'offline' WHEN n_nationkey % 7 = 6 THEN CAST(NULL AS VARCHAR(20)) ELSE 'online' END AS status
+FROM nation
+""",
+    # events of a crawl, with payloads
+    "v_event": r"""
+SELECT event_id AS id, ts, user_id AS worker_id,
+       CASE event_type WHEN 'view' THEN 'page-reported' WHEN 'click' THEN 'worker-metric' WHEN 'error' THEN 'error' WHEN 'signup' THEN 'status-change'
+            ELSE CASE WHEN event_id % 2 = 0 THEN 'frontier-prune' ELSE 'queue-change' END END AS type,
+       CASE event_type WHEN 'view' THEN concat('{"url":"https://h', CAST(user_id % 20 AS VARCHAR(20)), '.example.org/p/', CAST(event_id AS VARCHAR(20)), '"}')
+            WHEN 'click' THEN concat('{"pages_processed_total":', CAST(event_id % 100 AS VARCHAR(20)), ',"name":"x"}')
+            WHEN 'error' THEN concat('{"message":"fetch failed for ', CAST(event_id AS VARCHAR(20)), '","level":"Warning"}')
+            WHEN 'signup' THEN concat('{"status":"', CASE event_id % 3 WHEN 0 THEN 'Active' WHEN 1 THEN 'Idle' ELSE 'Paused' END, '","previousStatus":"Idle","reason":" "}')
+            ELSE concat('{"action":"claim","url":"https://h', CAST(user_id % 20 AS VARCHAR(20)), '.example.org/q","priority":', CAST(event_id % 7 AS VARCHAR(20)), '}') END AS payload
+FROM events
+""",
+    # links to crawl, found on customers' pages
+    "v_found": r"""
+SELECT o_orderkey AS ord, concat('https://c', CAST(o_custkey % 50 AS VARCHAR(20)), '.example.org/') AS source_url,
+       concat('https://c', CAST(o_orderkey % 40 AS VARCHAR(20)), '.', CASE o_orderkey % 3 WHEN 0 THEN 'gov.example' WHEN 1 THEN 'example' ELSE 'health.example' END, '.org/',
+              CASE o_orderkey % 5 WHEN 0 THEN 'clinic' WHEN 1 THEN 'news' WHEN 2 THEN 'files/a.pdf' WHEN 3 THEN 'img/p.png' ELSE 'x' END, '/', CAST(o_orderkey % 997 AS VARCHAR(20))) AS url,
+       CAST(o_orderkey % 6 AS INT) AS depth, o_orderdate AS found_at
+FROM orders
 """,
     # exact-duplicate corpus
     "v_content": r"""
