@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from weir.plans.crawl_queries import QUERIES, SQL
+from weir.plans.function_queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages"]
