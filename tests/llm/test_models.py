@@ -69,8 +69,10 @@ def test_class_model(spark, core_share):
     assert [r[:5] for r in found] == [r[:5] for r in want] and [r[5] for r in found] == pytest.approx([r[5] for r in want], rel=1e-9)
     assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
     # every word met twice has a class of its own choice; the others that of their shape
-    core = {w: int(model.classes[k]) for w, k in model.vocab.ids().items()}
-    rest = {bytes(r.word): (r.n, r["class"]) for r in model.rest.collect()}
+    named = {brown_lm.name(w): w for w in counts}
+    assert len(named) == v
+    core = {named[w]: int(model.classes[k]) for w, k in model.vocab.ids().items()}
+    rest = {named[r.h, r.mark]: (r.n, r["class"]) for r in model.rest.collect()}
     assert {w: m for w, (m, _) in rest.items()} == {w: m for w, m in counts.items() if w not in core}
     assert all((1 <= c <= 8) if m > 1 else c is None for m, c in rest.values()) and len(rest) > 100
     of_shape = lambda w: 9 + brown_lm.shape(w)
@@ -89,6 +91,16 @@ def test_class_model(spark, core_share):
     assert [x for _, x in sorted((str(r.doc_id), r.score) for r in got)] == pytest.approx([x for _, x in want], rel=1e-9)
 
 
+def test_words_of_one_hash_are_kept_apart():
+    """Rows of gathered words whose 64-bit hashes are equal by chance, over several batches."""
+    np, pa = brown_lm.np, brown_lm.pa
+    rows = [(5, k, (k % 3) | (k == 7) << 16 | (1 + k % 2) << 32) for k in range(12)] + [(6, 99, 1 | 7 << 32)]
+    batches = [pa.table({c: pa.array([r[i] for r in part], pa.int64()) for i, c in enumerate(("h", "key", "mark"))}).to_batches()[0] for part in (rows[:5], rows[5:])]
+    got = [r for b in brown_lm._gathered(iter(batches)) for r in b.to_pylist()]
+    read = lambda r: (r["h"], r["mark"], r["n"], *(np.frombuffer(r[c], t).tolist() for c, t in (("g", np.uint16), ("m", np.int64), ("keys", np.int64), ("before", np.uint16))))
+    assert sorted(map(read, got)) == [(5, 1, 6, [0, 1, 2], [2, 2, 2], [0, 2, 4, 6, 8, 10], [0, 2, 1, 0, 2, 1]), (5, 2, 5, [0, 1, 2], [2, 1, 2], [1, 3, 5, 7, 9, 11], [1, 0, 2, 1, 0, 2]), (6, 7, 1, [1], [1], [99], [1])]
+
+
 def test_class_model_without_texts(spark):
     rows = spark.createDataFrame(EXTRA, "doc_id long, text string")
     every = brown_lm.F.lit(True)

@@ -27,7 +27,6 @@ and are returned each; with no training text every word is unseen (N = 0, V = 0)
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -47,12 +46,12 @@ CORE_SHARE = 5e-6
 MOST_PLACES = 10_000_000
 CLASSES = 64
 #: Words are taken as settled when a sweep over them raises the log likelihood by a smaller share than this; so many rounds at most.
-SETTLED = 2e-3
+SETTLED = 3e-3
 MOST_ROUNDS = 40
 MOST_PARTS = 32
 SHAPES = 16
 END = b"\n"
-FLUSH = 400_000
+FLUSH = 3_000_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -68,115 +67,157 @@ def shape(word: bytes) -> int:
     return 8 * (not word.isascii()) + 4 * (len(word.translate(None, b"0123456789")) < len(word)) + 2 * (not (97 <= last < 123 or last >= 128)) + (len(word) > 8)
 
 
+def name(word: bytes) -> tuple[int, int]:
+    """How a word is known: a 64-bit hash, and 28 bits of its length, first and last byte, and shape.  The end is known as 0, 0."""
+    buf = np.frombuffer(word, np.uint8)
+    if word == END:
+        return 0, 0
+    starts, ends, hashes = words_of(buf, np.array([0, len(buf)]), lower=False)
+    return int(hashes.view(np.int64)[0]), int(_marks(buf, starts, ends)[0])
+
+
+# What bytes tell of a word's shape, and which end a word that is none of a sentence's.
+_TELLS = np.zeros(256, np.uint8)
+_TELLS[128:] = 8
+_TELLS[48:58] = 4
+_ODD = np.full(256, 2, np.uint8)
+_ODD[97:123] = 0
+_ODD[128:] = 0
+
+
+def _marks(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The 28 bits of many words; the last four are their shapes."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    sizes = ends - starts
+    # a word's last byte never is the buffer's end plus one, so runs end at the next word's start or the end
+    bounds = np.empty(2 * len(starts), np.int64)
+    bounds[0::2], bounds[1::2] = starts, ends
+    tells = _TELLS[buf]
+    tells = np.bitwise_or.reduceat(np.r_[tells, np.uint8(0)], bounds)[0::2]
+    last = buf[ends - 1]
+    shapes = tells | _ODD[last] | (sizes > 8)
+    return np.minimum(sizes, 255) << 20 | buf[starts].astype(np.int64) << 12 | last.astype(np.int64) << 4 | shapes
+
+
 def held_out(id_: Column) -> Column:
     """Whether crc32 of the id as text leaves 2 modulo 7; never for a null id."""
     return F.coalesce(F.pmod(F.crc32(id_.cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter = Counter()
+    """Rows (h, mark, n) of words, known as name() has it."""
+    held: list[pa.Table] = []
+    ends = waiting = 0
 
     def out() -> pa.RecordBatch:
-        got = pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+        sums = pa.concat_tables(held).group_by(["h", "mark"]).aggregate([("n", "sum")])
         held.clear()
-        return got
+        return sums.select(["h", "mark", "n_sum"]).rename_columns(["h", "mark", "n"])
 
     for batch in batches:
-        for text in batch.column(0):
-            held.update(tokens(text.as_py()))
-            if len(held) > FLUSH:
-                yield out()
-    yield out()
+        for lo, hi, buf, offsets in slices(batch.column(0)):
+            buf = LOWER[buf]
+            starts, stops, hashes = words_of(buf, offsets, lower=False)
+            held.append(pa.table({"h": hashes.view(np.int64), "mark": _marks(buf, starts, stops).astype(np.int32), "n": np.ones(len(hashes), np.int64)}))
+            ends += hi - lo
+            waiting += len(hashes)
+            if waiting > FLUSH:
+                yield from out().combine_chunks().to_batches()
+                waiting = 0
+    if ends:
+        held.append(pa.table({"h": pa.array([0], pa.int64()), "mark": pa.array([0], pa.int32()), "n": pa.array([ends], pa.int64())}))
+    if held:
+        yield from out().combine_chunks().to_batches()
 
 
 @dataclass
 class Vocabulary:
-    """Exact counts: n of each word of the core; of each shape the words met once and twice; of all, tokens and distinct words."""
+    """Exact counts: n of each word of the core, the end first; of each shape the words met once and twice; of all, tokens and distinct words."""
 
-    words: list[bytes]
+    hashes: np.ndarray
+    marks: np.ndarray
     counts: np.ndarray
     shape_once: np.ndarray
     shape_twice: np.ndarray
     total: int
     distinct: int
 
-    def ids(self) -> dict[bytes, int]:
-        return {w: i for i, w in enumerate(self.words)}
-
-    def shape_id(self, word: bytes) -> int:
-        return len(self.words) + shape(word)
+    def __len__(self) -> int:
+        return len(self.counts)
 
-
-def _shape_of(words: Column) -> Column:
-    return F.pandas_udf(lambda s: s.map(lambda w: shape(bytes(w))), "int")(words)
+    def ids(self) -> dict[tuple[int, int], int]:
+        return {(int(h), int(m)): i for i, (h, m) in enumerate(zip(self.hashes, self.marks, strict=True))}
 
 
 def vocabulary(training: DataFrame, least: int = LEAST, core_share: float = CORE_SHARE) -> Vocabulary:
     """Word counts of training(text)."""
-    counts = Saved(training.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    counts = Saved(training.mapInArrow(_count_words, "h long, mark int, n long").groupBy("h", "mark").agg(F.sum("n").alias("n")), "words")
     sums = counts.df.agg(F.sum("n"), F.count(F.lit(1))).first()
     total = int(sums[0] or 0)
-    often = (F.col("n") >= min(MOST_PLACES, max(least, core_share * total))) | (F.col("word") == F.lit(END))
-    # Arrow holds the words in a fraction of the memory of rows; there are at most 1 / core_share of them, or total / MOST_PLACES
-    top = counts.df.where(often).select("word", "n").toArrow()
-    words, n = [bytes(w) for w in top["word"].to_pylist()], top["n"].to_numpy()
-    order = sorted(range(len(words)), key=lambda i: (words[i] != END, -n[i], words[i]))
-    words, n = [words[i] for i in order] or [END], n[order].astype(np.int64) if order else np.zeros(1, np.int64)
-    few = counts.df.where((F.col("n") <= 2) & (F.col("word") != F.lit(END))).groupBy(_shape_of(F.col("word")).alias("s"), "n").agg(F.count(F.lit(1)).alias("v")).collect()
+    often = (F.col("n") >= min(MOST_PLACES, max(least, core_share * total))) | (F.col("mark") == 0)
+    # at most 1 / core_share words, or total / MOST_PLACES
+    top = counts.df.where(often).select("h", "mark", "n").toArrow()
+    h, marks, n = (top[c].to_numpy() for c in ("h", "mark", "n"))
+    if not len(n):
+        h, marks, n = (np.zeros(1, np.int64) for _ in range(3))
+    order = np.lexsort((marks, h, -n, marks != 0))
+    few = counts.df.where((F.col("n") <= 2) & (F.col("mark") != 0)).groupBy(F.col("mark").bitwiseAND(F.lit(SHAPES - 1)).alias("s"), "n").agg(F.count(F.lit(1)).alias("v")).collect()
     once, twice = np.zeros((2, SHAPES), np.int64)
     for r in few:
         (once if r["n"] == 1 else twice)[r["s"]] = r["v"]
     counts.drop()
-    return Vocabulary(words, n, once, twice, total, int(sums[1]))
+    return Vocabulary(h[order], marks[order].astype(np.int64), n[order].astype(np.int64), once, twice, total, int(sums[1]))
 
 
 class _Reader:
-    """Reads texts a slice at a time, all words at once; a word is known by its 64-bit hash."""
+    """Reads texts a slice at a time, all words at once, and finds those of the core in a table with open places."""
 
     def __init__(self, vocab: Vocabulary):
-        self.size = len(vocab.words)
-        buf = np.frombuffer(b" ".join(vocab.words[1:]), np.uint8)
-        _, _, hashes = words_of(buf, np.array([0, len(buf)]), lower=True)
-        self.ids = np.argsort(hashes)
-        self.hashes = hashes[self.ids]
+        self.size, self.marks = len(vocab), vocab.marks
+        hashes, ids = vocab.hashes[1:].view(np.uint64), np.arange(1, len(vocab))
+        bits = max(8, int(len(vocab) * 8).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.ids, self.depth = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int64), 0
+        while len(ids):
+            place = ((hashes >> self.shift).astype(np.int64) + self.depth) & self.mask
+            _, first = np.unique(place, return_index=True)
+            first = first[self.keys[place[first]] == 0]
+            self.keys[place[first]], self.ids[place[first]] = hashes[first], ids[first]
+            left = np.ones(len(ids), bool)
+            left[first] = False
+            hashes, ids, self.depth = hashes[left], ids[left], self.depth + 1
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word with the hash of one of the core, 0 of others."""
+        place = (hashes >> self.shift).astype(np.int64)
+        out = np.where(self.keys[place] == hashes, self.ids[place], 0)
+        open_ = np.flatnonzero((out == 0) & (self.keys[place] != 0))
+        for d in range(1, self.depth):
+            at = (place[open_] + d) & self.mask
+            key = self.keys[at]
+            hit = key == hashes[open_]
+            out[open_[hit]] = self.ids[at[hit]]
+            open_ = open_[~hit & (key != 0)]
+        return out
 
     def read(self, texts: pa.Array) -> Iterator[tuple]:
         """Of each slice: its first and last row; of all its tokens, an end after each text, the numbers, rows and numbers of the tokens before; which lie outside
-        the core; where those words lie, and their hashes."""
+        the core; and those words' hashes and marks."""
         for lo, hi, buf, offsets in slices(texts):
             buf = LOWER[buf]
             starts, ends, hashes = words_of(buf, offsets, lower=False)
-            cut = np.searchsorted(starts, offsets)
-            text = np.repeat(np.arange(hi - lo), np.diff(cut))
-            if len(self.hashes):
-                at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-                known = self.hashes[at] == hashes
-                number = np.where(known, self.ids[at] + 1, 0)
-            else:
-                known, number = np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
-            rest = np.flatnonzero(~known)
-            number[rest] = self.size + _shapes(buf, starts[rest], ends[rest])
+            sizes = np.diff(np.searchsorted(starts, offsets))
+            text = np.repeat(np.arange(hi - lo), sizes)
+            number, marks = self.find(hashes), _marks(buf, starts, ends)
+            number[self.marks[number] != marks] = 0
+            rest = np.flatnonzero(number == 0)
+            number[rest] = self.size + (marks[rest] & SHAPES - 1)
             row = np.zeros(len(number) + hi - lo, np.int64)
             row[np.arange(len(number)) + text] = number  # what is left are the ends, which are word 0
-            before = np.r_[0, row[:-1]]  # a text begins after an end
-            yield lo, hi, row, np.repeat(np.arange(hi - lo), np.diff(cut) + 1), before, rest + text[rest], (buf, starts[rest], ends[rest]), hashes[rest]
-
-
-def _shapes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """shape() of many words at once."""
-    some = lambda marks: (lambda sums: sums[ends] > sums[starts])(np.r_[0, np.cumsum(marks)])
-    last = buf[ends - 1] if len(ends) else np.zeros(0, np.uint8)
-    odd = ~((last >= 97) & (last < 123) | (last >= 128))
-    return 8 * some(buf >= 128) + 4 * some((buf >= 48) & (buf < 58)) + 2 * odd + (ends - starts > 8)
-
-
-def _words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """The words as an Arrow array."""
-    sizes = ends - starts
-    offsets = np.zeros(len(sizes) + 1, np.int32)
-    np.cumsum(sizes, out=offsets[1:])
-    data = buf[np.repeat(starts - offsets[:-1], sizes) + np.arange(offsets[-1])]
-    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+            before = np.empty_like(row)
+            before[:1], before[1:] = 0, row[:-1]  # a text begins after an end
+            yield lo, hi, row, np.repeat(np.arange(hi - lo), sizes + 1), before, rest + text[rest], hashes[rest], marks[rest]
 
 
 def _bigrams(sent):
@@ -267,8 +308,7 @@ def _class_table(sent):
             (others, begins), (n, _) = _values(batch.column(1), np.int32), _values(batch.column(2), np.int64)
             own = np.repeat(classes[batch.column(0).to_numpy()], np.diff(begins))
             table += np.bincount(own * k + classes[others], n, k * k).astype(np.int64)
-        at = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], names=["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary())], names=["cells"])
 
     return run
 
@@ -302,57 +342,57 @@ def _moves(sent):
 
 
 def _placed(sent):
-    """A row (word, key, mark) for each token outside the core: its text, and in the mark's bits the class before (16), the word's shape (4), bits of its hash (8) and whether the text is held out."""
+    """A row (h, key, mark) for each token outside the core: its hash, its text, and above the class before it (16 bits) whether the text is held out, and its mark (28 bits from 32 on)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, classes = sent.value
         reader = _Reader(vocab)
         for batch in batches:
-            for lo, hi, row, text, before, rest, where, hashes in reader.read(batch.column(2)):
-                held = batch.column(1).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(np.int64)
-                at = text[rest]
-                mark = classes[before[rest]] | (row[rest] - reader.size) << 16 | (hashes & np.uint64(0xFF)).astype(np.int64) << 20 | held[at] << 28
-                yield pa.RecordBatch.from_arrays([_words(*where), batch.column(0).slice(lo, hi - lo).take(pa.array(at)), pa.array(mark.astype(np.int32))], names=["word", "key", "mark"])
+            keys, held = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            for lo, _, _, text, before, rest, hashes, marks in reader.read(batch.column(2)):
+                at = text[rest] + lo
+                mark = classes[before[rest]] | held[at] << 16 | marks << 32
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(keys[at]), pa.array(mark)], names=["h", "key", "mark"])
 
     return run
 
 
-PLACED = "word binary, n long, shape int, turn int, g binary, m binary, keys binary, before binary"
+PLACED = "h long, mark int, n long, g binary, m binary, keys binary, before binary"
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row of the rows (word, key, mark) of each word, which come sorted by word; a word that goes over into the next batch is carried on.
+    """One row of the rows (h, key, mark) of each word, which come sorted by h; a word that goes over into the next batch is carried on.
 
     n: how often training texts have it; g and m, as bytes: the classes that stand before it there, and how often; keys and before: all its
     places, by text and class before."""
 
-    def out(table: pa.Table) -> pa.RecordBatch:
-        words, mark = table.column(0).combine_chunks(), table.column(2).to_numpy().astype(np.int64)
-        new = np.r_[True, pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)] if len(words) > 1 else np.ones(len(words), bool)
-        begins = np.flatnonzero(new)
-        word = np.cumsum(new) - 1
-        g, learnt = mark & 0xFFFF, mark >> 28 == 0
+    def out(h: np.ndarray, key: np.ndarray, mark: np.ndarray) -> pa.RecordBatch:
+        own = mark >> 32
+        if ((h[1:] == h[:-1]) & (own[1:] != own[:-1])).any():  # different words with one hash
+            by = np.lexsort((own, h))
+            h, key, mark, own = h[by], key[by], mark[by], own[by]
+        new = np.r_[True, (h[1:] != h[:-1]) | (own[1:] != own[:-1])]
+        begins, word = np.flatnonzero(new), np.cumsum(new) - 1
+        g, learnt = mark & 0xFFFF, mark >> 16 & 1 == 0
         cells, m = np.unique(word[learnt] << 16 | g[learnt], return_counts=True)
         sizes = np.diff(np.searchsorted(cells, np.arange(len(begins) + 1) << 16))
-        places = np.diff(np.r_[begins, len(words)])
-        columns = [words.take(pa.array(begins)), pa.array(np.bincount(word[learnt], minlength=len(begins))), pa.array((mark[begins] >> 16 & 0xF).astype(np.int32)), pa.array((mark[begins] >> 20 & 0xFF).astype(np.int32))]
-        columns += [_binary((cells & 0xFFFF).astype(np.uint16), sizes), _binary(m.astype(np.int64), sizes), _binary(table.column(1).to_numpy(), places), _binary(g.astype(np.uint16), places)]
-        return pa.RecordBatch.from_arrays(columns, names=["word", "n", "shape", "turn", "g", "m", "keys", "before"])
+        places = np.diff(np.r_[begins, len(h)])
+        columns = [pa.array(h[begins]), pa.array(own[begins].astype(np.int32)), pa.array(np.bincount(word[learnt], minlength=len(begins)))]
+        columns += [_binary((cells & 0xFFFF).astype(np.uint16), sizes), _binary(m.astype(np.int64), sizes), _binary(key, places), _binary(g.astype(np.uint16), places)]
+        return pa.RecordBatch.from_arrays(columns, names=["h", "mark", "n", "g", "m", "keys", "before"])
 
-    held: pa.Table | None = None
+    held: tuple | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = pa.Table.from_batches([batch])
-        now = now if held is None else pa.concat_tables([held, now]).combine_chunks()
-        words = now.column(0).combine_chunks()
-        other = np.flatnonzero(pc.not_equal(words, words[-1]).to_numpy(zero_copy_only=False))
-        cut = int(other[-1]) + 1 if len(other) else 0
+        now = tuple(c.to_numpy() for c in batch.columns)
+        now = now if held is None else tuple(np.concatenate(x) for x in zip(held, now, strict=True))
+        cut = int(np.searchsorted(now[0], now[0][-1]))
         if cut:
-            yield out(now.slice(0, cut))
-        held = now.slice(cut)
+            yield out(*(c[:cut] for c in now))
+        held = tuple(c[cut:] for c in now)
     if held is not None:
-        yield out(held)
+        yield out(*held)
 
 
 class _Exchange:
@@ -397,7 +437,7 @@ class _Exchange:
 
 def _replayed(batch: pa.RecordBatch, at: dict[str, int], exchange: _Exchange, least: int) -> tuple[np.ndarray, ...]:
     """Of a batch of gathered words the classes, after the rounds, of those met often enough, -1 of the others, with their counts and classes before."""
-    n, shapes, turns = (batch.column(at[c]).to_numpy() for c in ("n", "shape", "turn"))
+    n, shapes, turns = batch.column(at["n"]).to_numpy(), batch.column(at["mark"]).to_numpy() & SHAPES - 1, batch.column(at["h"]).to_numpy() & 0xFF
     (g, begins), (m, _) = _values(batch.column(at["g"]), np.uint16), _values(batch.column(at["m"]), np.int64)
     often = np.flatnonzero(n >= least)
     sizes = np.diff(begins)[often]
@@ -418,10 +458,9 @@ def _rest_cells(sent, k: int):
         table = np.zeros(k * k, np.int64)
         for batch in batches:
             if batch.num_rows:
-                _, g, m, c = _replayed(batch, {c: i for i, c in enumerate(("n", "shape", "turn", "g", "m"))}, exchange, least)
+                _, g, m, c = _replayed(batch, {c: i for i, c in enumerate(("h", "mark", "n", "g", "m"))}, exchange, least)
                 table += np.bincount(g * k + c, m, k * k).astype(np.int64)
-        at = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], names=["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary())], names=["cells"])
 
     return run
 
@@ -447,8 +486,8 @@ class Model:
 
     @property
     def rest(self) -> DataFrame:
-        """The training words outside the core: word, n, class (null of a word met once)."""
-        names = ("word", "n", "shape", "turn", "g", "m")
+        """The training words outside the core: h and mark, which name() has, n, class (null of a word met once)."""
+        names = ("h", "mark", "n", "g", "m")
         sent = self.places.spark.sparkContext.broadcast(self.sent())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -457,24 +496,31 @@ class Model:
             for batch in batches:
                 if batch.num_rows:
                     own = _replayed(batch, {c: i for i, c in enumerate(names)}, exchange, model.least)[0]
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own.astype(np.int32), mask=own < 0)], names=["word", "n", "class"])
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own.astype(np.int32), mask=own < 0)], names=["h", "mark", "n", "class"])
+
+        return self.places.df.where("n > 0").select(*names).mapInArrow(run, "h long, mark int, n long, class int")
+
 
-        return self.places.df.where("n > 0").select(*names).mapInArrow(run, "word binary, n long, class int")
+def _summed(tables: DataFrame, k: int) -> np.ndarray:
+    """The sum of the tasks' tables, brought together in a few tasks first."""
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(k * k, np.int64)
+        for batch in batches:
+            for cells in batch.column(0).to_pylist():
+                table += np.frombuffer(cells, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary())], names=["cells"])
 
-def _summed(cells: DataFrame, k: int) -> np.ndarray:
-    out = np.zeros(k * k, np.int64)
-    for r in cells.groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most k * k
-        out[r["cell"]] = r["n"]
-    return out.reshape(k, k)
+    rows = tables.repartition(4).mapInArrow(add, "cells binary").collect()
+    return sum((np.frombuffer(r["cells"], np.int64) for r in rows), np.zeros(k * k, np.int64)).reshape(k, k)
 
 
 class _Settling:
     """Decides on rounds that each move one of ``parts`` shares of the words: a round that lowers the likelihood is undone and followed by
     rounds of half the share; they end once a whole sweep has gained next to nothing, or such small shares still do harm."""
 
-    def __init__(self, share: float):
-        self.share, self.parts = share, 2
+    def __init__(self, share: float, parts: int = 2):
+        self.share, self.parts = share, parts
         self.gains: list[float] = []
 
     def better(self, old: np.ndarray, new: np.ndarray) -> bool:
@@ -493,7 +539,7 @@ class _Settling:
 
 def _core_classes(spark, training: DataFrame, vocab: Vocabulary, classes: int, most_rounds: int, settled: float) -> tuple[np.ndarray, np.ndarray]:
     """The class of each word of the core and each shape, and the class bigrams with every other word in its shape's class."""
-    size = len(vocab.words) + SHAPES
+    size = len(vocab) + SHAPES
     sent = spark.sparkContext.broadcast(vocab)
     grams = training.mapInArrow(_bigrams(sent), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     pair = grams.select((F.col("key") / size).cast("long").alias("a"), (F.col("key") % size).alias("b"), "n")
@@ -509,11 +555,11 @@ def _core_classes(spark, training: DataFrame, vocab: Vocabulary, classes: int, m
     free(spark)
     # classes: 0 the end; then the free ones; then the shapes
     k = 1 + classes + SHAPES
-    now = np.r_[0, 1 + np.arange(len(vocab.words) - 1) % classes, np.arange(SHAPES) + 1 + classes].astype(np.int64)
+    now = np.r_[0, 1 + np.arange(len(vocab) - 1) % classes, np.arange(SHAPES) + 1 + classes].astype(np.int64)
 
     def table_of(c: np.ndarray) -> np.ndarray:
         b = spark.sparkContext.broadcast((c, k))
-        out = _summed(laid.mapInArrow(_class_table(b), "cell long, n long"), k)
+        out = _summed(laid.mapInArrow(_class_table(b), "cells binary"), k)
         b.unpersist()
         return out
 
@@ -523,7 +569,7 @@ def _core_classes(spark, training: DataFrame, vocab: Vocabulary, classes: int, m
     back = np.argsort(shift)
     settling = _Settling(settled)
     for turn in range(most_rounds):
-        b = spark.sparkContext.broadcast((back[now], table[np.ix_(shift, shift)].astype(float), classes, turn % settling.parts, settling.parts, len(vocab.words)))
+        b = spark.sparkContext.broadcast((back[now], table[np.ix_(shift, shift)].astype(float), classes, turn % settling.parts, settling.parts, len(vocab)))
         tried = now.copy()
         moves = laid.mapInArrow(_moves(b), "word long, class long").toArrow()  # at most one row a word of the core
         tried[moves["word"].to_numpy()] = shift[moves["class"].to_numpy()]
@@ -551,21 +597,21 @@ def train(docs: DataFrame, is_held_out: Column | None = None, classes: int = CLA
     k = 1 + classes + SHAPES
     now, table = _core_classes(spark, training, vocab, classes, rounds, settled)
     sent = spark.sparkContext.broadcast((vocab, now))
-    rows = keyed.select("key", "held_out", "text").mapInArrow(_placed(sent), "word binary, key long, mark int")
-    places = Saved(rows.repartition("word").sortWithinPartitions("word").mapInArrow(_gathered, PLACED), "places")
+    rows = keyed.select("key", "held_out", "text").mapInArrow(_placed(sent), "h long, key long, mark long")
+    places = Saved(rows.repartition("h").sortWithinPartitions("h").mapInArrow(_gathered, PLACED), "places")
     free(spark)
 
     def cells(played: list) -> np.ndarray:
         b = spark.sparkContext.broadcast((classes, played, least))
-        return _summed(places.df.where(F.col("n") >= least).select("n", "shape", "turn", "g", "m").mapInArrow(_rest_cells(b, k), "cell long, n long"), k)
+        return _summed(places.df.where(F.col("n") >= least).select("h", "mark", "n", "g", "m").mapInArrow(_rest_cells(b, k), "cells binary"), k)
 
     # until the first round, the words are in their shapes' classes, as the core has seen them
-    others, played, settling = table - cells([]), [], _Settling(settled)
+    others, played, settling = table - cells([]), [], _Settling(settled, 1)
     for turn in range(rounds):
-        tried = [*played, (table.astype(float), turn % settling.parts if played else 0, settling.parts if played else 1)]
+        tried = [*played, (table.astype(float), turn % settling.parts, settling.parts)]
         new = others + cells(tried)
-        # the first round takes all words out of their shapes' classes
-        if settling.better(table, new) or not played:
+        # the first round takes all words out of their shapes' classes; a last one that gains next to nothing need not be played
+        if (settling.better(table, new) and not settling.done) or not played:
             played, table = tried, new
         if settling.done:
             break
@@ -577,7 +623,7 @@ def train(docs: DataFrame, is_held_out: Column | None = None, classes: int = CLA
     unseen = (vocab.shape_once + 1) / (vocab.shape_once + 2 * vocab.shape_twice + 2)
     each = (1 - unseen) / np.maximum(vocab.shape_once, 1)
     with np.errstate(divide="ignore"):
-        log_word = np.log10(vocab.counts / tokens_of[now[: len(vocab.words)]]) if vocab.total else np.zeros(1)
+        log_word = np.log10(vocab.counts / tokens_of[now[: len(vocab)]]) if vocab.total else np.zeros(1)
         return Model(vocab, now, table, np.log10(following), log_word, np.log10(np.maximum(tokens_of, 1)), np.log10(each), np.log10(unseen), classes, least, played, places)
 
 
@@ -605,7 +651,7 @@ def _core_scores(sent, kind: pa.DataType):
 
 def _rest_scores(sent, kind: pa.DataType):
     """Rows for texts, a batch of words at a time: what their words outside the core give."""
-    names = ("n", "shape", "turn", "g", "m", "keys", "before")
+    names = ("h", "mark", "n", "g", "m", "keys", "before")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = sent.value
@@ -615,7 +661,7 @@ def _rest_scores(sent, kind: pa.DataType):
             if not batch.num_rows:
                 continue
             own = _replayed(batch, {c: i for i, c in enumerate(names)}, exchange, model.least)[0]
-            n, shapes = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
+            n, shapes = batch.column(2).to_numpy(), batch.column(1).to_numpy().astype(np.int64) & SHAPES - 1
             log_word = np.where(own >= 0, np.log10(np.maximum(n, 1)) - model.log_class[own], np.where(n > 0, model.log_once[shapes], model.log_unseen[shapes]))
             own = np.where(own >= 0, own, shapes + 1 + model.free)
             (keys, begins), (g, _) = _values(batch.column(5), np.int64), _values(batch.column(6), np.uint16)
@@ -639,7 +685,7 @@ def score(docs: DataFrame, model: Model, is_held_out: Column, id_col: str = "doc
     arrow = to_arrow_schema(keyed.select("id").schema).field(0).type
     sent = spark.sparkContext.broadcast(model.sent())
     own = keyed.mapInArrow(_core_scores(sent, arrow), SUMS.format(kind))
-    rest = model.places.df.select("n", "shape", "turn", "g", "m", "keys", "before").mapInArrow(_rest_scores(sent, arrow), SUMS.format(kind))
+    rest = model.places.df.select("h", "mark", "n", "g", "m", "keys", "before").mapInArrow(_rest_scores(sent, arrow), SUMS.format(kind))
     # max needs a plain type to be summed in place, which ids have but for texts
     sums = own.union(rest).groupBy("key").agg(F.max("id").alias("id"), F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
     return sums.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(model.vocab.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
