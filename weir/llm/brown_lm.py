@@ -51,7 +51,7 @@ MOST_ROUNDS = 40
 MOST_PARTS = 32
 SHAPES = 16
 END = b"\n"
-FLUSH = 3_000_000
+FLUSH = 1_000_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -235,7 +235,7 @@ def _bigrams(sent):
             for _, _, row, _, before, *_ in reader.read(batch.column(0)):
                 held.append(before * size + row)
                 waiting += len(row)
-                if waiting > 4_000_000:
+                if waiting > FLUSH:
                     yield out()
                     waiting = 0
         yield out()
@@ -547,7 +547,7 @@ def _core_classes(spark, training: DataFrame, vocab: Vocabulary, classes: int, m
     # a row per word with its neighbours: at most two entries for each word of the core or shape
     lists = sides.groupBy("w").agg(*[F.collect_list(F.when(side, F.struct("o", "n"))).alias(c) for side, c in ((F.col("after"), "a"), (~F.col("after"), "b"))])
     # dealt evenly once; the rounds read the files
-    n_files = max(2 * spark.sparkContext.defaultParallelism, vocab.total // 2_000_000)
+    n_files = max(2 * spark.sparkContext.defaultParallelism, vocab.total // 1_000_000)
     lists = lists.select("w", "a.o", "a.n", F.col("b.o").alias("bo"), F.col("b.n").alias("bn")).mapInArrow(_packed, "w long, o binary, n binary, bo binary, bn binary")
     laid_table = Saved(lists.repartition(n_files), "bigrams")
     laid = laid_table.df
@@ -559,7 +559,7 @@ def _core_classes(spark, training: DataFrame, vocab: Vocabulary, classes: int, m
 
     def table_of(c: np.ndarray) -> np.ndarray:
         b = spark.sparkContext.broadcast((c, k))
-        out = _summed(laid.mapInArrow(_class_table(b), "cells binary"), k)
+        out = _summed(laid.select("w", "o", "n").mapInArrow(_class_table(b), "cells binary"), k)
         b.unpersist()
         return out
 
