@@ -7,7 +7,7 @@ The stages cannot be expressed in SQL; their test compares them with plain versi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weir.llm import decontaminate, language_id, near_dup, secrets, sentencepiece_bpe
@@ -16,35 +16,58 @@ from weir.llm.tables import Saved
 ORACLE_SQL = None
 
 
+LANG, ROW, OLD = "__weir_lang", "__weir_row", "__weir_old"
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents in no language: a null text, or one without letters."""
+    """Without the documents in no language: a null or empty text, or one without letters.
+
+    The model learns from rows with an id, a text and a language that are not held out; without any, every document is in no
+    language.  Repeated rows and those with null ids are judged by their texts like all others, however long; an empty table stays empty."""
     labelled = docs.where(~language_id.held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
     found = language_id.predict(docs, language_id.fit(labelled))
-    return docs.withColumn("__lang", found).where(F.col("__lang.lang_pred") != "und").drop("__lang")
+    return docs.withColumn(LANG, found).where(F.col(LANG)["lang_pred"] != "und").drop(LANG)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """With the document of the smallest id of each group of near duplicates."""
-    gone = near_dup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """With the document of the smallest id of each group of near duplicates.
+
+    A row without an id is a document of its own, which comes after those with ids; of rows with one id, which are one document,
+    the row of the smallest text stays.  Null and empty texts are like nothing.  An empty table stays empty."""
+    last = F.lit((1 << 63) - 1) - F.monotonically_increasing_id()
+    keyed = docs.withColumn(ROW, F.coalesce(F.col("doc_id").cast("long"), last))
+    gone = near_dup.near_duplicates(keyed, id_col=ROW).where("not kept").select(ROW).distinct()
+    kept = keyed.join(gone, ROW, "left_anti")
+    again = Saved(keyed.groupBy(ROW).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(ROW), "repeated").df
+    if not again.isEmpty():
+        first = F.row_number().over(Window.partitionBy(ROW).orderBy("text", *[F.to_json(F.struct(*[c for c in docs.columns if c != "text"]))]))
+        one = kept.join(again, ROW, "left_semi").withColumn(OLD, first).where(F.col(OLD) == 1).drop(OLD)
+        kept = kept.join(again, ROW, "left_anti").unionByName(one)
+    return kept.select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents of which a twentieth or more stands in benchmark items."""
+    """Without the documents of which a twentieth or more stands in benchmark items.
+
+    Null and empty texts are clean, repeated rows and null ids are judged each, and an empty benchmark removes nothing."""
     return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the secrets in their texts replaced; n_chars follows the text."""
+    """All documents, with the secrets in their texts replaced; n_chars follows a text that changes.
+
+    Null and empty texts stay as they are, and so does every other column; repeated rows and null ids stay rows of their own."""
     import public_tokenizers
 
-    clean = secrets.redact(docs.withColumn("__old", F.col("text")), public_tokenizers.path("word_bpe_49k.json"))
-    n_chars = F.when(F.col("text").eqNullSafe(F.col("__old")), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    clean = secrets.redact(docs.withColumn(OLD, F.col("text")), public_tokenizers.path("word_bpe_49k.json"))
+    n_chars = F.when(F.col("text").eqNullSafe(F.col(OLD)), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return clean.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's ids, with their number and the digests of the ids and of the text they decode to."""
+    """Each document's ids, with their number and the digests of the ids and of the text they decode to.
+
+    A null or empty text has no ids; every row stays, repeated ones and those with null ids too."""
     import public_tokenizers
 
     return sentencepiece_bpe.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), ("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
