@@ -42,6 +42,17 @@ def test_long_texts_are_cut_without_effect():
     assert list(codec.rows([text, None, text], ["ids"])) == [(library.encode(text),), ([],), (library.encode(text),)]
 
 
+def test_long_texts_without_spaces():
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rng = random.Random(3)
+    letters = [*"abcdefghijklmnopqrstuvwxyz0123456789", "日", "本", "é", "🙂", "\n"]
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for n in (399, 401, 5_000, 60_000)]
+    texts += ["日本語" * 20_000, "the" * 700, "x" * 900 + " " + "tion" * 300, "https://a.example/" + "q9" * 600]
+    got = sentencepiece_bpe.Codec(MODEL).rows(texts, ["ids", "decoded"])
+    for text, (ids, decoded) in zip(texts, got, strict=True):
+        assert ids == library.encode(text) and decoded == library.decode(ids)
+
+
 def test_encode_and_decode_frames(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None)], "doc_id long, text string").withColumn("n_tokens", sentencepiece_bpe.F.lit("x"))
     rows = sentencepiece_bpe.decode(sentencepiece_bpe.encode(docs, MODEL, ["n_tokens", "ids"]), MODEL)

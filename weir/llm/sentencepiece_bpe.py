@@ -8,6 +8,9 @@ array, until no pair is left.  Merging all occurrences at once equals the librar
 order unless the merged symbol could take part in a pair of better rank; such ranks are found from
 the vocabulary beforehand, and only their leftmost occurrence is merged in a round.
 
+A long segment, as of a text without spaces, is cut further between characters that no piece holds side by
+side: no merge can span such a place.
+
 No shuffle: each task works through its own rows in slices of bounded size.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; a text of spaces
@@ -31,6 +34,7 @@ SPACE = "▁"
 UNICODE = 0x110000
 NO_RANK = np.iinfo(np.int32).max
 SEGMENT = re.compile(" +[^ ]*")
+LONG = 400
 OUTPUTS = {
     "n_tokens": ("long", pa.int64()),
     "ids": ("array<int>", pa.list_(pa.int32())),
@@ -91,6 +95,23 @@ class MergeModel:
         self.one_by_one = np.zeros(len(order) + 1, bool)
         self.one_by_one[list(early)] = True
 
+        joins = {ord(a) << 21 | ord(b) for p in normal for a, b in zip(p, p[1:], strict=False)}
+        self.joins = np.array(sorted(joins) + [1 << 42], np.int64)
+
+    def parts(self, segment: str) -> list[str]:
+        """A long segment in runs of LONG characters or more that no merge spans, as far as it has such places."""
+        if len(segment) <= LONG:
+            return [segment]
+        points = np.frombuffer(segment.replace(" ", SPACE).encode("utf-32-le"), np.uint32).astype(np.int64)
+        key = points[:-1] << 21 | points[1:]
+        cuts = (np.flatnonzero(self.joins[np.searchsorted(self.joins, key)] != key) + 1).tolist()
+        out, at = [], 0
+        for cut in cuts:
+            if cut - at >= LONG:
+                out.append(segment[at:cut])
+                at = cut
+        return [*out, segment[at:]]
+
     def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.int64) * self.width + right
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
@@ -223,7 +244,7 @@ class Codec:
 
     def _slice(self, texts: list[str | None], wanted: list[str]) -> Iterator[tuple]:
         if len(texts) > 1:
-            cut = [SEGMENT.findall(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
+            cut = [self._segments(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
             self.learn(set().union(*cut))
             for segments in cut:
                 yield self._assemble([segments], wanted)
@@ -232,10 +253,13 @@ class Codec:
 
     def _long(self, text: str | None) -> Iterator[list[str]]:
         for part in pieces_of(text) if text else ():
-            segments = SEGMENT.findall(part)
+            segments = self._segments(part)
             self.learn(set(segments))
             yield segments
 
+    def _segments(self, text: str) -> list[str]:
+        return [p for s in SEGMENT.findall(text) for p in (self.model.parts(s) if len(s) > LONG else (s,))]
+
     def _assemble(self, parts: Iterable[list[str]], wanted: list[str]) -> tuple:
         n, ids, texts = 0, [], []
         ids_sha, text_sha = hashlib.sha256(), hashlib.sha256()
