@@ -36,6 +36,7 @@ from weir.llm.text_hash import mix, slices, window_hashes, words_of
 WORDS = 5
 CHUNKS, WIDTH = 12, 4
 SMALL_BUCKET = 40
+HOT_BUCKET = 1_000
 BLOCK, TILE = 256, 64
 BROADCAST_IDS = 1_000_000
 _RNG = np.random.default_rng(7)
@@ -170,21 +171,35 @@ def _linked(threshold: float):
     return run
 
 
+def _with_bucket(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Rows (key, …) joined to their buckets(key, n, …): very large buckets are looked up where the rows lie, so that none is a task's own."""
+    hot = small(buckets.where(F.col("n") > HOT_BUCKET))
+    cold = rows.join(hot.select("key"), "key", "left_anti").join(buckets.where(F.col("n") <= HOT_BUCKET), "key")
+    return rows.join(hot, "key").unionByName(cold)
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id (the smallest id reachable over links) and kept."""
     kind = dict(docs.dtypes)[id_col]
+    scratch: list[Saved] = []
+
+    def save(df: DataFrame, name: str) -> Saved:
+        """A table that is no longer needed once the components are known."""
+        scratch.append(Saved(df, name))
+        return scratch[-1]
+
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     told = Saved(texts.mapInArrow(_features, "id long, n_shingles long, name binary, sig binary"), "sets")
     named = told.df.where("id is not null and name is not null")
     classes = Saved(named.groupBy("name").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.first("sig").alias("sig")), "classes")
     keys = classes.df.select("id", "sig").mapInArrow(_keys, "key long, id long")
-    shared = Saved(keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("last <> pivot").select("key", "pivot"), "shared")
-    # members of buckets that more than one class has; where those are few, keys are looked up where they lie, so that a large bucket is no task's own
-    members = Saved(keys.join(small(shared.df), "key").select("key", "id", "pivot").distinct(), "members")
+    shared = save(keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("last <> pivot").select("key", "pivot", "n"), "shared").df
+    # members of buckets that more than one class has
+    members = save(_with_bucket(keys, shared).select("key", "id", "pivot").distinct(), "members")
 
     involved = members.df.select("id").distinct()
     n = involved.count()
-    needed = Saved(texts.join(F.broadcast(involved) if n <= BROADCAST_IDS else involved, "id", "left_semi"), "texts")
+    needed = save(texts.join(F.broadcast(involved) if n <= BROADCAST_IDS else involved, "id", "left_semi"), "texts")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """Of pairs(a, b), those whose full sets are similar enough."""
@@ -192,38 +207,40 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, id_col: str = "doc
         with_b = with_a.join(needed.df.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         return with_b.select("a", "b", "text_a", "text_b").mapInArrow(_linked(threshold), "a long, b long")
 
-    star = Saved(members.df.where("id <> pivot").groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("n")), "star")
+    star = save(members.df.where("id <> pivot").groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("n")), "star")
     best = star.df.groupBy("id").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot"))
     # the classes of one id are linked: rows with equal ids are one node
     several = named.groupBy("id").agg(F.min("name").alias("n0"), F.max("name").alias("n1")).where("n0 <> n1").select("id")
     of_class = classes.df.select("name", F.col("id").alias("rep"))
     same = named.join(several, "id", "left_semi").join(of_class, "name").select("id", "rep")
     same = same.join(same.groupBy("id").agg(F.min("rep").alias("least")), "id").select(F.col("rep").alias("a"), F.col("least").alias("b")).where("a <> b")
-    links = Saved(confirm(best.select(F.col("id").alias("a"), F.col("pivot").alias("b"))).union(same), "links")
+    links = save(confirm(best.select(F.col("id").alias("a"), F.col("pivot").alias("b"))).union(same), "links")
     comps = components(links.df)
     def torn(of: DataFrame) -> DataFrame:
         """Rows of of(key, id, …) with comp and the bucket's size n, of the buckets with members of different components."""
         found = of.join(comps.df, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         mixed = found.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("n")).where("c0 <> c1")
-        return found.join(mixed.select("key", "n"), "key")
+        return _with_bucket(found, save(mixed.select("key", "n"), "mixed").df)
 
-    left = Saved(torn(members.df), "torn")
+    left = save(torn(members.df), "torn")
     if not left.df.isEmpty():
         # in every pair a is greater than b, as in the first round's
         lesser = left.df.where(F.col("n") <= SMALL_BUCKET).select("key", "id", "comp")
         pairs = lesser.join(lesser.withColumnsRenamed({"id": "b", "comp": "cb"}), "key").where("id > b and comp <> cb").select(F.col("id").alias("a"), "b")
         hubs = left.df.where(F.col("n") > SMALL_BUCKET).join(comps.df.withColumnsRenamed({"id": "pivot", "comp": "cp"}), "pivot", "left").where(F.col("comp") != F.coalesce("cp", "pivot")).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
         more = pairs.union(hubs).distinct().join(best.select(F.col("id").alias("a"), F.col("pivot").alias("b")), ["a", "b"], "left_anti")
-        new = Saved(confirm(more), "links")
+        new = save(confirm(more), "links")
         if not new.df.isEmpty():
-            links = Saved(links.df.union(new.df), "links")
+            links = save(links.df.union(new.df), "links")
             comps = components(links.df)
-        large = Saved(torn(left.df.where(F.col("n") > SMALL_BUCKET).select("key", "id")).select("key", "id", "comp"), "large")
+        large = save(torn(left.df.where(F.col("n") > SMALL_BUCKET).select("key", "id")).select("key", "id", "comp"), "large")
         if not large.df.isEmpty():
-            found = Saved(_crowds(large.df, needed.df, threshold), "links")
+            found = save(_crowds(large.df, needed.df, threshold), "links")
             if not found.df.isEmpty():
-                links = Saved(links.df.union(found.df), "links")
+                links = save(links.df.union(found.df), "links")
                 comps = components(links.df)
+    for t in scratch:
+        t.drop()
     comp_of = classes.df.join(comps.df, "id", "left").select("name", F.coalesce("comp", "id").alias("comp"))
     # equal ids are one node: their classes share their components
     first = told.df.where("id is not null").join(comp_of, "name", "left").groupBy("id").agg(F.min(F.coalesce("comp", "id")).alias("component_id"))
