@@ -5,7 +5,8 @@ forest, trained from labelled findings, judges each by its length, the transitio
 how much of it dictionary words cover, the path it is assigned to, and the words around it.
 
 The labelled findings are a parameter: rows (left, value, right, secret).  At most ``MOST_FINDINGS`` of them
-are used for the fit, those with the smallest hash; without any, findings made from fixed templates stand in.
+are used for the fit, those with the smallest hash; without any, findings made from fixed templates stand in, as
+no table of labelled findings is given.
 The dictionary is a vocabulary file's words, so its size is fixed.  The forest is small and is broadcast;
 texts are scanned whole, in one pass without a shuffle.
 
@@ -16,6 +17,7 @@ empty tables give empty results; redaction leaves all other columns as they are.
 
 from __future__ import annotations
 
+import bisect
 import json
 import math
 import re
@@ -35,14 +37,13 @@ REDACTED = "<secret>"
 
 ASSIGNED = re.compile(r"""[:=]\s{0,3}["'`]?([^\s"'`,;<>()\[\]{}]{8,})""")
 RUN = re.compile(r"[A-Za-z0-9+/_=\-]{16,}")
-BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----")
+BEGIN, FINISH = (re.compile(rf"-----{word} [A-Z ]{{0,60}}PRIVATE KEY-----") for word in ("BEGIN", "END"))
 PATH = re.compile(r"([\w.\-/\[\]]*)[\"'`\]]{0,2}\s{0,3}(?::=|=>|[:=])?\s{0,3}[\"'`]?$")
 WORD = re.compile(r"[A-Za-z]+")
 # Words that speak for and against a secret.
 SECRET_WORDS = ("secret", "token", "key", "password", "passwd", "pwd", "credential", "auth", "bearer", "private", "access", "api")
 HARMLESS_WORDS = ("example", "sample", "test", "dummy", "fake", "placeholder", "your", "changeme", "xxxx", "uuid", "guid", "sha", "md5", "hash", "checksum", "commit", "digest", "id", "url", "http", "mail", "version", "integrity")
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "xoxb-", "xoxp-", "sk_live_", "rk_live_", "AIza", "eyJ", "glpat-", "npm_", "SG.", "sk-")
-UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 
 
 class Dictionary:
@@ -113,7 +114,7 @@ def features(left: str, value: str, right: str, words: Dictionary) -> list[float
     tail = left.rstrip(" \"'`")[-1:]
     return [
         n, counts[0] / n, counts[1] / n, counts[2] / n, counts[3] / n, changes, repeats, steps, entropy, entropy / max(1.0, math.log2(n)),
-        float(all(c in string.hexdigits for c in value)), float(value.isdigit()), float(UUID.fullmatch(value) is not None), float(value.startswith(PREFIXES)),
+        float(value.startswith(PREFIXES)),
         words.coverage(value), words.transition(value),
         float(any(w in path for w in SECRET_WORDS)), float(any(w in path for w in HARMLESS_WORDS)), len(path), float("/" in path or "/" in value),
         sum(w in SECRET_WORDS for w in near), sum(w in HARMLESS_WORDS for w in near), float(any(w in low for w in HARMLESS_WORDS)),
@@ -152,7 +153,7 @@ class Forest:
                 gain = p * (1 - p) - (a * pa_ * (1 - pa_) + (n - a) * pb * (1 - pb)) / n
                 k = int(gain.argmax())
                 if gain[k] > best[0]:
-                    best = (float(gain[k]), int(f), float((v[cut[k]] + v[cut[k] + 1]) / 2))
+                    best = (float(gain[k]), int(f), float(v[cut[k]]))
             if best[1] >= 0:
                 low = x[rows, best[1]] <= best[2]
                 nodes[at][0], nodes[at][1] = best[1], best[2]
@@ -181,8 +182,19 @@ class Forest:
         return total / len(self.trees)
 
 
-def stand_in_findings(n: int = 4000, seed: int = 5) -> list[tuple[str, str, str, bool]]:
-    """Labelled findings from fixed templates: (left, value, right, secret)."""
+# The families of stand-in findings, of each kind in the order in which they are drawn.
+SECRET_FAMILIES = ["hex", "letters", "symbols", "base64", "lower", "upper"]
+PREFIX_FAMILIES = ["AKIA", "ghp_", "sk_live_", "xoxb-", "eyJ", "AIza", "block"]
+HARMLESS_FAMILIES = ["uuid", "digest", "placeholder", "prose", "number", "url", "name", "path", "word", "mail", "rule", "named"]
+
+
+def stand_in_findings(n: int = 6000, seed: int = 5, without: tuple[str, ...] = ()) -> list[tuple[str, str, str, bool]]:
+    """Labelled findings from fixed templates: (left, value, right, secret); without those of the families named."""
+    return [row for family, row in families_of_findings(n, seed) if family not in without]
+
+
+def families_of_findings(n: int, seed: int) -> list[tuple[str, tuple[str, str, str, bool]]]:
+    """The same, each with its family."""
     rng = np.random.default_rng(seed)
     letters, upper, digits = string.ascii_letters, string.ascii_uppercase + string.digits, string.digits
     made = lambda chars, size: "".join(chars[k] for k in rng.integers(0, len(chars), size))
@@ -195,16 +207,20 @@ def stand_in_findings(n: int = 4000, seed: int = 5) -> list[tuple[str, str, str,
         if k % 2:
             kind = int(rng.integers(0, 8))
             name = one(["token", "secret", "password", "api_key", "auth.token", "db_password", "client_secret", "access_key", "PRIVATE_TOKEN"])
-            value = [made("0123456789abcdef", int(rng.integers(16, 65))), made(letters + digits, int(rng.integers(16, 49))), made(letters + digits + "!#%&*+-_", int(rng.integers(10, 25))), made(letters + digits + "+/", int(rng.integers(32, 65)))][int(rng.integers(0, 4))]
+            value = [made("0123456789abcdef", int(rng.integers(16, 65))), made(letters + digits, int(rng.integers(16, 49))), made(letters + digits + "!#%&*+-_", int(rng.integers(10, 25))), made(letters + digits + "+/", int(rng.integers(32, 65))), made(string.ascii_lowercase + digits, int(rng.integers(14, 41))), made(upper, int(rng.integers(14, 41)))]
+            drawn = int(rng.integers(0, 6))
+            value, family = value[drawn], SECRET_FAMILIES[drawn]
             if kind < 5:
                 quote = one(["", '"', "'"])
                 left, right = f"{text()} {name}{one(['=', ' = ', ': ', ':'])}{quote}", f"{quote} {text()}"
             else:
                 value = one([f"AKIA{made(upper, 16)}", f"ghp_{made(letters + digits, 36)}", f"sk_live_{made(letters + digits, 24)}", f"xoxb-{made(digits, 11)}-{made(letters + digits, 24)}", f"eyJ{made(letters + digits, 80)}", f"AIza{made(letters + digits + '_-', 35)}", "-----BEGIN PRIVATE KEY-----\n" + made(letters + digits + "+/", 300) + "\n-----END PRIVATE KEY-----"])
+                family = next((f for f in PREFIX_FAMILIES if value.startswith(f)), "block")
                 left, right = f"{text()} ", f" {text()}"
-            out.append((left[-CONTEXT:], value, right[:CONTEXT], True))
+            out.append((family, (left[-CONTEXT:], value, right[:CONTEXT], True)))
         else:
-            kind = int(rng.integers(0, 11))
+            kind = int(rng.integers(0, 16))
+            kind = min(kind, 11)  # the last family, which has all shapes, is drawn as often as five others
             hexes = lambda m: made("0123456789abcdef", m)
             cases = [
                 (f"{text()} {one(['id', 'uuid', 'request'])}: ", f"{hexes(8)}-{hexes(4)}-{hexes(4)}-{hexes(4)}-{hexes(12)}", f" {text()}"),
@@ -218,9 +234,11 @@ def stand_in_findings(n: int = 4000, seed: int = 5) -> list[tuple[str, str, str,
                 (f"{text()}: ", f"{word()}{word()}{word()}", f", {text()}"),
                 (f"{text()} ", f"{word()}.{made(digits, 2)}", f"@mail.example.com {text()}"),
                 (f"{text()} ", one(["-", "=", "_", "+"]) * int(rng.integers(16, 80)), f" {text()}"),
+                # values of every shape a secret has, under names that secrets don't have
+                (f"{text()} {one(['build_id', 'etag', 'revision', 'checksum', 'hash', 'sha', 'digest', 'image_id', 'session-id', 'version', 'color', 'order', 'user', 'title', 'trace', 'ref', 'commit', 'md5'])}{one(['=', ' = ', ': ', ':', ' '])}{one(['', '', chr(34)])}", one([hexes(int(rng.integers(12, 65))), made(letters + digits, int(rng.integers(12, 49))), made(string.ascii_lowercase + digits, int(rng.integers(12, 41))), made(upper, int(rng.integers(12, 25))), made(letters + digits + "+/", int(rng.integers(24, 65))), made(letters + digits + "!#%&*+-_", int(rng.integers(10, 25)))]), f"{one(['', '', chr(34)])} {text()}"),
             ]
             left, value, right = cases[kind]
-            out.append((left[-CONTEXT:], value, right[:CONTEXT], False))
+            out.append((HARMLESS_FAMILIES[kind], (left[-CONTEXT:], value, right[:CONTEXT], False)))
     return out
 
 
@@ -236,9 +254,24 @@ def train(words: Dictionary, labelled: DataFrame | None = None, most: int = MOST
     return Forest(x, np.array([float(s) for *_, s in rows]))
 
 
+def blocks(text: str) -> list[tuple[int, int]]:
+    """Spans of private key blocks: from a beginning to the next end after it, in one pass however many have none."""
+    ends = [m.span() for m in FINISH.finditer(text)]
+    out, at, k = [], 0, 0
+    for begin in BEGIN.finditer(text):
+        while k < len(ends) and ends[k][0] < begin.end():
+            k += 1
+        if k == len(ends):
+            break
+        if begin.start() >= at:
+            at = ends[k][1]
+            out.append((begin.start(), at))
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
     """Spans of candidate values, in order of their start; the longer first."""
-    spans = {m.span() for m in BLOCK.finditer(text)}
+    spans = set(blocks(text))
     spans.update(m.span(1) for m in ASSIGNED.finditer(text))
     for m in RUN.finditer(text):
         value = m.group()
@@ -259,11 +292,13 @@ class Scanner:
         out = []
         for s in spans:
             scored = [(a, b, next(scores)) for a, b in s]
+            # the longest first; kept spans stay in order, so only the two next to a span can overlap it
             kept: list[tuple[int, int, float]] = []
-            for a, b, p in sorted(scored, key=lambda r: (r[0] - r[1], r[0])):
-                if p >= self.threshold and all(b <= c or a >= d for c, d, _ in kept):
-                    kept.append((a, b, round(p, 9)))
-            out.append((len(s), sorted(kept)))
+            for a, b, p in sorted((r for r in scored if r[2] >= self.threshold), key=lambda r: (r[0] - r[1], r[0])):
+                k = bisect.bisect_left(kept, (a,))
+                if (k == 0 or kept[k - 1][1] <= a) and (k == len(kept) or kept[k][0] >= b):
+                    kept.insert(k, (a, b, round(p, 9)))
+            out.append((len(s), kept))
         return out
 
 
