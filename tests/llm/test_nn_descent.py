@@ -33,3 +33,22 @@ def test_equal_vectors_nulls_and_few_rows(spark):
     want = [(1, 1, 2), (1, 2, 3), (1, 3, 7), (2, 1, 1), (2, 2, 3), (2, 3, 7), (3, 1, 1), (3, 2, 2), (3, 3, 7), (7, 1, 1), (7, 2, 2), (7, 3, 3)]
     assert got == want
     assert nn_descent.nearest(table.limit(0), nn_descent.F.lit(True)).count() == 0
+
+
+def test_recall_among_many_uniform_vectors(spark):
+    """20,000 vectors without any structure; the beam has to be measured, as a fixed one would do at one size only."""
+    import pyarrow as pa
+
+    v = np.random.default_rng(3).standard_normal((20_000, 64)).astype(np.float32)
+    rows = pa.table({"vec_id": np.arange(len(v)), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), 64).cast(pa.list_(pa.float32())), "node": ["x"] * len(v)})
+    table = spark.createDataFrame(rows).repartition(4)
+    asked = np.arange(0, len(v), 100)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    sims = unit[asked] @ unit.T
+    sims[np.arange(len(asked)), asked] = -9
+    want = {int(q): set(np.argpartition(-s, 5)[:5].tolist()) for q, s in zip(asked, sims, strict=True)}
+    got = {}
+    for r in nn_descent.nearest(table, nn_descent.F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(got) == set(want) and {len(x) for x in got.values()} == {5}
+    assert sum(len(got[q] & want[q]) for q in want) >= 0.9 * 5 * len(want)

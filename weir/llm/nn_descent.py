@@ -3,10 +3,15 @@
 Equal vectors form one node.  The first graph links nodes that lie close in the order of random
 hyperplane codes; then rounds of joins improve it: every node brings its neighbours and reverse
 neighbours together, with their vectors, and each of those keeps whichever of the others is closer than
-its worst neighbour so far.  A query walks the graph: from its own node (or, for vectors not in the
-index, from the nodes next to it in the code order) it visits the neighbours of its best nodes until
-its best ``BEAM`` nodes have all been visited.  All nodes are indexed; nothing is collected, and only tables
-whose bytes have been summed and found small are broadcast.
+its worst neighbour so far.  Rounds go on until next to no neighbour is new.  A query walks the graph: from
+its own node (or, for vectors not in the index, from the nodes next to it in the code order) it visits the
+neighbours of its best nodes until all its best ``beam`` nodes have been visited.  All nodes are indexed; nothing
+is collected, and only tables whose bytes have been summed and found small are broadcast.
+
+How wide a beam has to be depends on the number of vectors and on how they lie.  So it is measured: up to
+``PROBES`` of the queries, those with the smallest hashes, are also answered by brute force, in blocks over
+all vectors; the beam starts at ``BEAM`` and doubles, and the graph gets another round, until the walks find
+``RECALL`` of those neighbours.
 
 Reverse neighbours brought together in one round are a sample of at most ``DEGREE`` by hash, as NN-descent
 has it; a node of high in-degree has others in another round.  Finished rounds' shuffle files are let go.
@@ -29,11 +34,16 @@ from pyspark.sql import functions as F
 from weir.llm.tables import Saved, free, small
 
 DEGREE = 24
-ROUNDS = 3
+#: Rounds end when a smaller share than this of all neighbours is new; so many rounds at most.
+SETTLED = 0.05
+MOST_ROUNDS = 12
 CODES = 8
 CHUNK = 1024
-BEAM = 144
-STEPS = 20
+BEAM = 96
+PROBES = 64
+RECALL = 0.95
+WIDEST = 8192
+ASKED = "__weir_asked"
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -111,26 +121,31 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _top(edges: DataFrame) -> DataFrame:
-    """The DEGREE closest of each node."""
-    best = edges.where("a <> b").groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    """The DEGREE closest of each node; fresh: whether only this round found them."""
+    best = edges.where("a <> b").groupBy("a", "b").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
     r = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))
     return best.withColumn("r", r).where(F.col("r") <= DEGREE).drop("r")
 
 
-def build(nodes: DataFrame, dimension: int, rounds: int = ROUNDS) -> tuple[Saved, Saved]:
-    """Of nodes(node, v): the table (node, half, codes) and the neighbour graph (a, b, sim), each node's closest found."""
-    table = Saved(nodes.select("node", "v").mapInArrow(_normalised(dimension), "node long, half binary, " + ", ".join(f"c{k} long" for k in range(CODES))), "nodes")
-    # so few ranges that each holds several chunks
-    count = table.df.count()
-    n = max(1, min(count // (4 * CHUNK), max(4 * table.spark.sparkContext.defaultParallelism, count // (64 * CHUNK))))
-    parts = None
-    for k in range(CODES):
-        ordered = table.df.select("node", "half", f"c{k}").repartitionByRange(n, f"c{k}", "node").sortWithinPartitions(f"c{k}", "node")
-        links = ordered.select("node", "half").mapInArrow(_close, "a long, b long, sim float")
-        parts = links if parts is None else parts.union(links)
-    graph = Saved(_top(parts), "graph")
-    vectors = table.df.select("node", "half")
-    for turn in range(rounds):
+class Index:
+    """Of nodes(node, v): the table (node, half, codes) and the neighbour graph (a, b, sim, fresh), each node's closest found."""
+
+    def __init__(self, nodes: DataFrame, dimension: int):
+        self.table = Saved(nodes.select("node", "v").mapInArrow(_normalised(dimension), "node long, half binary, " + ", ".join(f"c{k} long" for k in range(CODES))), "nodes")
+        # so few ranges that each holds several chunks
+        count = self.table.df.count()
+        n = max(1, min(count // (4 * CHUNK), max(4 * self.table.spark.sparkContext.defaultParallelism, count // (64 * CHUNK))))
+        parts = None
+        for k in range(CODES):
+            ordered = self.table.df.select("node", "half", f"c{k}").repartitionByRange(n, f"c{k}", "node").sortWithinPartitions(f"c{k}", "node")
+            links = ordered.select("node", "half").mapInArrow(_close, "a long, b long, sim float")
+            parts = links if parts is None else parts.union(links)
+        self.graph = Saved(_top(parts.withColumn("fresh", F.lit(1))), "graph")
+        self.rounds = 0
+
+    def descend(self) -> float:
+        """One round; the share of neighbours that are new."""
+        graph, vectors, turn = self.graph, self.table.df.select("node", "half"), self.rounds
         worst = graph.df.groupBy("a").agg(F.min("sim").alias("worst"), F.count(F.lit(1)).alias("n")).select(F.col("a").alias("node"), F.when(F.col("n") >= DEGREE, F.col("worst")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
         back = graph.df.select(F.col("b").alias("via"), F.col("a").alias("node"))
         r = F.row_number().over(Window.partitionBy("via").orderBy(F.xxhash64("node", F.lit(turn))))
@@ -138,11 +153,16 @@ def build(nodes: DataFrame, dimension: int, rounds: int = ROUNDS) -> tuple[Saved
         both = graph.df.select(F.col("a").alias("via"), F.col("b").alias("node")).union(back).distinct()
         rows = both.join(vectors.join(worst, "node"), "node").select("via", "node", "half", "worst")
         met = rows.repartition("via").sortWithinPartitions("via").mapInArrow(_meet, "a long, b long, sim float")
-        new = Saved(_top(met.union(graph.df)), "graph")
+        self.graph = Saved(_top(met.withColumn("fresh", F.lit(1)).union(graph.df.withColumn("fresh", F.lit(0)))), "graph")
+        self.rounds += 1
         graph.drop()
-        graph = new
-        free(table.spark)
-    return table, graph
+        free(self.table.spark)
+        return self.graph.df.agg(F.avg("fresh")).first()[0] or 0.0
+
+    def settle(self, most_rounds: int = MOST_ROUNDS, settled: float = SETTLED) -> Index:
+        while self.rounds < most_rounds and self.descend() > settled:
+            pass
+        return self
 
 
 def _cosine(a: Column, b: Column) -> Column:
@@ -164,23 +184,26 @@ def _half_cosine(a: Column, b: Column) -> Column:
     return sims(a, b)
 
 
-def search(table: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = BEAM, steps: int = STEPS) -> Saved:
-    """Rows (q, node, sim): the nodes seen on greedy walks of queries(q, half, start): all starts of a query are its entry points."""
-    vectors = small(table.select("node", "half"))
+def search(index: Index, queries: DataFrame, beam: int = BEAM) -> Saved:
+    """Rows (q, node, sim): the nodes seen on greedy walks of queries(q, half, start): all starts of a query are its entry points.
+
+    A walk ends when all its best ``beam`` nodes have been visited, however many steps that takes."""
+    vectors = small(index.table.df.select("node", "half"))
     q = small(queries.select("q", F.col("half").alias("qhalf")).distinct())
+    graph = index.graph.df.select(F.col("a").alias("node"), "b")
 
     def seen_of(pairs: DataFrame) -> DataFrame:
         return pairs.join(vectors, "node").join(q, "q").select("q", "node", _half_cosine(F.col("half"), F.col("qhalf")).alias("sim"), F.lit(False).alias("visited"))
 
     seen = Saved(seen_of(queries.select("q", F.col("start").alias("node")).distinct()), "seen")
-    for _ in range(steps):
+    while True:
         r = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "node"))
         front = seen.df.withColumn("r", r).where((F.col("r") <= beam) & ~F.col("visited")).select("q", "node")
         now = Saved(front, "front")
         if now.df.isEmpty():
             now.drop()
-            break
-        reached = now.df.join(graph.select(F.col("a").alias("node"), "b"), "node").select("q", F.col("b").alias("node")).distinct()
+            return seen
+        reached = now.df.join(graph, "node").select("q", F.col("b").alias("node")).distinct()
         fresh = seen_of(reached.join(seen.df.select("q", "node"), ["q", "node"], "left_anti"))
         both = seen.df.union(now.df.select("q", "node", F.lit(None).cast("float").alias("sim"), F.lit(True).alias("visited")))
         marked = both.groupBy("q", "node").agg(F.max("sim").alias("sim"), F.max("visited").alias("visited"))
@@ -188,31 +211,78 @@ def search(table: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = B
         seen.drop()
         now.drop()
         seen = new
-        free(table.sparkSession)
-    return seen
+        free(index.table.spark)
+
+
+def _brute(sent, k: int):
+    """Of each block of (node, half) the k closest to each query, as rows (q, node, sim)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, v = sent.value
+        v = v.astype(np.float32)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            nodes = batch.column(0).to_numpy()
+            sims = v @ _half(batch.column(1)).T
+            sims[ids[:, None] == nodes[None, :]] = -9
+            m = min(k, len(nodes))
+            top = np.argpartition(-sims, m - 1, axis=1)[:, :m]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, m)), pa.array(nodes[top].ravel()), pa.array(np.take_along_axis(sims, top, axis=1).ravel())], names=["q", "node", "sim"])
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", rounds: int = ROUNDS) -> DataFrame:
+    return run
+
+
+def _closest(rows: DataFrame, k: int) -> DataFrame:
+    r = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "node"))
+    return rows.where("q <> node").withColumn("r", r).where(F.col("r") <= k).select("q", "node", "sim")
+
+
+def beam_for(index: Index, queries: DataFrame, k: int, beam: int = BEAM, probes: int = PROBES, recall: float = RECALL) -> tuple[int, float]:
+    """The beam that finds enough of the k nearest nodes of a few of the queries, measured against brute force, and the share it found.
+
+    Found counts what is as close as the k-th nearest, so ties do no harm."""
+    asked = queries.select("q", "half").distinct().orderBy(F.xxhash64("q"), "q").limit(probes).collect()
+    if not asked:
+        return beam, 1.0
+    spark = index.table.spark
+    sent = spark.sparkContext.broadcast((np.array([r["q"] for r in asked]), np.frombuffer(b"".join(r["half"] for r in asked), np.float16).reshape(len(asked), -1)))
+    exact = _closest(index.table.df.select("node", "half").mapInArrow(_brute(sent, k), "q long, node long, sim float"), k).groupBy("q").agg(F.min("sim").alias("least"), F.count(F.lit(1)).alias("n")).collect()
+    least, total = {r["q"]: r["least"] - 1e-4 for r in exact}, sum(r["n"] for r in exact)
+    few = queries.join(F.broadcast(spark.createDataFrame([(r["q"],) for r in asked], "q long")), "q")
+    while total:
+        seen = search(index, few, beam)
+        hit = sum(r["sim"] >= least[r["q"]] for r in _closest(seen.df, k).collect() if r["q"] in least)
+        seen.drop()
+        if hit >= recall * total or beam >= WIDEST:
+            return beam, hit / total
+        beam *= 2
+        if index.rounds < MOST_ROUNDS:
+            index.descend()
+    return beam, 1.0
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """For each row of vectors that is_query holds for, its k nearest other rows by cosine: query_id, rank, vec_id, score."""
-    marked = vectors.withColumn("__query", F.coalesce(is_query, F.lit(False)))
+    marked = vectors.withColumn(ASKED, F.coalesce(is_query, F.lit(False)))
     rows = usable(vectors, id_col, vector_col)
     first = rows.select(F.size("v").alias("d")).first()
     dimension = first["d"] if first else 1
     classes = Saved(rows.groupBy("v").agg(F.min("id").alias("node")), "classes")
-    table, graph = build(classes.df, dimension, rounds)
-    asked = marked.where("__query").select(F.col(id_col).cast("long").alias("id")).distinct()
+    index = Index(classes.df, dimension).settle(most_rounds)
+    asked = marked.where(ASKED).select(F.col(id_col).cast("long").alias("id")).distinct()
     members = Saved(rows.join(classes.df, "v").select("node", "id").distinct(), "members")
     wanted = Saved(members.df.join(asked, "id").select("node", F.col("id").alias("query_id")), "wanted")
-    q = wanted.df.select("node").distinct().join(table.df, "node").select(F.col("node").alias("q"), "half", F.col("node").alias("start"))
-    seen = search(table.df, graph.df, q)
-    r = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "node"))
-    near = seen.df.withColumn("r", r).where(F.col("r") <= max(BEAM, 2 * k)).select("q", "node")
-    near = near.union(q.select("q", F.col("q").alias("node"))).distinct()
+    q = Saved(wanted.df.select("node").distinct().join(index.table.df, "node").select(F.col("node").alias("q"), "half", F.col("node").alias("start")), "queries").df
+    beam, _ = beam_for(index, q, k)
+    seen = search(index, q, beam)
+    near = _closest(seen.df, max(beam, 2 * k)).select("q", "node").union(q.select("q", F.col("q").alias("node"))).distinct()
     a, b = classes.df.select(F.col("node").alias("q"), F.col("v").alias("x")), classes.df.select("node", F.col("v").alias("y"))
     scored = near.join(b, "node").join(a, "q").select("q", "node", _cosine(F.col("x"), F.col("y")).alias("score"))
-    # of a node's equal vectors the k + 1 smallest ids can be among the k nearest of a query
+    # of a node's equal vectors the k + 1 smallest ids can be among the k nearest of a query; in two steps, as one vector may be very common
+    some = F.row_number().over(Window.partitionBy("node", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id"))
     n = F.row_number().over(Window.partitionBy("node").orderBy("id"))
-    few = members.df.withColumn("n", n).where(F.col("n") <= k + 1).select("node", F.col("id").alias("vec_id"))
+    few = members.df.withColumn("n", some).where(F.col("n") <= k + 1).withColumn("n", n).where(F.col("n") <= k + 1).select("node", F.col("id").alias("vec_id"))
     best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
     lists = scored.join(few, "node").withColumn("n", best).where(F.col("n") <= k + 1).select("q", "vec_id", "score")
     hits = wanted.df.withColumnRenamed("node", "q").join(lists, "q").where("vec_id <> query_id")
