@@ -105,12 +105,26 @@ def oldest(commands: DataFrame, statuses: list[str], limit: int = 100) -> DataFr
     return commands.where(F.col("status").isin(statuses)).orderBy("created_at", "id").limit(limit)
 
 
-def recover_stale(commands: DataFrame, now: Column, seconds: int = 45) -> DataFrame:
-    """Commands dispatched or acknowledged longer ago than that are queued again."""
-    stale = F.col("status").isin("dispatched", "acknowledged") & (F.col("dispatched_at") < now - F.expr(f"INTERVAL {seconds} SECONDS"))
-    stale = F.coalesce(stale, F.lit(False))
-    own = {"status": F.when(stale, "queued").otherwise(F.col("status")), "dispatched_at": F.when(~stale, F.col("dispatched_at"))}
-    return commands.select(*[own.get(c, F.col(c)).alias(c) for c in commands.columns])
+def stale_commands(commands: DataFrame, now: Column, seconds: int = 45, limit: int = 100) -> DataFrame:
+    """Commands dispatched or acknowledged, not completed, and sent longer ago than that; the oldest so many, which one round takes."""
+    stale = F.col("status").isin("dispatched", "acknowledged") & F.col("completed_at").isNull() & (F.col("dispatched_at") < now - F.expr(f"INTERVAL {seconds} SECONDS"))
+    return commands.where(stale).orderBy("dispatched_at", "id").limit(limit)
+
+
+def recover_stale(commands: DataFrame, now: Column, seconds: int = 45, limit: int = 100) -> DataFrame:
+    """Commands after the stale ones have been queued again, with the reason as their error."""
+    found = stale_commands(commands, now, seconds, limit).select("id", F.lit(True).alias("__stale"))
+    stale = F.coalesce("__stale", F.lit(False))
+    reason = F.format_string(f"Requeued stale in-flight command (%s) after {seconds}s timeout.", F.col("status"))
+    own = {"status": F.when(stale, "queued").otherwise(F.col("status")), "dispatched_at": F.when(~stale, F.col("dispatched_at")), "error_message": F.when(stale, reason).otherwise(F.col("error_message"))}
+    return commands.join(F.broadcast(found), "id", "left").select(*[own.get(c, F.col(c)).alias(c) for c in commands.columns])
+
+
+def stale_logs(commands: DataFrame, daemons: DataFrame, now: Column, seconds: int = 45, limit: int = 100) -> DataFrame:
+    """The warnings (daemon, level, message) that go with recover_stale()."""
+    rows = with_daemon(stale_commands(commands, now, seconds, limit), daemons)
+    message = F.format_string("[command-dispatch] commandId=%d type=%s status=queued reason=in-flight-timeout", F.col("id"), F.col("command_type"))
+    return rows.select("id", "daemon", F.lit("Warning").alias("level"), message.alias("message"))
 
 
 def dispatch(commands: DataFrame, now: Column, limit: int = 100) -> DataFrame:

@@ -92,8 +92,8 @@ def upsert_page_data(stored: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def merge_candidates(rows: DataFrame) -> DataFrame:
-    """Candidates (page_id, url, page_type_code, data_type_code, ord) by page and URL: BINARY beats FRONTIER, the first known document type stays."""
-    return rows.groupBy("page_id", "url").agg(F.when(F.max(F.col("page_type_code") == "BINARY"), "BINARY").otherwise("FRONTIER").alias("page_type_code"), F.min_by("data_type_code", F.when(F.col("data_type_code").isNotNull(), F.col("ord"))).alias("data_type_code"), F.min("ord").alias("ord"))
+    """Candidates (page_id, url, page_type_code, data_type_code, ord, discovered_in) by page and URL: BINARY beats FRONTIER, the first known document type stays, and where it was first found."""
+    return rows.groupBy("page_id", "url").agg(F.min_by("discovered_in", "ord").alias("discovered_in"), F.when(F.max(F.col("page_type_code") == "BINARY"), "BINARY").otherwise("FRONTIER").alias("page_type_code"), F.min_by("data_type_code", F.when(F.col("data_type_code").isNotNull(), F.col("ord"))).alias("data_type_code"), F.min("ord").alias("ord"))
 
 
 def upsert_setting(settings: DataFrame, new: DataFrame) -> DataFrame:

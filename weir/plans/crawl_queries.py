@@ -427,6 +427,13 @@ def command_answers(spark, d):
     return activity.answered(rows, acks.union(results), now()).select("id", "status", "error_message", "acknowledged_at", "completed_at")
 
 
+@query("""SELECT c.id, coalesce(json_extract_string(d.metadata, '$.daemonId'), 'local-default') AS daemon, '[command-dispatch] commandId=' || CAST(c.id AS VARCHAR) || ' type=' || command_type || ' status=queued reason=in-flight-timeout' AS message
+ FROM (SELECT * FROM v_command WHERE status IN ('dispatched', 'acknowledged') AND completed_at IS NULL AND created_at < TIMESTAMP '1998-01-01' - INTERVAL 45 SECOND ORDER BY created_at, id LIMIT 100) c JOIN v_daemon d ON d.id = c.id % 25""")
+def stale_command_logs(spark, d):
+    rows = view(spark, d, "v_command").withColumn("dispatched_at", F.col("created_at")).withColumn("daemon_id", F.col("id") % 25)
+    return activity.stale_logs(rows, view(spark, d, "v_daemon"), F.expr("TIMESTAMP_NTZ '1998-01-01 00:00:00'")).select("id", "daemon", "message")
+
+
 @query("""WITH a AS (SELECT 'd' || CAST(n_nationkey AS VARCHAR) AS identifier FROM nation UNION ALL SELECT 'NODE ' || CAST(n_nationkey AS VARCHAR) FROM nation)
 SELECT identifier, coalesce((SELECT min(id) FROM v_daemon WHERE json_extract_string(metadata, '$.daemonId') = identifier), (SELECT min(id) FROM v_daemon WHERE lower(name) = lower(identifier))) AS daemon_id FROM a
  WHERE identifier IN (SELECT json_extract_string(metadata, '$.daemonId') FROM v_daemon WHERE id % 3 = 0) OR lower(identifier) IN (SELECT lower(name) FROM v_daemon)""")
@@ -511,13 +518,13 @@ def _few_workers(spark, d) -> DataFrame:
 @query(f"""WITH h AS (SELECT id, n_nationkey AS w, {_fnv("url || '|' || CAST(n_nationkey AS VARCHAR)", hashing.SCORE_BASIS)} AS u FROM v_page, nation),
  s AS (SELECT id, w, CAST(CASE WHEN u >= 9223372036854775808::HUGEINT THEN u - {_WIDE}::HUGEINT ELSE u END AS DOUBLE) AS score FROM h)
 SELECT id, w AS worker_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, w) AS r FROM s) WHERE r = 1""")
-def rendezvous_workers(spark, d):
+def rendezvous_assignment(spark, d):
     pages = view(spark, d, "v_page").select("id", "url")
     return activity.assign_seeds(pages, _few_workers(spark, d)).join(pages, "url").select("id", "worker_id")
 
 
 @query(f"SELECT id, CAST({_fnv('url', hashing.SLOT_BASIS)} % 25::HUGEINT AS BIGINT) AS worker_id FROM v_page")
-def round_robin_workers(spark, d):
+def round_robin_assignment(spark, d):
     pages = view(spark, d, "v_page").select("id", "url")
     return activity.assign_seeds(pages.select("url").distinct(), _few_workers(spark, d), "round_robin").join(pages, "url").select("id", "worker_id")
 
@@ -676,11 +683,12 @@ def zero_filled_types(spark, d):
     return P.zero_filled(counts, "type", ["HTML", "BINARY", "NONE"])
 
 
-@query("""SELECT id, CASE WHEN regexp_matches(p, '^/en/6') THEN true WHEN regexp_matches(p, '^/en') THEN false WHEN p = '/fr' THEN false ELSE true END AS allowed FROM
+@query("""SELECT id, CASE WHEN regexp_matches(p, '^/en/6') THEN true WHEN regexp_matches(p, '^/en') THEN false WHEN p = '/fr' THEN false ELSE true END AS allowed,
+ CASE WHEN regexp_matches(p, '^/en/6') THEN 'matched Allow/default rule' WHEN regexp_matches(p, '^/en') OR p = '/fr' THEN 'matched Disallow rule' ELSE 'no matching allow/disallow rule' END AS reason FROM
  (SELECT page_id AS id, CASE WHEN x = '' THEN '/' ELSE x END || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS p FROM (SELECT page_id, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS x, regexp_extract(url, '\\?([^#]*)', 1) AS q FROM pages))""")
-def robots_verdicts(spark, d):
+def robots_eval(spark, d):
     content = F.lit("User-agent: *\nDisallow: /en\nAllow: /en/6\nDisallow: /fr$\n\nUser-agent: other\nDisallow: /")
-    return base(spark, d, "pages").select(F.col("page_id").alias("id"), robots.evaluate(content, F.col("url"))["allowed"].alias("allowed"))
+    return base(spark, d, "pages").select(F.col("page_id").alias("id"), robots.evaluate(content, F.col("url")).alias("r")).select("id", "r.allowed", "r.reason")
 
 
 @query("SELECT DISTINCT url FROM v_page WHERE domain = (SELECT min(domain) FROM v_page) ORDER BY url LIMIT 1000")

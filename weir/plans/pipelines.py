@@ -31,7 +31,7 @@ def candidates(pages: DataFrame, per_page: int | None = None) -> DataFrame:
     rows = parsed.select("page_id", "source_url", F.posexplode(found).alias("ord", "f")).select("page_id", "source_url", "ord", "f.url", "f.image").where("url <> source_url")
     kind = U.document_type(F.col("url"))
     typed = rows.withColumn("data_type_code", kind).withColumn("page_type_code", F.when(F.col("image") | kind.isNotNull(), "BINARY").otherwise("FRONTIER"))
-    merged = ingest.merge_candidates(typed)
+    merged = ingest.merge_candidates(typed.withColumn("discovered_in", F.when(F.col("image"), "image").otherwise("link")))
     return merged.join(typed.select("page_id", "source_url").distinct(), "page_id")
 
 
@@ -61,7 +61,7 @@ def reparse_counts(before: DataFrame, after: dict[str, DataFrame]) -> DataFrame:
 
 def document_links(pages: DataFrame, frontier: DataFrame, only_unfetched: bool = False) -> DataFrame:
     """Links from stored pages to documents, with what is known of the target: its page, status and queue state."""
-    found = candidates(pages).where("data_type_code is not null").select("page_id", "source_url", "url", "data_type_code")
+    found = candidates(pages).where("data_type_code is not null").select("page_id", "source_url", "url", "data_type_code", "discovered_in")
     target = pages.select("url", F.col("id").alias("target_id"), F.col("page_type_code").alias("target_type"), "http_status_code", "accessed_time")
     rows = found.join(target, "url", "left").join(frontier.select("url", F.col("state").alias("queue_state")), "url", "left")
     unfetched = F.col("target_id").isNull() | (F.col("http_status_code").isNull() & F.col("accessed_time").isNull())
@@ -69,6 +69,12 @@ def document_links(pages: DataFrame, frontier: DataFrame, only_unfetched: bool =
     return rows.where("unfetched") if only_unfetched else rows
 
 
+def export_rows(links: DataFrame) -> DataFrame:
+    """document_links() under the twelve names of the export."""
+    named = {"page_id": "source_page_id", "source_url": "source_page_url", "url": "candidate_url", "data_type_code": "inferred_doc_type", "discovered_in": "discovered_in", "target_id": "target_page_id", "target_type": "target_page_type", "http_status_code": "target_http_status", "accessed_time": "target_accessed_time", "queue_state": "frontier_state"}
+    return links.select(*[F.col(c).alias(n) for c, n in named.items()], F.col("target_id").isNotNull().alias("has_page_row"), (~F.col("unfetched")).alias("has_fetch_result"))
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     """CSV files with a header."""
     rows.write.mode("overwrite").option("header", True).csv(path)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weir.functions import html as H
-from weir.functions import robots, scoring
+from weir.functions import scoring
 from weir.functions import url as U
 from weir.operators import activity, frontier, graph, ingest
 from weir.operators import pages as P
@@ -381,10 +381,11 @@ def oldest_commands(spark, d):
     return activity.oldest(view(spark, d, "v_command"), ["dispatched", "acknowledged"]).select("id", "status")
 
 
-@query("SELECT id, CASE WHEN s THEN 'queued' ELSE status END AS status FROM (SELECT id, status, coalesce(status IN ('dispatched', 'acknowledged') AND created_at < TIMESTAMP '1998-01-01' - INTERVAL 45 SECOND, false) AS s FROM v_command)")
+@query("""WITH s AS (SELECT id FROM v_command WHERE status IN ('dispatched', 'acknowledged') AND completed_at IS NULL AND created_at < TIMESTAMP '1998-01-01' - INTERVAL 45 SECOND ORDER BY created_at, id LIMIT 100)
+SELECT c.id, CASE WHEN s.id IS NULL THEN status ELSE 'queued' END AS status, CASE WHEN s.id IS NULL THEN error_message ELSE 'Requeued stale in-flight command (' || status || ') after 45s timeout.' END AS error_message FROM v_command c LEFT JOIN s ON s.id = c.id""")
 def stale_commands(spark, d):
     rows = view(spark, d, "v_command").withColumn("dispatched_at", F.col("created_at"))
-    return activity.recover_stale(rows, F.expr("TIMESTAMP_NTZ '1998-01-01 00:00:00'")).select("id", "status")
+    return activity.recover_stale(rows, F.expr("TIMESTAMP_NTZ '1998-01-01 00:00:00'")).select("id", "status", "error_message")
 
 
 def _binary(spark, d) -> DataFrame:
@@ -492,23 +493,8 @@ def html_assets(spark, d):
     return rows.select("page_id", "a.*")
 
 
-@query()
-def robots_eval(spark, d):
-    content = F.lit("User-agent: *\nDisallow: /en\nAllow: /en/6\nDisallow: /fr$\n\nUser-agent: other\nDisallow: /")
-    return base(spark, d, "pages").select("page_id", robots.evaluate(content, F.col("url")).alias("r")).select("page_id", "r.*")
-
-
-@query()
-def rendezvous_assignment(spark, d):
-    return activity.assign_seeds(view(spark, d, "v_page"), _workers(spark, d))
-
-
-@query()
-def round_robin_assignment(spark, d):
-    return activity.assign_seeds(view(spark, d, "v_page"), _workers(spark, d), "round_robin")
-
-
-@query()
+@query("""WITH RECURSIVE e AS (SELECT from_page AS a, to_page AS b FROM v_link UNION SELECT to_page, from_page FROM v_link), cc(id, component) USING KEY (id) AS (SELECT DISTINCT a, a FROM e UNION
+ SELECT e.b, min(cc.component) FROM cc JOIN e ON e.a = cc.id JOIN recurring.cc AS cur ON cur.id = e.b WHERE cc.component < cur.component GROUP BY e.b) SELECT id, component FROM cc""")
 def connected_components(spark, d):
     links = view(spark, d, "v_link")
     nodes = links.select(F.explode(F.array("from_page", "to_page")).alias("id")).distinct()
@@ -530,8 +516,10 @@ def reparse_links(spark, d):
     return pipelines.candidates(view(spark, d, "v_page"))
 
 
-@query()
+@query("""WITH l AS (SELECT id AS source_page_id, url AS source_page_url, lower(regexp_extract(url, '^(https?://[^/?#]+)', 1)) || x AS candidate_url, t AS inferred_doc_type FROM v_page, (VALUES ('/files/a.pdf', 'PDF'), ('/dl?file=b.docx', 'DOCX')) v(x, t) WHERE page_type_code = 'HTML')
+SELECT source_page_id, source_page_url, candidate_url, inferred_doc_type, 'link' AS discovered_in, p.id AS target_page_id, p.page_type_code AS target_page_type, p.http_status_code AS target_http_status, p.accessed_time AS target_accessed_time, f.state AS frontier_state,
+ p.id IS NOT NULL AS has_page_row, p.http_status_code IS NOT NULL OR p.accessed_time IS NOT NULL AS has_fetch_result FROM l LEFT JOIN v_page p ON p.url = l.candidate_url LEFT JOIN v_frontier f ON f.url = l.candidate_url""")
 def document_link_export(spark, d):
     pages = view(spark, d, "v_page")
     more = pages.withColumn("html_content", F.concat("html_content", F.lit('<a href="/files/a.pdf">a</a><a href="/dl?file=b.docx">b</a>')))
-    return pipelines.document_links(more, view(spark, d, "v_frontier"))
+    return pipelines.export_rows(pipelines.document_links(more, view(spark, d, "v_frontier")))

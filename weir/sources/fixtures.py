@@ -136,6 +136,8 @@ def with_views(sql: str) -> str:
     used = [f"{n} AS ({q.strip()})" for n, q in VIEWS.items() if n in sql]
     lead = "WITH " + ",\n".join(used) if used else ""
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"{lead.replace('WITH ', 'WITH RECURSIVE ', 1)},\n{body[15:]}" if used else body
     if body.upper().startswith("WITH "):
         return f"{lead},\n{body[5:]}" if used else body
     return f"{lead}\n{body}"
