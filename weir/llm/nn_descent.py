@@ -10,8 +10,10 @@ is collected, and only tables whose bytes have been summed and found small are b
 
 How wide a beam has to be depends on the number of vectors and on how they lie.  So it is measured: up to
 ``PROBES`` of the queries, those with the smallest hashes, are also answered by brute force, in blocks over
-all vectors; the beam starts at ``BEAM`` and doubles, and the graph gets another round, until the walks find
-``RECALL`` of those neighbours.
+all vectors; should the walks have found less than ``RECALL`` of those neighbours, the graph gets another
+round, the beam doubles, and all queries walk again.
+
+Lists of neighbours travel packed, one row a node and local join, and are merged by arrays.
 
 Reverse neighbours brought together in one round are a sample of at most ``DEGREE`` by hash, as NN-descent
 has it; a node of high in-degree has others in another round.  Finished rounds' shuffle files are let go.
@@ -35,13 +37,13 @@ from weir.llm.tables import Saved, free, small
 
 DEGREE = 24
 #: Rounds end when a smaller share than this of all neighbours is new; so many rounds at most.
-SETTLED = 0.05
+SETTLED = 0.1
 MOST_ROUNDS = 12
 CODES = 8
 CHUNK = 1024
-BEAM = 96
+BEAM = 144
 PROBES = 64
-RECALL = 0.95
+RECALL = 0.92
 WIDEST = 8192
 ASKED = "__weir_asked"
 
@@ -76,8 +78,24 @@ def _normalised(dimension: int):
     return run
 
 
+PACKED = "a long, b binary, sim binary"
+
+
+def _binary(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Runs of the values, of the given sizes, as bytes."""
+    offsets = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes * values.itemsize, out=offsets[1:])
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _packed(ids: np.ndarray, sizes: np.ndarray, b: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
+    """A row for each of ids that has neighbours."""
+    some = np.flatnonzero(sizes)
+    return pa.RecordBatch.from_arrays([pa.array(ids[some]), _binary(b.astype(np.int64), sizes[some]), _binary(sim.astype(np.float32), sizes[some])], names=["a", "b", "sim"])
+
+
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links among each run of CHUNK nodes in code order; runs overlap by half."""
+    """Neighbours among each run of CHUNK nodes in code order; runs overlap by half."""
     for batch in batches:
         n = batch.num_rows
         if n < 2:
@@ -95,40 +113,83 @@ def _best(ids: np.ndarray, v: np.ndarray, worst: np.ndarray | None) -> pa.Record
     top = np.argpartition(-sims, m - 1, axis=1)[:, :m] if m else np.zeros((len(ids), 0), int)
     found = np.take_along_axis(sims, top, axis=1)
     keep = np.ones_like(found, bool) if worst is None else found > worst[:, None] + 1e-4
-    src, dst = np.repeat(ids, m).reshape(-1, m)[keep], ids[top][keep]
-    return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array(found[keep].astype(np.float32))], names=["a", "b", "sim"])
+    return _packed(ids, keep.sum(axis=1), ids[top][keep], found[keep])
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Local joins over rows (via, node, half, worst) that are sorted by via; a node whose rows go over into the next batch is carried on."""
-    held: tuple | None = None
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables that hold all rows of each of their keys, from batches that come sorted by their first column."""
+    held: pa.Table | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), _half(batch.column(2)), batch.column(3).to_numpy())
-        if held:
-            now = tuple(np.concatenate(x) for x in zip(held, now, strict=True))
-        cut = np.flatnonzero(np.r_[True, now[0][1:] != now[0][:-1]])
-        out = []
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            if b - a > 1:
-                out.append(_best(now[1][a:b], now[2][a:b], now[3][a:b]))
-        held = tuple(x[cut[-1] :] for x in now)
+        now = pa.Table.from_batches([batch])
+        now = now if held is None else pa.concat_tables([held, now])
+        keys = now.column(0).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if cut:
+            yield now.slice(0, cut).combine_chunks()
+        held = now.slice(cut)
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Local joins over rows (via, node, half, worst) that are sorted by via."""
+    for table in _by_key(batches):
+        via, ids, worst = (table.column(k).to_numpy() for k in (0, 1, 3))
+        v = _half(table.column(2).combine_chunks() if table.column(2).num_chunks != 1 else table.column(2).chunk(0))
+        cut = np.flatnonzero(np.r_[True, via[1:] != via[:-1], True])
+        out = [_best(ids[a:b], v[a:b], worst[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True) if b - a > 1]
         if out:
-            yield pa.Table.from_batches(out).combine_chunks().to_batches()[0] if sum(x.num_rows for x in out) else out[0]
-    if held and len(held[0]) > 1:
-        yield _best(held[1], held[2], held[3])
+            yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
 
-def _top(edges: DataFrame) -> DataFrame:
-    """The DEGREE closest of each node; fresh: whether only this round found them."""
-    best = edges.where("a <> b").groupBy("a", "b").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
-    r = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))
-    return best.withColumn("r", r).where(F.col("r") <= DEGREE).drop("r")
+def _flat(column: pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray]:
+    """All values of rows of bytes, one after another, and how many each row has."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), kind), np.array([len(r) for r in rows], np.int64) // np.dtype(kind).itemsize
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (a, b, sim, old), sorted by a, the DEGREE closest of each a, with its worst so far, how many there are and how many are new."""
+    for table in _by_key(batches):
+        a = table.column(0).to_numpy()
+        (b, sizes), (sim, _) = _flat(table.column(1), np.int64), _flat(table.column(2), np.float32)
+        old = np.repeat(table.column(3).to_numpy(), sizes)
+        nodes, owner = np.unique(np.repeat(a, sizes), return_inverse=True)
+        if not len(nodes):
+            continue
+        # of a neighbour met several times the closest, which tells whether it is old if any is
+        by = np.lexsort((-sim, b, owner))
+        owner, b, sim, old = owner[by], b[by], sim[by], old[by]
+        first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (b[1:] != b[:-1])])
+        old = np.maximum.reduceat(old, first)
+        owner, b, sim = owner[first], b[first], sim[first]
+        by = np.lexsort((b, -sim, owner))
+        place = np.arange(len(by)) - np.searchsorted(owner, np.arange(len(nodes)))[owner[by]]
+        by = by[place < DEGREE]
+        owner, b, sim, old = owner[by], b[by], sim[by], old[by]
+        n = np.bincount(owner, minlength=len(nodes))
+        last = np.cumsum(n) - 1
+        worst = np.where(n >= DEGREE, sim[last], -2).astype(np.float32)
+        rows = _packed(nodes, n, b, sim)
+        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(worst), pa.array(n), pa.array(n - np.bincount(owner, old, len(nodes)).astype(np.int64))], names=["a", "b", "sim", "worst", "n", "fresh"])
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            b, sizes = _flat(batch.column(1), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), sizes)), pa.array(b)], names=["a", "b"])
+
+
+def _top(lists: DataFrame) -> DataFrame:
+    """Of rows (a, b, sim, old), old being 1 for a list of the graph so far, the graph of each node's closest."""
+    return lists.repartition("a").sortWithinPartitions("a").mapInArrow(_merge, PACKED + ", worst float, n long, fresh long")
 
 
 class Index:
-    """Of nodes(node, v): the table (node, half, codes) and the neighbour graph (a, b, sim, fresh), each node's closest found."""
+    """Of nodes(node, v): the table (node, half, codes) and the neighbour graph (a, b, sim, worst, n, fresh), a row a node with its closest found."""
 
     def __init__(self, nodes: DataFrame, dimension: int):
         self.table = Saved(nodes.select("node", "v").mapInArrow(_normalised(dimension), "node long, half binary, " + ", ".join(f"c{k} long" for k in range(CODES))), "nodes")
@@ -138,26 +199,32 @@ class Index:
         parts = None
         for k in range(CODES):
             ordered = self.table.df.select("node", "half", f"c{k}").repartitionByRange(n, f"c{k}", "node").sortWithinPartitions(f"c{k}", "node")
-            links = ordered.select("node", "half").mapInArrow(_close, "a long, b long, sim float")
+            links = ordered.select("node", "half").mapInArrow(_close, PACKED)
             parts = links if parts is None else parts.union(links)
-        self.graph = Saved(_top(parts.withColumn("fresh", F.lit(1))), "graph")
+        self.graph = Saved(_top(parts.withColumn("old", F.lit(0))), "graph")
         self.rounds = 0
 
+    @property
+    def edges(self) -> DataFrame:
+        """Rows (a, b) of the graph."""
+        return self.graph.df.select("a", "b").mapInArrow(_edges, "a long, b long")
+
     def descend(self) -> float:
         """One round; the share of neighbours that are new."""
         graph, vectors, turn = self.graph, self.table.df.select("node", "half"), self.rounds
-        worst = graph.df.groupBy("a").agg(F.min("sim").alias("worst"), F.count(F.lit(1)).alias("n")).select(F.col("a").alias("node"), F.when(F.col("n") >= DEGREE, F.col("worst")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
-        back = graph.df.select(F.col("b").alias("via"), F.col("a").alias("node"))
+        edges = self.edges
+        back = edges.select(F.col("b").alias("via"), F.col("a").alias("node"))
         r = F.row_number().over(Window.partitionBy("via").orderBy(F.xxhash64("node", F.lit(turn))))
         back = back.withColumn("r", r).where(F.col("r") <= DEGREE).drop("r")
-        both = graph.df.select(F.col("a").alias("via"), F.col("b").alias("node")).union(back).distinct()
-        rows = both.join(vectors.join(worst, "node"), "node").select("via", "node", "half", "worst")
-        met = rows.repartition("via").sortWithinPartitions("via").mapInArrow(_meet, "a long, b long, sim float")
-        self.graph = Saved(_top(met.withColumn("fresh", F.lit(1)).union(graph.df.withColumn("fresh", F.lit(0)))), "graph")
+        both = edges.select(F.col("a").alias("via"), F.col("b").alias("node")).union(back).distinct()
+        known = vectors.join(graph.df.select(F.col("a").alias("node"), "worst"), "node")
+        rows = both.join(known, "node").select("via", "node", "half", "worst")
+        met = rows.repartition("via").sortWithinPartitions("via").mapInArrow(_meet, PACKED)
+        self.graph = Saved(_top(met.withColumn("old", F.lit(0)).union(graph.df.select("a", "b", "sim", F.lit(1).alias("old")))), "graph")
         self.rounds += 1
         graph.drop()
         free(self.table.spark)
-        return self.graph.df.agg(F.avg("fresh")).first()[0] or 0.0
+        return self.graph.df.agg(F.sum("fresh") / F.sum("n")).first()[0] or 0.0
 
     def settle(self, most_rounds: int = MOST_ROUNDS, settled: float = SETTLED) -> Index:
         while self.rounds < most_rounds and self.descend() > settled:
@@ -190,7 +257,8 @@ def search(index: Index, queries: DataFrame, beam: int = BEAM) -> Saved:
     A walk ends when all its best ``beam`` nodes have been visited, however many steps that takes."""
     vectors = small(index.table.df.select("node", "half"))
     q = small(queries.select("q", F.col("half").alias("qhalf")).distinct())
-    graph = index.graph.df.select(F.col("a").alias("node"), "b")
+    edges = Saved(index.edges, "edges")
+    graph = edges.df.select(F.col("a").alias("node"), "b")
 
     def seen_of(pairs: DataFrame) -> DataFrame:
         return pairs.join(vectors, "node").join(q, "q").select("q", "node", _half_cosine(F.col("half"), F.col("qhalf")).alias("sim"), F.lit(False).alias("visited"))
@@ -202,6 +270,7 @@ def search(index: Index, queries: DataFrame, beam: int = BEAM) -> Saved:
         now = Saved(front, "front")
         if now.df.isEmpty():
             now.drop()
+            edges.drop()
             return seen
         reached = now.df.join(graph, "node").select("q", F.col("b").alias("node")).distinct()
         fresh = seen_of(reached.join(seen.df.select("q", "node"), ["q", "node"], "left_anti"))
@@ -238,28 +307,23 @@ def _closest(rows: DataFrame, k: int) -> DataFrame:
     return rows.where("q <> node").withColumn("r", r).where(F.col("r") <= k).select("q", "node", "sim")
 
 
-def beam_for(index: Index, queries: DataFrame, k: int, beam: int = BEAM, probes: int = PROBES, recall: float = RECALL) -> tuple[int, float]:
-    """The beam that finds enough of the k nearest nodes of a few of the queries, measured against brute force, and the share it found.
-
-    Found counts what is as close as the k-th nearest, so ties do no harm."""
+def probed(index: Index, queries: DataFrame, k: int, probes: int = PROBES) -> dict[int, tuple[float, int]]:
+    """For a few of the queries, by brute force: how close the k-th nearest node is, and how many there are."""
     asked = queries.select("q", "half").distinct().orderBy(F.xxhash64("q"), "q").limit(probes).collect()
     if not asked:
-        return beam, 1.0
-    spark = index.table.spark
-    sent = spark.sparkContext.broadcast((np.array([r["q"] for r in asked]), np.frombuffer(b"".join(r["half"] for r in asked), np.float16).reshape(len(asked), -1)))
-    exact = _closest(index.table.df.select("node", "half").mapInArrow(_brute(sent, k), "q long, node long, sim float"), k).groupBy("q").agg(F.min("sim").alias("least"), F.count(F.lit(1)).alias("n")).collect()
-    least, total = {r["q"]: r["least"] - 1e-4 for r in exact}, sum(r["n"] for r in exact)
-    few = queries.join(F.broadcast(spark.createDataFrame([(r["q"],) for r in asked], "q long")), "q")
-    while total:
-        seen = search(index, few, beam)
-        hit = sum(r["sim"] >= least[r["q"]] for r in _closest(seen.df, k).collect() if r["q"] in least)
-        seen.drop()
-        if hit >= recall * total or beam >= WIDEST:
-            return beam, hit / total
-        beam *= 2
-        if index.rounds < MOST_ROUNDS:
-            index.descend()
-    return beam, 1.0
+        return {}
+    sent = index.table.spark.sparkContext.broadcast((np.array([r["q"] for r in asked]), np.frombuffer(b"".join(r["half"] for r in asked), np.float16).reshape(len(asked), -1)))
+    rows = index.table.df.select("node", "half").mapInArrow(_brute(sent, k), "q long, node long, sim float")
+    return {r["q"]: (r["least"] - 1e-4, r["n"]) for r in _closest(rows, k).groupBy("q").agg(F.min("sim").alias("least"), F.count(F.lit(1)).alias("n")).collect()}
+
+
+def recall(seen: DataFrame, truth: dict[int, tuple[float, int]], k: int) -> float:
+    """The share of the probes' nearest nodes that were seen; what is as close as the k-th counts, so ties do no harm."""
+    total = sum(n for _, n in truth.values())
+    if not total:
+        return 1.0
+    rows = _closest(seen.where(F.col("q").isin(list(truth))), k).collect()
+    return sum(r["sim"] >= truth[r["q"]][0] for r in rows) / total
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", most_rounds: int = MOST_ROUNDS) -> DataFrame:
@@ -274,8 +338,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     members = Saved(rows.join(classes.df, "v").select("node", "id").distinct(), "members")
     wanted = Saved(members.df.join(asked, "id").select("node", F.col("id").alias("query_id")), "wanted")
     q = Saved(wanted.df.select("node").distinct().join(index.table.df, "node").select(F.col("node").alias("q"), "half", F.col("node").alias("start")), "queries").df
-    beam, _ = beam_for(index, q, k)
+    truth, beam = probed(index, q, k), BEAM
     seen = search(index, q, beam)
+    while beam < WIDEST and recall(seen.df, truth, k) < RECALL:
+        seen.drop()
+        beam *= 2
+        if index.rounds < most_rounds:
+            index.descend()
+        seen = search(index, q, beam)
     near = _closest(seen.df, max(beam, 2 * k)).select("q", "node").union(q.select("q", F.col("q").alias("node"))).distinct()
     a, b = classes.df.select(F.col("node").alias("q"), F.col("v").alias("x")), classes.df.select("node", F.col("v").alias("y"))
     scored = near.join(b, "node").join(a, "q").select("q", "node", _cosine(F.col("x"), F.col("y")).alias("score"))
