@@ -243,15 +243,40 @@ def _bigrams(sent):
     return run
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (w, o, n, bo, bn) with their lists as bytes, which are read again in a fraction of the time."""
+def _laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row (w, o, n, bo, bn) of the rows (w, side, n) of each word, which come sorted by w: the words after it and how often, and those before it, as bytes.
+
+    side is twice the other word, and one more where that comes before."""
+
+    def out(w: np.ndarray, side: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        by = np.lexsort((side >> 1, side & 1, w))
+        w, side, n = w[by], side[by], n[by]
+        begins = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+        word, other = np.cumsum(np.r_[0, w[1:] != w[:-1]]), (side >> 1).astype(np.int32)
+        columns = [pa.array(w[begins])]
+        for before in (0, 1):
+            mine = side & 1 == before
+            sizes = np.bincount(word[mine], minlength=len(begins))
+            columns += [_binary(other[mine], sizes), _binary(n[mine], sizes)]
+        return pa.RecordBatch.from_arrays(columns, names=["w", "o", "n", "bo", "bn"])
+
+    return _by_first(batches, out)
+
+
+def _by_first(batches: Iterator[pa.RecordBatch], out) -> Iterator[pa.RecordBatch]:
+    """out() of the columns of batches that come sorted by the first one; a value of it that goes over into the next batch is carried on."""
+    held: list[tuple] = []
     for batch in batches:
-        columns = [batch.column(0)]
-        for k, kind in ((1, np.int32), (2, np.int64), (3, np.int32), (4, np.int64)):
-            sizes = pc.fill_null(pc.list_value_length(batch.column(k)), 0).to_numpy(zero_copy_only=False)
-            values = batch.column(k).flatten().to_numpy().astype(kind)
-            columns.append(_binary(values, sizes))
-        yield pa.RecordBatch.from_arrays(columns, names=["w", "o", "n", "bo", "bn"])
+        if not batch.num_rows:
+            continue
+        now = tuple(c.to_numpy() for c in batch.columns)
+        cut = int(np.searchsorted(now[0], now[0][-1]))
+        if cut or (held and held[0][0][0] != now[0][0]):
+            yield out(*(np.concatenate(x) for x in zip(*held, tuple(c[:cut] for c in now), strict=True)))
+            held = []
+        held.append(tuple(c[cut:] for c in now))
+    if held:
+        yield out(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
 def _binary(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -381,18 +406,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns += [_binary((cells & 0xFFFF).astype(np.uint16), sizes), _binary(m.astype(np.int64), sizes), _binary(key, places), _binary(g.astype(np.uint16), places)]
         return pa.RecordBatch.from_arrays(columns, names=["h", "mark", "n", "g", "m", "keys", "before"])
 
-    held: tuple | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        now = tuple(c.to_numpy() for c in batch.columns)
-        now = now if held is None else tuple(np.concatenate(x) for x in zip(held, now, strict=True))
-        cut = int(np.searchsorted(now[0], now[0][-1]))
-        if cut:
-            yield out(*(c[:cut] for c in now))
-        held = tuple(c[cut:] for c in now)
-    if held is not None:
-        yield out(*held)
+    return _by_first(batches, out)
 
 
 class _Exchange:
@@ -543,12 +557,12 @@ def _core_classes(spark, training: DataFrame, vocab: Vocabulary, classes: int, m
     sent = spark.sparkContext.broadcast(vocab)
     grams = training.mapInArrow(_bigrams(sent), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     pair = grams.select((F.col("key") / size).cast("long").alias("a"), (F.col("key") % size).alias("b"), "n")
-    sides = pair.select(F.explode(F.array(F.struct(F.col("a").alias("w"), F.col("b").alias("o"), F.lit(True).alias("after"), "n"), F.struct(F.col("b").alias("w"), F.col("a").alias("o"), F.lit(False).alias("after"), "n"))).alias("s")).select("s.*")
+    side = lambda w, o, before: F.struct(F.col(w).alias("w"), (F.col(o) * 2 + before).alias("side"), "n")
+    sides = pair.select(F.explode(F.array(side("a", "b", 0), side("b", "a", 1))).alias("s")).select("s.*")
     # a row per word with its neighbours: at most two entries for each word of the core or shape
-    lists = sides.groupBy("w").agg(*[F.collect_list(F.when(side, F.struct("o", "n"))).alias(c) for side, c in ((F.col("after"), "a"), (~F.col("after"), "b"))])
+    lists = sides.repartition("w").sortWithinPartitions("w").mapInArrow(_laid, "w long, o binary, n binary, bo binary, bn binary")
     # dealt evenly once; the rounds read the files
-    n_files = max(2 * spark.sparkContext.defaultParallelism, vocab.total // 1_000_000)
-    lists = lists.select("w", "a.o", "a.n", F.col("b.o").alias("bo"), F.col("b.n").alias("bn")).mapInArrow(_packed, "w long, o binary, n binary, bo binary, bn binary")
+    n_files = max(2 * spark.sparkContext.defaultParallelism, vocab.total // 500_000)
     laid_table = Saved(lists.repartition(n_files), "bigrams")
     laid = laid_table.df
     del grams, pair, sides, lists
