@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PART, PLACE, BEFORE = "__weir_part", "__weir_place", "__weir_before"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder that spark.checkpoint.dir names; where it is unset, as in tests, in a folder of this machine."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where it is unset, as in tests, one of this machine."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named:
             if not sc.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
@@ -20,6 +20,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
             named = tempfile.mkdtemp(prefix="weir-")
         sc.setCheckpointDir(named)
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage in that folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

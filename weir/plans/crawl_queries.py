@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +11,10 @@ from weir.functions import hashing, robots, scoring, telemetry
 from weir.functions import url as U
 from weir.operators import activity, frontier, graph, ingest, worker
 from weir.operators import pages as P
+from weir.operators.numbering import checkpoint_folder
 from weir.plans import pipelines
 from weir.plans.queries import _GRAPH, NOW, QUERIES, SQL, now, query, sitemap_documents
-from weir.sources.fixtures import base, view
+from weir.sources.fixtures import VIEWS, base, view
 from weir.streaming import events as ev
 
 __all__ = ["QUERIES", "SQL"]
@@ -721,3 +724,13 @@ def stream_throughput(spark, d):
 def stream_worker_states(spark, d):
     rows = _stream(spark, d, "events").select(F.col("user_id").alias("worker_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), F.col("event_type").alias("status"), F.lit(None).cast("string").alias("current_url"), F.col("event_id").alias("pages_processed"), F.lit(None).cast("long").alias("error_count"))
     return ev.run_to_end(ev.worker_states(rows), "complete", f"states_{abs(hash(d))}").select("worker_id", "status", "pages_processed")
+
+
+@query(f"SELECT worker_id, ts AS created_at, {_LEVEL} AS level, {_MESSAGE} AS message FROM v_event WHERE {_LOGGED}")
+def stream_persisted_logs(spark, d):
+    _stream(spark, d, "events").createOrReplaceTempView("events")
+    rows = ev.envelopes(spark.sql(VIEWS["v_event"]).select("type", F.lit(None).cast("string").alias("daemonId"), F.col("worker_id").cast("int").alias("workerId"), "payload", "ts"))
+    folder = f"{checkpoint_folder(spark)}/weir-stream-{uuid.uuid4().hex}"
+    ev.persist(rows, f"{folder}/out", f"{folder}/state").awaitTermination()
+    logs = spark.read.option("basePath", f"{folder}/out/worker_log").parquet(f"{folder}/out/worker_log/batch=*")
+    return logs.select(F.col("external_worker_id").cast("long").alias("worker_id"), F.col("created_at").cast("timestamp_ntz").alias("created_at"), "level", "message")

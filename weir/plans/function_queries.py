@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weir.functions import hashing, robots, scoring, telemetry
+from weir.functions import html as H
 from weir.functions import url as U
+from weir.plans import pipelines
 from weir.plans.crawl_queries import QUERIES, SQL
-from weir.plans.queries import query
+from weir.plans.queries import now, query
 from weir.sources.fixtures import base, view
 
 __all__ = ["QUERIES", "SQL"]
@@ -166,3 +168,47 @@ def terminal_states(spark, d):
 @query("SELECT page_id AS id, regexp_replace(url, '^([^?#]*).*$', '\\1') || CASE WHEN len(k) > 0 THEN '?' || array_to_string(list_sort(k), '&') ELSE '' END AS url FROM (SELECT page_id, url, list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_[^=]*|fbclid|gclid|igshid|mc_cid|mc_eid|ref|ref_src)(=|$)')) AS k FROM pages)")
 def untracked_urls(spark, d):
     return base(spark, d, "pages").select(F.col("page_id").alias("id"), U.without_tracking(F.col("url")).alias("url"))
+
+
+# --- stored HTML --------------------------------------------------------------------------------------------------------
+
+@query("""SELECT page_id, lower(regexp_extract(url, '^(https?://[^/?#]+)', 1)) || regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) || CASE WHEN len(k) > 0 THEN '?' || array_to_string(list_sort(k), '&') ELSE '' END AS url
+ FROM (SELECT page_id, url, list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_[^=]*|fbclid|gclid|igshid|mc_cid|mc_eid|ref|ref_src)(=|$)')) AS k FROM pages)""")
+def canonicalize_full(spark, d):
+    return base(spark, d, "pages").select("page_id", U.canonicalize(F.col("url")).alias("url"))
+
+
+#: A page's anchors as canonical links, each once, in order: the pages' own links are single path segments.
+_LINKS = "list_transform(regexp_extract_all({html}, '<a href=\"/([^\"]*)\"', 1), lambda p: lower(regexp_extract({url}, '^(https?://[^/?#]+)', 1)) || '/' || replace(url_encode(p), '%2C', ','))"
+
+
+@query(f"SELECT page_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS links, 0 AS n_images, 0 AS n_js_links FROM (SELECT page_id, {_LINKS.format(html='html', url='url')} AS l FROM pages)")
+def html_assets(spark, d):
+    rows = base(spark, d, "pages").select("page_id", H.page_assets(F.col("html"), F.col("url")).alias("a"))
+    return rows.select("page_id", F.array_join("a.links", " ").alias("links"), F.size("a.images").alias("n_images"), F.size("a.js_links").alias("n_js_links"))
+
+
+_FOUND = f"hl AS (SELECT id AS page_id, url AS source_url, {_LINKS.format(html='html_content', url='url')} AS l FROM v_page WHERE page_type_code = 'HTML'), hd AS (SELECT page_id, source_url, unnest(list_filter(l, lambda x, i: list_position(l, x) = i)) AS url, unnest(range(0, len(list_filter(l, lambda x, i: list_position(l, x) = i)))) AS ord FROM hl)"
+
+
+@query(f"WITH {_FOUND} SELECT page_id, source_url, url, 'FRONTIER' AS page_type_code, 'link' AS discovered_in, CAST(ord AS INT) AS ord FROM hd WHERE url <> source_url")
+def reparse_links(spark, d):
+    return pipelines.candidates(view(spark, d, "v_page")).select("page_id", "source_url", "url", "page_type_code", "discovered_in", "ord")
+
+
+@query(f"""WITH {_FOUND}, n AS (SELECT DISTINCT url FROM hd WHERE url NOT IN (SELECT url FROM v_page))
+SELECT (SELECT count(*) FROM v_page) + (SELECT count(*) FROM n) AS pages, (SELECT count(*) FROM n) AS inserted, 0 AS promoted, (SELECT count(*) FROM v_link) + (SELECT count(*) FROM (SELECT DISTINCT page_id, url FROM hd)) AS edges, 0 AS documents""")
+def reparse_summary(spark, d):
+    pages = view(spark, d, "v_page")
+    queue = view(spark, d, "v_frontier").withColumn("source_url", F.lit(None).cast("string"))
+    return pipelines.reparse_counts(pages, pipelines.reparse(pages, view(spark, d, "v_link"), queue, now()))
+
+
+# --- settings -----------------------------------------------------------------------------------------------------------
+
+@query("""SELECT ord, round(CAST(CASE WHEN regexp_extract(source_url, '^https?://([^/:?#]+)', 1) = h THEN 7 ELSE 0 END + CASE WHEN h = 'example.org' OR h LIKE '%.example.org' THEN 11 ELSE 0 END + CASE WHEN contains(p, 'clinic') THEN 3 ELSE 0 END + CASE WHEN contains(p, 'img') THEN 3 ELSE 0 END - 0.5 * depth AS DOUBLE), 6) AS score
+ FROM (SELECT *, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS h, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS p FROM v_found)""")
+def configured_scores(spark, d):
+    config = {"topicKeywordsText": "clinic; Clinic,\nimg", "seedEntries": [{"url": "https://example.org/x"}, {"url": "https://off.example/", "enabled": False}], "relevanceSameHostBoost": 7, "relevanceAllowedSuffixBoost": 11, "relevanceKeywordBoost": 3, "relevanceDepthPenalty": 0.5}
+    policy = scoring.Policy.from_config(config)
+    return view(spark, d, "v_found").select("ord", F.round(scoring.crawler_score(F.col("url"), F.col("source_url"), F.col("depth"), policy), 6).alias("score"))

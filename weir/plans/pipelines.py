@@ -54,8 +54,8 @@ def reparse(pages: DataFrame, links: DataFrame, frontier: DataFrame, now: Column
 
 def reparse_counts(before: DataFrame, after: dict[str, DataFrame]) -> DataFrame:
     """One row: pages, those inserted and promoted, edges, documents."""
-    old = before.select("url", F.col("page_type_code").alias("t"))
-    p = after["pages"].join(old, "url", "left").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("t").isNull()).alias("inserted"), F.count_if((F.col("t") == "FRONTIER") & (F.col("page_type_code") == "BINARY")).alias("promoted"))
+    old = before.select("id", F.col("page_type_code").alias("t"), F.lit(True).alias("known"))
+    p = after["pages"].join(old, "id", "left").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("known").isNull()).alias("inserted"), F.count_if((F.col("t") == "FRONTIER") & (F.col("page_type_code") == "BINARY")).alias("promoted"))
     return p.crossJoin(after["links"].agg(F.count(F.lit(1)).alias("edges"))).crossJoin(after["page_data"].agg(F.count(F.lit(1)).alias("documents")))
 
 

@@ -482,17 +482,6 @@ def topology_changes(spark, d):
     return graph.changes(links.where("from_site < 12"), links.where("from_site > 3 and to_site <> 5"), ["to_page"])
 
 
-@query()
-def canonicalize_full(spark, d):
-    return base(spark, d, "pages").select("page_id", U.canonicalize(F.col("url")).alias("url"))
-
-
-@query()
-def html_assets(spark, d):
-    rows = base(spark, d, "pages").select("page_id", H.page_assets(F.col("html"), F.col("url")).alias("a"))
-    return rows.select("page_id", "a.*")
-
-
 @query("""WITH RECURSIVE e AS (SELECT from_page AS a, to_page AS b FROM v_link UNION SELECT to_page, from_page FROM v_link), cc(id, component) USING KEY (id) AS (SELECT DISTINCT a, a FROM e UNION
  SELECT e.b, min(cc.component) FROM cc JOIN e ON e.a = cc.id JOIN recurring.cc AS cur ON cur.id = e.b WHERE cc.component < cur.component GROUP BY e.b) SELECT id, component FROM cc""")
 def connected_components(spark, d):
@@ -511,11 +500,6 @@ def sitemap_documents(spark, d) -> tuple[DataFrame, str]:
     return own.union(top), host
 
 
-@query()
-def reparse_links(spark, d):
-    return pipelines.candidates(view(spark, d, "v_page"))
-
-
 @query("""WITH l AS (SELECT id AS source_page_id, url AS source_page_url, lower(regexp_extract(url, '^(https?://[^/?#]+)', 1)) || x AS candidate_url, t AS inferred_doc_type FROM v_page, (VALUES ('/files/a.pdf', 'PDF'), ('/dl?file=b.docx', 'DOCX')) v(x, t) WHERE page_type_code = 'HTML')
 SELECT source_page_id, source_page_url, candidate_url, inferred_doc_type, 'link' AS discovered_in, p.id AS target_page_id, p.page_type_code AS target_page_type, p.http_status_code AS target_http_status, p.accessed_time AS target_accessed_time, f.state AS frontier_state,
  p.id IS NOT NULL AS has_page_row, p.http_status_code IS NOT NULL OR p.accessed_time IS NOT NULL AS has_fetch_result FROM l LEFT JOIN v_page p ON p.url = l.candidate_url LEFT JOIN v_frontier f ON f.url = l.candidate_url""")
