@@ -372,7 +372,7 @@ def live_log_search(spark, d):
     return activity.search_logs(rows, None, "error", "for 1", 100).select("id", "level")
 
 
-@query("SELECT id, CASE WHEN type = 'page-reported' THEN 1.0 END AS pages, CAST(json_extract_string(payload, '$.priority') AS INT) AS priority FROM (SELECT *, type AS t FROM v_event)")
+@query("SELECT id, CASE WHEN type = 'page-reported' THEN CAST(1 AS DOUBLE) END AS pages, CAST(json_extract_string(payload, '$.priority') AS INT) AS priority FROM (SELECT *, type AS t FROM v_event)")
 def event_numbers(spark, d):
     typed = F.when(F.col("type") == "page-reported", F.regexp_replace("payload", r"^\{", '{"type":"page-reported",')).otherwise(F.col("payload"))
     return _events(spark, d).select("id", telemetry.metric_increment(typed).alias("pages"), telemetry.queue_numbers(F.col("payload"))["priority"].alias("priority"))
@@ -491,7 +491,7 @@ def ungrouped_workers(spark, d):
     return activity.ungrouped(view(spark, d, "v_worker"), keyed).select("daemon_id", F.array_join("worker_ids", ",").alias("worker_ids"))
 
 
-@query("""WITH t AS (SELECT 'ip' || CAST(s_suppkey AS VARCHAR) AS ip_key, s_suppkey * 1.0 AS remaining, 'h' || CAST(s_suppkey % 15 AS VARCHAR) || '.example.org' AS dom FROM supplier),
+@query("""WITH t AS (SELECT 'ip' || CAST(s_suppkey AS VARCHAR) AS ip_key, CAST(s_suppkey AS DOUBLE) AS remaining, 'h' || CAST(s_suppkey % 15 AS VARCHAR) || '.example.org' AS dom FROM supplier),
  b AS (SELECT dom AS host, min(ip_key) AS ip_key FROM t GROUP BY dom) SELECT f.id, b.ip_key, t.remaining FROM v_frontier f LEFT JOIN b ON b.host = f.site_key LEFT JOIN t ON t.ip_key = b.ip_key""")
 def queue_timeouts(spark, d):
     k = F.col("s_suppkey")
@@ -520,7 +520,7 @@ def _few_workers(spark, d) -> DataFrame:
 
 @query(f"""WITH h AS (SELECT id, n_nationkey AS w, {_fnv("url || '|' || CAST(n_nationkey AS VARCHAR)", hashing.SCORE_BASIS)} AS u FROM v_page, nation),
  s AS (SELECT id, w, CAST(CASE WHEN u >= 9223372036854775808::HUGEINT THEN u - {_WIDE}::HUGEINT ELSE u END AS DOUBLE) AS score FROM h)
-SELECT id, w AS worker_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, w) AS r FROM s) WHERE r = 1""")
+SELECT id, CAST(w AS BIGINT) AS worker_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, w) AS r FROM s) WHERE r = 1""")
 def rendezvous_assignment(spark, d):
     pages = view(spark, d, "v_page").select("id", "url")
     return activity.assign_seeds(pages, _few_workers(spark, d)).join(pages, "url").select("id", "worker_id")
@@ -529,7 +529,7 @@ def rendezvous_assignment(spark, d):
 @query(f"SELECT id, CAST({_fnv('url', hashing.SLOT_BASIS)} % 25::HUGEINT AS BIGINT) AS worker_id FROM v_page")
 def round_robin_assignment(spark, d):
     pages = view(spark, d, "v_page").select("id", "url")
-    return activity.assign_seeds(pages.select("url").distinct(), _few_workers(spark, d), "round_robin").join(pages, "url").select("id", "worker_id")
+    return activity.assign_seeds(pages.select("url").distinct(), _few_workers(spark, d), "round_robin").join(pages, "url").select("id", F.col("worker_id").cast("long").alias("worker_id"))
 
 
 @query(f"SELECT id, CAST({_fnv('url', hashing.BASIS32, hashing.PRIME32, '4294967296')} AS DOUBLE) / 4294967296 AS unit FROM v_page")

@@ -98,7 +98,7 @@ def normal_relevance(spark, d):
 _ROBOTS = ("User-agent: *\nDisallow: /en\nCrawl-delay: 4\nSitemap: https://s.example.org/1.xml", "User-agent: weir\nDisallow:\n\nUser-agent: *\nDisallow: /", "")
 
 
-@query("""SELECT page_id AS id, CASE page_id % 4 WHEN 0 THEN NOT starts_with(p, '/en') ELSE true END AS allowed, CASE WHEN page_id % 4 = 0 THEN 4.0 END AS crawl_delay, CASE WHEN page_id % 4 = 0 THEN 1 ELSE 0 END AS n_sitemaps
+@query("""SELECT page_id AS id, CASE page_id % 4 WHEN 0 THEN NOT starts_with(p, '/en') ELSE true END AS allowed, CASE WHEN page_id % 4 = 0 THEN CAST(4 AS DOUBLE) END AS crawl_delay, CASE WHEN page_id % 4 = 0 THEN 1 ELSE 0 END AS n_sitemaps
  FROM (SELECT page_id, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS p FROM pages)""")
 def robots_policies(spark, d):
     content = F.when(F.col("page_id") % 4 == 0, _ROBOTS[0]).when(F.col("page_id") % 4 == 1, _ROBOTS[1]).when(F.col("page_id") % 4 == 2, _ROBOTS[2])
@@ -106,7 +106,7 @@ def robots_policies(spark, d):
     return rows.select("id", "p.allowed", "p.crawl_delay", F.size("p.sitemaps").alias("n_sitemaps"))
 
 
-@query("""SELECT c_custkey AS id, greatest(5.0, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 9 * 1.0 END, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 20 * 1.0 END, c_custkey % 4 * 1.0) AS delay,
+@query("""SELECT c_custkey AS id, CAST(greatest(5.0, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 9 * 1.0 END, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 20 * 1.0 END, c_custkey % 4 * 1.0) AS DOUBLE) AS delay,
  CAST(greatest(c_custkey % 8000, 5000, ceil(greatest(c_custkey % 9 * 1.5, coalesce(CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 20 * 1.0 END, 0.0)) * 1000)) AS BIGINT) AS cooldown_ms FROM customer""")
 def politeness_delays(spark, d):
     k = F.col("c_custkey")
@@ -197,7 +197,7 @@ def reparse_links(spark, d):
 
 
 @query(f"""WITH {_FOUND}, n AS (SELECT DISTINCT url FROM hd WHERE url NOT IN (SELECT url FROM v_page))
-SELECT (SELECT count(*) FROM v_page) + (SELECT count(*) FROM n) AS pages, (SELECT count(*) FROM n) AS inserted, 0 AS promoted, (SELECT count(*) FROM v_link) + (SELECT count(*) FROM (SELECT DISTINCT page_id, url FROM hd)) AS edges, 0 AS documents""")
+SELECT (SELECT count(*) FROM v_page) + (SELECT count(*) FROM n) AS pages, (SELECT count(*) FROM n) AS inserted, CAST(0 AS BIGINT) AS promoted, (SELECT count(*) FROM v_link) + (SELECT count(*) FROM (SELECT DISTINCT page_id, url FROM hd)) AS edges, CAST(0 AS BIGINT) AS documents""")
 def reparse_summary(spark, d):
     pages = view(spark, d, "v_page")
     queue = view(spark, d, "v_frontier").withColumn("source_url", F.lit(None).cast("string"))
