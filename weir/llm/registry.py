@@ -12,6 +12,7 @@ from weir.llm.secrets import op3_secrets
 from weir.llm.sentencepiece_bpe import op1_sentencepiece
 from weir.llm.substring_dup import op7_substring_dup
 from weir.llm.token_counts import op5_token_counts
+from weir.llm.vector_codes import OP11_SQL, op11_vector_codes
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_licenses": op9_licenses,
     "op10_language_id": op10_language_id,
+    "op11_vector_codes": op11_vector_codes,
 }
 
 ORACLE_SQL = {
     "op8_decontaminate": OP8_SQL,
     "op9_licenses": OP9_SQL,
+    "op11_vector_codes": OP11_SQL,
 }
