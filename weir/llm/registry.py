@@ -10,6 +10,7 @@ from weir.llm.near_dup import op4_near_dup
 from weir.llm.nn_descent import op6_nn_descent
 from weir.llm.secrets import op3_secrets
 from weir.llm.sentencepiece_bpe import op1_sentencepiece
+from weir.llm.simhash_dup import op12_simhash
 from weir.llm.substring_dup import op7_substring_dup
 from weir.llm.token_counts import op5_token_counts
 from weir.llm.vector_codes import OP11_SQL, op11_vector_codes
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_licenses": op9_licenses,
     "op10_language_id": op10_language_id,
     "op11_vector_codes": op11_vector_codes,
+    "op12_simhash": op12_simhash,
 }
 
 ORACLE_SQL = {
