@@ -8,6 +8,7 @@ from weir.llm.language_id import op10_language_id
 from weir.llm.licenses import OP9_SQL, op9_licenses
 from weir.llm.near_dup import op4_near_dup
 from weir.llm.nn_descent import op6_nn_descent
+from weir.llm.quantile_digest import op13_quantiles
 from weir.llm.secrets import op3_secrets
 from weir.llm.sentencepiece_bpe import op1_sentencepiece
 from weir.llm.simhash_dup import op12_simhash
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op11_vector_codes": op11_vector_codes,
     "op12_simhash": op12_simhash,
+    "op13_quantiles": op13_quantiles,
 }
 
 ORACLE_SQL = {
