@@ -121,7 +121,8 @@ def test_merging_adds_nodes(spark):
     rng = np.random.default_rng(10)
     rows = [("value", "g", int(b), int(x), 1) for b in range(16) for x in rng.integers(0, 200_000, 3000)]
     counts = spark.createDataFrame(rows, "stream string, grp string, batch int, x long, c long").groupBy(*qd.KEYS, "x").agg(qd.F.sum("c").alias("c"))
-    nodes, sizes = qd.digests(counts)
+    sizes, large = qd.sizes_of(counts)
+    nodes = qd.digests(counts, large)
     by = {r.batch: r for r in nodes.groupBy("batch").agg(qd.F.sum("c").alias("n"), qd.F.count("*").alias("points"), qd.F.max(qd.F.expr("if(level > 0, c, 0)")).alias("most")).collect()}
     assert by[-1].n == 48_000 and all(by[b].n == 3000 for b in range(16))
     assert all(by[b].most <= 3000 // 400 and by[b].points <= 2000 for b in range(16))

@@ -163,18 +163,24 @@ def money_rows(df: DataFrame, stream: str, grp: Column, batch: Column, money: Co
     return rows.where(fine).select("stream", "grp", "batch", (F.floor(F.col("money") * 100 + 0.5) + 1000 * F.col("batch")).cast("long").alias("x"), "c")
 
 
-def digests(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Summaries of all batches and, merged from these, of all groups (batch -1), of counts(stream, grp, batch, x, c).
-
-    Nodes (stream, grp, batch, level, pos, c), and sizes (stream, grp, batch, n, lo, hi)."""
-    sizes = counts.groupBy(*KEYS).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("leaves"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    sizes = Saved(sizes, "sizes").df
-    large = sizes.where(F.col("n") > MOST).select(*KEYS, "n", "lo", "hi", F.greatest(F.lit(1), F.floor(F.col("leaves") / LEAST)).alias("most_leaves"))
-    widest = large.agg(F.max(F.col("hi") - F.col("lo"))).first()[0]
+def sizes_of(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sizes (stream, grp, batch, n, leaves, lo, hi) of all batches and groups (batch -1) of counts(stream, grp, batch, x, c); and those of more than MOST rows alone."""
+    batches = counts.groupBy(*KEYS).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("leaves"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    batches = Saved(batches, "sizes").df
+    wholes = batches.groupBy("stream", "grp").agg(F.sum("n").alias("n"), F.sum("leaves").alias("leaves"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).withColumn("batch", F.lit(-1))
+    sizes = Saved(batches.unionByName(wholes), "sizes").df
+    # a table of its own, so that joins know how small it is
+    return sizes, Saved(sizes.where(F.col("n") > MOST), "large-sizes").df
+
+
+def digests(counts: DataFrame, large: DataFrame) -> DataFrame:
+    """Nodes (stream, grp, batch, level, pos, c) of the summaries of all batches and, merged from these, of all groups (batch -1)."""
+    batches = large.where("batch >= 0").select(*KEYS, "n", "lo", "hi", F.greatest(F.lit(1), F.floor(F.col("leaves") / LEAST)).alias("most_leaves"))
+    widest = batches.agg(F.max(F.col("hi") - F.col("lo"))).first()[0]
     leaf = counts.withColumn("level", F.lit(0)).withColumnRenamed("x", "pos")
     nodes = leaf.select(*NODES)
     if widest is not None:
-        of = leaf.join(large, KEYS, "left")
+        of = leaf.join(batches, KEYS, "left")
         alone = F.col("n").isNull() | (F.col("pos") == F.col("lo")) | (F.col("pos") == F.col("hi"))
         inner = of.where(~alone).select(*KEYS, "n", "most_leaves", "level", "pos", "c", F.lit(1).cast("long").alias("m"))
         top = 0
@@ -184,13 +190,12 @@ def digests(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
             inner = inner.groupBy(*KEYS, below.alias("under")).applyInArrow(_below(top), f"{KEY_TYPE}, n long, most_leaves long, {PLACE_TYPE}")
         nodes = of.where(alone).select(*NODES).unionByName(inner.groupBy(*KEYS).applyInArrow(_batch, f"{KEY_TYPE}, {PLACE_TYPE}").select(*NODES))
     nodes = Saved(nodes, "digests").df
-    wholes = sizes.groupBy("stream", "grp").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).withColumn("batch", F.lit(-1))
     added = nodes.groupBy("stream", "grp", "level", "pos").agg(F.sum("c").alias("c")).withColumn("batch", F.lit(-1))
-    of = added.join(wholes.where(F.col("n") > MOST).select("stream", "grp", "n", "lo", "hi"), ["stream", "grp"], "left")
+    of = added.join(large.where("batch = -1").select("stream", "grp", "n", "lo", "hi"), ["stream", "grp"], "left")
     alone = F.col("n").isNull() | (F.col("level") == 0) & ((F.col("pos") == F.col("lo")) | (F.col("pos") == F.col("hi")))
     inner = of.where(~alone).select(*KEYS, "n", "level", "pos", "c", F.lit(0).cast("long").alias("m"))
     merged = of.where(alone).select(*NODES).unionByName(inner.groupBy(*KEYS).applyInArrow(_whole, f"{KEY_TYPE}, {PLACE_TYPE}").select(*NODES))
-    return nodes.unionByName(Saved(merged, "digests").df), sizes.select(*KEYS, "n", "lo", "hi").unionByName(wholes.select(*KEYS, "n", "lo", "hi"))
+    return nodes.unionByName(merged)
 
 
 def _ranks(before: str, upto: str) -> tuple[Column, Column]:
@@ -201,29 +206,31 @@ def _ranks(before: str, upto: str) -> tuple[Column, Column]:
 
 
 def answers(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
-    """What summaries of enough rows answer: (stream, grp, batch, n, points, i, answer)."""
-    of = nodes.join(sizes.where(F.col("n") >= PARTS), KEYS).withColumn("end", F.expr("shiftleft(pos + 1, level) - 1"))
+    """What summaries of enough rows answer: (stream, grp, batch, n, points, i, answer), and the rows before and up to the node that does (before, upto)."""
+    of = nodes.join(sizes.where(F.col("n") >= PARTS).select(*KEYS, "n", "lo", "hi"), KEYS).withColumn("end", F.expr("shiftleft(pos + 1, level) - 1"))
     # a summary has MOST nodes at most
     one = Window.partitionBy(*KEYS)
     told = of.withColumn("upto", F.sum("c").over(one.orderBy("end", "level", "pos").rowsBetween(Window.unboundedPreceding, 0))).withColumn("points", F.count(F.lit(1)).over(one))
     first, last = _ranks("before", "upto")
     told = told.withColumn("before", F.col("upto") - F.col("c")).where(first <= last)
-    return told.select(*KEYS, "n", "points", F.explode(F.sequence(first, last)).alias("i"), F.least(F.greatest("end", "lo"), F.col("hi")).alias("answer"))
+    return told.select(*KEYS, "n", "points", F.explode(F.sequence(first, last)).alias("i"), F.least(F.greatest("end", "lo"), F.col("hi")).alias("answer"), "before", "upto")
 
 
-def held_against(asked: DataFrame, counts: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The answers with the exact values and ranks of counts(stream, grp, batch, x, c), which has the rows of batch -1 too.
+def exact(asked: DataFrame, counts: DataFrame, large: DataFrame) -> DataFrame:
+    """Rows (stream, grp, batch, n, i, exact_x, points, answer, n_below, n_upto) of large summaries' answers, from counts(stream, grp, batch, x, c).
 
     Ranks are found from the top of the trie down: counts of nodes STEP levels apart are summed up from left to right below one parent
     at a time, and only nodes with an answer or a wanted rank are opened."""
-    enough = sizes.where(F.col("n") >= PARTS)
-    widest = enough.agg(F.max(F.col("hi") - F.col("lo"))).first()[0] or 0
-    rows = counts.select(*KEYS, F.col("x").alias("v"), "c", F.lit(0).alias("i"), F.lit(0).cast("long").alias("points"))
+    widest = large.agg(F.max(F.col("hi") - F.col("lo"))).first()[0] or 0
+    of = large.select(*KEYS, "n")
+    batches = counts.join(of.where("batch >= 0").select(*KEYS), KEYS, "left_semi")
+    wholes = counts.join(of.where("batch = -1").select("stream", "grp"), ["stream", "grp"], "left_semi").groupBy("stream", "grp", "x").agg(F.sum("c").alias("c")).withColumn("batch", F.lit(-1))
+    rows = batches.unionByName(wholes).select(*KEYS, F.col("x").alias("v"), "c", F.lit(0).alias("i"), F.lit(0).cast("long").alias("points"))
     steps = [rows.unionByName(asked.select(*KEYS, F.col("answer").alias("v"), F.lit(0).cast("long").alias("c"), "i", "points"))]
     while len(steps) == 1 or widest >> STEP * (len(steps) - 1) >= 1 << STEP:
         up = steps[-1].groupBy(*KEYS, F.expr(f"shiftright(v, {STEP})").alias("v")).agg(F.sum("c").alias("c"), F.max("i").alias("i"))
         steps.append(up)
-    top = steps.pop().join(enough.select(*KEYS, "n"), KEYS).withColumn("base", F.lit(0).cast("long")).withColumn("parent", F.lit(0).cast("long"))
+    top = steps.pop().join(of, KEYS).withColumn("base", F.lit(0).cast("long")).withColumn("parent", F.lit(0).cast("long"))
     while True:
         under = Window.partitionBy(*KEYS, "parent").orderBy("v")
         below = F.coalesce(F.sum("c").over(under.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -234,24 +241,22 @@ def held_against(asked: DataFrame, counts: DataFrame, sizes: DataFrame) -> DataF
             break
         opened = wanted.select(*KEYS, "n", F.col("v").alias("parent"), F.col("before").alias("base"))
         top = steps.pop().withColumn("parent", F.expr(f"shiftright(v, {STEP})")).join(opened, [*KEYS, "parent"])
-    exact = wanted.where("i = 0 AND first <= last").select(*KEYS, "n", F.explode(F.sequence("first", "last")).alias("i"), F.struct(F.col("v").alias("exact_x")).alias("e"), F.lit(None).cast("struct<points:bigint,answer:bigint,n_below:bigint,n_upto:bigint>").alias("a"))
+    found = wanted.where("i = 0").select(*KEYS, "n", F.explode(F.sequence("first", "last")).alias("i"), F.struct(F.col("v").alias("exact_x")).alias("e"), F.lit(None).cast("struct<points:bigint,answer:bigint,n_below:bigint,n_upto:bigint>").alias("a"))
     told = wanted.where("i > 0").select(*KEYS, "n", "i", F.lit(None).cast("struct<exact_x:bigint>").alias("e"), F.struct("points", F.col("v").alias("answer"), F.col("before").alias("n_below"), F.col("upto").alias("n_upto")).alias("a"))
-    both = exact.unionByName(told).groupBy(*KEYS, "n", "i").agg(F.max("e.exact_x").alias("exact_x"), *[F.max(f"a.{k}").alias(k) for k in ("points", "answer", "n_below", "n_upto")])
-    target = F.ceil(F.col("i") * F.col("n") / PARTS)
-    out = both.withColumn("target", target.cast("long"))
-    error = F.greatest(F.lit(0).cast("long"), F.col("n_below") + 1 - F.col("target"), F.col("target") - F.col("n_upto"))
-    out = out.withColumn("rank_error", error)
-    return out.select(*KEYS, "i", "n", "target", "exact_x", "points", "answer", "n_below", "n_upto", "rank_error", (1000 * F.col("rank_error") <= 10 * F.col("n")).alias("within"))
+    return found.unionByName(told).groupBy(*KEYS, "n", "i").agg(F.max("e.exact_x").alias("exact_x"), *[F.max(f"a.{k}").alias(k) for k in ("points", "answer", "n_below", "n_upto")])
 
 
 def summarised(rows: DataFrame) -> DataFrame:
     """Answers and exact ranks of the summaries of rows (stream, grp, batch, x, c)."""
     counts = Saved(rows.groupBy(*KEYS, "x").agg(F.sum("c").cast("long").alias("c")), "counts").df
-    nodes, sizes = digests(counts)
-    sizes = Saved(sizes, "sizes").df
-    asked = Saved(answers(nodes, sizes), "answers").df
-    wholes = counts.groupBy("stream", "grp", "x").agg(F.sum("c").alias("c")).withColumn("batch", F.lit(-1))
-    return held_against(asked, counts.unionByName(wholes), sizes)
+    sizes, large = sizes_of(counts)
+    asked = Saved(answers(digests(counts, large), sizes), "answers").df
+    # the leaves of a summary of up to MOST rows are the counts of its rows
+    leaves = asked.where(F.col("n") <= MOST).select(*KEYS, "n", "i", F.col("answer").alias("exact_x"), "points", "answer", F.col("before").alias("n_below"), F.col("upto").alias("n_upto"))
+    both = leaves.unionByName(exact(asked.where(F.col("n") > MOST), counts, large)).withColumn("target", F.ceil(F.col("i") * F.col("n") / PARTS).cast("long"))
+    error = F.greatest(F.lit(0).cast("long"), F.col("n_below") + 1 - F.col("target"), F.col("target") - F.col("n_upto"))
+    out = both.withColumn("rank_error", error)
+    return out.select(*KEYS, "i", "n", "target", "exact_x", "points", "answer", "n_below", "n_upto", "rank_error", (1000 * F.col("rank_error") <= 10 * F.col("n")).alias("within"))
 
 
 def op13_quantiles(spark, sf_dir: str) -> DataFrame:
