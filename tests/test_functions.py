@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from weir.functions import hashing, robots, scoring, telemetry
+from weir.functions import documents, formats, hashing, robots, scoring, telemetry
 from weir.functions import html as H
 from weir.functions import url as U
 
@@ -106,5 +106,44 @@ def test_telemetry(spark):
     assert value(spark, telemetry.terminal_state(F.lit(" queued "))) == "QUEUED"
     assert value(spark, telemetry.level(F.lit("fetch-failed"), F.lit("{}"))) == "Error"
     assert value(spark, telemetry.metrics(F.lit("worker-metric"), F.lit('{"a": 1, "b": "x", "c": 2.5}'))) == {"a": 1.0, "c": 2.5}
-    assert value(spark, telemetry.merged_json(F.lit('{"a":"1","b":"2"}'), F.lit('{"b":"3"}'))) == '{"a":"1","b":"3"}'
     assert value(spark, telemetry.metric_increment(F.lit('{"type":"page-reported"}'))) == 1.0
+
+
+def merged(spark, base, over):
+    doc = lambda text: documents.document(F.lit(text))
+    return value(spark, F.to_json(documents.merged(doc(base), doc(over))))
+
+
+def test_merged_documents_keep_their_types(spark):
+    assert merged(spark, '{"a":1,"n":{"x":[1,2.50,null]},"t":true}', '{"b":"2","n":{"y":1}}') == '{"a":1,"b":"2","n":{"y":1},"t":true}'
+    assert merged(spark, '{"a":1.50}', '{"a":null}') == '{"a":null}'
+    assert merged(spark, None, '{"a":[{}]}') == merged(spark, "no json", '{"a":[{}]}') == merged(spark, "[1]", '{"a":[{}]}') == '{"a":[{}]}'
+    assert merged(spark, "{}", " ") == "{}"
+
+
+def test_typed_documents_fall_back_as_a_whole(spark):
+    fields, usual = "k int, d struct<os: string>", F.struct(F.lit(7).alias("k"), F.struct(F.lit("none").alias("os")).alias("d"))
+    got = lambda text: value(spark, F.to_json(documents.typed(F.lit(text), fields, usual)))
+    assert got('{"k": 3, "d": {"os": "ios", "ver": 2}, "more": []}') == '{"k":3,"d":{"os":"ios"}}'
+    assert got('{"d": {}}') == '{"d":{}}'
+    for other in ('{"k": "three"}', '{"k": "3"}', '{"k": 3, "d": 5}', "[]", "{", "", None):
+        assert got(other) == '{"k":7,"d":{"os":"none"}}'
+
+
+def test_fields_as_text(spark):
+    at = lambda path: value(spark, documents.text_at(documents.document(F.lit('{"a":" ","b":2,"c":{"d":true},"e":null}')), path))
+    assert [at(p) for p in ("$.a", "$.b", "$.c", "$.c.d", "$.e", "$.f")] == [None, "2", '{"d":true}', "true", None, None]
+
+
+def test_formats(spark):
+    got = lambda c: value(spark, c)
+    share = lambda part, whole: got(formats.percent(F.lit(part), F.lit(whole)))
+    assert [share(1, 16), share(3, 2), share(0, 4), share(1, 0), share(30, 2)] == ["6.3%", "150.0%", "0.0%", "0%", "1500.0%"]
+    size = lambda n: got(formats.byte_size(F.lit(n).cast("long")))
+    assert [size(n) for n in (0, 1023, 1024, 1536, 1048576, 5 * 1024**3, 2000 * 1024**3, None)] == ["0 B", "1023 B", "1 KB", "1.5 KB", "1 MB", "5 GB", "2000 GB", None]
+    left = lambda ms: got(formats.remaining(F.lit(ms).cast("long")))
+    assert [left(ms) for ms in (-5, 0, 1, 1001, 59999, 60000, 61999, 7_200_000)] == ["0s", "0s", "1s", "2s", "60s", "1m 0s", "1m 1s", "120m 0s"]
+    age = lambda ms: got(formats.lock_age(F.lit(ms).cast("long")))
+    assert [age(ms) for ms in (None, -3, 1500, 120_000)] == ["lock time n/a", "locked 1s ago", "locked 2s ago", "locked 2m ago"]
+    short = lambda level: got(formats.short_severity(F.lit(level)))
+    assert [short(x) for x in ("Warning", "information", "DEBUG", "Error", "ok")] == ["WRN", "INF", "DBG", "ERR", "OK"]

@@ -5,10 +5,10 @@ import math
 import duckdb
 import pytest
 
-from weir.plans.function_queries import QUERIES, SQL
+from weir.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages"]
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "clicks", "sales", "sale_lines", "clients", "client_changes", "vendors", "items", "stamps"]
 
 
 def plain(v):
@@ -37,6 +37,5 @@ def test_same_rows_as_sql(spark, duck, name):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)

@@ -1,4 +1,4 @@
-"""Links and media of HTML: one Arrow UDF per page, and a native form for plain anchors."""
+"""Links and media of HTML: one Arrow UDF per page, a table function, and a native form for plain anchors."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weir.functions.url import IMAGE_TYPES, canonical
@@ -91,3 +91,20 @@ def page_assets(html: Column, url: Column) -> Column:
 def anchor_hrefs(html: Column) -> Column:
     """The href values of anchors, natively; enough for pages with quoted attributes."""
     return F.regexp_extract_all(html, F.lit(r'(?i)<a\s[^>]*?href="([^"]*)"'), F.lit(1))
+
+
+@F.udtf(returnType="kind string, url string, pos int", useArrow=True)
+class AssetRows:
+    """The table of a page's links, images and script links: kind (link, image, script), url, and its place among its kind."""
+
+    def eval(self, html: str, page_url: str):
+        found = assets(html, page_url)
+        for kind, name in (("link", "links"), ("image", "images"), ("script", "js_links")):
+            for pos, url in enumerate(found[name]):
+                yield kind, url, pos
+
+
+def asset_rows(pages: DataFrame, html_col: str = "html_content", url_col: str = "url") -> DataFrame:
+    """Pages without their HTML, a row for each of their assets: the page's columns, kind, asset_url and pos."""
+    rows = pages.lateralJoin(AssetRows(F.col(html_col).outer(), F.col(url_col).outer()).toDF("kind", "asset_url", "pos"))
+    return rows.select(*[c for c in pages.columns if c != html_col], "kind", "asset_url", "pos")

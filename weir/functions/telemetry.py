@@ -109,21 +109,6 @@ def url_variants(url: Column) -> Column:
     return F.array_distinct(F.transform(F.array(url, plain, bare, F.regexp_replace(bare, "/$", "")), lambda u: F.lower(u)))
 
 
-def merged_json(base: Column, over: Column) -> Column:
-    """Properties of both objects; those of over win."""
-    kind = "map<string,string>"
-    a, b = (F.coalesce(F.from_json(c, kind), F.from_json(F.lit("{}"), kind)) for c in (base, over))
-    return F.to_json(F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b))
-
-
-def percent(part: Column, whole: Column) -> Column:
-    return F.when(whole <= 0, "0 %").otherwise(F.concat(F.format_number(part * 100.0 / whole, 1), F.lit(" %")))
-
-
-def byte_size(n: Column) -> Column:
-    return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1048576, F.format_string("%.1f KB", n / 1024)).otherwise(F.format_string("%.1f MB", n / 1048576))
-
-
 def success_rate(pages: Column, errors: Column) -> Column:
     return F.when(pages + errors > 0, pages * 100.0 / (pages + errors)).otherwise(100.0)
 

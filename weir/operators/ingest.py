@@ -5,14 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weir.functions import documents
 from weir.functions.url import host, image_record_name, image_type, without_fragment
-from weir.operators.numbering import numbered
+from weir.operators.numbering import checkpointed, numbered
+
+#: Rows from which on a content is common, and shares to which the rows of a common content are dealt.
+COMMON, SHARES = 10_000, 64
+
+
+def looked_up(rows: DataFrame, known: DataFrame, place: str) -> DataFrame:
+    """Rows (content_hash, place, …) with what known(content_hash, …), one row a content, has for their content; nulls where it has nothing.
+
+    Every task gets a bounded part of a common content: its rows are dealt to shares by their place, and meet a copy of its known row in
+    each; there is one common content in ``COMMON`` rows at most.  All others are joined by content alone."""
+    of = known.columns[1:]
+    common = rows.groupBy("content_hash").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > COMMON).select("content_hash", F.lit(True).alias("__common"))
+    each = common.join(known, "content_hash", "left").withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    dealt = rows.withColumn("__share", F.pmod(F.xxhash64(place), F.lit(SHARES)).cast("int"))
+    marked = dealt.join(each, ["content_hash", "__share"], "left")
+    rest = marked.where("__common IS NULL").select(*rows.columns).join(known, "content_hash", "left")
+    return marked.where("__common").select(*rows.columns, *of).unionByName(rest.select(*rows.columns, *of))
 
 
 def canonical_pages(pages: DataFrame) -> DataFrame:
     """Pages (id, content_hash, …) with canonical_id, the smallest id that has the same content."""
     first = pages.groupBy("content_hash").agg(F.min("id").alias("canonical_id"))
-    return pages.join(first, "content_hash", "left")
+    # texts stay where they are: contents are looked up for ids alone
+    found = looked_up(pages.select("content_hash", "id").where("content_hash IS NOT NULL").distinct(), first, "id").select("id", "content_hash", "canonical_id")
+    return pages.join(found, ["id", "content_hash"], "left")
 
 
 def duplicate_groups(pages: DataFrame) -> DataFrame:
@@ -24,7 +44,7 @@ def classify(candidates: DataFrame, known: DataFrame) -> DataFrame:
     """Candidates (id, url, content_hash): known_url (no hash then), duplicate_content or new_html, with the page meant."""
     by_url = known.groupBy("url").agg(F.min("id").alias("__u"))
     by_hash = known.groupBy("content_hash").agg(F.min("id").alias("__h"))
-    rows = candidates.join(by_url, "url", "left").join(by_hash, "content_hash", "left")
+    rows = looked_up(candidates.join(by_url, "url", "left"), by_hash, "id")
     kind = F.when(F.col("__u").isNotNull(), "known_url").when(F.col("__h").isNotNull(), "duplicate_content").otherwise("new_html")
     return rows.select("id", "url", kind.alias("kind"), F.coalesce("__u", "__h").alias("page_id"), F.when(F.col("__u").isNull(), F.col("content_hash")).alias("content_hash"))
 
@@ -60,8 +80,11 @@ def upsert_pages(pages: DataFrame, batch: DataFrame) -> DataFrame:
     both = both.withColumn("__new", F.col("id").isNull()).withColumn("__old_type", F.col("page_type_code"))
     both = both.withColumn("id", F.coalesce("id", "__id").cast(dict(pages.dtypes)["id"])).withColumn("__now_hash", F.coalesce("__hash", "content_hash"))
     html = (F.coalesce("n.page_type_code", "page_type_code") == "HTML") & F.col("duplicate_of_page_id").isNull()
-    first = both.where(html & F.col("__now_hash").isNotNull()).groupBy(F.col("__now_hash").alias("__k")).agg(F.min("id").alias("__first"))
-    out = both.join(first, (F.col("__hash") == F.col("__k")) & (F.col("__first") < F.col("id")), "left")
+    # contents meet as hashes of ids; only what that has found is joined to the texts, by id
+    held = checkpointed(both.where(F.col("__now_hash").isNotNull()).select("id", F.col("__now_hash").alias("content_hash"), F.coalesce(html, F.lit(False)).alias("html"), F.col("__hash").isNotNull().alias("came")))
+    first = held.where("html").groupBy("content_hash").agg(F.min("id").alias("__first"))
+    found = looked_up(held.where("came").select("content_hash", "id"), first, "id").where(F.col("__first") < F.col("id")).select("id", "__first")
+    out = both.join(found, "id", "left")
     has, dup = F.col("n").isNotNull(), F.col("__first").isNotNull()
     promoted = F.col("__old_type") == "FRONTIER"
     status = F.when(has & F.col("__new"), F.when(dup, "duplicate_content").otherwise("inserted")).when(has & promoted, F.when(dup, "promoted_duplicate").otherwise("promoted")).when(has, F.when(dup, "updated_duplicate").otherwise("updated"))
@@ -102,11 +125,11 @@ def upsert_setting(settings: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("key").agg(F.max_by(F.struct("value", "updated_at", "updated_by"), F.struct("updated_at", "__new", "value", "updated_by")).alias("v")).select("key", "v.*")
 
 
-def json_setting(settings: DataFrame, key: str, schema: str, default: str) -> DataFrame:
-    """One row: the setting's value as a struct of the schema; the default, JSON too, where it is missing, blank or no JSON object."""
-    own = settings.where(F.col("key") == key).agg(F.max("value").alias("value"))
-    fits = F.col("value").rlike(r"^\s*\{") & F.try_parse_json("value").isNotNull()
-    return own.select(F.from_json(F.when(fits, F.col("value")).otherwise(F.lit(default)), schema).alias("setting"))
+def json_settings(settings: DataFrame, asked: DataFrame, fields: str, default: str) -> DataFrame:
+    """Rows (key, setting) of the asked keys: the setting's value as a struct of the fields; the default, JSON too, where it is missing, blank, no JSON object, or of other types."""
+    own = settings.groupBy("key").agg(F.max("value").alias("value"))
+    rows = asked.select("key").distinct().join(own, "key", "left")
+    return rows.select("key", documents.typed(F.col("value"), fields, documents.read_as(F.lit(default), fields)).alias("setting"))
 
 
 def add_seeds(seeds: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:

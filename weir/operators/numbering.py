@@ -1,7 +1,11 @@
-"""Numbering rows in an order without bringing them into one task."""
+"""Numbering rows in an order without bringing them into one task, and cutting long lineages."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,10 +27,20 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if the session is still there."""
+    with contextlib.suppress(Exception):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in that folder."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    """The rows, written once to that folder and read from there; the files go when the program ends."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/weir-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(dropped, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def numbered(rows: DataFrame, name: str, order: list[Column | str], after: DataFrame | None = None) -> DataFrame:

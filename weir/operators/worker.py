@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weir.functions import scoring
 from weir.functions.url import site_key
 from weir.operators.frontier import TOMBSTONE_SECONDS
-from weir.operators.numbering import numbered
+from weir.operators.numbering import checkpointed, numbered
 
 BUFFERED_EVENTS = 1000
 IN_MEMORY, SWAP_BATCH = 50_000, 5000
@@ -43,26 +43,52 @@ def local_enqueue(frontier: DataFrame, verdicts: DataFrame, now: Column) -> Data
     return enqueue(frontier, merge_batch(came))
 
 
-def local_claims(queues: DataFrame, leases: DataFrame, tombs: DataFrame, ready: DataFrame, now: Column, ttl_seconds: int = 30) -> DataFrame:
-    """The claim of each worker of queues(worker_id, url, priority, depth, ord; worker_id null: the common queue): worker_id, url, source.
+def local_claims(queues: DataFrame, workers: DataFrame, leases: DataFrame, tombs: DataFrame, ready: DataFrame, now: Column, ttl_seconds: int = 30) -> DataFrame:
+    """What each of workers(worker_id) claims, as if they asked one after another in the order of their ids: worker_id, url, source, expires_at.
 
-    A worker that holds a living lease (worker_id, url, expires_at) renews it.  Else it takes the best URL of its own queue, else of the
-    common one: by priority, then depth, then ord; tombstoned URLs, sites that are not ready (ready: site_key, ready_at) and URLs that
-    another worker has leased are passed over.  The k-th best common URL goes to the k-th worker without one, by id."""
+    A worker that holds a living lease (worker_id, url, expires_at) renews it.  Else it takes the best URL of its own rows of
+    queues(worker_id, url, priority, ord; worker_id null: the common queue), else of the common ones: by priority, then in the order of
+    discovery.  Passed over are tombstoned URLs, URLs leased to another, and sites that are not ready (ready: site_key, ready_at), which
+    a site no longer is once a worker before has claimed one of its URLs.
+
+    The claims are matched in rounds.  Every worker without a site proposes to the best one that is free or held by a worker after it, and a
+    site keeps the first worker that proposes; those turned down propose again.  Of the workers left to the common queue, which all
+    prefer the same sites, the k-th proposes to the k-th site at once, if the workers before it can want no site but those ahead of it.  As
+    proposals go down each worker's list and sites are only given up for workers before, this ends in the claims of the sequence."""
     alive = leases.where(F.col("expires_at") > now)
-    renewed = alive.groupBy("worker_id").agg(F.min("url").alias("url")).withColumn("source", F.lit("renewed"))
+    asking = workers.select("worker_id").distinct()
+    renewed = alive.join(asking, "worker_id", "left_semi").groupBy("worker_id").agg(F.min("url").alias("url"))
+    asking = checkpointed(asking.join(renewed.select("worker_id"), "worker_id", "left_anti"))
+    most = max(1, asking.count())
     cooling = ready.where(F.col("ready_at") > now).select("site_key").distinct()
-    usable = queues.join(tombs.select("url").distinct(), "url", "left_anti").withColumn("site_key", site_key(F.col("url"))).join(cooling, "site_key", "left_anti").join(alive.select("url").distinct(), "url", "left_anti")
-    best = F.struct(-F.col("priority"), "depth", "ord")
-    own = usable.where("worker_id is not null").join(renewed.select("worker_id"), "worker_id", "left_anti").groupBy("worker_id").agg(F.min_by("url", best).alias("url")).withColumn("source", F.lit("local"))
-    served = renewed.select("worker_id").union(own.select("worker_id"))
-    idle = queues.where("worker_id is not null").select("worker_id").distinct().join(served, "worker_id", "left_anti")
-    # as many common URLs as workers wait, who are few
-    waiting = idle.withColumn("k", F.row_number().over(Window.orderBy("worker_id")))
-    most = max(1, idle.count())
-    common = usable.where("worker_id is null").join(own.select("url"), "url", "left_anti").groupBy("url").agg(F.min(best).alias("b")).orderBy("b", "url").limit(most)
-    dealt = common.withColumn("k", F.row_number().over(Window.orderBy("b", "url"))).join(waiting, "k").select("worker_id", "url", F.lit("global").alias("source"))
-    return renewed.unionByName(own).unionByName(dealt).withColumn("expires_at", now + F.expr(f"INTERVAL {ttl_seconds} SECONDS"))
+    usable = queues.join(tombs.select("url").distinct(), "url", "left_anti").join(alive.select("url").distinct(), "url", "left_anti")
+    usable = usable.withColumn("site_key", site_key(F.col("url"))).join(cooling, "site_key", "left_anti").withColumn("best", F.struct(-F.col("priority"), "ord", "url"))
+    heads = checkpointed(usable.join(asking, "worker_id", "left_semi").groupBy("worker_id", "site_key").agg(F.min("best").alias("best")))
+    # no worker can be turned down by more sites than there are other workers
+    common = checkpointed(usable.where("worker_id is null").groupBy("site_key").agg(F.min("best").alias("best")).orderBy("best", "site_key").limit(most))
+    held = asking.limit(0).select(F.lit("").alias("site_key"), "worker_id", F.lit("").alias("url"), F.lit("").alias("source"))
+    found = None
+    while True:
+        taken = held.select("site_key", F.col("worker_id").alias("holder"))
+        without = asking.join(held, "worker_id", "left_anti")
+        open_to = lambda w: F.col("holder").isNull() | (F.col("holder") > w)
+        own = heads.join(without, "worker_id").join(taken, "site_key", "left").where(open_to(F.col("worker_id"))).groupBy("worker_id").agg(F.min(F.struct("best", "site_key")).alias("b"))
+        own = own.select("b.site_key", "worker_id", "b.best.url", F.lit("local").alias("source"))
+        # both sides of the deal have as many rows as workers ask, at most
+        waiting = without.join(own, "worker_id", "left_anti").withColumn("k", F.row_number().over(Window.orderBy("worker_id")))
+        first = waiting.agg(F.min("worker_id").alias("first"))
+        line = Window.orderBy("best", "site_key")
+        offers = common.join(taken, "site_key", "left").join(F.broadcast(first)).where(open_to(F.col("first"))).withColumn("k", F.row_number().over(line)).withColumn("before", F.min("holder").over(line))
+        dealt = waiting.join(offers, "k").where(F.col("before").isNull() | (F.col("before") > F.col("worker_id"))).select("site_key", "worker_id", "best.url", F.lit("global").alias("source"))
+        every = held.unionByName(own).unionByName(dealt)
+        held = checkpointed(every.groupBy("site_key").agg(F.min(F.struct("worker_id", "url", "source")).alias("h")).select("site_key", "h.*"))
+        # a round without proposals changes neither
+        now_found = held.agg(F.count(F.lit(1)), F.sum("worker_id")).first()
+        if now_found == found:
+            break
+        found = now_found
+    claims = renewed.withColumn("source", F.lit("renewed")).unionByName(held.select("worker_id", "url", "source"))
+    return claims.withColumn("expires_at", now + F.expr(f"INTERVAL {ttl_seconds} SECONDS"))
 
 
 def delivery(events: DataFrame, most: int = BUFFERED_EVENTS) -> DataFrame:

@@ -27,11 +27,15 @@ TS = f"TIMESTAMP '{NOW}'"
 _BATCH = "b AS (SELECT url, priority + 1 AS priority, 0 AS depth, discovered_at FROM v_frontier WHERE id % 3 = 0 UNION ALL SELECT 'https://new.example.org/' || CAST(id AS VARCHAR), 5, 0, discovered_at FROM v_frontier WHERE id % 50 = 0)"
 
 
+def _came_again(f) -> DataFrame:
+    """A batch of what a frontier has already, and of new URLs."""
+    new = lambda url, rows, p: rows.select(url.alias("url"), p.alias("priority"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("source_url"), "discovered_at", F.col("id").alias("ord"))
+    return new(F.col("url"), f.where("id % 3 = 0"), F.col("priority") + 1).union(new(F.concat(F.lit("https://new.example.org/"), F.col("id").cast("string")), f.where("id % 50 = 0"), F.lit(5)))
+
+
 def _enqueued(spark, d, keep_terminal: bool) -> DataFrame:
     f = view(spark, d, "v_frontier").withColumn("source_url", F.lit(None).cast("string"))
-    new = lambda url, rows, p: rows.select(url.alias("url"), p.alias("priority"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("source_url"), "discovered_at", F.col("id").alias("ord"))
-    rows = new(F.col("url"), f.where("id % 3 = 0"), F.col("priority") + 1).union(new(F.concat(F.lit("https://new.example.org/"), F.col("id").cast("string")), f.where("id % 50 = 0"), F.lit(5)))
-    return frontier.enqueue(f, frontier.merge_batch(rows), keep_terminal)
+    return frontier.enqueue(f, frontier.merge_batch(_came_again(f)), keep_terminal)
 
 
 @query(f"""WITH {_BATCH} SELECT coalesce(f.url, b.url) AS url, greatest(f.priority, b.priority) AS priority, least(f.depth, b.depth) AS depth,
@@ -155,18 +159,23 @@ def local_enqueue(spark, d):
     return worker.local_enqueue(_worker_frontier(spark, d), _verdicts(spark, d), F.expr("TIMESTAMP_NTZ '1999-01-01 00:00:00'")).select("url", "priority", "state")
 
 
-@query(f"""WITH q AS (SELECT CASE WHEN ord % 3 = 0 THEN NULL ELSE ord % 40 END AS worker_id, url, CAST(ord % 17 AS INT) AS priority, depth, ord FROM v_found),
- lease AS (SELECT ord % 10 AS worker_id, url FROM v_found WHERE ord % 1501 = 0), cool AS (SELECT 'c' || CAST(n_nationkey AS VARCHAR) || '.example.org' AS site_key FROM nation WHERE n_nationkey % 2 = 0),
- ren AS (SELECT worker_id, min(url) AS url, 'renewed' AS source FROM lease GROUP BY worker_id),
- usable AS (SELECT * FROM q WHERE url NOT IN (SELECT url FROM v_found WHERE ord % 29 = 0) AND regexp_extract(url, '^https?://([^/:?#]+)', 1) NOT IN (SELECT site_key FROM cool) AND url NOT IN (SELECT url FROM lease)),
- own AS (SELECT worker_id, url, 'local' AS source FROM (SELECT *, row_number() OVER (PARTITION BY worker_id ORDER BY priority DESC, depth, ord) AS r FROM usable WHERE worker_id IS NOT NULL AND worker_id NOT IN (SELECT worker_id FROM ren)) WHERE r = 1)
-SELECT worker_id, url, source FROM ren UNION ALL SELECT worker_id, url, source FROM own""")
+@query("""WITH RECURSIVE q AS (SELECT CASE WHEN ord % 3 = 0 THEN NULL ELSE ord % 40 END AS worker_id, url, priority, ord FROM (SELECT *, CAST(ord % 17 AS INT) AS priority FROM v_found) UNION ALL SELECT ord % 7, url, 20, ord FROM v_found WHERE ord % 23 = 0),
+ lease AS (SELECT ord % 40 AS worker_id, url FROM v_found WHERE ord % 301 = 0), cool AS (SELECT 'c' || CAST(n_nationkey AS VARCHAR) || '.example.org' AS site_key FROM nation WHERE n_nationkey % 2 = 0),
+ ren AS (SELECT worker_id, min(url) AS url FROM lease WHERE worker_id IN (SELECT worker_id FROM v_worker) GROUP BY worker_id),
+ h AS (SELECT worker_id, site_key, min((-priority, ord, url)) AS best FROM (SELECT *, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS site_key FROM q) WHERE url NOT IN (SELECT url FROM v_found WHERE ord % 29 = 0) AND url NOT IN (SELECT url FROM lease) AND site_key NOT IN (SELECT site_key FROM cool) GROUP BY ALL),
+ w AS (SELECT worker_id, row_number() OVER (ORDER BY worker_id) AS k FROM v_worker WHERE worker_id NOT IN (SELECT worker_id FROM ren)),
+ c AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS worker_id, CAST(NULL AS VARCHAR) AS url, CAST(NULL AS VARCHAR) AS source, CAST([] AS VARCHAR[]) AS sites
+  UNION ALL SELECT k, worker_id, b[3][3], CASE WHEN b[1] = 0 THEN 'local' WHEN b[1] = 1 THEN 'global' END, CASE WHEN b IS NULL THEN sites ELSE list_append(sites, b[2]) END FROM
+   (SELECT w.k, w.worker_id, c.sites, arg_min((CASE WHEN h.worker_id IS NULL THEN 1 ELSE 0 END, h.site_key, h.best), (CASE WHEN h.worker_id IS NULL THEN 1 ELSE 0 END, h.best)) FILTER (h.site_key IS NOT NULL) AS b
+    FROM c JOIN w ON w.k = c.k + 1 LEFT JOIN h ON (h.worker_id = w.worker_id OR h.worker_id IS NULL) AND NOT list_contains(c.sites, h.site_key) GROUP BY w.k, w.worker_id, c.sites))
+SELECT worker_id, url, 'renewed' AS source FROM ren UNION ALL SELECT worker_id, url, source FROM c WHERE url IS NOT NULL""")
 def local_claims(spark, d):
     found = view(spark, d, "v_found")
-    queues = found.select(F.when(F.col("ord") % 3 != 0, F.col("ord") % 40).alias("worker_id"), "url", (F.col("ord") % 17).cast("int").alias("priority"), "depth", "ord")
-    leases = found.where("ord % 1501 = 0").select((F.col("ord") % 10).alias("worker_id"), "url", (now() + F.expr("INTERVAL 5 SECONDS")).alias("expires_at"))
+    queues = found.select(F.when(F.col("ord") % 3 != 0, F.col("ord") % 40).alias("worker_id"), "url", (F.col("ord") % 17).cast("int").alias("priority"), "ord")
+    queues = queues.unionByName(found.where("ord % 23 = 0").select((F.col("ord") % 7).alias("worker_id"), "url", F.lit(20).alias("priority"), "ord"))
+    leases = found.where("ord % 301 = 0").select((F.col("ord") % 40).alias("worker_id"), "url", (now() + F.expr("INTERVAL 5 SECONDS")).alias("expires_at"))
     ready = base(spark, d, "nation").select(F.concat(F.lit("c"), F.col("n_nationkey").cast("string"), F.lit(".example.org")).alias("site_key"), F.when(F.col("n_nationkey") % 2 == 0, now() + F.expr("INTERVAL 9 SECONDS")).otherwise(now()).alias("ready_at"))
-    return worker.local_claims(queues, leases, found.where("ord % 29 = 0").select("url"), ready, now()).select("worker_id", "url", "source")
+    return worker.local_claims(queues, view(spark, d, "v_worker").select("worker_id"), leases, found.where("ord % 29 = 0").select("url"), ready, now()).select("worker_id", "url", "source")
 
 
 @query("""WITH f AS (SELECT min(id) FILTER (id % 4999 = 4998) AS x FROM v_event), r AS (SELECT id, id < coalesce(x, id + 1) AS sent FROM v_event, f)
@@ -204,12 +213,14 @@ def stale_site_keys(spark, d):
     return worker.stale_sites(registry, worker.active_sites(view(spark, d, "v_frontier").where("state = 'QUEUED'"))).select("id")
 
 
-@query("""SELECT ord, CASE WHEN ord % 5 = 0 THEN 'robots' WHEN ord % 7 = 0 THEN 'fetch' WHEN ord % 11 = 0 THEN 'parse' ELSE 'complete' END AS stage, ord % 5 <> 0 AND ord % 7 <> 0 AND ord % 11 <> 0 AS ok,
- CASE WHEN ord % 5 = 0 THEN 'Blocked by robots.txt policy.' WHEN ord % 7 = 0 THEN 'timeout' WHEN ord % 11 = 0 THEN 'bad html' END AS error, CASE WHEN ord % 5 = 0 OR ord % 7 = 0 THEN 0 ELSE 200 END AS status_code FROM v_found""")
+@query("""SELECT event_id AS id, CASE WHEN event_type = 'signup' THEN 'robots' WHEN event_type = 'error' THEN 'fetch' WHEN value > 60 THEN 'parse' ELSE 'complete' END AS stage, event_type NOT IN ('signup', 'error') AND value <= 60 AS ok,
+ CASE WHEN event_type = 'signup' THEN 'Blocked by robots.txt policy.' WHEN event_type = 'error' THEN 'failed with ' || props WHEN value > 60 THEN 'too long: ' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) END AS error,
+ CASE WHEN event_type IN ('signup', 'error') THEN 'http://u/' || CAST(event_id AS VARCHAR) ELSE coalesce(CASE WHEN user_id % 2 = 0 THEN 'http://u/' || CAST(user_id AS VARCHAR) END, 'http://u/' || CAST(event_id AS VARCHAR)) END AS final_url, CASE WHEN event_type IN ('signup', 'error') THEN 0 ELSE CAST(200 + floor(value) AS INT) END AS status_code FROM events""")
 def fetch_stages(spark, d):
-    say = lambda k, text: F.when(F.col("ord") % k == 0, text)
-    rows = view(spark, d, "v_found").select(F.col("ord").cast("string").alias("url"), (F.col("ord") % 5 != 0).alias("robots_allowed"), say(7, "timeout").alias("fetch_error"), say(11, "bad html").alias("parse_error"), F.lit(200).alias("status_code"), F.lit(None).cast("string").alias("final_url"))
-    return worker.fetch_results(rows).select(F.col("url").cast("long").alias("ord"), "stage", "ok", "error", "status_code")
+    url = lambda c: F.concat(F.lit("http://u/"), F.col(c).cast("string"))
+    said = {"url": url("event_id"), "robots_allowed": F.col("event_type") != "signup", "fetch_error": F.when(F.col("event_type") == "error", F.concat(F.lit("failed with "), "props")), "parse_error": F.when(F.col("value") > 60, F.concat(F.lit("too long: "), F.floor("value").cast("string"))), "status_code": (200 + F.floor("value")).cast("int"), "final_url": F.when(F.col("user_id") % 2 == 0, url("user_id"))}
+    out = worker.fetch_results(base(spark, d, "events").select("event_id", *[c.alias(n) for n, c in said.items()]))
+    return out.select(F.regexp_extract("url", "(\\d+)$", 1).cast("long").alias("id"), "stage", "ok", "error", "final_url", "status_code")
 
 
 # --- ingest -------------------------------------------------------------------------------------------------------------
@@ -302,14 +313,17 @@ def ingest_queue(spark, d):
     return frontier.merge_batch(ingest.ingest_candidates(view(spark, d, "v_found").select("source_url", "url", "ord"), now())).select("url", "priority", "depth", "source_url")
 
 
-@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 1 THEN 'new' ELSE 'old' END AS robots_content, CASE WHEN c_custkey % 4 < 2 THEN 'http://a/1' || chr(10) || 'http://a/2' WHEN c_custkey % 5 = 0 THEN 'http://a/1' || chr(10) || 'http://a/2' ELSE 'old' END AS sitemap_content,
- CASE WHEN c_custkey % 4 < 2 AND c_custkey % 5 <> 0 THEN 2 ELSE 0 END AS n_new FROM customer""")
+@query("""WITH s AS (SELECT client_id AS id, min(source) AS robots_content, min(city) || chr(10) || min(segment) AS sitemap_content FROM clients WHERE client_id IS NOT NULL GROUP BY client_id),
+ c AS (SELECT client_id AS id, arg_max(source, (seq, change_id)) AS r, list(city ORDER BY seq, change_id) AS l FROM client_changes WHERE client_id IS NOT NULL AND seq IS NOT NULL GROUP BY client_id),
+ n AS (SELECT s.*, c.r, list_filter(c.l, lambda x, i: x IS NOT NULL AND trim(x) <> '' AND list_position(c.l, x) = i) AS u FROM s LEFT JOIN c USING (id))
+SELECT id, coalesce(CASE WHEN trim(coalesce(r, '')) <> '' THEN r END, robots_content) AS robots_content, coalesce(CASE WHEN len(u) > 0 THEN array_to_string(u, chr(10)) END, sitemap_content) AS sitemap_content, CASE WHEN len(u) > 0 AND array_to_string(u, chr(10)) IS DISTINCT FROM sitemap_content THEN CAST(len(u) AS INT) ELSE 0 END AS n_new FROM n""")
 def site_policy_update(spark, d):
-    rows = base(spark, d, "customer").select(F.col("c_custkey").alias("id"))
-    two = F.array(F.lit("http://a/1#x"), F.lit("http://a/2"), F.lit("http://a/1"))
-    sites = rows.select("id", F.lit("old").alias("robots_content"), F.when(F.col("id") % 5 == 0, "http://a/1\nhttp://a/2").otherwise("old").alias("sitemap_content"))
-    results = rows.select("id", F.when(F.col("id") % 3 == 1, "new").when(F.col("id") % 3 == 2, " ").alias("robots_content"), F.when(F.col("id") % 4 < 2, two).when(F.col("id") % 4 == 2, F.array().cast("array<string>")).alias("robots_sitemaps"))
-    return ingest.update_site_policy(sites, results).select("id", "robots_content", "sitemap_content", F.size("new_sitemaps").alias("n_new"))
+    """Clients' stored texts after what their changes say: the last source, and the cities in their order."""
+    sites = base(spark, d, "clients").where("client_id IS NOT NULL").groupBy(F.col("client_id").alias("id")).agg(F.min("source").alias("robots_content"), F.concat(F.min("city"), F.lit("\n"), F.min("segment")).alias("sitemap_content"))
+    changes = base(spark, d, "client_changes").where("client_id IS NOT NULL AND seq IS NOT NULL")
+    cities = F.transform(F.array_sort(F.collect_list(F.struct("seq", "change_id", "city"))), lambda x: x["city"])
+    came = changes.groupBy(F.col("client_id").alias("id")).agg(F.max_by("source", F.struct("seq", F.col("change_id"))).alias("robots_content"), cities.alias("robots_sitemaps"))
+    return ingest.update_site_policy(sites, came).select("id", "robots_content", "sitemap_content", F.size("new_sitemaps").alias("n_new"))
 
 
 @query("""WITH s AS (SELECT 'k' || CAST(o_custkey % 100 AS VARCHAR) AS key, CAST(o_orderkey AS VARCHAR) AS value, o_orderdate AS t FROM orders)
@@ -319,16 +333,6 @@ def settings_upsert(spark, d):
     return ingest.upsert_setting(rows.limit(0), rows).select("key", "value")
 
 
-@query("SELECT key, CASE key WHEN 'good' THEN 3 WHEN 'other' THEN 1 ELSE 7 END AS depth FROM (VALUES ('good'), ('other'), ('bad'), ('list'), ('none')) v(key)")
-def json_settings(spark, d):
-    rows = spark.createDataFrame([("good", '{"depth": 3}'), ("other", '{"depth": 1, "x": "y"}'), ("bad", "{depth"), ("list", "[1]")], "key string, value string")
-    one = lambda k: ingest.json_setting(rows, k, "depth int", '{"depth": 7}').select(F.lit(k).alias("key"), "setting.depth")
-    out = one("good")
-    for k in ("other", "bad", "list", "none"):
-        out = out.union(one(k))
-    return out
-
-
 @query("SELECT url, min(ord) AS ord FROM v_found WHERE ord % 2 = 0 GROUP BY url UNION ALL SELECT url, min(ord) FROM v_found WHERE ord % 2 = 1 AND url NOT IN (SELECT url FROM v_found WHERE ord % 2 = 0) GROUP BY url")
 def seeds_added(spark, d):
     found = view(spark, d, "v_found").select("url", "ord")
@@ -686,12 +690,16 @@ def zero_filled_types(spark, d):
     return P.zero_filled(counts, "type", ["HTML", "BINARY", "NONE"])
 
 
-@query("""SELECT id, CASE WHEN regexp_matches(p, '^/en/6') THEN true WHEN regexp_matches(p, '^/en') THEN false WHEN p = '/fr' THEN false ELSE true END AS allowed,
- CASE WHEN regexp_matches(p, '^/en/6') THEN 'matched Allow/default rule' WHEN regexp_matches(p, '^/en') OR p = '/fr' THEN 'matched Disallow rule' ELSE 'no matching allow/disallow rule' END AS reason FROM
- (SELECT page_id AS id, CASE WHEN x = '' THEN '/' ELSE x END || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS p FROM (SELECT page_id, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS x, regexp_extract(url, '\\?([^#]*)', 1) AS q FROM pages))""")
+@query("""WITH p AS (SELECT id, url, domain, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(url, '\\?([^#]*)', 1) AS q FROM v_page), r AS (SELECT domain, min(path) AS low, max(path) AS high FROM p WHERE length(path) > 4 GROUP BY domain),
+ t AS (SELECT id, low, CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS x, left(low, 3) AS shut, low AS open, high AS last FROM p LEFT JOIN r USING (domain)),
+ m AS (SELECT id, low IS NULL AS none, CASE WHEN starts_with(x, shut) THEN length(shut) ELSE -1 END AS d1, CASE WHEN x = last THEN length(last) + 1 ELSE -1 END AS d2, CASE WHEN starts_with(x, open) THEN length(open) + 1 ELSE -1 END AS a FROM t)
+SELECT id, CASE WHEN none THEN NULL WHEN greatest(d1, d2) > a THEN false ELSE true END AS allowed, CASE WHEN none THEN 'no robots content' WHEN greatest(d1, d2, a) < 0 THEN 'no matching allow/disallow rule' WHEN greatest(d1, d2) > a THEN 'matched Disallow rule' ELSE 'matched Allow/default rule' END AS reason FROM m""")
 def robots_eval(spark, d):
-    content = F.lit("User-agent: *\nDisallow: /en\nAllow: /en/6\nDisallow: /fr$\n\nUser-agent: other\nDisallow: /")
-    return base(spark, d, "pages").select(F.col("page_id").alias("id"), robots.evaluate(content, F.col("url")).alias("r")).select("id", "r.allowed", "r.reason")
+    """Pages against their host's rules: what begins like its smallest path is closed, that path and all below it are open, its greatest path alone is closed."""
+    p = view(spark, d, "v_page").select("id", "url", "domain", U.path_of(F.col("url")).alias("path"))
+    r = p.where("length(path) > 4").groupBy("domain").agg(F.min("path").alias("low"), F.max("path").alias("high"))
+    content = F.concat(F.lit("User-agent: *\nDisallow: "), F.left("low", F.lit(3)), F.lit("\nAllow: "), "low", F.lit("*\nDisallow: "), "high", F.lit("$\n\nUser-agent: other\nDisallow: /"))
+    return p.join(r, "domain", "left").select("id", robots.evaluate(content, F.col("url")).alias("r")).select("id", "r.allowed", "r.reason")
 
 
 @query("SELECT DISTINCT url FROM v_page WHERE domain = (SELECT min(domain) FROM v_page) ORDER BY url LIMIT 1000")
@@ -732,5 +740,5 @@ def stream_persisted_logs(spark, d):
     rows = ev.envelopes(spark.sql(VIEWS["v_event"]).select("type", F.lit(None).cast("string").alias("daemonId"), F.col("worker_id").cast("int").alias("workerId"), "payload", "ts"))
     folder = f"{checkpoint_folder(spark)}/weir-stream-{uuid.uuid4().hex}"
     ev.persist(rows, f"{folder}/out", f"{folder}/state").awaitTermination()
-    logs = spark.read.option("basePath", f"{folder}/out/worker_log").parquet(f"{folder}/out/worker_log/batch=*")
+    logs = spark.read.parquet(f"{folder}/out/worker_log")
     return logs.select(F.col("external_worker_id").cast("long").alias("worker_id"), F.col("created_at").cast("timestamp_ntz").alias("created_at"), "level", "message")

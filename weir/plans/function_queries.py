@@ -15,17 +15,6 @@ from weir.sources.fixtures import base, view
 __all__ = ["QUERIES", "SQL"]
 
 
-def _pick(column: str, *values: str):
-    """One of the values by a number."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(column) % len(values) + 1).cast("int"))
-
-
-def _case(column: str, *values: str) -> str:
-    """The same in SQL."""
-    whens = " ".join("WHEN {} THEN '{}'".format(k, v.replace("'", "''")) for k, v in enumerate(values))
-    return f"CASE {column} % {len(values)} {whens} END"
-
-
 @query("""SELECT id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS origin, 'crawler|' || site_key AS crawler_key, site_key AS plain, CASE WHEN length(long) > 128 THEN left(long, 90) || '...' || right(long, 34) ELSE long END AS compact, 'https://' || site_key AS site_url,
  CASE WHEN length(long) <= 255 THEN long ELSE left(long, 242) || '-' || left(sha256(long), 12) END AS record FROM (SELECT *, url || '?' || repeat('q', CAST(id % 300 AS INT)) AS long FROM v_frontier)""")
 def url_parts(spark, d):
@@ -33,50 +22,61 @@ def url_parts(spark, d):
     return rows.select("id", U.origin(F.col("url")).alias("origin"), U.crawler_site_key(F.lit("crawler"), F.col("site_key")).alias("crawler_key"), U.normal_host(F.concat(F.lit(" "), F.upper("site_key"), F.lit("."))).alias("plain"), U.compact(F.col("long")).alias("compact"), U.external_site_url(F.col("site_key")).alias("site_url"), U.image_record_name(F.col("long")).alias("record"))
 
 
-_HOSTS = ("::ffff:10.0.0.7", "[::FFFF:1.2.3.4]", "10.1.2.3", "Example.ORG", "::1")
-
-
-@query(f"SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN '10.0.0.7' WHEN 1 THEN '1.2.3.4' WHEN 2 THEN '10.1.2.3' WHEN 3 THEN 'example.org' ELSE '::1' END AS ip_key FROM customer")
+@query("""WITH h AS (SELECT event_id AS id, CASE WHEN event_type = 'view' THEN '::ffff:' || ip WHEN event_type = 'click' THEN '[::FFFF:' || ip || ']' WHEN event_type = 'error' THEN ' ' || ip WHEN event_type = 'signup' THEN upper(event_type) || '-' || CAST(user_id AS VARCHAR) || '.Example.ORG' ELSE '::' || CAST(user_id AS VARCHAR) END AS host
+  FROM (SELECT *, CAST(user_id % 256 AS VARCHAR) || '.' || CAST(event_id % 251 AS VARCHAR) || '.' || CAST(event_id % 7 AS VARCHAR) || '.' || CAST(CAST(floor(value) AS BIGINT) % 256 AS VARCHAR) AS ip FROM events))
+SELECT id, coalesce(nullif(regexp_extract(plain, 'ffff:([0-9.]+)$', 1), ''), plain) AS ip_key FROM (SELECT id, regexp_replace(lower(trim(host)), '^\\[|\\]$', '', 'g') AS plain FROM h)""")
 def ip_keys(spark, d):
-    return base(spark, d, "customer").select(F.col("c_custkey").alias("id"), U.normal_ip(_pick("c_custkey", *_HOSTS)).alias("ip_key"))
+    text = lambda c: c.cast("string")
+    kind, user, event = F.col("event_type"), F.col("user_id"), F.col("event_id")
+    ip = F.concat_ws(".", text(user % 256), text(event % 251), text(event % 7), text(F.floor("value") % 256))
+    host = F.when(kind == "view", F.concat(F.lit("::ffff:"), ip)).when(kind == "click", F.concat(F.lit("[::FFFF:"), ip, F.lit("]"))).when(kind == "error", F.concat(F.lit(" "), ip))
+    host = host.when(kind == "signup", F.concat(F.upper(kind), F.lit("-"), text(user), F.lit(".Example.ORG"))).otherwise(F.concat(F.lit("::"), text(user)))
+    return base(spark, d, "events").select(event.alias("id"), U.normal_ip(host).alias("ip_key"))
 
 
-_HEADERS = ("Text/HTML; charset=utf-8", "application/pdf", " image/PNG ;q=1", "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "")
-_ENDS = ("/a.html", "/b.pdf", "/c/", "/dl?file=x.ppt", "/page", "/name")
-_OFFERS = ('attachment; filename="r.docx"', "inline", "attachment; filename*=UTF-8''t.pptx")
+#: Headers of responses, made of what pages say of themselves: their language, and their links' last segments as file names.
+_RESPONSE = """r AS (SELECT page_id, url, html, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, regexp_extract(html, '<a href="/([^"]*)"', 1) AS name FROM pages),
+ q AS (SELECT page_id, url, html, CASE lang WHEN 'en' THEN 'Text/HTML; charset=' || lang WHEN 'fr' THEN ' Application/PDF ;q=1' WHEN 'de' THEN '' END AS header, CASE WHEN length(name) % 2 = 0 THEN 'attachment; filename="' || name || '.DOCX"' ELSE 'inline; filename*=UTF-8''''' || name || '.pptx' END AS offer,
+  CASE WHEN length(name) % 3 = 0 THEN '/dl?file=' || name || '.ppt' WHEN length(name) % 3 = 1 THEN '/' || lang || '/' ELSE '/page' END AS tail FROM r)"""
 
 
-@query(f"""SELECT c_custkey AS id, lower(trim(string_split({_case('c_custkey', *_HEADERS)}, ';')[1])) AS media,
- CASE c_custkey % 5 WHEN 0 THEN true WHEN 4 THEN c_custkey % 6 IN (0, 2) OR (c_custkey % 6 NOT IN (0, 2) AND c_custkey % 7 = 0) ELSE false END AS html,
- CASE c_custkey % 5 WHEN 1 THEN 'PDF' WHEN 3 THEN 'DOCX' ELSE CASE c_custkey % 6 WHEN 1 THEN 'PDF' WHEN 3 THEN 'PPT' ELSE CASE c_custkey % 3 WHEN 0 THEN 'DOCX' WHEN 2 THEN 'PPTX' END END END AS kind FROM customer""")
+@query(f"""WITH {_RESPONSE}, m AS (SELECT *, lower(trim(string_split(header, ';')[1])) AS media, lower(regexp_extract(offer, '(?i)\\.(docx|pptx)"?$', 1)) AS ext FROM q)
+SELECT page_id AS id, media, CASE WHEN media = 'text/html' THEN true WHEN media <> '' THEN false WHEN tail LIKE '%/' THEN true ELSE starts_with(lower(left(ltrim(html), 64)), '<!doctype html') END AS html,
+ CASE WHEN media = 'application/pdf' THEN 'PDF' WHEN contains(tail, '.ppt') THEN 'PPT' ELSE upper(ext) END AS kind FROM m""")
 def media_types(spark, d):
-    header, url = _pick("c_custkey", *_HEADERS), F.concat(F.lit("https://x.example.org"), _pick("c_custkey", *_ENDS))
-    body = F.when(F.col("c_custkey") % 7 == 0, "  <!DOCTYPE html><p>").otherwise("%PDF")
-    rows = base(spark, d, "customer")
-    return rows.select(F.col("c_custkey").alias("id"), U.content_type(header).alias("media"), U.is_html(url, header, body).alias("html"), U.document_type_of_response(url, header, _pick("c_custkey", *_OFFERS)).alias("kind"))
-
-
-_MAGIC = ("89504E470D0A1A0A00", "FFD8FFE000", "4749463839", "524946460000000057454250", "255044462D", "00", "52494646000000004156492D")
+    lang, name = F.regexp_extract("html", '<html lang="([^"]*)"', 1), F.regexp_extract("html", '<a href="/([^"]*)"', 1)
+    header = F.when(lang == "en", F.concat(F.lit("Text/HTML; charset="), lang)).when(lang == "fr", " Application/PDF ;q=1").when(lang == "de", "")
+    offer = F.when(F.length(name) % 2 == 0, F.concat(F.lit('attachment; filename="'), name, F.lit('.DOCX"'))).otherwise(F.concat(F.lit("inline; filename*=UTF-8''"), name, F.lit(".pptx")))
+    tail = F.when(F.length(name) % 3 == 0, F.concat(F.lit("/dl?file="), name, F.lit(".ppt"))).when(F.length(name) % 3 == 1, F.concat(F.lit("/"), lang, F.lit("/"))).otherwise("/page")
+    rows = base(spark, d, "pages").withColumn("at", F.concat(F.lit("https://x.example.org"), tail))
+    return rows.select(F.col("page_id").alias("id"), U.content_type(header).alias("media"), U.is_html(F.col("at"), header, F.col("html")).alias("html"), U.document_type_of_response(F.col("at"), header, offer).alias("kind"))
 
 
-@query(f"SELECT p_partkey AS id, {_case('p_partkey', 'image/png', 'image/jpeg', 'image/gif', 'image/webp', 'application/pdf', 'x/y', 'x/y')} AS media FROM part")
+@query("""WITH b AS (SELECT doc_id, CASE length(text) % 7 WHEN 0 THEN '89504E470D0A1A0A' WHEN 1 THEN 'FFD8FF' WHEN 2 THEN '474946383961' WHEN 3 THEN '52494646' || hex(left(source, 4)) || '57454250' WHEN 4 THEN '25504446' WHEN 5 THEN '52494646' ELSE '' END || hex(left(text, 12)) AS h, 'text/' || lang AS other FROM documents)
+SELECT doc_id, CASE WHEN starts_with(h, '89504E470D0A1A0A') THEN 'image/png' WHEN starts_with(h, 'FFD8FF') THEN 'image/jpeg' WHEN starts_with(h, '47494638') THEN 'image/gif' WHEN starts_with(h, '52494646') AND substring(h, 17, 8) = '57454250' THEN 'image/webp' WHEN starts_with(h, '25504446') THEN 'application/pdf' ELSE other END AS media FROM b""")
 def sniffed_types(spark, d):
-    return base(spark, d, "part").select(F.col("p_partkey").alias("id"), U.sniffed_type(F.unhex(_pick("p_partkey", *_MAGIC)), F.lit("x/y")).alias("media"))
-
-
-_HREFS = ("/a", "#top", "javascript:x()", " mailto:a@b.c", "TEL:1", "", "https://x.org/download/1")
+    """Documents' first bytes behind those of some format, by the length of the text."""
+    n = F.length("text") % 7
+    first = F.when(n == 0, "89504E470D0A1A0A").when(n == 1, "FFD8FF").when(n == 2, "474946383961").when(n == 3, F.concat(F.lit("52494646"), F.hex(F.left("source", F.lit(4))), F.lit("57454250"))).when(n == 4, "25504446").when(n == 5, "52494646").otherwise("")
+    rows = base(spark, d, "documents")
+    return rows.select("doc_id", U.sniffed_type(F.unhex(F.concat(first, F.hex(F.left("text", F.lit(12))))), F.concat(F.lit("text/"), "lang")).alias("media"))
 
 
-@query(f"SELECT c_custkey AS id, c_custkey % 7 IN (0, 6) AS crawlable, regexp_matches({_case('c_custkey', *_HREFS)}, 'pdf|doc|docx|ppt|pptx|download|attachment|file|document') AS likely FROM customer")
+@query("""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages), k AS (SELECT page_id, CASE length(href) % 5 WHEN 0 THEN '#' || href WHEN 1 THEN ' MailTo:' || href WHEN 2 THEN 'https://x.org' || href || '/download' ELSE href END AS href FROM a)
+SELECT page_id, href, NOT regexp_matches(lower(trim(href)), '^(#|javascript:|mailto:|tel:)') AND trim(href) <> '' AS crawlable, regexp_matches(lower(href), 'pdf|doc|docx|ppt|pptx|download|attachment|file|document') AS likely FROM k""")
 def link_kinds(spark, d):
-    href = _pick("c_custkey", *_HREFS)
-    return base(spark, d, "customer").select(F.col("c_custkey").alias("id"), U.crawlable(href).alias("crawlable"), U.likely_document(href).alias("likely"))
+    rows = base(spark, d, "pages").select("page_id", F.explode(H.anchor_hrefs(F.col("html"))).alias("href"))
+    n = F.length("href") % 5
+    href = F.when(n == 0, F.concat(F.lit("#"), "href")).when(n == 1, F.concat(F.lit(" MailTo:"), "href")).when(n == 2, F.concat(F.lit("https://x.org"), "href", F.lit("/download"))).otherwise(F.col("href"))
+    return rows.select("page_id", href.alias("href")).select("page_id", "href", U.crawlable(F.col("href")).alias("crawlable"), U.likely_document(F.col("href")).alias("likely"))
 
 
-@query("SELECT c_custkey AS id, 'a' || CAST(c_custkey AS VARCHAR) || '.png,b.png' AS urls FROM customer")
+@query("""SELECT page_id, array_to_string(list_filter(l, lambda u: u <> '' AND NOT starts_with(u, '#')), ',') AS urls FROM (SELECT page_id, list_transform(regexp_extract_all(html, '<a href="([^",]*)"', 1), lambda h: CASE WHEN length(h) % 4 = 0 THEN '#' || h ELSE h || '.png' END) AS l FROM pages)""")
 def srcset_entries(spark, d):
-    text = F.concat(F.lit(" a"), F.col("c_custkey").cast("string"), F.lit(".png 1x, b.png  2x, #x 3x"))
-    return base(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.array_join(U.srcset_urls(text), ",").alias("urls"))
+    """A page's links as the entries of a set, with their densities and some blanks."""
+    hrefs = F.regexp_extract_all(F.col("html"), F.lit('<a href="([^",]*)"'), F.lit(1))
+    entries = F.transform(hrefs, lambda h: F.when(F.length(h) % 4 == 0, F.concat(F.lit("#"), h, F.lit(" 3x"))).when(F.length(h) % 4 == 1, F.concat(h, F.lit(".png"))).otherwise(F.concat(F.lit("  "), h, F.lit(".png   2x "))))
+    return base(spark, d, "pages").select("page_id", F.array_join(U.srcset_urls(F.array_join(entries, ",")), ",").alias("urls"))
 
 
 _FAMILIES = " ".join("WHEN {} THEN '{}'".format(" OR ".join(f"contains(lower(url) || ' ' || domain, '{w}')" for w in words), name) for name, words in scoring.TOPIC_FAMILIES)
@@ -89,29 +89,36 @@ def page_topics(spark, d):
     return view(spark, d, "v_page").select("id", scoring.topic(F.col("url"), F.col("domain")).alias("topic"))
 
 
-@query("SELECT c_custkey AS id, round(CASE WHEN x <= 1 THEN greatest(0.0, x) ELSE least(1.0, (exp(x / 4) - 1) / (exp(x / 4) + 1)) END, 6) AS relevance FROM (SELECT c_custkey, CAST(c_custkey % 40 AS DOUBLE) / 3 - 2 AS x FROM customer)")
+@query("SELECT DISTINCT sale_id, total, round(CASE WHEN x IS NULL THEN 0.0 WHEN x <= 1 THEN greatest(0.0::DOUBLE, x) ELSE least(1.0::DOUBLE, (exp(x / 4) - 1) / (exp(x / 4) + 1)) END, 6) AS relevance FROM (SELECT sale_id, total, total / 20.0::DOUBLE - 2 AS x FROM sales)")
 def normal_relevance(spark, d):
-    x = (F.col("c_custkey") % 40).cast("double") / 3 - 2
-    return base(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.round(scoring.normal_relevance(x), 6).alias("relevance"))
+    return base(spark, d, "sales").select("sale_id", "total", F.round(scoring.normal_relevance(F.col("total") / 20 - 2), 6).alias("relevance")).distinct()
+
+
+#: A host's rules: its pages with the smallest and the greatest path are closed, as is all below them, and it has a delay by the number of its pages.
+_RULES = "p AS (SELECT id, url, domain, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path FROM v_page), r AS (SELECT domain, min(path) AS low, max(path) AS high, count(*) AS n FROM p WHERE length(path) > 1 GROUP BY domain)"
 
 
-_ROBOTS = ("User-agent: *\nDisallow: /en\nCrawl-delay: 4\nSitemap: https://s.example.org/1.xml", "User-agent: weir\nDisallow:\n\nUser-agent: *\nDisallow: /", "")
+def _rules(spark, d):
+    """Pages with their host's smallest and greatest path, and the number of its pages."""
+    p = view(spark, d, "v_page").select("id", "url", "domain", U.path_of(F.col("url")).alias("path"))
+    r = p.where("length(path) > 1").groupBy("domain").agg(F.min("path").alias("low"), F.max("path").alias("high"), F.count(F.lit(1)).alias("n"))
+    return p.join(r, "domain", "left")
 
 
-@query("""SELECT page_id AS id, CASE page_id % 4 WHEN 0 THEN NOT starts_with(p, '/en') ELSE true END AS allowed, CASE WHEN page_id % 4 = 0 THEN CAST(4 AS DOUBLE) END AS crawl_delay, CASE WHEN page_id % 4 = 0 THEN 1 ELSE 0 END AS n_sitemaps
- FROM (SELECT page_id, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS p FROM pages)""")
+@query(f"WITH {_RULES} SELECT id, n IS NULL OR NOT (starts_with(path, low) OR starts_with(path, high)) AS allowed, CAST(n % 9 AS DOUBLE) AS crawl_delay, CASE WHEN n IS NULL THEN 0 ELSE 1 END AS n_sitemaps FROM p LEFT JOIN r USING (domain)")
 def robots_policies(spark, d):
-    content = F.when(F.col("page_id") % 4 == 0, _ROBOTS[0]).when(F.col("page_id") % 4 == 1, _ROBOTS[1]).when(F.col("page_id") % 4 == 2, _ROBOTS[2])
-    rows = base(spark, d, "pages").select(F.col("page_id").alias("id"), robots.robots_policy(content, F.lit("weir"), F.col("url")).alias("p"))
+    content = F.concat(F.lit("User-agent: weir\nDisallow: "), "low", F.lit("\nDisallow: "), "high", F.lit("\nCrawl-delay: "), (F.col("n") % 9).cast("string"), F.lit("\n\nUser-agent: *\nDisallow: /\nSitemap: https://"), "domain", F.lit("/s.xml"))
+    rows = _rules(spark, d).select("id", robots.robots_policy(content, F.lit("weir"), F.col("url")).alias("p"))
     return rows.select("id", "p.allowed", "p.crawl_delay", F.size("p.sitemaps").alias("n_sitemaps"))
 
 
-@query("""SELECT c_custkey AS id, CAST(greatest(5.0, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 9 * 1.0 END, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 20 * 1.0 END, c_custkey % 4 * 1.0) AS DOUBLE) AS delay,
- CAST(greatest(c_custkey % 8000, 5000, ceil(greatest(c_custkey % 9 * 1.5, coalesce(CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 20 * 1.0 END, 0.0)) * 1000)) AS BIGINT) AS cooldown_ms FROM customer""")
+@query("""SELECT sale_id, max(greatest(5.0::DOUBLE, amount / 300.0::DOUBLE, discount * 100, CAST(quantity AS DOUBLE))) AS delay, max(CAST(greatest(CAST(quantity AS BIGINT) * 150, 5000, CAST(ceil(greatest(coalesce(amount / 300.0::DOUBLE, 0.0), coalesce(discount * 100, 0.0)) * 1000) AS BIGINT)) AS BIGINT)) AS cooldown_ms FROM sale_lines GROUP BY sale_id""")
 def politeness_delays(spark, d):
-    k = F.col("c_custkey")
-    robots_s = F.when(k % 3 == 0, (k % 20) * 1.0)
-    return base(spark, d, "customer").select(k.alias("id"), robots.effective_delay(F.lit(5.0), F.when(k % 2 == 0, (k % 9) * 1.0), robots_s, (k % 4) * 1.0).cast("double").alias("delay"), robots.observed_cooldown_ms(k % 8000, (k % 9) * 1.5, robots_s).cast("long").alias("cooldown_ms"))
+    """The longest delay and cooldown that the lines of a sale ask for."""
+    configured, robots_s, rate = F.col("amount") / 300, F.col("discount") * 100, F.col("quantity").cast("double")
+    delay = robots.effective_delay(F.lit(5.0), configured, robots_s, rate)
+    cooldown = robots.observed_cooldown_ms(F.col("quantity").cast("long") * 150, configured, robots_s).cast("long")
+    return base(spark, d, "sale_lines").groupBy("sale_id").agg(F.max(delay).alias("delay"), F.max(cooldown).alias("cooldown_ms"))
 
 
 @query("SELECT id, CASE WHEN length(t) > 40 THEN left(t, 40) || '...' ELSE t END AS preview FROM (SELECT id, array_to_string(string_split(x, chr(10))[1:2], chr(10)) AS t FROM (SELECT id, message || chr(10) || repeat('a', CAST(id % 60 AS INT)) || chr(10) || 'third' AS x FROM v_log))")
@@ -120,29 +127,29 @@ def text_previews(spark, d):
     return view(spark, d, "v_log").select("id", robots.preview(text, 2, 40).alias("preview"))
 
 
-@query("SELECT c_custkey AS id, 'http://a.example/1,https://b.example/' || CAST(c_custkey AS VARCHAR) AS urls FROM customer")
+@query("""SELECT ord, array_to_string(list_sort(list_distinct(regexp_extract_all(source_url || chr(10) || url || ' seen ' || CAST(found_at AS VARCHAR) || ' <' || source_url || '>', 'https?://[^\\s<>"]+'))), ',') AS urls FROM v_found""")
 def stored_sitemaps(spark, d):
-    text = F.concat(F.lit("https://b.example/"), F.col("c_custkey").cast("string"), F.lit("\nhttp://a.example/1\nx http://a.example/1"))
-    return base(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.array_join(robots.sitemap_urls(text), ",").alias("urls"))
+    text = F.concat("source_url", F.lit("\n"), "url", F.lit(" seen "), F.col("found_at").cast("string"), F.lit(" <"), "source_url", F.lit(">"))
+    return view(spark, d, "v_found").select("ord", F.array_join(robots.sitemap_urls(text), ",").alias("urls"))
 
 
-@query("""SELECT id, CASE WHEN id % 3 = 0 THEN 'idle' ELSE 'active' END AS "from", CASE WHEN id % 3 = 0 THEN 'Paused' ELSE 'active' END AS "to", 'reason=x' AS details FROM v_event""")
-def rendered_transitions(spark, d):
-    text = F.when(F.col("id") % 3 == 0, "idle -> Paused | reason=x").otherwise("status=active | reason=x")
-    return view(spark, d, "v_event").select("id", telemetry.transition_of(text).alias("t")).select("id", "t.*")
+_SHOWN = "CASE WHEN worker_id % 2 = 0 THEN json_extract_string(payload, '$.previousStatus') || ' -> ' || json_extract_string(payload, '$.status') ELSE 'Status=' || json_extract_string(payload, '$.status') END || ' | worker=' || CAST(worker_id AS VARCHAR) || ' '"
 
 
-@query("""SELECT id, CASE id % 4 WHEN 0 THEN 'u' WHEN 1 THEN 'https://m.example/' WHEN 2 THEN 'https://n.example/' END AS url FROM v_event""")
-def replay_urls(spark, d):
-    payload = F.when(F.col("id") % 4 == 0, '{"finalUrl":"u","rawUrl":"v"}').when(F.col("id") % 4 == 1, '{"message":"done Url=https://m.example/ | x"}').when(F.col("id") % 4 == 2, '{"downloadResult":{"requestedUrl":"https://n.example/"}}').otherwise("{}")
-    return view(spark, d, "v_event").select("id", telemetry.replay_url(payload).alias("url"))
+@query(f"""WITH t AS (SELECT id, {_SHOWN} AS text FROM v_event WHERE type = 'status-change')
+SELECT id, coalesce(nullif(regexp_extract(text, '(\\w+)\\s*->', 1), ''), nullif(regexp_extract(text, '(?i)status=([^|,;\\s]+)', 1), '')) AS "from", coalesce(nullif(regexp_extract(text, '->\\s*(\\w+)', 1), ''), nullif(regexp_extract(text, '(?i)status=([^|,;\\s]+)', 1), '')) AS "to", trim(string_split(text, '|')[2]) AS details FROM t""")
+def rendered_transitions(spark, d):
+    at = lambda name: telemetry.field(F.col("payload"), name)
+    text = F.concat(F.when(F.col("worker_id") % 2 == 0, F.concat(at("previousStatus"), F.lit(" -> "), at("status"))).otherwise(F.concat(F.lit("Status="), at("status"))), F.lit(" | worker="), F.col("worker_id").cast("string"), F.lit(" "))
+    return view(spark, d, "v_event").where("type = 'status-change'").select("id", telemetry.transition_of(text).alias("t")).select("id", "t.*")
 
 
-@query("""SELECT id, CASE WHEN id % 2 = 0 THEN 'new' ELSE 'old' END AS a, CASE WHEN id % 2 = 0 THEN '1' END AS b, 'k' AS c FROM v_event""")
-def merged_objects(spark, d):
-    over = F.when(F.col("id") % 2 == 0, '{"a":"new","b":1}').otherwise("no json")
-    text = telemetry.merged_json(F.lit('{"a":"old","c":"k"}'), over)
-    return view(spark, d, "v_event").select("id", *[F.get_json_object(text, f"$.{k}").alias(k) for k in "abc"])
+@query("""SELECT id, CASE WHEN type = 'error' THEN nullif(regexp_extract(said, 'url=([^ |,]+)', 1), '') ELSE json_extract_string(payload, '$.url') END AS url FROM (SELECT *, replace(json_extract_string(payload, '$.message'), 'for ', 'url=https://e.example.org/') AS said FROM v_event)""")
+def replay_urls(spark, d):
+    """The URL of each event, which one in three has under another name, and errors only say."""
+    p = F.regexp_replace("payload", "failed for (\\d+)", "failed Url=https://e.example.org/$1 | later")
+    named = F.when(F.col("id") % 3 == 0, F.regexp_replace(p, '"url":', '"finalUrl":')).when(F.col("id") % 3 == 1, F.regexp_replace(p, '"url":("[^"]*")', '"downloadResult":{"requestedUrl":$1}')).otherwise(p)
+    return view(spark, d, "v_event").select("id", telemetry.replay_url(named).alias("url"))
 
 
 @query("SELECT doc_id AS id, CASE WHEN doc_id % 3 <> 0 THEN sha256(text) END AS digest FROM documents")
@@ -152,17 +159,11 @@ def decoded_bodies(spark, d):
     return rows.select(F.col("doc_id").alias("id"), F.sha2(hashing.decoded_base64(sent), 256).alias("digest"))
 
 
-@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 11 = 0 THEN '0 %' ELSE printf('%.1f', round(c_custkey % 7 * 100.0 / (c_custkey % 11), 1)) || ' %' END AS share,
- CASE WHEN n < 1024 THEN CAST(n AS VARCHAR) || ' B' WHEN n < 1048576 THEN printf('%.1f KB', round(n / 1024.0, 1)) ELSE printf('%.1f MB', round(n / 1048576.0, 1)) END AS bytes, CAST(least(greatest(c_custkey * 1.0, 10.0), 500.0) AS DOUBLE) AS clamped, 'Worker-' || CAST(c_custkey AS VARCHAR) AS worker
- FROM (SELECT c_custkey, c_custkey * c_custkey AS n FROM customer)""")
-def formatted_numbers(spark, d):
-    k = F.col("c_custkey")
-    return base(spark, d, "customer").select(k.alias("id"), telemetry.percent(k % 7, k % 11).alias("share"), telemetry.byte_size(k * k).alias("bytes"), telemetry.clamp(k * 1.0, 10.0, 500.0).cast("double").alias("clamped"), telemetry.worker_name(k).alias("worker"))
-
-
-@query("SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN 'COMPLETED' WHEN 1 THEN 'FAILED' WHEN 2 THEN 'DUPLICATE' WHEN 3 THEN 'QUEUED' ELSE 'COMPLETED' END AS state FROM customer")
+@query("""SELECT sale_id, status, CASE WHEN s IN ('completed', 'complete', 'done', 'success') THEN 'COMPLETED' WHEN s IN ('failed', 'fail', 'error') THEN 'FAILED' WHEN s IN ('duplicate', 'dup') THEN 'DUPLICATE' WHEN s IN ('queued', 'queue', 'retry', 'requeue') THEN 'QUEUED' ELSE 'COMPLETED' END AS state
+ FROM (SELECT sale_id, status, lower(trim(CASE WHEN status = 'held' THEN ' Re' || CASE WHEN priority % 2 = 0 THEN 'try' ELSE 'QUEUE' END WHEN status = 'open' THEN CASE WHEN total > 50 THEN 'ERROR ' ELSE 'Dup' END ELSE status END)) AS s FROM (SELECT DISTINCT sale_id, status, priority, total FROM sales))""")
 def terminal_states(spark, d):
-    return base(spark, d, "customer").select(F.col("c_custkey").alias("id"), telemetry.terminal_state(_pick("c_custkey", " Success", "fail", "DUP ", "requeue", "", "what")).alias("state"))
+    said = F.when(F.col("status") == "held", F.concat(F.lit(" Re"), F.when(F.col("priority") % 2 == 0, "try").otherwise("QUEUE"))).when(F.col("status") == "open", F.when(F.col("total") > 50, "ERROR ").otherwise("Dup")).otherwise(F.col("status"))
+    return base(spark, d, "sales").select("sale_id", "status", "priority", "total").distinct().select("sale_id", "status", telemetry.terminal_state(said).alias("state"))
 
 
 @query("SELECT page_id AS id, regexp_replace(url, '^([^?#]*).*$', '\\1') || CASE WHEN len(k) > 0 THEN '?' || array_to_string(list_sort(k), '&') ELSE '' END AS url FROM (SELECT page_id, url, list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_[^=]*|fbclid|gclid|igshid|mc_cid|mc_eid|ref|ref_src)(=|$)')) AS k FROM pages)")

@@ -5,8 +5,9 @@ from __future__ import annotations
 import xml.etree.ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from weir.functions import url as U
 from weir.functions.html import page_assets
@@ -15,6 +16,7 @@ from weir.operators.frontier import enqueue, merge_batch
 from weir.operators.numbering import numbered
 
 LINKS_PER_PAGE = 30
+CSV_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
 def stored_html(pages: DataFrame, limit: int | None = None) -> DataFrame:
@@ -75,9 +77,14 @@ def export_rows(links: DataFrame) -> DataFrame:
     return links.select(*[F.col(c).alias(n) for c, n in named.items()], F.col("target_id").isNotNull().alias("has_page_row"), (~F.col("unfetched")).alias("has_fetch_result"))
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    """CSV files with a header."""
-    rows.write.mode("overwrite").option("header", True).csv(path)
+def write_csv(rows: DataFrame, path: str, one_file: bool = False) -> None:
+    """CSV with a header: a file from each task, or one file, for exports that fit into a task.  Texts are quoted, so that line breaks and empty texts come back as they are."""
+    (rows.coalesce(1) if one_file else rows).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("nullValue", "\\N").option("emptyValue", "").option("timestampNTZFormat", CSV_TIME).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """What write_csv() wrote."""
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("nullValue", "\\N").option("emptyValue", "").option("timestampNTZFormat", CSV_TIME).schema(schema).csv(path)
 
 
 def backfill_types(pages: DataFrame, page_data: DataFrame) -> DataFrame:

@@ -1,18 +1,15 @@
-"""Telemetry streams: events to logs, metrics and worker states; throughput; ingest; leases."""
+"""Telemetry streams: events to logs, metrics and worker states; throughput."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weir.functions import telemetry
+from weir.streaming import retention
 
 EVENT = T.StructType([T.StructField(n, t) for n, t in (("type", T.StringType()), ("daemonId", T.StringType()), ("workerId", T.IntegerType()), ("payload", T.StringType()), ("ts", T.TimestampType()))])
-INGEST = T.StructType([T.StructField(n, t) for n, t in (("rawUrl", T.StringType()), ("daemonId", T.StringType()), ("siteId", T.IntegerType()), ("discoveredUrls", T.ArrayType(T.StringType())), ("discoveredImageUrls", T.ArrayType(T.StringType())), ("pageTypeCode", T.StringType()), ("htmlContent", T.StringType()), ("statusCode", T.IntegerType()), ("accessedTime", T.TimestampType()))])
 
 
 def envelopes(events: DataFrame) -> DataFrame:
@@ -26,11 +23,6 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return envelopes(spark.readStream.schema(EVENT).json(path))
 
 
-def read_ingest(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of ingest requests."""
-    return spark.readStream.schema(INGEST).json(path)
-
-
 def logs(events: DataFrame) -> DataFrame:
     keep, level, message = telemetry.log_row(F.col("type"), F.col("payload"))
     return events.where(keep).select(F.col("daemonId").alias("daemon_identifier"), F.col("workerId").alias("external_worker_id"), level.alias("level"), message.alias("message"), "payload", F.col("ts").alias("created_at"))
@@ -49,13 +41,12 @@ def worker_updates(events: DataFrame) -> DataFrame:
 
 
 def persist(events: DataFrame, out: str, checkpoint: str):
-    """Starts a query that appends each batch's logs, metrics and worker updates below out, partitioned by day."""
+    """Starts a query that appends each batch's logs, metrics and worker updates to tables by day below out."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         for name, rows, time in (("worker_log", logs(batch), "created_at"), ("worker_metric", metrics(batch), "created_at"), ("worker_update", worker_updates(batch), "ts")):
-            # a batch that is run again writes its own folder again
-            rows.withColumn("day", F.to_date(time)).write.mode("overwrite").partitionBy("day").parquet(f"{out}/{name}/batch={number}")
+            retention.append_batch(rows, f"{out}/{name}", time, number)
         batch.unpersist()
 
     return events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
@@ -75,53 +66,20 @@ def worker_states(updates: DataFrame) -> DataFrame:
     return updates.groupBy("worker_id").agg(*[last(c) for c in ("status", "current_url", "pages_processed", "error_count")], F.max("ts").alias("last_heartbeat_at"))
 
 
-LEASE_OUT = "url string, worker_id long, outcome string, at timestamp"
-LEASE_STATE = "worker_id long, since double"
-
-
-def leases(requests: DataFrame, ttl_seconds: int = 30, late: str = "10 minutes") -> DataFrame:
-    """Leases over a stream of requests (url, worker_id, action, ts), action lease or complete.
-
-    A lease goes to the first worker and may be renewed by it; others are refused while it lives.  A completion
-    counts only for the holder of a living lease.  A lease that no row ends expires once the requests' own time,
-    less ``late``, has passed its end, so that the outcome does not depend on the clock and a run over given
-    input ends; requests later than that are left out."""
-
-    def step(key: tuple, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        url, out = key[0], []
-        if state.hasTimedOut:
-            holder, since = state.get
-            out.append((url, holder, "expired", pd.Timestamp(since + ttl_seconds, unit="s")))
-            state.remove()
-        else:
-            holder, since = state.get if state.exists else (None, 0.0)
-            for r in pd.concat(list(rows)).sort_values("ts", kind="stable").itertuples():
-                now = r.ts.timestamp()
-                if holder is not None and now - since > ttl_seconds:
-                    out.append((url, holder, "expired", pd.Timestamp(since + ttl_seconds, unit="s")))
-                    holder = None
-                if r.action == "lease":
-                    won = holder in (None, r.worker_id)
-                    holder, since = (r.worker_id, now) if won else (holder, since)
-                    out.append((url, r.worker_id, "leased" if won else "refused", r.ts))
-                else:
-                    own = holder == r.worker_id
-                    out.append((url, r.worker_id, "completed" if own else "rejected", r.ts))
-                    holder = None if own else holder
-            if holder is None:
-                if state.exists:
-                    state.remove()
-            else:
-                state.update((int(holder), float(since)))
-                state.setTimeoutTimestamp(max(int((since + ttl_seconds) * 1000), state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame(out, columns=["url", "worker_id", "outcome", "at"])
-
-    return requests.withWatermark("ts", late).groupBy("url").applyInPandasWithState(step, LEASE_OUT, LEASE_STATE, "append", "EventTimeTimeout")
-
-
-def run_to_end(stream: DataFrame, mode: str, name: str, seconds: int = 600) -> DataFrame:
-    """Drives a stream over all its input into a table in memory; for tests and small reports."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def run_to_end(stream: DataFrame, mode: str, name: str, seconds: int = 600, store: str | None = None) -> DataFrame:
+    """Drives a stream over all its input into a table in memory; for tests and small reports.  store: the state store it needs."""
+    conf = stream.sparkSession.conf
+    before = conf.get(STORE, None)
+    if store:
+        conf.set(STORE, store)
+    try:
+        query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    finally:
+        if store:
+            conf.set(STORE, before) if before else conf.unset(STORE)
     try:
         if not query.awaitTermination(seconds):
             raise TimeoutError(f"{name} has not ended after {seconds} s")
