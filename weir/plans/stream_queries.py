@@ -93,7 +93,7 @@ def stream_dead_letters(spark, d):
     return good.unionByName(bad)
 
 
-@query("""WITH b AS (SELECT page_id, url, CASE WHEN page_id % 13 = 5 THEN 'malformed' WHEN page_id % 17 = 3 THEN 'wrong-type' WHEN page_id % 19 = 4 THEN 'incomplete' END AS reason, html FROM pages)
+@query("""WITH b AS (SELECT page_id, url, CASE WHEN page_id % 13 = 5 THEN 'malformed' WHEN page_id % 19 = 4 THEN 'incomplete' WHEN page_id % 17 = 3 THEN 'wrong-type' END AS reason, html FROM pages)
 SELECT page_id, reason, CASE WHEN reason IS NULL THEN regexp_replace(url, '#.*$', '') END AS url, CASE WHEN reason IS NULL THEN sha256(html) END AS html_sha256, CASE WHEN reason IS NULL THEN CASE WHEN page_id % 3 = 0 THEN 'BINARY' ELSE 'HTML' END END AS page_type_code FROM b""")
 def stream_ingest_requests(spark, d):
     status = F.when(F.col("page_id") % 17 == 3, "none").otherwise("200")
