@@ -27,10 +27,10 @@ def test_recall_against_brute_force(spark):
 
 
 def test_equal_vectors_nulls_and_few_rows(spark):
-    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [2.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [1.0, 1.0]), (8, [1.0, None]), (9, [1.0, 0.0, 0.0]), (None, [1.0, 0.5])]
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [2.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [1.0, 1.0]), (8, [1.0, None]), (9, [1.0, 0.0, 0.0]), (10, [1.0, 1.0, 0.0]), (None, [1.0, 0.5])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = sorted((r.query_id, r.rank, r.vec_id) for r in nn_descent.nearest(table, nn_descent.F.lit(True)).collect())
-    want = [(1, 1, 2), (1, 2, 3), (1, 3, 7), (2, 1, 1), (2, 2, 3), (2, 3, 7), (3, 1, 1), (3, 2, 2), (3, 3, 7), (7, 1, 1), (7, 2, 2), (7, 3, 3)]
+    want = [(1, 1, 2), (1, 2, 3), (1, 3, 7), (2, 1, 1), (2, 2, 3), (2, 3, 7), (3, 1, 1), (3, 2, 2), (3, 3, 7), (7, 1, 1), (7, 2, 2), (7, 3, 3), (9, 1, 10), (10, 1, 9)]
     assert got == want
     assert nn_descent.nearest(table.limit(0), nn_descent.F.lit(True)).count() == 0
 
@@ -52,3 +52,30 @@ def test_recall_among_many_uniform_vectors(spark):
         got.setdefault(r.query_id, set()).add(r.vec_id)
     assert set(got) == set(want) and {len(x) for x in got.values()} == {5}
     assert sum(len(got[q] & want[q]) for q in want) >= 0.9 * 5 * len(want)
+
+
+def test_dimensions_and_a_common_vector(spark):
+    """Vectors of three dimensions, each searched by itself; one vector is that of a third of the rows."""
+    rng = np.random.default_rng(4)
+    groups = {d: [(d * 1000 + k, v.tolist()) for k, v in enumerate(rng.standard_normal((150, d)))] for d in (2, 8, 33)}
+    groups[8] += [(20_000 + k, groups[8][0][1]) for k in range(200)]
+    rows = [r for g in groups.values() for r in g]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in nn_descent.nearest(table, nn_descent.F.col("vec_id") % 5 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    want = {q: x for g in groups.values() for q, x in brute(g, {i for i, _ in g if i % 5 == 0}).items()}
+    assert {q: [v for _, v in sorted(x)] for q, x in got.items()} == {q: [v for _, v in x] for q, x in want.items()}
+
+
+def test_queries_that_walks_do_not_answer_are_compared_with_all(spark, monkeypatch):
+    """A graph without rounds and a beam of two find little; nothing poor is returned."""
+    for name, value in (("BEAM", 2), ("WIDEST", 2), ("CODES", 1), ("CHUNK", 8), ("DEGREE", 2), ("BLOCK", 16)):
+        monkeypatch.setattr(nn_descent, name, value)
+    v = np.random.default_rng(6).standard_normal((600, 24))
+    table = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nn_descent.nearest(table, nn_descent.F.col("vec_id") % 10 == 0, most_rounds=0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    want = brute(list(enumerate(v)), set(range(0, 600, 10)))
+    assert {q: [i for _, i in sorted(x)] for q, x in got.items()} == {q: [i for _, i in x] for q, x in want.items()}

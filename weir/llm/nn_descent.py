@@ -11,16 +11,19 @@ is collected, and only tables whose bytes have been summed and found small are b
 How wide a beam has to be depends on the number of vectors and on how they lie.  So it is measured: up to
 ``PROBES`` of the queries, those with the smallest hashes, are also answered by brute force, in blocks over
 all vectors; should the walks have found less than ``RECALL`` of those neighbours, the graph gets another
-round, the beam doubles, and all queries walk again.
+round, the beam doubles, and all queries walk on from what they have seen.  If that is still so at the widest
+beam, the vectors have no structure that a graph could follow, and all queries are compared with all vectors,
+block against block.
 
 Lists of neighbours travel packed, one row a node and local join, and are merged by arrays.
 
 Reverse neighbours brought together in one round are a sample of at most ``DEGREE`` by hash, as NN-descent
 has it; a node of high in-degree has others in another round.  Finished rounds' shuffle files are let go.
 
-Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do
-those whose dimension is not the most frequent one; equal vectors are neighbours with cosine one; ties go
-to the smaller id; with few candidates all of them are returned; an empty table gives an empty result.
+Defined results: vectors that are null, zero, or hold null or non-finite components take no part; vectors of
+each dimension are searched by themselves, as there is no cosine between two dimensions; equal vectors are
+neighbours with cosine one; ties go to the smaller id; with few candidates all of them are returned; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,6 +48,8 @@ BEAM = 144
 PROBES = 64
 RECALL = 0.92
 WIDEST = 8192
+#: Queries compared with all vectors at once.
+BLOCK = 2048
 ASKED = "__weir_asked"
 
 
@@ -52,9 +57,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """Rows (id, v: array<double>) of the vectors that take part."""
     v = F.col(vector_col).cast("array<double>")
     ok = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & ok)
-    size = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("v") == (size["d"] if size else 0))
+    return vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & ok)
 
 
 def _half(column: pa.Array) -> np.ndarray:
@@ -251,8 +254,8 @@ def _half_cosine(a: Column, b: Column) -> Column:
     return sims(a, b)
 
 
-def search(index: Index, queries: DataFrame, beam: int = BEAM) -> Saved:
-    """Rows (q, node, sim): the nodes seen on greedy walks of queries(q, half, start): all starts of a query are its entry points.
+def search(index: Index, queries: DataFrame, beam: int = BEAM, before: Saved | None = None) -> Saved:
+    """Rows (q, node, sim, visited): the nodes seen on greedy walks of queries(q, half, start): all starts of a query are its entry points, and all it has seen ``before``.
 
     A walk ends when all its best ``beam`` nodes have been visited, however many steps that takes."""
     vectors = small(index.table.df.select("node", "half"))
@@ -263,7 +266,12 @@ def search(index: Index, queries: DataFrame, beam: int = BEAM) -> Saved:
     def seen_of(pairs: DataFrame) -> DataFrame:
         return pairs.join(vectors, "node").join(q, "q").select("q", "node", _half_cosine(F.col("half"), F.col("qhalf")).alias("sim"), F.lit(False).alias("visited"))
 
-    seen = Saved(seen_of(queries.select("q", F.col("start").alias("node")).distinct()), "seen")
+    if before is None:
+        seen = Saved(seen_of(queries.select("q", F.col("start").alias("node")).distinct()), "seen")
+    else:
+        # neighbours may have changed since a node was visited
+        seen = Saved(before.df.withColumn("visited", F.lit(False)), "seen")
+        before.drop()
     while True:
         r = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "node"))
         front = seen.df.withColumn("r", r).where((F.col("r") <= beam) & ~F.col("visited")).select("q", "node")
@@ -317,6 +325,18 @@ def probed(index: Index, queries: DataFrame, k: int, probes: int = PROBES) -> di
     return {r["q"]: (r["least"] - 1e-4, r["n"]) for r in _closest(rows, k).groupBy("q").agg(F.min("sim").alias("least"), F.count(F.lit(1)).alias("n")).collect()}
 
 
+def compared(index: Index, queries: DataFrame, k: int, block: int = BLOCK) -> Saved:
+    """Rows (q, node, sim) of each query's k closest nodes, by brute force: each block of queries against all nodes."""
+    asked = Saved(queries.select("q", "half").distinct().withColumn("block", F.pmod(F.xxhash64("q"), F.lit(max(1, queries.count() // block)))), "blocks")
+    found = None
+    for (b,) in asked.df.select("block").distinct().orderBy("block").collect():
+        own = asked.df.where(F.col("block") == b).collect()
+        sent = index.table.spark.sparkContext.broadcast((np.array([r["q"] for r in own]), np.frombuffer(b"".join(r["half"] for r in own), np.float16).reshape(len(own), -1)))
+        rows = Saved(_closest(index.table.df.select("node", "half").mapInArrow(_brute(sent, k), "q long, node long, sim float"), k), "compared").df
+        found = rows if found is None else found.unionByName(rows)
+    return Saved(found, "compared")
+
+
 def recall(seen: DataFrame, truth: dict[int, tuple[float, int]], k: int) -> float:
     """The share of the probes' nearest nodes that were seen; what is as close as the k-th counts, so ties do no harm."""
     total = sum(n for _, n in truth.values())
@@ -330,22 +350,34 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     """For each row of vectors that is_query holds for, its k nearest other rows by cosine: query_id, rank, vec_id, score."""
     marked = vectors.withColumn(ASKED, F.coalesce(is_query, F.lit(False)))
     rows = usable(vectors, id_col, vector_col)
-    first = rows.select(F.size("v").alias("d")).first()
-    dimension = first["d"] if first else 1
+    asked = marked.where(ASKED).select(F.col(id_col).cast("long").alias("id")).distinct()
+    found = [_nearest(rows.where(F.size("v") == d), asked, d, k, most_rounds) for (d,) in rows.select(F.size("v").alias("d")).distinct().orderBy("d").collect()]
+    if not found:
+        return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _nearest(rows: DataFrame, asked: DataFrame, dimension: int, k: int, most_rounds: int) -> DataFrame:
+    """nearest() among rows(id, v) of one dimension, for those whose id is asked(id)."""
     classes = Saved(rows.groupBy("v").agg(F.min("id").alias("node")), "classes")
     index = Index(classes.df, dimension).settle(most_rounds)
-    asked = marked.where(ASKED).select(F.col(id_col).cast("long").alias("id")).distinct()
     members = Saved(rows.join(classes.df, "v").select("node", "id").distinct(), "members")
     wanted = Saved(members.df.join(asked, "id").select("node", F.col("id").alias("query_id")), "wanted")
     q = Saved(wanted.df.select("node").distinct().join(index.table.df, "node").select(F.col("node").alias("q"), "half", F.col("node").alias("start")), "queries").df
     truth, beam = probed(index, q, k), BEAM
     seen = search(index, q, beam)
-    while beam < WIDEST and recall(seen.df, truth, k) < RECALL:
-        seen.drop()
+    while recall(seen.df, truth, k) < RECALL:
+        if beam >= WIDEST:
+            seen.drop()
+            seen = compared(index, q, 2 * k)
+            break
         beam *= 2
         if index.rounds < most_rounds:
             index.descend()
-        seen = search(index, q, beam)
+        seen = search(index, q, beam, seen)
     near = _closest(seen.df, max(beam, 2 * k)).select("q", "node").union(q.select("q", F.col("q").alias("node"))).distinct()
     a, b = classes.df.select(F.col("node").alias("q"), F.col("v").alias("x")), classes.df.select("node", F.col("v").alias("y"))
     scored = near.join(b, "node").join(a, "q").select("q", "node", _cosine(F.col("x"), F.col("y")).alias("score"))
