@@ -186,9 +186,14 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), sizes)), pa.array(b)], names=["a", "b"])
 
 
+def _together(df: DataFrame) -> DataFrame:
+    """A stage's partitions in two tasks a core at most: what is dealt by queries or nodes is even and small, and each task has its price."""
+    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _top(lists: DataFrame) -> DataFrame:
     """Of rows (a, b, sim, old), old being 1 for a list of the graph so far, the graph of each node's closest."""
-    return lists.repartition("a").sortWithinPartitions("a").mapInArrow(_merge, PACKED + ", worst float, n long, fresh long")
+    return _together(lists.repartition("a").sortWithinPartitions("a").mapInArrow(_merge, PACKED + ", worst float, n long, fresh long"))
 
 
 class Index:
@@ -246,49 +251,61 @@ def _cosine(a: Column, b: Column) -> Column:
 
 
 def _half_cosine(a: Column, b: Column) -> Column:
+    """Products of pairs of vectors; null where one is null."""
+
     @F.pandas_udf("float")
     def sims(x: pd.Series, y: pd.Series) -> pd.Series:
-        u, v = (np.frombuffer(b"".join(s), np.float16).reshape(len(s), -1).astype(np.float32) for s in (x, y))
-        return pd.Series((u * v).sum(axis=1))
+        some = np.flatnonzero(x.notna() & y.notna())
+        out = np.full(len(x), np.nan, np.float32)
+        if len(some):
+            u, v = (np.frombuffer(b"".join(s.iloc[some]), np.float16).reshape(len(some), -1).astype(np.float32) for s in (x, y))
+            out[some] = (u * v).sum(axis=1)
+        return pd.Series(out)
 
-    return sims(a, b)
+    return F.nanvl(sims(a, b), F.lit(None).cast("float"))
 
 
-def search(index: Index, queries: DataFrame, beam: int = BEAM, before: Saved | None = None) -> Saved:
-    """Rows (q, node, sim, visited): the nodes seen on greedy walks of queries(q, half, start): all starts of a query are its entry points, and all it has seen ``before``.
+def _reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (q, neighbours) the distinct pairs (q, node) of a batch."""
+    for batch in batches:
+        if batch.num_rows:
+            b, sizes = _flat(batch.column(1), np.int64)
+            pairs = np.unique(np.stack([np.repeat(batch.column(0).to_numpy(), sizes), b], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["q", "node"])
 
-    A walk ends when all its best ``beam`` nodes have been visited, however many steps that takes."""
-    vectors = small(index.table.df.select("node", "half"))
-    q = small(queries.select("q", F.col("half").alias("qhalf")).distinct())
-    edges = Saved(index.edges, "edges")
-    graph = edges.df.select(F.col("a").alias("node"), "b")
 
-    def seen_of(pairs: DataFrame) -> DataFrame:
-        return pairs.join(vectors, "node").join(q, "q").select("q", "node", _half_cosine(F.col("half"), F.col("qhalf")).alias("sim"), F.lit(False).alias("visited"))
+def search(index: Index, queries: DataFrame, beam: int = BEAM, before: Saved | None = None) -> Saved:
+    """Rows (q, node, sim, visited, front): the nodes seen on greedy walks of queries(q, half, start): all starts of a query are its entry points, and all it has seen ``before``.
+
+    A walk ends when all its best ``beam`` nodes have been visited, however many steps that takes.  A step deals what is seen by its query,
+    once: nodes met again are one, only new ones are compared, and those to visit next are marked."""
+    vectors = small(index.table.df.select(F.col("node").alias("of"), "half"))
+    q = small(queries.select(F.col("q").alias("by"), F.col("half").alias("qhalf")).distinct())
+    graph = small(index.graph.df.select("a", "b"))
+
+    def step(rows: DataFrame) -> Saved:
+        """Rows (q, node, sim, visited) of which some have no sim yet."""
+        met = rows.repartition("q").groupBy("q", "node").agg(F.max("sim").alias("sim"), F.max("visited").alias("visited"))
+        new = F.col("sim").isNull()
+        told = met.join(vectors, (F.col("node") == F.col("of")) & new, "left").join(q, (F.col("q") == F.col("by")) & new, "left")
+        told = told.select("q", "node", F.coalesce("sim", _half_cosine(F.col("half"), F.col("qhalf"))).alias("sim"), "visited")
+        r = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "node"))
+        return Saved(_together(told.withColumn("r", r).select("q", "node", "sim", "visited", ((F.col("r") <= beam) & ~F.col("visited")).alias("front"))), "seen")
 
+    none = F.lit(None).cast("float").alias("sim")
     if before is None:
-        seen = Saved(seen_of(queries.select("q", F.col("start").alias("node")).distinct()), "seen")
+        seen = step(queries.select("q", F.col("start").alias("node"), none, F.lit(False).alias("visited")))
     else:
         # neighbours may have changed since a node was visited
-        seen = Saved(before.df.withColumn("visited", F.lit(False)), "seen")
+        seen = step(before.df.select("q", "node", "sim", F.lit(False).alias("visited")))
         before.drop()
-    while True:
-        r = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "node"))
-        front = seen.df.withColumn("r", r).where((F.col("r") <= beam) & ~F.col("visited")).select("q", "node")
-        now = Saved(front, "front")
-        if now.df.isEmpty():
-            now.drop()
-            edges.drop()
-            return seen
-        reached = now.df.join(graph, "node").select("q", F.col("b").alias("node")).distinct()
-        fresh = seen_of(reached.join(seen.df.select("q", "node"), ["q", "node"], "left_anti"))
-        both = seen.df.union(now.df.select("q", "node", F.lit(None).cast("float").alias("sim"), F.lit(True).alias("visited")))
-        marked = both.groupBy("q", "node").agg(F.max("sim").alias("sim"), F.max("visited").alias("visited"))
-        new = Saved(marked.union(fresh), "seen")
+    while not seen.df.where("front").isEmpty():
+        reached = seen.df.where("front").join(graph, F.col("node") == F.col("a")).select("q", "b").mapInArrow(_reached, "q long, node long")
+        new = step(seen.df.select("q", "node", "sim", (F.col("visited") | F.col("front")).alias("visited")).union(reached.select("q", "node", none, F.lit(False).alias("visited"))))
         seen.drop()
-        now.drop()
         seen = new
         free(index.table.spark)
+    return seen
 
 
 def _brute(sent, k: int):
