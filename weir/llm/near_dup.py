@@ -11,8 +11,8 @@ probability of 1e-7.
 A bucket's members are first compared with its smallest member; once the links so found have been
 contracted to components, only members of different components in one bucket are still compared.  In
 small buckets these are all such pairs.  Large buckets hold classes that are much alike, yet not enough;
-those that have members in common make up a crowd, which is compared block against block: no pair is
-emitted, only links are.  So no candidate link between two components is left out, and a group of n near
+those that have members in common make up a crowd, whose shingle sets are compared block against block: no pair is
+emitted, only links are, and blocks are bounded in members and bytes.  So no candidate link between two components is left out, and a group of n near
 copies costs n comparisons.  Each link is confirmed on the two full shingle sets.
 
 Defined results: an empty or null text has no shingles and is linked with nothing; rows with equal ids
@@ -37,7 +37,8 @@ WORDS = 5
 CHUNKS, WIDTH = 12, 4
 SMALL_BUCKET = 40
 HOT_BUCKET = 1_000
-BLOCK, TILE = 256, 64
+#: Members and bytes of a block of a crowd, but for chance and a single larger member, and members compared at once.
+BLOCK, BLOCK_BYTES, TILE = 256, 16_000_000, 64
 BROADCAST_IDS = 1_000_000
 _RNG = np.random.default_rng(7)
 _MULTIPLY = _RNG.integers(0, 1 << 63, CHUNKS * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -102,6 +103,15 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(bucket_keys(signed).ravel()), pa.array(ids)], names=["key", "id"])
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (id, text) the shingle sets, as bytes."""
+    for batch in batches:
+        ids = batch.column(0)
+        for lo in range(0, batch.num_rows, 256):
+            sets = [s.tobytes() for s in shingle_sets(batch.column(1).slice(lo, 256))]
+            yield pa.RecordBatch.from_arrays([ids.slice(lo, 256), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.binary())], names=["id", "size", "shingles"])
+
+
 def _between(threshold: float):
     """Of one pair of blocks of a crowd, the links between different components; the two blocks' sets meet as 0/1 matrices."""
     share = round(threshold * 10_000)
@@ -109,8 +119,7 @@ def _between(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         ids, comps, block = (table.column(c).to_numpy() for c in ("id", "comp", "block"))
-        texts = table.column("text")
-        sets = [s for chunk in texts.chunks for s in shingle_sets(chunk)]
+        sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
         first, second = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         rows, columns = np.flatnonzero(block == first), np.flatnonzero(block == second)
         out: list[tuple[int, int]] = []
@@ -143,12 +152,15 @@ def _crowds(large: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     hub = large.groupBy("key").agg(F.min("id").alias("b"))
     together = components(large.join(hub, "key").select(F.col("id").alias("a"), "b"))
     member = large.select("id", "comp").distinct().join(together.df.select("id", F.col("comp").alias("crowd")), "id")
+    # each text is cut into shingles once, however many blocks it meets
+    sets = Saved(texts.join(member.select("id").distinct(), "id", "left_semi").mapInArrow(_packed, "id long, size long, shingles binary"), "crowd-sets").df
     # blocks by hash: no task sees a whole crowd
-    sizes = member.groupBy("crowd").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    member = member.join(sets.groupBy("id").agg(F.sum("size").alias("size")), "id")
+    sizes = member.groupBy("crowd").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
     placed = member.join(sizes, "crowd").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = sent.select("crowd", "id", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return pairs.join(texts, "id").select("crowd", "i", "j", "id", "comp", "block", "text").groupBy("crowd", "i", "j").applyInArrow(_between(threshold), "a long, b long")
+    return pairs.join(sets.select("id", "shingles"), "id").select("crowd", "i", "j", "id", "comp", "block", "shingles").groupBy("crowd", "i", "j").applyInArrow(_between(threshold), "a long, b long")
 
 
 def _linked(threshold: float):
