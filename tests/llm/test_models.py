@@ -70,7 +70,7 @@ def test_class_model(spark, core_share):
     rows = docs.select("doc_id", "text").union(spark.createDataFrame(EXTRA, "doc_id long, text string")).withColumn("n_tokens", brown_lm.F.lit("x")).withColumn("word", brown_lm.F.lit(1))
     out = brown_lm.held_out(brown_lm.F.col("doc_id"))
     model = brown_lm.train(rows, out, classes=8, core_share=core_share)
-    got = brown_lm.score(rows, model, out).collect()
+    got = brown_lm.score(model).collect()
     texts = [(r.doc_id, brown_lm.tokens(r.text)) for r in rows.collect()]
     is_out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     counts = Counter(w for i, ws in texts if not is_out(i) for w in ws)
@@ -115,9 +115,9 @@ def test_words_of_one_hash_are_kept_apart():
 def test_class_model_without_texts(spark):
     rows = spark.createDataFrame(EXTRA, "doc_id long, text string")
     every = brown_lm.F.lit(True)
-    got = brown_lm.score(rows, brown_lm.train(rows, every, classes=4), every).collect()
+    got = brown_lm.score(brown_lm.train(rows, every, classes=4)).collect()
     assert [(r.n_known, r.train_tokens, r.base_score) for r in got] == [(0, 0, 0.0)] * len(EXTRA) and sorted(r.n_tokens for r in got) == [1, 1, 2, 3, 3, 4, 60_002]
-    assert brown_lm.score(rows.limit(0), brown_lm.train(rows.limit(0)), every).count() == 0
+    assert brown_lm.score(brown_lm.train(rows.limit(0))).count() == 0
 
 
 def test_exchange_of_the_rest_takes_the_best_move(spark):

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from weir.llm.tables import Saved, free
+from weir.llm.tables import Saved, fixed, free
 from weir.llm.text_hash import LOWER, slices, words_of
 
 LEAST = 2
@@ -493,10 +493,11 @@ class Model:
     least: int
     rounds: list  # of the exchange outside the core
     places: Saved | None = None  # the words outside the core, gathered
+    keyed: DataFrame | None = None  # the texts with the keys under which they were gathered
 
     def sent(self) -> Model:
         """What tasks need of it."""
-        return replace(self, places=None)
+        return replace(self, places=None, keyed=None)
 
     @property
     def rest(self) -> DataFrame:
@@ -598,8 +599,10 @@ def _core_classes(spark, training: DataFrame, vocab: Vocabulary, classes: int, m
 
 
 def _keyed(docs: DataFrame, is_held_out: Column, id_col: str, text_col: str) -> DataFrame:
-    """Rows (key, id, held_out, text): the key is that of the row's place in its partition, so it is one text's own whatever the ids."""
-    return docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), is_held_out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    """Rows (key, id, held_out, text): the key is that of the row's place in its partition, so it is one text's own whatever the ids.
+
+    Texts are read more than once, so what isn't a plain scan is copied first."""
+    return fixed(docs, "texts").select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), is_held_out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
 
 
 def train(docs: DataFrame, is_held_out: Column | None = None, classes: int = CLASSES, rounds: int = MOST_ROUNDS, least: int = LEAST, core_share: float = CORE_SHARE, settled: float = SETTLED, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -638,7 +641,7 @@ def train(docs: DataFrame, is_held_out: Column | None = None, classes: int = CLA
     each = (1 - unseen) / np.maximum(vocab.shape_once, 1)
     with np.errstate(divide="ignore"):
         log_word = np.log10(vocab.counts / tokens_of[now[: len(vocab)]]) if vocab.total else np.zeros(1)
-        return Model(vocab, now, table, np.log10(following), log_word, np.log10(np.maximum(tokens_of, 1)), np.log10(each), np.log10(unseen), classes, least, played, places)
+        return Model(vocab, now, table, np.log10(following), log_word, np.log10(np.maximum(tokens_of, 1)), np.log10(each), np.log10(unseen), classes, least, played, places, keyed)
 
 
 SUMS = "key long, id {}, held_out boolean, n_tokens long, n_known long, base double, score double"
@@ -689,13 +692,12 @@ def _rest_scores(sent, kind: pa.DataType):
     return run
 
 
-def score(docs: DataFrame, model: Model, is_held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
+def score(model: Model, id_col: str = "doc_id") -> DataFrame:
+    """One row per row of the model's texts, held out and trained on: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
-    docs are those that the model was made with, held out and trained on, read the same way: its words outside the core are scored where they are gathered."""
-    spark = docs.sparkSession
-    kind = dict(docs.dtypes)[id_col]
-    keyed = _keyed(docs, is_held_out, id_col, text_col)
+    Words outside the core are scored where they are gathered."""
+    keyed = model.keyed
+    spark, kind = keyed.sparkSession, dict(keyed.dtypes)["id"]
     arrow = to_arrow_schema(keyed.select("id").schema).field(0).type
     sent = spark.sparkContext.broadcast(model.sent())
     own = keyed.mapInArrow(_core_scores(sent, arrow), SUMS.format(kind))
@@ -709,4 +711,4 @@ def op2_brown_lm(spark, sf_dir: str) -> DataFrame:
     """All texts of documents, scored by a model of those that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = held_out(F.col("doc_id"))
-    return score(docs, train(docs, out), out)
+    return score(train(docs, out))
