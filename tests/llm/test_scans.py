@@ -6,7 +6,7 @@ import re
 import public_tokenizers
 import pytest
 
-from weir.llm import language_id, licenses, secrets, token_counts
+from weir.llm import decontaminate, language_id, licenses, secrets, token_counts
 
 # Families that the others say little of: bare access keys, of which two in three are found, and three that only their own findings tell.
 LEAST_RIGHT = {"AKIA": 0.6, "block": 0.0, "placeholder": 0.0, "named": 0.15}
@@ -121,9 +121,11 @@ def test_licenses_equal_brute_force(spark):
     assert got == want and len(want) > 700
 
 
-def test_licenses_without_the_first_look(spark, monkeypatch):
-    monkeypatch.setattr(licenses, "MOST_WORDS", 0)
+@pytest.mark.parametrize(("name", "value"), [("MOST_WORDS", 0), ("LOOKED_AT", 0), ("BROADCAST_BYTES", -1)])
+def test_licenses_beyond_each_bound(spark, monkeypatch, name, value):
+    monkeypatch.setattr(licenses, name, value)
     test_licenses(spark)
+    test_licenses_equal_brute_force(spark)
 
 
 @pytest.mark.parametrize("piece", [200_000, 20])
@@ -161,6 +163,18 @@ def test_languages(spark):
     assert language_id.fit(docs.limit(0)) == {}
 
 
+def test_languages_scored_in_groups(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    counts = language_id.fit(docs)
+    assert len(counts) >= 4
+    scored = lambda: {r.doc_id: r.p for r in docs.select("doc_id", language_id.predict(docs, counts).alias("p")).collect()}
+    whole = scored()
+    monkeypatch.setattr(language_id, "MOST_LANGS", 1)
+    apart = scored()
+    assert {i: p.lang_pred for i, p in apart.items()} == {i: p.lang_pred for i, p in whole.items()}
+    assert all(abs(apart[i].score - p.score) < 1e-9 for i, p in whole.items())
+
+
 def test_code_lengths_are_exact():
     import math
 
@@ -198,3 +212,17 @@ def test_code_lengths_are_exact():
     texts = ["the den cat", "zzz é über  q", "a" * 100 + " the", "", "x", "the the mat über"]
     want = [[bits(train(de), t), bits(train(en), t)] for t in texts]
     assert abs(model.bits(texts) - language_id.np.array(want)).max() < 1e-9
+
+
+def test_decontamination_shares_and_clashing_columns(spark):
+    """A share is met exactly, and columns may have any names."""
+    item = " ".join(f"b{k}" for k in range(13))
+    rows = [(k, f"{item} " + "x " * k, "a", "b", "c", "d") for k in (73, 74, 420, 421)] + [(5, None, "a", "b", "c", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id string, __KEY string, __spans string, __parts string")
+    bench = spark.createDataFrame([("i", item)], "item_id string, text string")
+    left = lambda share: sorted(r.doc_id for r in decontaminate.remove_contaminated(docs, bench, share).collect())
+    assert left(0.15) == [5, 74, 420, 421] and left(0.03) == [5, 421]
+    cut = decontaminate.remove_spans(docs, bench)
+    assert cut.columns == docs.columns
+    assert {r.doc_id: (r.text or "").split() for r in cut.collect()} == {i: ["x"] * i if i != 5 else [] for i in (73, 74, 420, 421, 5)}
+    assert decontaminate.remove_spans(docs.limit(0), bench).count() == 0 and decontaminate.remove_contaminated(docs.limit(0), bench).count() == 0

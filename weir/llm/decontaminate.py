@@ -15,6 +15,8 @@ of the lists; an empty benchmark leaves every document clean; other columns are
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,31 +106,45 @@ def judged(docs: DataFrame, benchmark: DataFrame, share: float = 0.05, window: i
     """One row per row of docs: its id, n_words, n_hit, items, spans and contaminated (n_hit > 0 and n_hit >= share * n_words)."""
     out = hits(docs, benchmark, window, id_col, text_col)
     rows = out.select("*", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"))
-    per = round(1 / share)
-    return rows.select(F.col("id").alias(id_col), "text_key", "n_words", "n_hit", "items", "spans", ((F.col("n_hit") > 0) & (per * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    # the share as a fraction, so that no rounding decides
+    part = Fraction(str(share))
+    return rows.select(F.col("id").alias(id_col), "text_key", "n_words", "n_hit", "items", "spans", ((F.col("n_hit") > 0) & (part.denominator * F.col("n_hit") >= part.numerator * F.col("n_words"))).alias("contaminated"))
+
+
+def _fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names that docs has no column of."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.05, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the contaminated documents, all columns as they were."""
-    bad = judged(docs, benchmark, share, window, id_col, text_col).where("contaminated").select(F.col(id_col).alias("__id"), F.col("text_key").alias("__key")).distinct()
+    of_id, of_key = _fresh(docs, "__id", "__key")
+    bad = judged(docs, benchmark, share, window, id_col, text_col).where("contaminated").select(F.col(id_col).alias(of_id), F.col("text_key").alias(of_key)).distinct()
     key = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("\0")), 256)
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__id"]) & (key == bad["__key"]), "left_anti")
+    return docs.join(bad, docs[id_col].eqNullSafe(bad[of_id]) & (key == bad[of_key]), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the hit words of each text cut out, from the first to the last character of each span; all other text and columns as they were."""
-    found = hits(docs, benchmark, window, id_col, text_col).where("n_hit > 0").select(F.col("id").alias("__id"), F.col("text_key").alias("__key"), F.col("spans").alias("__spans"))
+    of_id, of_key, spans, parts = _fresh(docs, "__id", "__key", "__spans", "__parts")
+    found = hits(docs, benchmark, window, id_col, text_col).where("n_hit > 0").select(F.col("id").alias(of_id), F.col("text_key").alias(of_key), F.col("spans").alias(spans))
     key = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("\0")), 256)
-    joined = docs.join(found, docs[id_col].eqNullSafe(found["__id"]) & (key == found["__key"]), "left")
+    joined = docs.join(found, docs[id_col].eqNullSafe(found[of_id]) & (key == found[of_key]), "left")
     # the text as alternating breaks and words: word k is element 2k+1 of the cut text
     kept = F.concat(F.array(F.lit("")), F.split(F.col(text_col), r"(?<=[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?=[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])|(?<=[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?=[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])"))
     is_word = lambda x: ~x.rlike(r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]") & (x != "")
-    with_parts = joined.withColumn("__parts", F.when(F.col("__spans").isNotNull(), kept))
-    first = F.when(is_word(F.element_at("__parts", 2)), 0).otherwise(1)
+    with_parts = joined.withColumn(parts, F.when(F.col(spans).isNotNull(), kept))
+    first = F.when(is_word(F.element_at(parts, 2)), 0).otherwise(1)
     word_no = lambda i: F.floor((i - 1 - first) / 2)
-    inside = lambda i, word: F.exists("__spans", lambda s: (s["s"] <= word_no(i)) & (word_no(i) + F.when(word, 0).otherwise(1) < s["e"]) & (word_no(i) >= 0))
-    left = F.filter(F.transform("__parts", lambda x, i: F.when(inside(i, is_word(x)), None).otherwise(x)), lambda x: x.isNotNull())
-    text = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(F.array_join(left, ""))
+    inside = lambda i, word: F.exists(spans, lambda s: (s["s"] <= word_no(i)) & (word_no(i) + F.when(word, 0).otherwise(1) < s["e"]) & (word_no(i) >= 0))
+    left = F.filter(F.transform(parts, lambda x, i: F.when(inside(i, is_word(x)), None).otherwise(x)), lambda x: x.isNotNull())
+    text = F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(F.array_join(left, ""))
     return with_parts.withColumn(text_col, text).select(*[F.col(c) for c in docs.columns])
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 ORDER = 4
 DOCS_PER_LANG = 1500
-#: Most languages, and so the most broadcast: the trees of one are a few megabytes.
+#: Most languages scored at once, and so the most that is broadcast together: the trees of one are a few megabytes.
 MOST_LANGS = 200
 LETTER = regex.compile(r"\p{L}")
 SHORT = 48
@@ -201,9 +201,8 @@ class Model:
 def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Context counts of each language, from about docs_per_lang of its rows with text."""
     rows = docs.select(F.xxhash64(F.col(id_col).cast("string"), F.lit(10)).alias("h"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS + 1).collect()}
-    if len(sizes) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages")
+    # a row a language, of which the model has a tree each
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return {}
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, docs_per_lang / n)))])
@@ -230,26 +229,31 @@ def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, id_col: str = "doc_
     return {r["lang"]: (np.frombuffer(r["k"], np.uint64), np.frombuffer(r["n"], np.int64)) for r in got if len(r["k"])}
 
 
-def predictor(spark, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
-    """A function from a text column to struct<lang_pred: string, score: double>."""
-    sent = spark.sparkContext.broadcast(Forest(counts) if counts else None)
+def _group_scores(spark, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
+    """A function from a text column to struct<lang, bits, total>: the language of the shortest code, its length, and the sum of all codes' likelihoods as multiples of its own; nulls for a text without letters."""
+    sent = spark.sparkContext.broadcast(Forest(counts))
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = Model(sent.value) if sent.value else None
+    @F.pandas_udf("lang string, bits double, total double")
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = Model(sent.value)
         for texts in batches:
             values = [None if t is None else t for t in texts]
             letters = np.array([t is not None and LETTER.search(t) is not None for t in values], bool)
-            if model is None:
-                yield pd.DataFrame({"lang_pred": ["und"] * len(values), "score": np.zeros(len(values))})
-                continue
             bits = model.bits([t if ok else None for t, ok in zip(values, letters, strict=True)])
-            best = bits.argmin(axis=1)
             gap = np.minimum((bits - bits.min(axis=1, keepdims=True)) * np.log(2), 700)
-            score = 1 / np.exp(-gap).sum(axis=1)
-            yield pd.DataFrame({"lang_pred": np.where(letters, np.array(model.langs, object)[best], "und"), "score": np.where(letters, score, 0.0)})
+            total = np.exp(-gap).sum(axis=1)
+            yield pd.DataFrame({"lang": np.where(letters, np.array(model.langs, object)[bits.argmin(axis=1)], None), "bits": np.where(letters, bits.min(axis=1), np.nan), "total": np.where(letters, total, np.nan)})
+
+    return scores
+
 
-    return predict
+def predicted(found: list[Column]) -> Column:
+    """struct<lang_pred, score> of what groups of languages have scored: the language of the shortest code of all, of equal ones the first group's, and its likelihood's share."""
+    best = F.least(*[c["bits"] for c in found]) if len(found) > 1 else found[0]["bits"]
+    of_all = sum((c["total"] * F.exp(-F.least((c["bits"] - best) * float(np.log(2)), F.lit(700.0))) for c in found), F.lit(0.0))
+    lang = F.coalesce(*[F.when(c["bits"] == best, c["lang"]) for c in found])
+    none = found[0]["lang"].isNull()
+    return F.struct(F.when(none, "und").otherwise(lang).alias("lang_pred"), F.when(none, 0.0).otherwise(1 / of_all).alias("score"))
 
 
 def held_out(id_: Column) -> Column:
@@ -258,8 +262,14 @@ def held_out(id_: Column) -> Column:
 
 
 def predict(docs: DataFrame, counts: dict[str, tuple[np.ndarray, np.ndarray]], text_col: str = "text") -> Column:
-    """Column struct<lang_pred, score> over docs."""
-    return predictor(docs.sparkSession, counts)(F.col(text_col).cast("string"))
+    """Column struct<lang_pred, score> over docs.  Languages are scored ``MOST_LANGS`` at a time, however many there are."""
+    langs = sorted(counts)
+    if not langs:
+        return F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    groups = [langs[k : k + MOST_LANGS] for k in range(0, len(langs), MOST_LANGS)]
+    found = [_group_scores(docs.sparkSession, {lang: counts[lang] for lang in group})(F.col(text_col).cast("string")) for group in groups]
+    # each group's scores are made once, and then looked at several times
+    return F.transform(F.array(F.array(*found)), lambda own: predicted([own[k] for k in range(len(found))]))[0]
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,8 @@ Most of a text is passed over first, without loss: a text that holds none of a c
 (the longest ones) lacks more than a fifth of its shingles, and a window without a shingle of a template has no
 band in common with it.
 
-The templates are a parameter; they are broadcast after they have been counted, ``MOST_TEMPLATES`` at most.
+The templates are a parameter.  They are a table: only the number of their words and, of a small table, its words are looked at beforehand.
+What is made of them is broadcast if its bytes, which are summed first, are few, and else joined by a shuffle.
 
 Defined results: null and empty texts and texts of fewer than three words match nothing, as do templates of
 fewer than three words; repeated rows are reported each; null ids are reported; with no templates there are
@@ -30,14 +31,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weir.llm.decontaminate import words
-from weir.llm.tables import Saved
+from weir.llm.tables import BROADCAST_BYTES, Saved, small
 
 SHINGLE = 3
 CONTAINMENT = 0.8
 MISS = 1e-6
-MOST_TEMPLATES = 200_000
-#: Chosen words up to which texts are passed over by them; with more, every text is probed.
-MOST_WORDS = 2_000
+#: Words of all templates up to which some are chosen, and chosen ones up to which texts are passed over by them; beyond, every text is probed.
+LOOKED_AT, MOST_WORDS = 20_000, 2_000
 
 # Notices as their licenses word them.
 TEMPLATES = {
@@ -143,40 +143,41 @@ def scan(docs: DataFrame, notices: DataFrame, id_col: str = "doc_id", text_col:
     """Rows (id_col, license_id, containment) of the notices that documents hold."""
     spark = docs.sparkSession
     own = notices.select(F.col("license_id").cast("string").alias("license_id"), words(F.col("text")).alias("w")).select("license_id", "w", F.array_distinct(_shingles(F.col("w"))).alias("t")).where(F.size("t") > 0)
-    known = own.limit(MOST_TEMPLATES + 1).collect()
-    if len(known) > MOST_TEMPLATES:
-        raise ValueError("too many templates to broadcast")
+    own = Saved(own, "templates").df
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    if not known:
+    # a row for each number of words that a template has
+    lengths = own.groupBy(F.size("w").alias("n_words")).agg(F.min(F.size("t")).alias("least"), F.count(F.lit(1)).alias("n")).collect()
+    if not lengths:
         return docs.select(F.col("id").alias(id_col), F.lit("").alias("license_id"), F.lit(0.0).alias("containment")).limit(0)
+    run_of = {r["n_words"]: size_class(r["n_words"] - SHINGLE + 1) for r in lengths}
     by_run: dict[int, int] = {}
-    run_of = {}
-    for r in known:
-        run = run_of[len(r["w"])] = size_class(len(r["w"]) - SHINGLE + 1)
-        by_run[run] = min(by_run.get(run, len(r["t"])), len(r["t"]))
+    for r in lengths:
+        run = run_of[r["n_words"]]
+        by_run[run] = min(by_run.get(run, r["least"]), r["least"])
     settings = spark.createDataFrame([(run, *bands_of(run, n, containment)) for run, n in sorted(by_run.items())], "run int, step int, length int, bands int")
     runs = spark.createDataFrame(sorted(run_of.items()), "n_words int, run int")
     classed = own.join(F.broadcast(runs), F.size("w") == F.col("n_words")).join(F.broadcast(settings), "run").select("license_id", "t", "run", "step", "length", "bands")
 
-    chosen = _chosen_words(known, containment)
+    looked_at = sum(r["n_words"] * r["n"] for r in lengths) <= LOOKED_AT
+    chosen = _chosen_words(own.select("w", "t").collect(), containment) if looked_at else set()
     cut = docs.select("id", words(F.col("text")).alias("w"))
-    if len(chosen) <= MOST_WORDS:
+    if chosen and len(chosen) <= MOST_WORDS:
         cut = cut.where(F.arrays_overlap("w", F.array(*[F.lit(x) for x in sorted(chosen)])))
     # each text is split once; a row's place in its partition names it
     rows = Saved(cut.select(F.monotonically_increasing_id().alias("key"), "id", _shingles(F.col("w")).alias("s")).where(F.size("s") > 0), "shingles").df
 
     probe = classed.select(F.explode("t").alias("x"), "run", "step", "length").distinct()
-    hits = rows.select("key", F.posexplode("s").alias("at", "x")).join(F.broadcast(probe), "x")
+    hits = rows.select("key", F.posexplode("s").alias("at", "x")).join(small(probe, BROADCAST_BYTES), "x")
     # the windows over a shingle that a template has
     first = F.greatest(F.lit(0), F.ceil((F.col("at") - F.col("length") + 1) / F.col("step"))).cast("int")
     windows = hits.select("key", "run", F.explode(F.sequence(first, F.floor(F.col("at") / F.col("step")).cast("int"))).alias("window")).distinct()
     held = windows.join(F.broadcast(settings), "run").join(rows.select("key", "s"), "key").select("key", "run", "bands", F.slice("s", F.col("window") * F.col("step") + 1, F.col("length")).alias("x"))
     banded = held.select("key", "run", F.posexplode(_values(F.col("x"), F.col("bands"))).alias("band", "value"))
     theirs = classed.select("license_id", "run", F.posexplode(_values(F.col("t"), F.col("bands"))).alias("band", "value"))
-    found = banded.join(F.broadcast(theirs), ["run", "band", "value"]).select("key", "license_id").distinct()
+    found = banded.join(small(theirs, BROADCAST_BYTES), ["run", "band", "value"]).select("key", "license_id").distinct()
 
     share = F.size(F.array_intersect("t", "s")) / F.size("t")
-    verified = found.join(rows, "key").join(F.broadcast(own.select("license_id", "t")), "license_id").select(F.col("id").alias(id_col), "license_id", share.alias("containment"))
+    verified = found.join(rows, "key").join(small(own.select("license_id", "t"), BROADCAST_BYTES), "license_id").select(F.col("id").alias(id_col), "license_id", share.alias("containment"))
     return verified.where(F.col("containment") >= containment)
 
 
