@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weir.llm import decontaminate, language_id, near_dup, secrets, sentencepiece_bpe
-from weir.llm.tables import Saved
+from weir.llm.tables import Saved, fixed
 
 ORACLE_SQL = None
 
@@ -35,7 +35,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     A row without an id is a document of its own, which comes after those with ids; of rows with one id, which are one document,
     the row of the smallest text stays.  Null and empty texts are like nothing.  An empty table stays empty."""
     last = F.lit((1 << 63) - 1) - F.monotonically_increasing_id()
-    keyed = docs.withColumn(ROW, F.coalesce(F.col("doc_id").cast("long"), last))
+    # rows without an id are named by their places, which have to be the same in both uses
+    keyed = fixed(docs, "docs").withColumn(ROW, F.coalesce(F.col("doc_id").cast("long"), last))
     gone = near_dup.near_duplicates(keyed, id_col=ROW).where("not kept").select(ROW).distinct()
     kept = keyed.join(gone, ROW, "left_anti")
     again = Saved(keyed.groupBy(ROW).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(ROW), "repeated").df
