@@ -63,3 +63,18 @@ def test_nulls_empty_and_repeated_rows(spark):
     want = [(1, 0, 1, True), (2, 0, 2, True), (3, 1, 3, True), (4, 1, 3, False), (5, 26, 5, True), (5, 26, 5, True), (6, 1, 5, False), (6, 26, 5, False), (7, 1, 5, False), (None, 26, None, True)]
     assert got == sorted(want, key=str)
     assert near_dup.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_crowds_in_blocks_of_few_bytes(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK_BYTES", 2_000)
+    test_templates_that_share_buckets_but_are_not_similar(spark, monkeypatch)
+
+
+def test_only_plain_scans_are_read_where_they_lie(spark, tmp_path):
+    from weir.llm.tables import fixed
+
+    spark.range(20).write.parquet(str(tmp_path / "t"))
+    plain = spark.read.parquet(str(tmp_path / "t")).where("id > 3").selectExpr("id", "id % 7 AS k")
+    assert fixed(plain, "t") is plain
+    dealt = fixed(plain.repartition(3, near_dup.F.rand()), "t").withColumn("n", near_dup.F.monotonically_increasing_id())
+    assert {(r.id, r.n) for r in dealt.collect()} == {(r.id, r.n) for r in dealt.collect()} and "Exchange" not in dealt._jdf.queryExecution().toString()

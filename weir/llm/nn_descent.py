@@ -251,18 +251,12 @@ def _cosine(a: Column, b: Column) -> Column:
 
 
 def _half_cosine(a: Column, b: Column) -> Column:
-    """Products of pairs of vectors; null where one is null."""
-
     @F.pandas_udf("float")
     def sims(x: pd.Series, y: pd.Series) -> pd.Series:
-        some = np.flatnonzero(x.notna() & y.notna())
-        out = np.full(len(x), np.nan, np.float32)
-        if len(some):
-            u, v = (np.frombuffer(b"".join(s.iloc[some]), np.float16).reshape(len(some), -1).astype(np.float32) for s in (x, y))
-            out[some] = (u * v).sum(axis=1)
-        return pd.Series(out)
+        u, v = (np.frombuffer(b"".join(s), np.float16).reshape(len(s), -1).astype(np.float32) for s in (x, y))
+        return pd.Series((u * v).sum(axis=1))
 
-    return F.nanvl(sims(a, b), F.lit(None).cast("float"))
+    return sims(a, b)
 
 
 def _reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,9 +280,8 @@ def search(index: Index, queries: DataFrame, beam: int = BEAM, before: Saved | N
     def step(rows: DataFrame) -> Saved:
         """Rows (q, node, sim, visited) of which some have no sim yet."""
         met = rows.repartition("q").groupBy("q", "node").agg(F.max("sim").alias("sim"), F.max("visited").alias("visited"))
-        new = F.col("sim").isNull()
-        told = met.join(vectors, (F.col("node") == F.col("of")) & new, "left").join(q, (F.col("q") == F.col("by")) & new, "left")
-        told = told.select("q", "node", F.coalesce("sim", _half_cosine(F.col("half"), F.col("qhalf"))).alias("sim"), "visited")
+        new = met.where("sim IS NULL").join(vectors, F.col("node") == F.col("of")).join(q, F.col("q") == F.col("by"))
+        told = met.where("sim IS NOT NULL").union(new.select("q", "node", _half_cosine(F.col("half"), F.col("qhalf")).alias("sim"), "visited"))
         r = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "node"))
         return Saved(_together(told.withColumn("r", r).select("q", "node", "sim", "visited", ((F.col("r") <= beam) & ~F.col("visited")).alias("front"))), "seen")
 
