@@ -147,3 +147,13 @@ def test_formats(spark):
     assert [age(ms) for ms in (None, -3, 1500, 120_000)] == ["lock time n/a", "locked 1s ago", "locked 2s ago", "locked 2m ago"]
     short = lambda level: got(formats.short_severity(F.lit(level)))
     assert [short(x) for x in ("Warning", "information", "DEBUG", "Error", "ok")] == ["WRN", "INF", "DBG", "ERR", "OK"]
+
+
+def test_names_and_types_of_files(spark):
+    name = lambda header: value(spark, U.disposition_name(F.lit(header)))
+    assert [name(h) for h in ("attachment; filename*=UTF-8''a%20b+c.pdf", 'inline; filename="x y.doc"; size=3', "attachment", "filename='q.ppt'")] == ["a b+c.pdf", "x y.doc", "", "q.ppt"]
+    kind = lambda code, data: value(spark, U.stored_content_type(F.lit(code).cast("string"), F.lit(data)))
+    assert kind(" pptx", b"") == "application/vnd.openxmlformats-officedocument.presentationml.presentation"
+    assert [kind(None, x) for x in (b"GIF87a", b"GIF88a", b"%PDF-1", b"%PDF", b"RIFF1234WEBPx", b"")] == ["image/gif", "application/octet-stream", "application/pdf", "application/octet-stream", "image/webp", "application/octet-stream"]
+    assert [value(spark, U.file_extension(F.lit(m))) for m in ("Image/JPEG", "application/msword", "text/html")] == [".jpg", ".doc", ".bin"]
+    assert [value(spark, U.image_content_type(F.lit(u))) for u in ("https://a/b.TIFF?c=d.png", "https://a/b.pdf", "https://a/.svg#x")] == ["image/tiff", None, "image/svg+xml"]

@@ -17,6 +17,8 @@ DOCUMENT_ORDER = ["PDF", "DOC", "DOCX", "PPT", "PPTX"]
 IMAGE_TYPES = {"jpeg": "JPG", "jpg": "JPG", "png": "PNG", "webp": "WEBP", "gif": "GIF", "svg": "SVG", "bmp": "BMP", "tiff": "TIFF", "tif": "TIFF", "ico": "ICO", "avif": "AVIF"}
 IMAGE_ORDER = ["JPG", "PNG", "WEBP", "GIF", "SVG", "BMP", "TIFF", "ICO", "AVIF", "OTHER"]
 MIME_OF_TYPE = {"PDF": "application/pdf", "DOC": "application/msword", "DOCX": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "PPT": "application/vnd.ms-powerpoint", "PPTX": "application/vnd.openxmlformats-officedocument.presentationml.presentation"}
+EXTENSION_OF_MIME = {"image/png": ".png", "image/jpeg": ".jpg", "image/gif": ".gif", "image/webp": ".webp", **{mime: f".{kind.lower()}" for kind, mime in MIME_OF_TYPE.items()}}
+IMAGE_MIMES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp", "webp": "image/webp", "svg": "image/svg+xml", "ico": "image/x-icon", "tif": "image/tiff", "tiff": "image/tiff", "avif": "image/avif"}
 DOCUMENT_HINTS = "pdf|doc|docx|ppt|pptx|download|attachment|file|document"
 
 
@@ -150,8 +152,10 @@ def content_type(header: Column) -> Column:
 
 
 def disposition_name(header: Column) -> Column:
-    """File name of a Content-Disposition header, or an empty string."""
-    return F.regexp_extract(header, r"(?i)filename\*?=(?:UTF-8'')?\"?([^\";]+)\"?", 1)
+    """File name of a Content-Disposition header, with its escapes resolved, or an empty string."""
+    raw = F.trim(F.regexp_extract(header, r"(?i)filename\*?=(?:UTF-8'')?\"?([^\";]+)\"?", 1))
+    plain = F.regexp_replace(raw, r"^[\"']+|[\"']+$", "")
+    return F.coalesce(F.try_url_decode(F.replace(plain, F.lit("+"), F.lit("%2B"))), plain)
 
 
 def document_type_of_response(url: Column, header: Column, disposition: Column) -> Column:
@@ -172,7 +176,26 @@ def is_html(url: Column, header: Column, body: Column) -> Column:
 def sniffed_type(data: Column, fallback: Column) -> Column:
     """Media type by the first bytes of binary data."""
     h = F.hex(F.substring(data, 1, 12))
-    return F.when(h.startswith("89504E470D0A1A0A"), "image/png").when(h.startswith("FFD8FF"), "image/jpeg").when(h.startswith("47494638"), "image/gif").when(h.startswith("52494646") & (F.substring(h, 17, 8) == "57454250"), "image/webp").when(h.startswith("25504446"), "application/pdf").otherwise(fallback)
+    return F.when(h.startswith("89504E470D0A1A0A"), "image/png").when(h.startswith("FFD8FF"), "image/jpeg").when(h.startswith("474946383761") | h.startswith("474946383961"), "image/gif").when(h.startswith("52494646") & (F.substring(h, 17, 8) == "57454250"), "image/webp").when(h.startswith("255044462D"), "application/pdf").otherwise(fallback)
+
+
+def _of(values: dict[str, str], key: Column) -> Column:
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[key]
+
+
+def stored_content_type(kind: Column, data: Column) -> Column:
+    """Media type of stored data: by its type's code, else by its first bytes."""
+    return F.coalesce(_of(MIME_OF_TYPE, F.upper(F.trim(kind))), sniffed_type(data, F.lit("application/octet-stream")))
+
+
+def file_extension(media: Column) -> Column:
+    """The extension that a download of a media type gets."""
+    return F.coalesce(_of(EXTENSION_OF_MIME, F.lower(media)), F.lit(".bin"))
+
+
+def image_content_type(url: Column) -> Column:
+    """Media type of an image by the end of its URL's path, or null."""
+    return _of(IMAGE_MIMES, F.lower(F.regexp_extract(path_of(url), r"\.([A-Za-z]+)$", 1)))
 
 
 def normal_ip(host_: Column) -> Column:

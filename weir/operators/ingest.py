@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weir.functions import documents
-from weir.functions.url import host, image_record_name, image_type, without_fragment
+from weir.functions.url import host, image_content_type, image_record_name, without_fragment
 from weir.operators.numbering import checkpointed, numbered
 
 #: Rows from which on a content is common, and shares to which the rows of a common content are dealt.
@@ -150,8 +150,7 @@ def discovered_images(pages: DataFrame, links: DataFrame, images: DataFrame, fou
     promoted = F.when(F.col("__came") & (F.col("page_type_code") == "FRONTIER"), "BINARY").otherwise(F.col("page_type_code"))
     every = shown.select("id", "url", promoted.alias("page_type_code")).unionByName(new)
     edges = rows.join(every.select("url", F.col("id").alias("to_page")), "url").select(F.col("page_id").alias("from_page"), "to_page").where("from_page <> to_page")
-    kind = image_type(F.col("url"))
-    mime = F.when(kind == "JPG", "image/jpeg").when(kind == "SVG", "image/svg+xml").when(kind == "ICO", "image/x-icon").when(kind.isNotNull(), F.concat(F.lit("image/"), F.lower(kind)))
+    mime = image_content_type(F.col("url"))
     media = rows.groupBy("page_id", image_record_name(F.col("url")).alias("filename")).agg(F.min(mime).alias("content_type")).withColumn("accessed_time", now)
     fresh = media.join(images.select("page_id", "filename").distinct(), ["page_id", "filename"], "left_anti")
     return {"pages": every, "links": links.select("from_page", "to_page").union(edges).distinct(), "images": images.select("page_id", "filename", "content_type", "accessed_time").unionByName(fresh.select("page_id", "filename", "content_type", "accessed_time"))}

@@ -52,14 +52,38 @@ def media_types(spark, d):
     return rows.select(F.col("page_id").alias("id"), U.content_type(header).alias("media"), U.is_html(F.col("at"), header, F.col("html")).alias("html"), U.document_type_of_response(F.col("at"), header, offer).alias("kind"))
 
 
-@query("""WITH b AS (SELECT doc_id, CASE length(text) % 7 WHEN 0 THEN '89504E470D0A1A0A' WHEN 1 THEN 'FFD8FF' WHEN 2 THEN '474946383961' WHEN 3 THEN '52494646' || hex(left(source, 4)) || '57454250' WHEN 4 THEN '25504446' WHEN 5 THEN '52494646' ELSE '' END || hex(left(text, 12)) AS h, 'text/' || lang AS other FROM documents)
-SELECT doc_id, CASE WHEN starts_with(h, '89504E470D0A1A0A') THEN 'image/png' WHEN starts_with(h, 'FFD8FF') THEN 'image/jpeg' WHEN starts_with(h, '47494638') THEN 'image/gif' WHEN starts_with(h, '52494646') AND substring(h, 17, 8) = '57454250' THEN 'image/webp' WHEN starts_with(h, '25504446') THEN 'application/pdf' ELSE other END AS media FROM b""")
+_BYTES = "b AS (SELECT doc_id, lang, CASE length(text) % 8 WHEN 0 THEN '89504E470D0A1A0A' WHEN 1 THEN 'FFD8FF' WHEN 2 THEN '474946383961' WHEN 3 THEN '52494646' || hex(left(source, 4)) || '57454250' WHEN 4 THEN '255044462D' WHEN 5 THEN '52494646' WHEN 6 THEN '474946383861' ELSE '' END || hex(left(text, 12)) AS h FROM documents)"
+_SNIFFED = "CASE WHEN starts_with(h, '89504E470D0A1A0A') THEN 'image/png' WHEN starts_with(h, 'FFD8FF') THEN 'image/jpeg' WHEN regexp_matches(h, '^47494638(37|39)61') THEN 'image/gif' WHEN starts_with(h, '52494646') AND substring(h, 17, 8) = '57454250' THEN 'image/webp' WHEN starts_with(h, '255044462D') THEN 'application/pdf' ELSE {} END"
+
+
+def _bytes(spark, d):
+    """Documents' first bytes behind those of some format, or something like it, by the length of the text."""
+    n = F.length("text") % 8
+    first = F.when(n == 0, "89504E470D0A1A0A").when(n == 1, "FFD8FF").when(n == 2, "474946383961").when(n == 3, F.concat(F.lit("52494646"), F.hex(F.left("source", F.lit(4))), F.lit("57454250"))).when(n == 4, "255044462D").when(n == 5, "52494646").when(n == 6, "474946383861").otherwise("")
+    return base(spark, d, "documents").select("doc_id", "lang", F.unhex(F.concat(first, F.hex(F.left("text", F.lit(12))))).alias("data"))
+
+
+@query(f"WITH {_BYTES} SELECT doc_id, " + _SNIFFED.format("'text/' || lang") + " AS media FROM b")
 def sniffed_types(spark, d):
-    """Documents' first bytes behind those of some format, by the length of the text."""
-    n = F.length("text") % 7
-    first = F.when(n == 0, "89504E470D0A1A0A").when(n == 1, "FFD8FF").when(n == 2, "474946383961").when(n == 3, F.concat(F.lit("52494646"), F.hex(F.left("source", F.lit(4))), F.lit("57454250"))).when(n == 4, "25504446").when(n == 5, "52494646").otherwise("")
-    rows = base(spark, d, "documents")
-    return rows.select("doc_id", U.sniffed_type(F.unhex(F.concat(first, F.hex(F.left("text", F.lit(12))))), F.concat(F.lit("text/"), "lang")).alias("media"))
+    return _bytes(spark, d).select("doc_id", U.sniffed_type(F.col("data"), F.concat(F.lit("text/"), "lang")).alias("media"))
+
+
+@query(f"WITH {_BYTES}, m AS (SELECT doc_id, CASE lang WHEN 'de' THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' WHEN 'fr' THEN 'application/vnd.ms-powerpoint' ELSE " + _SNIFFED.format("'application/octet-stream'") + """ END AS media FROM b)
+SELECT doc_id, media, CASE media WHEN 'image/png' THEN '.png' WHEN 'image/jpeg' THEN '.jpg' WHEN 'image/gif' THEN '.gif' WHEN 'image/webp' THEN '.webp' WHEN 'application/pdf' THEN '.pdf' WHEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' THEN '.docx' WHEN 'application/vnd.ms-powerpoint' THEN '.ppt' ELSE '.bin' END AS extension FROM m""")
+def stored_types(spark, d):
+    """Media types and extensions of stored data, some of which has a type's code."""
+    code = F.when(F.col("lang") == "de", " docx").when(F.col("lang") == "fr", "PPT ").otherwise(F.col("lang"))
+    media = U.stored_content_type(code, F.col("data"))
+    return _bytes(spark, d).select("doc_id", media.alias("media"), U.file_extension(F.upper(media)).alias("extension"))
+
+
+@query("""SELECT ord, url || CASE WHEN ord % 3 = 0 THEN '.' || t ELSE '' END AS url, CASE WHEN ord % 3 = 0 THEN CASE lower(t) WHEN 'jpeg' THEN 'image/jpeg' WHEN 'svg' THEN 'image/svg+xml' WHEN 'ico' THEN 'image/x-icon' WHEN 'tif' THEN 'image/tiff' WHEN 'avif' THEN 'image/avif' END END AS media
+ FROM (SELECT ord, url, CASE depth WHEN 0 THEN 'JPEG' WHEN 1 THEN 'svg' WHEN 2 THEN 'Ico' WHEN 3 THEN 'tif' WHEN 4 THEN 'avif' ELSE 'pdf' END AS t FROM v_found)""")
+def image_media_types(spark, d):
+    """Media types of images by their URLs."""
+    ends = F.get(F.array(*[F.lit(x) for x in ("JPEG", "svg", "Ico", "tif", "avif", "pdf")]), F.col("depth"))
+    url = F.concat("url", F.when(F.col("ord") % 3 == 0, F.concat(F.lit("."), ends)).otherwise(""))
+    return view(spark, d, "v_found").select("ord", url.alias("url")).select("ord", "url", U.image_content_type(F.concat("url", F.lit("?x=.png#y"))).alias("media"))
 
 
 @query("""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages), k AS (SELECT page_id, CASE length(href) % 5 WHEN 0 THEN '#' || href WHEN 1 THEN ' MailTo:' || href WHEN 2 THEN 'https://x.org' || href || '/download' ELSE href END AS href FROM a)

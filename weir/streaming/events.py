@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weir.functions import telemetry
+from weir.operators.numbering import checkpoint_folder, dropped
 from weir.streaming import retention
 
 EVENT = T.StructType([T.StructField(n, t) for n, t in (("type", T.StringType()), ("daemonId", T.StringType()), ("workerId", T.IntegerType()), ("payload", T.StringType()), ("ts", T.TimestampType()))])
@@ -70,19 +74,30 @@ STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def run_to_end(stream: DataFrame, mode: str, name: str, seconds: int = 600, store: str | None = None) -> DataFrame:
-    """Drives a stream over all its input into a table in memory; for tests and small reports.  store: the state store it needs."""
-    conf = stream.sparkSession.conf
-    before = conf.get(STORE, None)
+    """Drives a stream over all its input; its rows, from files in the folder that driver and executors share, which go when the program ends.
+
+    Mode complete keeps the last batch, append all.  store: the state store that the stream needs."""
+    spark = stream.sparkSession
+    path = f"{checkpoint_folder(spark)}/weir-{name}-{uuid.uuid4().hex}"
+    atexit.register(dropped, spark, path)
+
+    def write(batch: DataFrame, number: int) -> None:
+        # a batch that is run again writes its own folder again
+        batch.write.mode("overwrite").parquet(f"{path}/rows/{'all' if mode == 'complete' else f'batch-{number}'}")
+
+    before = spark.conf.get(STORE, None)
     if store:
-        conf.set(STORE, store)
+        spark.conf.set(STORE, store)
     try:
-        query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(write).trigger(availableNow=True).start()
     finally:
         if store:
-            conf.set(STORE, before) if before else conf.unset(STORE)
+            spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
     try:
         if not query.awaitTermination(seconds):
             raise TimeoutError(f"{name} has not ended after {seconds} s")
     finally:
         query.stop()
-    return stream.sparkSession.table(name)
+    if not retention.folders(spark, f"{path}/rows"):
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{path}/rows")
