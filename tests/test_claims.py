@@ -1,9 +1,11 @@
 """Claims in rounds against the sequence they stand for, and the life of a lease as a stream."""
 
 import datetime as dt
+import inspect
 import random
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +110,46 @@ def test_a_lease_that_nothing_ends_expires_by_a_timer(spark, tmp_path):
 def test_state_outlives_a_batch(spark, tmp_path):
     got = told(spark, tmp_path, "batches", [("u", 1, "enqueue", 0), ("u", 1, "lease", 1), ("w", 9, "enqueue", 1)], [("u", 2, "lease", 9)], [("w", 3, "lease", 1500), ("u", 2, "lease", 1500)])
     assert [r[1:] for r in got if r[0] == "u"] == [(1, "enqueue", "queued", 0), (1, "lease", "leased", 1), (2, "lease", "refused", 9), (1, "expire", "requeued", 31), (2, "lease", "leased", 1500)]
+
+
+def test_many_requests_of_one_url_ask_for_its_state_once(spark, tmp_path, monkeypatch):
+    asked = []
+
+    class State:
+        value = None
+
+        def get(self):
+            asked.append("get")
+            return self.value
+
+        def clear(self):
+            self.value = None
+
+        def update(self, value):
+            self.value = value
+
+    class Handle:
+        timers = set()
+
+        def getValueState(self, name, schema):
+            return State()
+
+        def listTimers(self):
+            return iter(self.timers)
+
+        def registerTimer(self, t):
+            self.timers.add(t)
+
+        def deleteTimer(self, t):
+            self.timers.discard(t)
+
+    life = ls.LeaseLife(30, 600)
+    life.init(Handle())
+    rows = pd.DataFrame({"micros": range(1, 50_002), "ord": [str(k) for k in range(50_001)], "worker_id": ["1"] * 50_000 + [None], "action": ["enqueue"] + ["lease"] * 50_000})
+    told = pd.concat(life.handleInputRows(("u",), iter([rows[25_000:], rows[:25_000]]), None))
+    assert len(asked) == 3 and told["outcome"].value_counts().to_dict() == {"renewed": 49_998, "queued": 1, "leased": 1, "refused": 1}
+    assert life.lease.value == (1, 50_000 + 30_000_000) and life.queued.value is None and told["worker_id"].tolist()[-1] is None
+
+
+def test_streams_may_take_as_long_as_their_input_needs():
+    assert inspect.signature(ev.run_to_end).parameters["seconds"].default is None

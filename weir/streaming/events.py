@@ -73,10 +73,11 @@ def worker_states(updates: DataFrame) -> DataFrame:
 STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
-def run_to_end(stream: DataFrame, mode: str, name: str, seconds: int = 600, store: str | None = None) -> DataFrame:
+def run_to_end(stream: DataFrame, mode: str, name: str, seconds: int | None = None, store: str | None = None) -> DataFrame:
     """Drives a stream over all its input; its rows, from files in the folder that driver and executors share, which go when the program ends.
 
-    Mode complete keeps the last batch, append all.  store: the state store that the stream needs."""
+    Mode complete keeps the last batch, append all.  seconds: how long it may take, if not as long as its input needs.  store: the
+    state store that the stream needs."""
     spark = stream.sparkSession
     path = f"{checkpoint_folder(spark)}/weir-{name}-{uuid.uuid4().hex}"
     atexit.register(dropped, spark, path)
@@ -94,7 +95,9 @@ def run_to_end(stream: DataFrame, mode: str, name: str, seconds: int = 600, stor
         if store:
             spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
     try:
-        if not query.awaitTermination(seconds):
+        if seconds is None:
+            query.awaitTermination()
+        elif not query.awaitTermination(seconds):
             raise TimeoutError(f"{name} has not ended after {seconds} s")
     finally:
         query.stop()
