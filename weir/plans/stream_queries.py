@@ -70,7 +70,7 @@ SELECT seed_url, worker_id, assigned_at, CASE WHEN first IS NULL THEN 'pending'
 def stream_arbitration(spark, d):
     assigned = stream_of(spark, d, "sales").where("sold_at IS NOT NULL").select(F.concat(F.lit("S"), (F.col("sale_id") % 3).cast("string")).alias("seed_url"), F.col("client_id").alias("worker_id"), F.col("sold_at").cast("timestamp").alias("assigned_at"))
     claims = stream_of(spark, d, "clicks").where("ts IS NOT NULL").select(F.col("client_id").alias("worker_id"), F.concat(F.lit("s"), (F.col("click_id") % 3).cast("string")).alias("url"), F.col("ts").cast("timestamp").alias("claimed_at"))
-    out = ev.run_to_end(arbitration.arbitrated(assigned, claims, "24 hours"), "append", f"arbitration_{abs(hash(d))}")
+    out = ev.run_to_end(arbitration.arbitrated(assigned, claims, "24 hours"), "append", f"arbitration_{abs(hash(d))}", store=ls.STORE)
     return out.select("seed_url", "worker_id", F.col("assigned_at").cast("timestamp_ntz").alias("assigned_at"), "outcome")
 
 

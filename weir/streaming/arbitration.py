@@ -16,10 +16,15 @@ def arbitrated(assigned: DataFrame, claims: DataFrame, wait: str = "10 minutes",
 
     What counts is the worker's first claim in a stream of claims (worker_id, url, claimed_at) at the time of the assignment or up to
     ``wait`` after it; of claims at one time the smallest URL.  Both streams have watermarks ``late`` behind their latest rows.  Once both have
-    passed the end of an assignment's wait, its outcome is told: pending if no claim has come.  Repeated assignments are one."""
+    passed the end of an assignment's wait, its outcome is told: pending if no claim has come.  Repeated assignments are one.
+
+    Rows meet by worker and by spans of time as long as the wait, as a join by worker alone would compare each assignment with all that
+    its worker has ever claimed."""
+    length = f"unix_micros(timestamp_seconds(0) + INTERVAL {wait})"
+    span = lambda at: f"unix_micros({at}) div {length}"
     a = assigned.select("seed_url", F.col("worker_id").alias("worker"), "assigned_at").withWatermark("assigned_at", late)
-    c = claims.select("worker_id", "url", "claimed_at").withWatermark("claimed_at", late)
-    in_time = F.expr(f"worker = worker_id AND claimed_at >= assigned_at AND claimed_at <= assigned_at + INTERVAL {wait}")
-    first = a.join(c, in_time, "leftOuter").groupBy("seed_url", "worker", "assigned_at").agg(F.min(F.struct("claimed_at", "url")).alias("c"))
-    # a struct of nulls is what an assignment without a claim has
+    a = a.withColumn("waits", F.explode(F.expr(f"sequence({span('assigned_at')}, {span(f'assigned_at + INTERVAL {wait}')})")))
+    c = claims.select("worker_id", "url", "claimed_at").withWatermark("claimed_at", late).withColumn("span", F.expr(span("claimed_at")))
+    in_time = F.expr(f"worker = worker_id AND waits = span AND claimed_at >= assigned_at AND claimed_at <= assigned_at + INTERVAL {wait}")
+    first = a.join(c, in_time, "leftOuter").groupBy("seed_url", "worker", "assigned_at").agg(F.min(F.when(F.col("claimed_at").isNotNull(), F.struct("claimed_at", "url"))).alias("c"))
     return first.select("seed_url", F.col("worker").alias("worker_id"), "assigned_at", F.col("c.url").alias("claimed_url"), outcome(F.col("seed_url"), F.col("c.url")).alias("outcome"))
