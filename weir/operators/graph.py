@@ -101,29 +101,38 @@ def replay_frames(events: DataFrame, links: DataFrame) -> tuple[DataFrame, DataF
 
 
 def neighbourhood(links: DataFrame, page: int, depth: int = 2) -> DataFrame:
-    """Pages at most ``depth`` links from a page, either way, with their distance."""
-    both = links.select(F.col("from_page").alias("a"), F.col("to_page").alias("b")).union(links.select(F.col("to_page").alias("a"), F.col("from_page").alias("b"))).distinct()
-    seen = links.sparkSession.createDataFrame([(page, 0)], "page long, distance int")
+    """Pages at most ``depth`` links from a page, either way, with their distance.
+
+    Every step reads the links anew: they should be stored.  What has been seen is, so Spark knows its size and joins it accordingly."""
+    seen = checkpointed(links.sparkSession.createDataFrame([(page, 0)], "page long, distance int"))
     for d in range(1, depth + 1):
-        step = both.join(seen.where(F.col("distance") == d - 1), both["a"] == seen["page"]).select(F.col("b").alias("page"), F.lit(d).alias("distance"))
-        seen = checkpointed(seen.union(step).groupBy("page").agg(F.min("distance").alias("distance")))
+        last = seen.where(F.col("distance") == d - 1).select("page")
+        step = [links.join(last.withColumnRenamed("page", a), a, "left_semi").select(F.col(b).alias("page")) for a, b in (("from_page", "to_page"), ("to_page", "from_page"))]
+        seen = checkpointed(seen.union(step[0].union(step[1]).distinct().withColumn("distance", F.lit(d))).groupBy("page").agg(F.min("distance").alias("distance")))
     return seen
 
 
 def connected(nodes: DataFrame, links: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """Each node's component, named by its smallest node: least neighbours with a jump over the label's own label, until nothing changes."""
-    both = links.select(F.col("from_page").alias("a"), F.col("to_page").alias("b")).union(links.select(F.col("to_page").alias("a"), F.col("from_page").alias("b"))).distinct()
-    labels = nodes.select(F.col("id").alias("a"), F.col("id").alias("label"))
-    before = None
+    """Each node's component, named by its smallest node; links to other nodes than those given don't count.
+
+    In every round each node that still has links hooks to the least node next to it, jumps double until all name the root of their tree,
+    and the links become links of roots: those within a tree, and repeated ones, go, and with them at least half of the nodes."""
+    labels = checkpointed(nodes.select("id", F.col("id").alias("label")))
+    both = links.where("from_page <> to_page").select(F.explode(F.array(F.struct(F.col("from_page").alias("a"), F.col("to_page").alias("b")), F.struct(F.col("to_page").alias("a"), F.col("from_page").alias("b")))).alias("p")).select("p.a", "p.b").distinct()
+    for end in ("a", "b"):
+        both = both.join(labels.select(F.col("id").alias(end)), end, "left_semi")
+    both = checkpointed(both.select("a", "b"))
     for _ in range(most_rounds):
-        near = both.join(labels.withColumnsRenamed({"a": "b", "label": "l"}), "b").groupBy("a").agg(F.min("l").alias("l"))
-        least = labels.join(near, "a", "left").select("a", F.least("label", "l").alias("label"))
-        jump = least.select(F.col("a").alias("label"), F.col("label").alias("up"))
-        labels = checkpointed(least.join(jump, "label", "left").select("a", F.least("label", "up").alias("label")))
-        now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-        if now == before:
-            return labels.select(F.col("a").alias("id"), F.col("label").alias("component"))
-        before = now
+        roots = checkpointed(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")).withColumn("moved", F.lit(True)))
+        if roots.isEmpty():
+            return labels.select("id", F.col("label").alias("component"))
+        while not roots.where("moved").isEmpty():
+            up = roots.select(F.col("a").alias("l"), F.col("l").alias("up"))
+            roots = checkpointed(roots.join(up, "l").select("a", F.col("up").alias("l"), (F.col("up") != F.col("l")).alias("moved")))
+        roots = roots.select("a", "l")
+        labels = checkpointed(labels.join(roots.withColumnsRenamed({"a": "label", "l": "root"}), "label", "left").select("id", F.coalesce("root", "label").alias("label")))
+        ends = both.join(roots.withColumnRenamed("l", "x"), "a").join(roots.withColumnsRenamed({"a": "b", "l": "y"}), "b")
+        both = checkpointed(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
     raise RuntimeError("components did not settle")
 
 

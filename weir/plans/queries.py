@@ -12,6 +12,7 @@ from weir.functions import scoring
 from weir.functions import url as U
 from weir.operators import activity, frontier, graph, ingest
 from weir.operators import pages as P
+from weir.operators.numbering import checkpointed
 from weir.plans import pipelines
 from weir.sources.fixtures import base, view, with_views
 
@@ -485,7 +486,7 @@ def topology_changes(spark, d):
 @query("""WITH RECURSIVE e AS (SELECT from_page AS a, to_page AS b FROM v_link UNION SELECT to_page, from_page FROM v_link), cc(id, component) USING KEY (id) AS (SELECT DISTINCT a, a FROM e UNION
  SELECT e.b, min(cc.component) FROM cc JOIN e ON e.a = cc.id JOIN recurring.cc AS cur ON cur.id = e.b WHERE cc.component < cur.component GROUP BY e.b) SELECT id, component FROM cc""")
 def connected_components(spark, d):
-    links = view(spark, d, "v_link")
+    links = checkpointed(view(spark, d, "v_link").select("from_page", "to_page"))
     nodes = links.select(F.explode(F.array("from_page", "to_page")).alias("id")).distinct()
     return graph.connected(nodes, links)
 
