@@ -30,8 +30,10 @@ def postings(rows: DataFrame, columns: list[str], id_col: str = "id") -> DataFra
 
 
 def write_postings(index: DataFrame, path: str) -> None:
-    """Keeps a posting list by part, and sorted by trigram within, so that a search reads a term's parts and skips most of their row groups."""
-    index.repartition("part").sortWithinPartitions("part", "trigram", "id").write.mode("overwrite").partitionBy("part").parquet(path)
+    """Keeps a posting list by part, and sorted by trigram within, so that a search reads a term's parts and skips most of their row groups.
+
+    Trigrams that all rows have make large parts: Spark deals those to as many tasks as their size asks for, each of which sorts its own file."""
+    index.hint("rebalance", "part").sortWithinPartitions("part", "trigram", "id").write.mode("overwrite").partitionBy("part").parquet(path)
 
 
 def pieces(term: str) -> list[str]:
