@@ -13,7 +13,7 @@ from weir.functions import url as U
 from weir.functions.html import page_assets
 from weir.operators import ingest
 from weir.operators.frontier import enqueue, merge_batch
-from weir.operators.numbering import numbered
+from weir.operators.numbering import checkpointed, numbered
 
 LINKS_PER_PAGE = 30
 CSV_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
@@ -39,7 +39,8 @@ def candidates(pages: DataFrame, per_page: int | None = None) -> DataFrame:
 
 def reparse(pages: DataFrame, links: DataFrame, frontier: DataFrame, now: Column) -> dict[str, DataFrame]:
     """The page, link, frontier and document tables after all stored pages have been parsed again."""
-    found = candidates(pages)
+    # read by pages, links and documents: the HTML is parsed once
+    found = checkpointed(candidates(pages))
     best = found.groupBy("url").agg(F.when(F.max(F.col("page_type_code") == "BINARY"), "BINARY").otherwise("FRONTIER").alias("t"), F.min_by("data_type_code", F.when(F.col("data_type_code").isNotNull(), F.struct("page_id", "ord"))).alias("d"))
     both = pages.join(best, "url", "full_outer")
     last = pages.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long"))
@@ -78,8 +79,8 @@ def export_rows(links: DataFrame) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str, one_file: bool = False) -> None:
-    """CSV with a header: a file from each task, or one file, for exports that fit into a task.  Texts are quoted, so that line breaks and empty texts come back as they are."""
-    (rows.coalesce(1) if one_file else rows).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("nullValue", "\\N").option("emptyValue", "").option("timestampNTZFormat", CSV_TIME).csv(path)
+    """CSV with a header: a file from each task, or one file, which one task copies from stored rows without holding them.  Texts are quoted, so that line breaks and empty texts come back as they are."""
+    (checkpointed(rows).coalesce(1) if one_file else rows).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("nullValue", "\\N").option("emptyValue", "").option("timestampNTZFormat", CSV_TIME).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
