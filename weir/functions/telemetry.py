@@ -15,7 +15,8 @@ TRANSITIONS = [("IDLE", "ACTIVE"), ("ACTIVE", "IDLE"), ("IDLE", "STOPPED"), ("AC
 
 def field(payload: Column, name: str) -> Column:
     """A property of a JSON text, blank as null."""
-    return F.nullif(F.trim(F.get_json_object(payload, f"$.{name}")), F.lit(""))
+    # bound to a variable, as nullif would read the payload twice
+    return F.get(F.filter(F.array(F.trim(F.get_json_object(payload, f"$.{name}"))), lambda v: v != ""), F.lit(0))
 
 
 def level(event_type: Column, payload: Column) -> Column:
@@ -24,11 +25,18 @@ def level(event_type: Column, payload: Column) -> Column:
     return F.coalesce(field(payload, "level"), F.when(F.contains(low, F.lit("error")) | F.contains(low, F.lit("failed")), "Error").when(F.contains(low, F.lit("warn")), "Warning").otherwise("Info"))
 
 
-def message(event_type: Column, payload: Column) -> Column:
-    """The payload's message, else its telling properties as k=v in a fixed order, else the type."""
-    names = ["status", "previousStatus", "reason", "action", "url", "queueMode", "workerId", "priority", "depth"]
-    parts = [F.when(field(payload, n).isNotNull(), F.concat(F.lit(f"{n}="), field(payload, n))) for n in names]
-    return F.coalesce(field(payload, "message"), F.nullif(F.concat_ws(" | ", *parts), F.lit("")), event_type)
+#: Properties that make a message, where an event has none.
+TELLING = ["status", "previousStatus", "reason", "action", "url", "queueMode", "workerId", "priority", "depth"]
+
+
+def message(event_type: Column, payload: Column, keys: Column | None = None) -> Column:
+    """The payload's message, else its telling properties as k=v in a fixed order, else the type.
+
+    keys: the payload's property names, if they are known; null where they could not be read.  Properties it hasn't are not looked for."""
+    own = lambda n: field(payload, n) if keys is None else F.when(F.coalesce(F.array_contains(keys, n), F.lit(True)), field(payload, n))
+    # a concatenation with null is null, and left out
+    parts = [F.concat(F.lit(f"{n}="), own(n)) for n in TELLING]
+    return F.coalesce(own("message"), F.get(F.filter(F.array(F.concat_ws(" | ", *parts)), lambda v: v != ""), F.lit(0)), event_type)
 
 
 def metric_increment(payload: Column) -> Column:
@@ -42,10 +50,23 @@ def metric_increment(payload: Column) -> Column:
 
 def log_row(event_type: Column, payload: Column) -> tuple[Column, Column, Column]:
     """Whether an event is kept as a log; its level and message.  A message with ``failed`` or ``error`` makes an error."""
-    text = message(event_type, payload)
-    low = F.lower(text)
-    lvl = F.when((event_type == "error") | F.contains(low, F.lit("failed")) | F.contains(low, F.lit("error")), "Error").when(event_type == "frontier-prune", "Warning").otherwise(F.coalesce(field(payload, "level"), F.lit("Info")))
-    return event_type.isin(LOGGED_TYPES), lvl, text
+    log = logged(event_type, payload)
+    return event_type.isin(LOGGED_TYPES), log["level"], log["message"]
+
+
+def logged(event_type: Column, payload: Column) -> Column:
+    """struct<level, message> of an event kept as a log; keep it as a column of its own where both fields are needed.
+
+    Every property asked for is another pass over the payload.  So its names are read first, and properties it hasn't are not asked for;
+    names and message are bound to variables, so that they are not worked out again."""
+
+    def told(text: Column, keys: Column) -> Column:
+        low = F.lower(text)
+        own = F.when(F.coalesce(F.array_contains(keys, "level"), F.lit(True)), field(payload, "level"))
+        lvl = F.when((event_type == "error") | F.contains(low, F.lit("failed")) | F.contains(low, F.lit("error")), "Error").when(event_type == "frontier-prune", "Warning").otherwise(F.coalesce(own, F.lit("Info")))
+        return F.struct(lvl.alias("level"), text.alias("message"))
+
+    return F.transform(F.array(F.json_object_keys(payload)), lambda keys: F.transform(F.array(message(event_type, payload, keys)), lambda text: told(text, keys))[0])[0]
 
 
 def metrics(event_type: Column, payload: Column) -> Column:

@@ -28,8 +28,8 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def logs(events: DataFrame) -> DataFrame:
-    keep, level, message = telemetry.log_row(F.col("type"), F.col("payload"))
-    return events.where(keep).select(F.col("daemonId").alias("daemon_identifier"), F.col("workerId").alias("external_worker_id"), level.alias("level"), message.alias("message"), "payload", F.col("ts").alias("created_at"))
+    rows = events.where(F.col("type").isin(telemetry.LOGGED_TYPES)).withColumn("__log", telemetry.logged(F.col("type"), F.col("payload")))
+    return rows.select(F.col("daemonId").alias("daemon_identifier"), F.col("workerId").alias("external_worker_id"), "__log.level", "__log.message", "payload", F.col("ts").alias("created_at"))
 
 
 def metrics(events: DataFrame) -> DataFrame:
@@ -48,7 +48,8 @@ def persist(events: DataFrame, out: str, checkpoint: str):
     """Starts a query that appends each batch's logs, metrics and worker updates to tables by day below out."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
+        # dealt out, as payloads take long to read and a file's few row groups would be as few tasks
+        batch = batch.repartition(batch.sparkSession.sparkContext.defaultParallelism).persist()
         for name, rows, time in (("worker_log", logs(batch), "created_at"), ("worker_metric", metrics(batch), "created_at"), ("worker_update", worker_updates(batch), "ts")):
             retention.append_batch(rows, f"{out}/{name}", time, number)
         batch.unpersist()
