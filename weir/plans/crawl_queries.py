@@ -11,7 +11,7 @@ from weir.functions import hashing, robots, scoring, telemetry
 from weir.functions import url as U
 from weir.operators import activity, frontier, graph, ingest, worker
 from weir.operators import pages as P
-from weir.operators.numbering import checkpoint_folder
+from weir.operators.numbering import checkpoint_folder, checkpointed
 from weir.plans import pipelines
 from weir.plans.queries import _GRAPH, NOW, QUERIES, SQL, now, query, sitemap_documents
 from weir.sources.fixtures import VIEWS, base, view
@@ -363,17 +363,20 @@ def event_messages(spark, d):
     return _events(spark, d).select("id", telemetry.message(F.col("type"), F.col("payload")).alias("message"), telemetry.level(F.col("type"), F.col("payload")).alias("level"))
 
 
+def _logs(spark, d) -> DataFrame:
+    # dealt out, as payloads take long to read and a file's few row groups would be as few tasks
+    rows = _events(spark, d).where(F.col("type").isin(telemetry.LOGGED_TYPES)).repartition("id").withColumn("__log", telemetry.logged(F.col("type"), F.col("payload")))
+    return rows.select("id", "__log.level", "__log.message", F.col("worker_id").alias("external_worker_id"), F.col("ts").alias("created_at"))
+
+
 @query(f"SELECT id, {_LEVEL} AS level, {_MESSAGE} AS message FROM v_event WHERE {_LOGGED}")
 def event_logs(spark, d):
-    keep, level, message = telemetry.log_row(F.col("type"), F.col("payload"))
-    return _events(spark, d).where(keep).select("id", level.alias("level"), message.alias("message"))
+    return _logs(spark, d).select("id", "level", "message")
 
 
 @query(f"SELECT id, level FROM (SELECT id, ts, {_LEVEL} AS level, {_MESSAGE} AS message FROM v_event WHERE {_LOGGED}) WHERE lower(level) = 'error' AND message ILIKE '%for 1%' ORDER BY ts DESC, id DESC LIMIT 100")
 def live_log_search(spark, d):
-    keep, level, message = telemetry.log_row(F.col("type"), F.col("payload"))
-    rows = _events(spark, d).where(keep).select("id", level.alias("level"), message.alias("message"), F.col("worker_id").alias("external_worker_id"), F.col("ts").alias("created_at"))
-    return activity.search_logs(rows, None, "error", "for 1", 100).select("id", "level")
+    return activity.search_logs(_logs(spark, d), None, "error", "for 1", 100).select("id", "level")
 
 
 @query("SELECT id, CASE WHEN type = 'page-reported' THEN CAST(1 AS DOUBLE) END AS pages, CAST(json_extract_string(payload, '$.priority') AS INT) AS priority FROM (SELECT *, type AS t FROM v_event)")
@@ -651,7 +654,7 @@ def replay_links(spark, d):
 @query("""WITH e AS (SELECT from_page AS a, to_page AS b FROM v_link UNION SELECT to_page, from_page FROM v_link), s AS (SELECT min(from_page) AS p FROM v_link), d1 AS (SELECT DISTINCT b AS page FROM e, s WHERE a = p AND b <> p),
  d2 AS (SELECT DISTINCT b AS page FROM e, s WHERE a IN (SELECT page FROM d1) AND b <> p AND b NOT IN (SELECT page FROM d1)) SELECT p AS page, 0 AS distance FROM s UNION ALL SELECT page, 1 FROM d1 UNION ALL SELECT page, 2 FROM d2""")
 def page_neighbourhood(spark, d):
-    links = view(spark, d, "v_link")
+    links = checkpointed(view(spark, d, "v_link").select("from_page", "to_page"))
     return graph.neighbourhood(links, links.agg(F.min("from_page")).first()[0], 2)
 
 
