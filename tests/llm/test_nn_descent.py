@@ -79,3 +79,32 @@ def test_queries_that_walks_do_not_answer_are_compared_with_all(spark, monkeypat
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
     want = brute(list(enumerate(v)), set(range(0, 600, 10)))
     assert {q: [i for _, i in sorted(x)] for q, x in got.items()} == {q: [i for _, i in x] for q, x in want.items()}
+
+
+def test_walks_keep_what_they_can_visit_and_are_not_widened_beyond_comparing(spark, monkeypatch):
+    """A walk is one row of 2 * beam nodes at most, visits read stored neighbours, and where a wider beam costs more than comparing all, all are compared."""
+    beams, search, compared = [], nn_descent.search, []
+    inner = nn_descent.compared
+
+    def walked(index, queries, beam, *before):
+        out = search(index, queries, beam, *before)
+        beams.append((beam, out.df.count(), queries.select("q").distinct().count(), out.df.agg(nn_descent.F.max(nn_descent.F.octet_length("ids"))).first()[0]))
+        near = index.wide()
+        plan = near.join(nn_descent.F.broadcast(near.select("node").limit(1)), "node").groupBy("node").count()._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan and "Exchange hashpartitioning" not in plan
+        return out
+
+    monkeypatch.setattr(nn_descent, "search", walked)
+    monkeypatch.setattr(nn_descent, "compared", lambda *a: (compared.append(1), inner(*a))[1])
+    for name, value in (("BEAM", 8), ("CODES", 1), ("CHUNK", 8), ("DEGREE", 4)):
+        monkeypatch.setattr(nn_descent, name, value)
+    v = np.random.default_rng(8).standard_normal((6_000, 48))
+    rows = [(k, x.tolist()) for k, x in enumerate(v)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in nn_descent.nearest(table, nn_descent.F.col("vec_id") % 50 == 0, most_rounds=0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert [b[0] for b in beams] == [8] and compared == [1]
+    assert all(rows == asked == 120 and most <= 2 * beam * 8 for beam, rows, asked, most in beams)
+    want = brute(rows, set(range(0, 6_000, 50)))
+    assert {q: [i for _, i in sorted(x)] for q, x in got.items()} == {q: [i for _, i in x] for q, x in want.items()}

@@ -31,19 +31,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Saved:
-    """A DataFrame written once as Parquet; later readers start from the files, not from its lineage."""
+    """A DataFrame written once as Parquet; later readers start from the files, not from its lineage.
 
-    def __init__(self, df: DataFrame, name: str):
+    With buckets (column, number) a join by that column does not shuffle it."""
+
+    def __init__(self, df: DataFrame, name: str, buckets: tuple[str, int] | None = None):
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/weir-{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        key = uuid.uuid4().hex
+        self.path = f"{shared_dir(self.spark)}/weir-{name}-{key}"
+        self.table = f"weir_{name}_{key}" if buckets else None
+        if buckets:
+            df.write.bucketBy(buckets[1], buckets[0]).option("path", self.path).format("parquet").saveAsTable(self.table)
+            self.df = self.spark.table(self.table)
+        else:
+            df.write.parquet(self.path)
+            self.df = self.spark.read.schema(df.schema).parquet(self.path)
         atexit.register(self.drop)
 
     def drop(self) -> None:
         """Deletes the files; nothing may read the table afterwards."""
         atexit.unregister(self.drop)
         with contextlib.suppress(Exception):  # the session may be gone already
+            if self.table:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
