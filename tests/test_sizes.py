@@ -1,6 +1,7 @@
 """Steps whose time or memory grew faster than their input."""
 
 import datetime as dt
+import time as time_
 
 from pyspark.sql import functions as F
 
@@ -8,6 +9,7 @@ from weir.functions import telemetry
 from weir.operators import graph, search
 from weir.plans import crawl_queries, document_queries, pipelines
 from weir.streaming import arbitration
+from weir.streaming import events as ev
 
 SF = "/root/testdata/sf0.001"
 
@@ -81,3 +83,48 @@ def test_a_neighbourhood_reads_stored_links(spark, monkeypatch):
     monkeypatch.setattr(graph, "neighbourhood", lambda links, *k: (given.append(links), search_(links, *k))[1])
     crawl_queries.page_neighbourhood(spark, SF)
     assert "Join" not in plan(given[0]) and "Aggregate" not in plan(given[0])
+
+
+def arbitrated_by_hand(seeds, claims, wait):
+    out = {}
+    for seed, worker, at in seeds:
+        first = min(((t, u) for w, u, t in claims if w == worker and at <= t <= at + wait), default=(None, None))
+        out[(seed, worker, at)] = first[1]
+    return out
+
+
+def busy(n):
+    """Assignments and claims of a busy worker, a lazy one and none, at distinct times of four hours."""
+    start = dt.datetime(2024, 1, 1, 22)
+    at = lambda k: start + dt.timedelta(seconds=k)
+    seeds = [(f"S{k % 3}", (7, 7, 8, None)[k % 4], at(k * 7919 % 14400)) for k in range(n)]
+    claims = [(7 if k % 9 else 8, f"s{k % 3}", at(k * 6007 % 14400 + 0.5 * (k % 2))) for k in range(n) if k % 50 or k % 9]
+    return seeds, claims
+
+
+SEEDS, CLAIMS = "seed_url string, worker_id long, assigned_at timestamp", "worker_id long, url string, claimed_at timestamp"
+
+
+def test_a_busy_worker_s_assignments_are_not_joined_with_its_claims(spark):
+    seeds, claims = busy(600)
+    out = arbitration.arbitrated(spark.createDataFrame(seeds, SEEDS), spark.createDataFrame(claims, CLAIMS), "20 minutes")
+    assert "Join" not in plan(out)
+    rows = out.collect()
+    got = {(r.seed_url, r.worker_id, r.assigned_at): r.claimed_url for r in rows}
+    assert len(rows) == len(got) and got == arbitrated_by_hand(seeds, claims, dt.timedelta(minutes=20))
+
+
+def test_arbitration_keeps_what_waits_from_batch_to_batch(spark, tmp_path):
+    seeds, claims = busy(600)
+    for name, rows, schema, time in (("a", seeds, SEEDS, 2), ("c", claims, CLAIMS, 2)):
+        rows = sorted(rows, key=lambda r: r[time])
+        for k in range(3):
+            spark.createDataFrame(rows[k * 200 : (k + 1) * 200], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+            time_.sleep(1.1)  # files are taken in the order of their seconds
+    stream = lambda name, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+    rows = ev.run_to_end(arbitration.arbitrated(stream("a", SEEDS), stream("c", CLAIMS), "20 minutes"), "append", "busy").collect()
+    mark = min(max(r[2] for r in seeds), max(r[2] for r in claims)) - dt.timedelta(minutes=1)
+    wait = dt.timedelta(minutes=20)
+    want = {k: v for k, v in arbitrated_by_hand(seeds, claims, wait).items() if k[2] + wait < mark}
+    got = {(r.seed_url, r.worker_id, r.assigned_at): r.claimed_url for r in rows}
+    assert len(rows) == len(got) and got == want and len({v for v in want.values()}) == 4
